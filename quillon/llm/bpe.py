@@ -50,12 +50,14 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.odd = np.zeros(0, bool)
+        self.names: list[str] = []
 
     def _learn(self) -> None:
         """Encode the words that were met first just now."""
         new, self.words.new = self.words.new, []
         if not new:
             return
+        self.names += [w if type(w) is str else w[0] for w in new]
         odd = np.array([type(w) is str and (not w or w[0].isspace() or w[-1].isspace()) for w in new])
         lone = [k for k, w in enumerate(new) if type(w) is tuple]
         plain = [k for k, w in enumerate(new) if type(w) is str and not odd[k]]
