@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, packing, simhash, token_counts, toxicity
+from quillon.llm import mixing, packing, simhash, spotsigs, token_counts, toxicity
 from quillon.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
+        "op9_spotsigs": op9_spotsigs,
         "op10_simhash": op10_simhash,
     }
 
