@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +89,38 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+class WordHashes(dict):
+    """64-bit hash of each word; forgets all words once more than ``most`` are known."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+        """Words of each text, hashes of all words one after the other, and words per text."""
+        if len(self) > self.most:
+            self.clear()
+        split = [t.split() for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        hashes = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(counts.sum()))
+        return split, hashes, counts
+
+
+def row_blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[list[list]]:
+    """Rows of Arrow batches as lists of columns, with about ``most`` bytes in the column ``text``."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += len(row[text] or b"") + 64
+            if size >= most:
+                yield [list(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+    if held:
+        yield [list(c) for c in zip(*held, strict=True)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, packing, simhash, spotsigs, token_counts, toxicity
+from quillon.llm import mixing, packing, simhash, spotsigs, substrings, token_counts, toxicity
 from quillon.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_substrings": op2_substrings,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
