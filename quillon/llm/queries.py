@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, packing, simhash, spotsigs, substrings, token_counts, toxicity
+from quillon.llm import lines, mixing, packing, simhash, spotsigs, substrings, token_counts, toxicity
 from quillon.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_substrings": op2_substrings,
+        "op3_lines": op3_lines,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
@@ -51,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lines": lines.SQL}
