@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import lines, mixing, packing, simhash, spotsigs, substrings, token_counts, toxicity
+from quillon.llm import lines, mixing, packing, simhash, spotsigs, substrings, token_counts, topk, toxicity
 from quillon.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_substrings": op2_substrings,
         "op3_lines": op3_lines,
+        "op4_topk": op4_topk,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
@@ -56,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": lines.SQL}
+    return {"op3_lines": lines.SQL, "op4_topk": topk.SQL}
