@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import lines, mixing, packing, simhash, spotsigs, substrings, token_counts, topk, toxicity
+from quillon.llm import lines, lm, mixing, packing, simhash, spotsigs, substrings, token_counts, topk, toxicity
 from quillon.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": op2_substrings,
         "op3_lines": op3_lines,
         "op4_topk": op4_topk,
+        "op5_lm": op5_lm,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
