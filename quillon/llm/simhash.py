@@ -24,6 +24,10 @@ from quillon.llm.common import checkpoint, connected_components, small_batches,
 
 #: Seed of XXH64, and bits that the radius of 2 is halved to.
 SEED = 42
+#: Copies of texts: words of a shingle and least likeness; fingerprints of a text and their bits;
+#: shingles of a sketch. Shorter fingerprints meet farther copies, and more strangers to verify.
+WORDS, LIKENESS = 5, 0.8
+TABLES, BITS, SKETCH = 4, 32, 128
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -62,9 +66,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", of(utf8(F.col("text"))).alias("fp"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 64) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints (column fp) at most 2 bits apart."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     near = distinct.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("near"))
     met = near.select(F.col("fp").alias("b"), F.lag("fp").over(Window.partitionBy("near").orderBy("fp")).alias("a"))
     met = met.where("a is not null").distinct()
@@ -90,15 +94,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` without the rows that another row of their component stands for.
+def _shingles(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 values of all shingles; the whole sequence, if there are fewer words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, size = b" ".join(words), min(size, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - size + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """TABLES fingerprints of BITS bits: majorities of the bits of hashes mixed in as many ways."""
+    counts = np.zeros((TABLES // 2, 64), np.int64)
+    for k in range(0, len(hashes), 65536):
+        for t in range(TABLES // 2):
+            x = hashes[k : k + 65536]
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * t)
+            x ^= x >> np.uint64(29)
+            counts[t] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u4").ravel()
+
+
+def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(uid, prints, sketch) of each text: its hash, TABLES fingerprints that carry their table's
+    number above the bits, and the SKETCH smallest hashes of its shingles of ``words`` words."""
+    small_batches(docs.sparkSession)
 
-    The row with the component's smallest doc_id stays; of several rows with that
-    id, the one with the smallest text. Rows with a null doc_id stay only where no
-    row of their component has an id, and then one of them.
+    @F.pandas_udf("struct<prints: array<bigint>, sketch: binary>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            rows = []
+            for text in batch:
+                split = text.lower().split()
+                prints = _majority(_shingles(split, 3)).astype(np.int64) + (np.arange(TABLES, dtype=np.int64) << BITS)
+                sketch = np.unique((_shingles(split, words) >> np.uint64(32)).astype("<u4"))[:SKETCH]
+                rows.append((prints.tolist(), sketch.tobytes()))
+            yield pd.DataFrame(rows, columns=["prints", "sketch"])
+
+    text = utf8(F.col("text"))
+    return docs.select(F.xxhash64(text).alias("uid"), of(text).alias("p")).select("uid", "p.*")
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """Jaccard likeness of two texts' shingles by their sketches; exact for few shingles."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.sort(np.concatenate([x, y]))
+    same = both[1:][both[1:] == both[:-1]]
+    all_ = np.unique(both)[:SKETCH]
+    return float((same <= all_[-1]).sum()) / len(all_)
+
+
+def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> DataFrame:
+    """(node, root): texts, by hash, that have copies, and the least text of their group.
+
+    Each text has TABLES short fingerprints, so that texts of the wanted likeness are two
+    bits apart in one of them; balls around them meet as in ``links``. Texts of one
+    fingerprint are compared with the least of them, fingerprints that meet by their least
+    texts. Only pairs whose shingles are alike enough are linked.
+    """
+    own = checkpoint(profiles(docs, words).dropDuplicates(["uid"]))
+    each = own.select("uid", F.explode("prints").alias("fp"))
+    first = each.groupBy("fp").agg(F.min("uid").alias("rep"))
+    met = links(first.select("fp"), BITS)
+    name = lambda c: first.select(F.col("fp").alias(c), F.col("rep").alias(c + "_rep"))
+    across = met.join(name("a"), "a").join(name("b"), "b").select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
+    within = each.join(first, "fp").select(F.col("rep").alias("u"), F.col("uid").alias("v"))
+    pairs = across.union(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left, right = own.select(F.col("uid").alias("u"), F.col("sketch").alias("x")), own.select(F.col("uid").alias("v"), F.col("sketch").alias("y"))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
+
+    linked = pairs.join(left, "u").join(right, "v").where(alike("x", "y") >= least)
+    return connected_components(linked.select("u", "v"), "u", "v")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> DataFrame:
+    """``docs`` without the rows that another row of their group of near copies stands for.
+
+    The row with the group's smallest doc_id stays, of several the one with the smallest
+    hash of its text; null ids come last. Repeated rows with one id and text leave one row.
+    Texts without words are copies of each other. An empty table gives no rows.
     """
-    found = near_duplicates(docs, shingle)
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
-    return kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank").select(*docs.columns)
+    roots = copies(docs, words, least)
+    rows = docs.select("doc_id", F.xxhash64(utf8(F.col("text"))).alias("uid")).groupBy("doc_id", "uid").agg(F.count("*").alias("n"))
+    rows = rows.join(roots, F.col("uid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "uid"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "n")).alias("best")
+    chosen = checkpoint(rows.groupBy("group").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.uid").alias("_uid"), "best.n"))
+    at = (F.xxhash64(utf8(F.col("text"))) == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.join(chosen.where("n = 1"), at, "left_semi")
+    again = chosen.where("n > 1")
+    if again.isEmpty():
+        return kept
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(utf8(F.col("text")))).orderBy("text"))
+    more = docs.join(again, at, "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return kept.unionByName(more)
