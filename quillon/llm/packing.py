@@ -127,7 +127,9 @@ def windows(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[lis
 def _shard(encoder: Encoder, ids: list, texts: list[str], first: int, window: int) -> tuple[pa.RecordBatch, int]:
     numbers, counts = encoder.number(texts)
     tokens = [np.append(x, END).astype("<u4") for x in encoder.gather(texts, numbers, counts)]
-    words, place = np.unique(numbers, return_inverse=True)
+    seen = np.zeros(len(encoder.words), bool)
+    seen[numbers] = True
+    words, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[numbers]
     terms: dict[str, int] = {}
     term_of = np.array([terms.setdefault(encoder.names[w].strip(_EDGE).lower(), len(terms)) for w in words.tolist()])
     index = Index(term_of[place], counts, len(terms))
