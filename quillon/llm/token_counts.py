@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillon.llm.bpe import Encoder, slices
-from quillon.llm.common import small_batches
+from quillon.llm.common import checkpoint, small_batches
 
 #: Lengths in a block of the two-level prefix sums.
 BLOCK = 1024
@@ -49,6 +49,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     counts = lengths.groupBy(F.col("tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    counts = checkpoint(counts)  # else the texts are encoded for the blocks and again for the rows
     counts = counts.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("bn"), F.sum("tokens").alias("bt"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
