@@ -3,14 +3,20 @@
 A line's words with a digit are variable fields. The tree's levels are the number of
 words and the leading words; a leaf holds the lines that agree in both. Positions at
 which a leaf's lines differ are variable too, as long as half of its words or more stay
-the same: then the leaf is one template, else each masked line is one. A template that
-recurs in many documents, and after and before ever other lines, is boilerplate, and its
-lines are dropped. Lines that recur with their surroundings belong to copies of
-documents, which are left to near-duplicate removal.
+the same: then the leaf is one template, else each masked line is one. The pipeline also
+wants a word to stay the same after the leading ones, which agree by construction.
+
+The pipeline drops every template that DOCS different texts hold, wherever it stands in
+them. Copies of documents are left to near-duplicate removal: equal texts count as one,
+and so do texts of which more than half recurs and whose rarest recurring template is
+the same. The query op3_lines follows its SQL, which drops a template only if ever other
+lines precede and follow it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +51,8 @@ def _leaf(line: Column, n: Column, depth: int) -> Column:
     return F.xxhash64(n, F.substring_index(line, " ", depth))
 
 
-def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, longest: int = LONGEST, least: int = DOCS, variety: float = VARIETY) -> DataFrame:
-    """(key, dropped): for each document key the positions, from 0, of the lines to drop."""
-    lines = docs.select("key", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
-    each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), F.xxhash64(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
-    rows = lines.select("key", each.alias("each")).select("key", "each", F.posexplode("each").alias("pos", "x")).where(F.col("x.n") >= shortest)
-    near = lambda by: F.when((F.col("pos") + by >= 0) & (F.col("pos") + by < F.size("each")), F.get("each", F.col("pos") + by)["t"])
-    rows = checkpoint(rows.select("key", "pos", "x.*", near(-1).alias("before"), near(1).alias("after")))
+def _whole(lines: DataFrame, rows: DataFrame, depth: int, shortest: int, longest: int, least: int, beyond: int = 0) -> DataFrame:
+    """(whole): the leaves that are one template; ``beyond`` of the words after the leading ones stay the same, at least."""
     # leaves with several masked lines: which positions differ
     leaves = rows.where(F.col("n") <= longest).groupBy("leaf").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("c"))
     leaves = leaves.where(F.col("c") >= least).where("low <> high").select("leaf")
@@ -59,8 +60,19 @@ def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, l
     kinds = short.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).distinct().join(leaves, "leaf", "left_semi")
     words = kinds.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("at", "word"))
     same = words.groupBy("leaf", "n", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"))
-    whole = same.groupBy("leaf", "n").agg(F.sum(F.when((F.col("low") == F.col("high")) & (F.col("low") != "<*>"), 1).otherwise(0)).alias("fixed"))
-    whole = whole.where(2 * F.col("fixed") >= F.col("n")).select(F.col("leaf").alias("whole"))
+    stays = F.when((F.col("low") == F.col("high")) & (F.col("low") != "<*>"), 1).otherwise(0)
+    whole = same.groupBy("leaf", "n").agg(F.sum(stays).alias("fixed"), F.sum(F.when(F.col("at") >= depth, stays).otherwise(0)).alias("after"))
+    return whole.where((2 * F.col("fixed") >= F.col("n")) & (F.col("after") >= beyond)).select(F.col("leaf").alias("whole"))
+
+
+def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, longest: int = LONGEST, least: int = DOCS, variety: float = VARIETY) -> DataFrame:
+    """(key, dropped): for each document key the positions, from 0, of the lines to drop."""
+    lines = docs.select("key", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
+    each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), F.xxhash64(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
+    rows = lines.select("key", each.alias("each")).select("key", "each", F.posexplode("each").alias("pos", "x")).where(F.col("x.n") >= shortest)
+    near = lambda by: F.when((F.col("pos") + by >= 0) & (F.col("pos") + by < F.size("each")), F.get("each", F.col("pos") + by)["t"])
+    rows = checkpoint(rows.select("key", "pos", "x.*", near(-1).alias("before"), near(1).alias("after")))
+    whole = _whole(lines, rows, depth, shortest, longest, least)
     rows = rows.join(whole, F.col("leaf") == F.col("whole"), "left")
     rows = rows.select("key", "pos", F.coalesce(F.xxhash64("whole", F.lit("leaf")) * F.when(F.col("whole").isNotNull(), 1), "t").alias("template"), "before", "after")
     # the many templates of a few lines go before documents and neighbours are counted
@@ -74,11 +86,30 @@ def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, l
     return rows.select("key", "pos", "template").join(often.select("template"), "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("dropped"))
 
 
-def with_kept(docs: DataFrame) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, longest: int = LONGEST, least: int = DOCS) -> DataFrame:
+    """(key, dropped) as from ``boilerplate``, for all templates that ``least`` texts hold which are no copies; keys tell texts apart."""
+    lines = docs.select("key", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
+    each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), F.xxhash64(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
+    total = F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + F.when(x["n"] >= shortest, x["n"]).otherwise(0))
+    rows = lines.select("key", each.alias("each")).withColumn("total", total).select("key", "total", F.posexplode("each").alias("pos", "x"))
+    rows = checkpoint(rows.where(F.col("x.n") >= shortest).select("key", "pos", "total", "x.*"))
+    whole = _whole(lines, rows, depth, shortest, longest, least, beyond=1)
+    rows = rows.join(whole, F.col("leaf") == F.col("whole"), "left")
+    rows = rows.select("key", "pos", "total", "n", F.coalesce(F.xxhash64("whole", F.lit("leaf")) * F.when(F.col("whole").isNotNull(), 1), "t").alias("template"))
+    texts = rows.groupBy("template", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    rows = checkpoint(rows.join(texts, "template"))
+    # rows of equal texts repeat; a text that mostly recurs is known by its rarest template, which its copies share; any other text by itself
+    alike = rows.groupBy("key").agg((2 * F.sum("n") * F.size(F.collect_set("pos")) > F.first("total") * F.count("*")).alias("mostly"), F.min(F.struct("texts", "template")).alias("rarest"))
+    alike = alike.select("key", F.when(F.col("mostly"), F.xxhash64("rarest", F.lit("copies"))).otherwise(F.col("key")).alias("source"))
+    held = rows.select("template", "key").distinct().join(alike, "key").groupBy("template", "source").agg(F.lit(1).alias("one"))
+    often = held.groupBy("template").agg(F.count("*").alias("sources")).where(F.col("sources") >= least).select("template")
+    return rows.select("key", "pos", "template").join(often, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("dropped"))
+
+
+def with_kept(docs: DataFrame, found_in: Callable[[DataFrame], DataFrame], key: Column) -> DataFrame:
     """``docs`` with the columns _kept (the text without dropped lines), _lines and _dropped."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     own = docs.withColumn("_key", key)
-    found = boilerplate(docs.where("text is not null").select(key.alias("key"), "text"))
+    found = found_in(docs.where("text is not null").select(key.alias("key"), "text"))
     own = own.join(found, F.col("_key") == F.col("key"), "left")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
@@ -94,12 +125,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     text has no lines, an empty one has one. Repeated rows (same doc_id and text) count
     as one document and each give a row; null ids are kept. An empty table gives no rows.
     """
-    return with_kept(docs.select("doc_id", "text")).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    return with_kept(docs.select("doc_id", "text"), boilerplate, key).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that are left when recurring templates are dropped."""
-    done = with_kept(docs)
+    done = with_kept(docs, recurring, F.xxhash64("text"))
     return done.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 

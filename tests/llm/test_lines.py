@@ -32,3 +32,20 @@ def test_edge_cases(spark):
     got = sorted(map(tuple, lines.line_dedup(docs).select("doc_id", "n_lines", "n_dropped").collect()), key=repr)
     assert got == sorted([(None, 0, 0), (1, 0, 0), (2, 1, 0), (2, 1, 0), (3, 3, 0), (None, 2, 0), (4, 1, 0)], key=repr)
     assert lines.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def words(d, n, seed):
+    return " ".join(f"{'abcdefghij'[d % 10]}{'klmnopqrst'[d // 10]}{'abcdefghij'[(k * 7 + seed) % 10]}{'abcdefghij'[k // 10]}" for k in range(n))
+
+
+def test_templates_go_wherever_they_stand(spark):
+    """At a text's edge, between blank lines and in a block, but not with copies."""
+    block = "all rights are reserved here\nreleased under the usual licence\nwithout a warranty of any kind"
+    rows = [(d, f"the header of our site\n{words(d, 30, 1)}\n\nplease share this page\n\n{words(d, 30, 2)}\n{block}") for d in range(8)]
+    story = [words(50, 12, k) for k in range(12)]  # eight near copies of one document, one line of each edited
+    for d in range(8):
+        rows.append((20 + d, "\n".join([*story[:d], words(60 + d, 12, 3), *story[d + 1 :]])))
+    got = kept(spark, rows)
+    for d, text in rows:
+        want = text if d >= 20 else f"{words(d, 30, 1)}\n\n\n{words(d, 30, 2)}"
+        assert got[d, "x"] == want
