@@ -1,10 +1,14 @@
 """Line dedup with a log-template tree, in DataFrame functions only.
 
 A line's words with a digit are variable fields. The tree's levels are the number of
-words and the leading words; a leaf holds the lines that agree in both. Positions at
-which a leaf's lines differ are variable too, as long as half of its words or more stay
-the same: then the leaf is one template, else each masked line is one. The pipeline also
-wants a word to stay the same after the leading ones, which agree by construction.
+words and the leading words; a leaf holds the lines that agree in both.
+
+In the pipeline, a leaf's lines share the words that five of them or more have at one
+position. Other positions are variable, as long as half of a line's words or more are
+shared, one of them after the leading ones: then what is shared is the line's template,
+else the masked line is. In op3_lines, positions at which a leaf's lines of 40 words or
+fewer differ are variable, as long as half of its words or more stay the same: then the
+leaf is one template.
 
 The pipeline drops every template that DOCS different texts hold, wherever it stands in
 them. Copies of documents are left to near-duplicate removal: equal texts count as one,
@@ -51,18 +55,26 @@ def _leaf(line: Column, n: Column, depth: int) -> Column:
     return F.xxhash64(n, F.substring_index(line, " ", depth))
 
 
-def _whole(lines: DataFrame, rows: DataFrame, depth: int, shortest: int, longest: int, least: int, beyond: int = 0) -> DataFrame:
-    """(whole): the leaves that are one template; ``beyond`` of the words after the leading ones stay the same, at least."""
-    # leaves with several masked lines: which positions differ
-    leaves = rows.where(F.col("n") <= longest).groupBy("leaf").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("c"))
-    leaves = leaves.where(F.col("c") >= least).where("low <> high").select("leaf")
-    short = lines.select(F.explode("lines").alias("line")).withColumn("n", _words(F.col("line"))).where(F.col("n").between(shortest, longest))
-    kinds = short.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).distinct().join(leaves, "leaf", "left_semi")
-    words = kinds.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    same = words.groupBy("leaf", "n", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"))
-    stays = F.when((F.col("low") == F.col("high")) & (F.col("low") != "<*>"), 1).otherwise(0)
-    whole = same.groupBy("leaf", "n").agg(F.sum(stays).alias("fixed"), F.sum(F.when(F.col("at") >= depth, stays).otherwise(0)).alias("after"))
-    return whole.where((2 * F.col("fixed") >= F.col("n")) & (F.col("after") >= beyond)).select(F.col("leaf").alias("whole"))
+def _patterns(lines: DataFrame, rows: DataFrame, depth: int, least: int) -> DataFrame:
+    """(leaf, t, pattern): masked lines, by hash, with the pattern of the words that they share.
+
+    A word is fixed if ``least`` different lines of its leaf have it at its position, so strangers
+    in a leaf change nothing; other positions are variable. A pattern needs half of its words
+    fixed, one of them after the leading words, which agree by construction.
+    """
+    kinds = rows.select("leaf", "t").distinct()
+    leaves = kinds.groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
+    kinds = lines.select(F.explode("lines").alias("line")).withColumn("n", _words(F.col("line"))).where(F.col("n") > depth)
+    kinds = kinds.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).join(leaves, "leaf", "left_semi")
+    words = F.transform(F.split("line", " "), lambda x: F.when(x != "<*>", F.xxhash64(x)))
+    kinds = checkpoint(kinds.select("leaf", "n", F.xxhash64("line").alias("t"), words.alias("words")).dropDuplicates(["leaf", "t"]))
+    words = kinds.select("leaf", "t", "n", F.posexplode("words").alias("at", "word")).where("word is not null")
+    fixed = words.groupBy("leaf", "at", "word").count().where(F.col("count") >= least).drop("count")
+    words = words.join(fixed, ["leaf", "at", "word"], "left_semi")
+    mixed = F.bit_xor(F.xxhash64("at", "word"))
+    shared = words.groupBy("leaf", "t", "n").agg(mixed.alias("mixed"), F.count("*").alias("fixed"), F.max("at").alias("last"))
+    shared = shared.where((2 * F.col("fixed") >= F.col("n")) & (F.col("last") >= depth))
+    return shared.select("leaf", "t", F.xxhash64("leaf", "mixed", F.lit("pattern")).alias("pattern"))
 
 
 def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, longest: int = LONGEST, least: int = DOCS, variety: float = VARIETY) -> DataFrame:
@@ -72,7 +84,15 @@ def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, l
     rows = lines.select("key", each.alias("each")).select("key", "each", F.posexplode("each").alias("pos", "x")).where(F.col("x.n") >= shortest)
     near = lambda by: F.when((F.col("pos") + by >= 0) & (F.col("pos") + by < F.size("each")), F.get("each", F.col("pos") + by)["t"])
     rows = checkpoint(rows.select("key", "pos", "x.*", near(-1).alias("before"), near(1).alias("after")))
-    whole = _whole(lines, rows, depth, shortest, longest, least)
+    # leaves with several masked lines: which positions differ
+    leaves = rows.where(F.col("n") <= longest).groupBy("leaf").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("c"))
+    leaves = leaves.where(F.col("c") >= least).where("low <> high").select("leaf")
+    short = lines.select(F.explode("lines").alias("line")).withColumn("n", _words(F.col("line"))).where(F.col("n").between(shortest, longest))
+    kinds = short.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).distinct().join(leaves, "leaf", "left_semi")
+    words = kinds.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    same = words.groupBy("leaf", "n", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    whole = same.groupBy("leaf", "n").agg(F.sum(F.when((F.col("low") == F.col("high")) & (F.col("low") != "<*>"), 1).otherwise(0)).alias("fixed"))
+    whole = whole.where(2 * F.col("fixed") >= F.col("n")).select(F.col("leaf").alias("whole"))
     rows = rows.join(whole, F.col("leaf") == F.col("whole"), "left")
     rows = rows.select("key", "pos", F.coalesce(F.xxhash64("whole", F.lit("leaf")) * F.when(F.col("whole").isNotNull(), 1), "t").alias("template"), "before", "after")
     # the many templates of a few lines go before documents and neighbours are counted
@@ -86,16 +106,15 @@ def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, l
     return rows.select("key", "pos", "template").join(often.select("template"), "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("dropped"))
 
 
-def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, longest: int = LONGEST, least: int = DOCS) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, least: int = DOCS) -> DataFrame:
     """(key, dropped) as from ``boilerplate``, for all templates that ``least`` texts hold which are no copies; keys tell texts apart."""
     lines = docs.select("key", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
     each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), F.xxhash64(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
     total = F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + F.when(x["n"] >= shortest, x["n"]).otherwise(0))
     rows = lines.select("key", each.alias("each")).withColumn("total", total).select("key", "total", F.posexplode("each").alias("pos", "x"))
     rows = checkpoint(rows.where(F.col("x.n") >= shortest).select("key", "pos", "total", "x.*"))
-    whole = _whole(lines, rows, depth, shortest, longest, least, beyond=1)
-    rows = rows.join(whole, F.col("leaf") == F.col("whole"), "left")
-    rows = rows.select("key", "pos", "total", "n", F.coalesce(F.xxhash64("whole", F.lit("leaf")) * F.when(F.col("whole").isNotNull(), 1), "t").alias("template"))
+    rows = rows.join(_patterns(lines, rows, depth, least), ["leaf", "t"], "left")
+    rows = rows.select("key", "pos", "total", "n", F.coalesce("pattern", "t").alias("template"))
     texts = rows.groupBy("template", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     rows = checkpoint(rows.join(texts, "template"))
     # rows of equal texts repeat; a text that mostly recurs is known by its rarest template, which its copies share; any other text by itself

@@ -49,3 +49,13 @@ def test_templates_go_wherever_they_stand(spark):
     for d, text in rows:
         want = text if d >= 20 else f"{words(d, 30, 1)}\n\n\n{words(d, 30, 2)}"
         assert got[d, "x"] == want
+
+
+def test_long_lines_and_leaves_with_strangers_have_variable_fields(spark):
+    names = ["alice", "bob", "carol", "dave", "erin", "frank"]
+    fixed = words(7, 60, 4)
+    rows = [(d, f"{words(d, 30, 1)}\nlogin from user {n} was accepted today\n{words(d, 30, 2)}\nall pages of {n} {fixed}\n{words(d, 30, 3)}") for d, n in enumerate(names)]
+    rows.append((9, f"{words(9, 30, 1)}\nlogin from user some other words stand\n{words(9, 30, 2)}"))
+    got = kept(spark, rows)
+    assert all(got[d, "x"] == "\n".join(words(d, 30, k) for k in (1, 2, 3)) for d in range(6))
+    assert got[9, "x"] == rows[-1][1]
