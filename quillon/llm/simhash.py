@@ -10,12 +10,13 @@ the same components as all pairs of the group, so no pairs are enumerated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -28,6 +29,8 @@ SEED = 42
 #: shingles of a sketch. Shorter fingerprints meet farther copies, and more strangers to verify.
 WORDS, LIKENESS = 5, 0.8
 TABLES, BITS, SKETCH = 4, 32, 128
+#: Texts of a group whose pairs are all compared.
+SMALL = 16
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -66,10 +69,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", of(utf8(F.col("text"))).alias("fp"))
 
 
+def ball(bits: int) -> Column:
+    """A fingerprint and its one-bit variants."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    return F.concat(F.array("fp"), flips)
+
+
 def links(distinct: DataFrame, bits: int = 64) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints (column fp) at most 2 bits apart."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    near = distinct.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("near"))
+    near = distinct.select("fp", F.explode(ball(bits)).alias("near"))
     met = near.select(F.col("fp").alias("b"), F.lag("fp").over(Window.partitionBy("near").orderBy("fp")).alias("a"))
     met = met.where("a is not null").distinct()
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
@@ -149,30 +157,54 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((same <= all_[-1]).sum()) / len(all_)
 
 
+def meetings(each: DataFrame) -> DataFrame:
+    """(key, uid, size): texts (uid, key) that meet others under a key, and how many these are."""
+    own = each.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    return checkpoint(own.where("size > 1"))
+
+
+def verified(met: DataFrame, alike: Callable[[DataFrame], DataFrame], small: int = SMALL) -> list[DataFrame]:
+    """Links (u, v) among texts that meet; ``alike`` keeps the pairs (u, v) that are copies.
+
+    All pairs of a small group are compared. Those of a larger one are compared with its
+    representatives; those that are copies of one leave the group, the others stay for the next
+    round, which has twice as many representatives, until no group is left.
+    """
+    links, turn = [], 0
+    pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    while not met.isEmpty():
+        few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
+        pairs = few.select("key", F.col("uid").alias("u")).join(few.select("key", F.col("uid").alias("v")), "key").where("u < v").select("u", "v")
+        first = many.groupBy("key", F.pmod(F.xxhash64("uid"), F.lit(1 << turn)).alias("part")).agg(F.min("uid").alias("u")).select("key", "u")
+        across = many.select("key", F.col("uid").alias("v")).join(first, "key").where("u <> v")
+        found = checkpoint(alike(pairs.union(across.select(*pair)).distinct()))
+        links.append(found)
+        if many.isEmpty():
+            break
+        gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(found.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
+        gone = gone.union(first.select("key", "u"))
+        met, turn = meetings(many.select("key", "uid").join(gone, ["key", "uid"], "left_anti")), turn + 1
+    return links
+
+
 def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> DataFrame:
     """(node, root): texts, by hash, that have copies, and the least text of their group.
 
     Each text has TABLES short fingerprints, so that texts of the wanted likeness are two
-    bits apart in one of them; balls around them meet as in ``links``. Texts of one
-    fingerprint are compared with the least of them, fingerprints that meet by their least
-    texts. Only pairs whose shingles are alike enough are linked.
+    bits apart in one of them; balls around them meet as in ``links``. Only pairs whose
+    shingles are alike enough are linked.
     """
     own = checkpoint(profiles(docs, words).dropDuplicates(["uid"]))
-    each = own.select("uid", F.explode("prints").alias("fp"))
-    first = each.groupBy("fp").agg(F.min("uid").alias("rep"))
-    met = links(first.select("fp"), BITS)
-    name = lambda c: first.select(F.col("fp").alias(c), F.col("rep").alias(c + "_rep"))
-    across = met.join(name("a"), "a").join(name("b"), "b").select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
-    within = each.join(first, "fp").select(F.col("rep").alias("u"), F.col("uid").alias("v"))
-    pairs = across.union(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    left, right = own.select(F.col("uid").alias("u"), F.col("sketch").alias("x")), own.select(F.col("uid").alias("v"), F.col("sketch").alias("y"))
+    met = meetings(own.select("uid", F.explode("prints").alias("fp")).select("uid", F.explode(ball(BITS)).alias("key")))
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
 
-    linked = pairs.join(left, "u").join(right, "v").where(alike("x", "y") >= least)
-    return connected_components(linked.select("u", "v"), "u", "v")
+    left, right = own.select(F.col("uid").alias("u"), F.col("sketch").alias("x")), own.select(F.col("uid").alias("v"), F.col("sketch").alias("y"))
+    linked = verified(met, lambda pairs: pairs.join(left, "u").join(right, "v").where(like("x", "y") >= least).select("u", "v"))
+    linked = functools.reduce(DataFrame.union, linked, docs.sparkSession.createDataFrame([], "u long, v long"))
+    return connected_components(linked, "u", "v")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> DataFrame:

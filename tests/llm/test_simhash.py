@@ -93,3 +93,41 @@ def test_likeness(a, b, want):
 
     sketch = lambda t: np.unique((simhash._shingles(t.encode().split(), 5) >> np.uint64(32)).astype("<u4")).tobytes()
     assert simhash.likeness(sketch(a), sketch(b)) == pytest.approx(want)
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def groups(rows):
+    """Kept ids, when texts of a five-word likeness of 0.8 are linked one by one."""
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return sorted(rows[k][0] for k in range(len(rows)) if find(k) == k)
+
+
+def test_copies_behind_strangers_are_linked(spark):
+    """Under one key, many texts that are no copies of each other come before and between the copies."""
+    import numpy as np
+
+    uids = list(range(60))
+    copies = [(40 + k, 50 + k) for k in range(10)]
+    met = simhash.meetings(spark.createDataFrame([(u, 7) for u in uids], "uid long, key long"))
+    wanted = spark.createDataFrame(copies, "u long, v long")
+    found = simhash.verified(met, lambda pairs: pairs.join(wanted, ["u", "v"], "left_semi"))
+    assert sorted((r.u, r.v) for x in found for r in x.collect()) == copies
+    few = simhash.meetings(spark.createDataFrame([(u, int(k)) for k in np.arange(3) for u in (1, 2, 3)], "uid long, key long"))
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    found = simhash.verified(few, lambda pairs: pairs.join(chain, ["u", "v"], "left_semi"))
+    assert sorted((r.u, r.v) for x in found for r in x.collect()) == [(1, 2), (2, 3)]
