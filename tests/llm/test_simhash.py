@@ -131,3 +131,20 @@ def test_copies_behind_strangers_are_linked(spark):
     chain = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
     found = simhash.verified(few, lambda pairs: pairs.join(chain, ["u", "v"], "left_semi"))
     assert sorted((r.u, r.v) for x in found for r in x.collect()) == [(1, 2), (2, 3)]
+
+
+def test_copies_are_told_by_their_whole_texts(spark):
+    """Pairs around the least likeness, by scattered edits and by a replaced block, as brute force has them."""
+    draw = random.Random(8)
+    rows = []
+    for g in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(400)]
+        rows.append((2 * g, " ".join(words)))
+        n = draw.randrange(5, 12) if g % 2 else draw.randrange(25, 60)
+        for k in draw.sample(range(400), n) if g % 2 else range(200, 200 + n):
+            words[k] = f"edit{draw.randrange(10**6)}"
+        rows.append((2 * g + 1, " ".join(words)))
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    want = groups(rows)
+    assert 65 < len(want) < 115
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
