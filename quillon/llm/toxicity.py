@@ -130,15 +130,17 @@ class Model:
                 count, total = count + 1, total + p
         return [best / 10, math.log1p(count), math.log1p(total)]
 
-    def calibrate(self, raw: list[tuple[int, list[float]]], labels: np.ndarray) -> None:
-        """Fit the law's scale to the other texts, then the logistic function to all."""
-        other = [max([0.0, *s]) for (_, s), y in zip(raw, labels, strict=True) if not y]
-        sizes = [n for (n, _), y in zip(raw, labels, strict=True) if not y]
+    def calibrate(self, best: list[tuple[int, float]], labels: np.ndarray) -> None:
+        """Fit the law's scale to the other texts: number of tokens and best segment of each text."""
+        other = [x for x, y in zip(best, labels, strict=True) if not y]
         if other:
-            self.scale = min(1.0, len(other) / max(sum(n * math.exp(-self.rate * s) for n, s in zip(sizes, other, strict=True)), 1e-9))
+            self.scale = min(1.0, len(other) / max(sum(n * math.exp(-self.rate * s) for n, s in other), 1e-9))
+
+    def weigh(self, evidence: list[list[float]], labels: np.ndarray) -> None:
+        """Fit the logistic function to all texts."""
         self.base = (labels.sum() + 1) / (len(labels) + 10)
         if 0 < labels.sum() < len(labels):
-            x = np.column_stack([np.ones(len(raw)), np.array([self.evidence(n, s) for n, s in raw])])
+            x = np.column_stack([np.ones(len(evidence)), np.array(evidence)])
             w = np.zeros(x.shape[1])
             for _ in range(50):
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -183,20 +185,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = checkpoint(counts)
     totals = {r.feature: r for r in counts.where("feature in ('', '#')").collect()}
     n0, n1 = (totals[""].y0, totals[""].y1) if totals else (0, 0)
-    # only features that z can lift over its bound are collected; the sample bounds their number
-    often = counts.where("feature not in ('', '#')").where(F.col("y0") + F.col("y1") >= LEAST).where(F.abs(F.log((F.col("y1") + 0.5) / (n1 + 1)) - F.log((F.col("y0") + 0.5) / (n0 + 1))) > 0.5)
+    # only features that Model counts as significant are collected, by its own formula; the sample bounds their
+    # number. One that every text has tells nothing.
+    a = PRIOR * (F.col("y0") + F.col("y1")) / max(n0 + n1, 1.0)
+    odds = F.log((F.col("y1") + a) / (n1 + PRIOR - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + PRIOR - F.col("y0") - a))
+    error = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
+    often = counts.where("feature not in ('', '#')").where(F.col("y0") + F.col("y1") >= LEAST).where(F.col("y0") + F.col("y1") < n0 + n1).where(F.abs(odds) >= (Z - 1e-6) * error)
     rows = sorted((r.feature, r.y0, r.y1) for r in often.collect())
     model = Model(rows, n0, n1, totals["#"].y0 if totals else 0)
 
-    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = model.scores()
         for batch in batches:
             found = [model.raw(t, scores) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in found], "found": [sorted(s)[-64:] for _, s in found]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "n": [n for n, _ in found], "best": [max([0.0, *s]) for _, s in found]})
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = model.scores()
+        for batch in batches:
+            yield pd.DataFrame({"toxic": batch["toxic"], "found": [model.evidence(*model.raw(t, scores)) for t in batch["text"]]})
 
     small_batches(docs.sparkSession)
-    seen = sorted((r.toxic, r.n, list(r.found)) for r in texts.mapInPandas(raw, "toxic int, n long, found array<double>").collect())
+    seen = sorted(map(tuple, texts.mapInPandas(best, "toxic int, n long, best double").collect()))
     model.calibrate([(n, s) for _, n, s in seen], np.array([t for t, _, _ in seen], float))
+    # with the scale, a second scan has the evidence of all segments
+    seen = sorted((r.toxic, list(r.found)) for r in texts.mapInPandas(evidence, "toxic int, found array<double>").collect())
+    model.weigh([x for _, x in seen], np.array([t for t, _ in seen], float))
     return model
 
 

@@ -142,3 +142,21 @@ def test_empty_tables(spark):
     empty, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for found in (packing.pack(empty), token_counts.token_counts(empty), mixing.mix(empty), mixing.mixed_documents(empty), spotsigs.with_edited(empty), toxicity.toxicity(empty, labels)):
         assert found.collect() == []
+
+
+def test_toxicity_counts_mild_words_and_all_segments(spark):
+    made, labels = [], []
+    for d in range(1000):
+        toxic, k = int(d % 2 == 0), d // 2 % 50
+        words = [f"plain{d}", *["calm"] * 60, *(["mild"] if k < (30 if toxic else 20) else []), *([*["awful"] * 8, *["calm"] * 600] * (90 + d % 7) if d % 50 == 6 else [])]
+        made.append((d, " ".join([*words, *(["awful"] if toxic and k % 3 else [])]), "x"))
+        labels.append((d, 1, toxic))
+    docs, known = spark.createDataFrame(made, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    assert model.lexicon["=mild"][1] > 0 and "=calm" not in model.lexicon
+    used = {r.doc_id for r in known.where(toxicity.remainder(toxicity.F.col("doc_id"), 5) != 0).collect()}
+    seen = sorted((y, model.evidence(*model.raw(t.encode(), model.scores()))) for (d, t, _), (_, _, y) in zip(made, labels, strict=True) if d in used)
+    weights = model.weights
+    assert max(np.expm1(x[1]) for _, x in seen) > 64
+    model.weigh([x for _, x in seen], np.array([y for y, _ in seen], float))
+    assert model.weights == pytest.approx(weights)
