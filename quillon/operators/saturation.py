@@ -1,20 +1,32 @@
 """Semi-naive saturation of EL axioms and assertions with DataFrame joins.
 
-State: sub(x, c), x is in (or, for classes, below) c; and link(x, r, y). Rule tables:
+State: sub(x, c), x is in (or, for contexts, below) c; and link(x, r, y). A context stands
+for any element of a class and is shared: its name begins with ``CONTEXT``. All other
+names are individuals. Rule tables:
 
 =========  ==============  ==========================================
 told       (c, d)          C below D
 conj       (a, b, e)       A and B below E
 some       (r, c, e)       some r C below E
-give       (c, r, d)       C below some r D
+give       (c, r, d)       C below some r D: a link to the context of (r, D)
+value      (c, r, y)       C below the value y of r: a link to the individual y
 role       (r, s)          r below s
 chain      (r1, r2, s)     r1 after r2 below s; transitive roles too
-inverse    (r, s)          y s x for x r y (individuals)
+inverse    (r, s)          y s x for x r y
 domain     (r, e)          x in E for x r y
-range      (r, e)          y in E for x r y (individuals)
-all        (c, r, e)       y in E for x in C, x r y (individuals)
+range      (r, e)          y in E for x r y
+all        (c, r, e)       y in E for x in C, x r y
+apart      (g, pos, c)     classes of one group are disjoint, position by position
+loop       (c, r)          x r x for x in C
+self       (r, e)          x in E for x r x
+top        (any rows)      everything is in TOP
+bottom     (any rows)      emptiness travels back along links
 =========  ==============  ==========================================
 
+What a link says about its target holds for individuals only: range, all, inverse and
+self are applied between individuals. The context of (r, D) gets the ranges of r and of
+the roles above r when it is made. ``open_ends`` finds what contexts would need beyond that.
+
 Every round applies all rules to what the last round added, joined with the whole state
 where a rule needs two facts, and keeps what is new. Ends when nothing is new.
 """
@@ -24,46 +36,87 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.components import checkpoint
 
 TOP, NOTHING = "owl:Thing", "owl:Nothing"
+#: First character of the names of contexts; no IRI or blank node begins with it.
+CONTEXT = "\x01"
+#: Rounds after which the state is written anew, dealt by x.
+COMPACT = 6
+#: Rows of the largest rule table that joins broadcast: some 20 MB.
+SMALL = 200_000
 _SUB, _LINK = ["x", "c"], ["x", "r", "y"]
 
 
+def context(c: Column, r: Column | None = None) -> Column:
+    """Name of the context of a class, or of the r-successors in a class."""
+    return F.concat(F.lit(CONTEXT), c) if r is None else F.concat(F.lit(CONTEXT), r, F.lit(" "), c)
+
+
+def is_context(x: Column) -> Column:
+    return x.startswith(CONTEXT)
+
+
+def _named(link: DataFrame) -> DataFrame:
+    return link.where(~is_context(F.col("x")) & ~is_context(F.col("y")))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _subs(rules: Mapping[str, DataFrame], sub: DataFrame, link: DataFrame, new_sub: DataFrame, new_link: DataFrame) -> list[DataFrame]:
+def above(pairs: DataFrame) -> DataFrame:
+    """(r, s): reflexive and transitive closure of a role hierarchy (r, s)."""
+    own = pairs.select("r").union(pairs.select("s")).select("r", F.col("r").alias("s"))
+    state = checkpoint(pairs.select("r", "s").union(own).distinct())
+    while True:
+        far = state.join(state.select(F.col("r").alias("s"), F.col("s").alias("t")), "s").select("r", F.col("t").alias("s")).distinct()
+        new = checkpoint(far.join(state, ["r", "s"], "left_anti"))
+        if new.isEmpty():
+            return state
+        state = checkpoint(state.union(new))
+
+
+def _subs(rules: Mapping[str, DataFrame], sub: DataFrame, link: DataFrame, new_sub: DataFrame, new_link: DataFrame, first: bool) -> list[DataFrame]:
     made = []
     if "told" in rules:
         made.append(new_sub.join(rules["told"], "c").select("x", F.col("d").alias("c")))
     if "conj" in rules:
-        for first, second in (("a", "b"), ("b", "a")):
-            half = new_sub.join(rules["conj"], F.col("c") == F.col(first)).select("x", F.col(second).alias("c"), "e")
+        for one, other in (("a", "b"),) if first else (("a", "b"), ("b", "a")):
+            half = new_sub.join(rules["conj"], F.col("c") == F.col(one)).select("x", F.col(other).alias("c"), "e")
             made.append(half.join(sub, ["x", "c"]).select("x", F.col("e").alias("c")))
+    if "apart" in rules:
+        apart = rules["apart"]
+        met = new_sub.join(apart.select("c").distinct(), "c", "left_semi").select("x").distinct()
+        held = sub.join(apart, "c").join(met, "x", "left_semi").groupBy("x", "g").agg(F.count_distinct("pos").alias("n"))
+        made.append(held.where("n > 1").select("x", F.lit(NOTHING).alias("c")))
     if "some" in rules:
         some = rules["some"]
+        roles = some.select("r").distinct()
         ahead = new_link.join(some, "r").select("x", F.col("y"), F.col("c").alias("need"), "e")
         target = sub.select(F.col("x").alias("y"), F.col("c").alias("need"))
         made.append(ahead.join(target, ["y", "need"]).select("x", F.col("e").alias("c")))
-        behind = new_sub.join(some, "c").select(F.col("x").alias("y"), "r", "e")
-        made.append(behind.join(link, ["y", "r"]).select("x", F.col("e").alias("c")))
+        if not first:
+            behind = new_sub.join(some, "c").select(F.col("x").alias("y"), "r", "e")
+            made.append(behind.join(link.join(roles, "r", "left_semi"), ["y", "r"]).select("x", F.col("e").alias("c")))
     if "domain" in rules:
         made.append(new_link.join(rules["domain"], "r").select("x", F.col("e").alias("c")))
     if "range" in rules:
-        made.append(new_link.join(rules["range"], "r").select(F.col("y").alias("x"), F.col("e").alias("c")))
+        made.append(_named(new_link).join(rules["range"], "r").select(F.col("y").alias("x"), F.col("e").alias("c")))
+    if "self" in rules:
+        made.append(_named(new_link).where("x = y").join(rules["self"], "r").select("x", F.col("e").alias("c")))
     if "all" in rules:
         every = rules["all"]
-        members = new_sub.join(every, "c").select("x", "r", "e")
-        made.append(members.join(link, ["x", "r"]).select(F.col("y").alias("x"), F.col("e").alias("c")))
-        ahead = new_link.join(every, "r").select("x", "c", "y", "e")
+        ahead = _named(new_link).join(every, "r").select("x", "c", "y", "e")
         made.append(ahead.join(sub, ["x", "c"]).select(F.col("y").alias("x"), F.col("e").alias("c")))
-    if "give" in rules:
-        made.append(new_link.select(F.col("y").alias("x"), F.col("y").alias("c")).join(rules["give"].select(F.col("d").alias("c")).distinct(), "c", "left_semi"))
+        if not first:
+            members = new_sub.join(every, "c").select("x", "r", "e")
+            made.append(members.join(_named(link), ["x", "r"]).select(F.col("y").alias("x"), F.col("e").alias("c")))
+    if "fillers" in rules:
+        made.append(new_link.where(is_context(F.col("y"))).select(F.col("y").alias("at")).distinct().join(rules["fillers"], "at").select(F.col("at").alias("x"), "c"))
     if "bottom" in rules:
         empty = new_sub.where(F.col("c") == NOTHING).select(F.col("x").alias("y"))
         made.append(link.join(empty, "y", "left_semi").select("x", F.lit(NOTHING).alias("c")))
@@ -72,19 +125,23 @@ def _subs(rules: Mapping[str, DataFrame], sub: DataFrame, link: DataFrame, new_s
     return made
 
 
-def _links(rules: Mapping[str, DataFrame], link: DataFrame, new_sub: DataFrame, new_link: DataFrame) -> list[DataFrame]:
+def _links(rules: Mapping[str, DataFrame], link: DataFrame, new_sub: DataFrame, new_link: DataFrame, first: bool) -> list[DataFrame]:
     made = []
     if "give" in rules:
-        made.append(new_sub.join(rules["give"], "c").select("x", "r", F.col("d").alias("y")))
+        made.append(new_sub.join(rules["give"], "c").select("x", "r", context(F.col("d"), F.col("r")).alias("y")))
+    if "value" in rules:
+        made.append(new_sub.join(rules["value"], "c").select("x", "r", "y"))
+    if "loop" in rules:
+        made.append(new_sub.join(rules["loop"], "c").select("x", "r", F.col("x").alias("y")))
     if "role" in rules:
         made.append(new_link.join(rules["role"], "r").select("x", F.col("s").alias("r"), "y"))
     if "inverse" in rules:
-        made.append(new_link.join(rules["inverse"], "r").select(F.col("y").alias("x"), F.col("s").alias("r"), F.col("x").alias("y")))
+        made.append(_named(new_link).join(rules["inverse"], "r").select(F.col("y").alias("x"), F.col("s").alias("r"), F.col("x").alias("y")))
     if "chain" in rules:
-        for left, right in ((new_link, link), (link, new_link)):
-            first = left.select("x", F.col("r").alias("r1"), F.col("y").alias("mid")).join(rules["chain"], "r1")
-            second = right.select(F.col("x").alias("mid"), F.col("r").alias("r2"), "y")
-            made.append(first.join(second, ["mid", "r2"]).select("x", F.col("s").alias("r"), "y"))
+        for left, right in ((new_link, link),) if first else ((new_link, link), (link, new_link)):
+            one = left.select("x", F.col("r").alias("r1"), F.col("y").alias("mid")).join(rules["chain"], "r1")
+            other = right.select(F.col("x").alias("mid"), F.col("r").alias("r2"), "y")
+            made.append(one.join(other, ["mid", "r2"]).select("x", F.col("s").alias("r"), "y"))
     return made
 
 
@@ -93,18 +150,48 @@ def _new(parts: list[DataFrame], state: DataFrame, columns: list[str]) -> DataFr
     return None if found is None else checkpoint(found.distinct().join(state, columns, "left_anti"))
 
 
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, marked for broadcasting if a count shows that it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _prepared(rules: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rules, with what the contexts that ``give`` makes are in from the start."""
+    rules = dict(rules)
+    if "give" in rules:
+        give = rules["give"].select("r", "d").distinct()
+        at = context(F.col("d"), F.col("r")).alias("at")
+        parts = [give.select(at, F.col("d").alias("c"))]
+        if "top" in rules:
+            parts.append(give.select(at, F.lit(TOP).alias("c")))
+        if "range" in rules:
+            roles = rules["range"].select("r", F.col("r").alias("s"))
+            higher = above(rules["role"].select("r", "s").union(roles)) if "role" in rules else roles.distinct()
+            ranges = rules["range"].select(F.col("r").alias("s"), "e")
+            parts.append(give.join(higher, "r").join(ranges, "s").select(at, F.col("e").alias("c")))
+        rules["fillers"] = checkpoint(_union(parts).distinct())
+        rules["fillers"] = small(rules["fillers"])
+    return rules
+
+
 def saturate(sub: DataFrame, link: DataFrame, rules: Mapping[str, DataFrame], most_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """All facts sub(x, c) and link(x, r, y) that follow; rules that are absent are skipped.
 
-    Facts are sets. Add a rule table ``bottom`` (any rows) for emptiness to travel back
-    along links. Null parts of facts are left out.
+    Facts are sets. Null parts of facts are left out.
     """
-    sub = checkpoint(sub.select(*_SUB).na.drop().distinct())
+    rules = _prepared(rules)
     link = checkpoint(link.select(*_LINK).na.drop().distinct())
+    sub = sub.select(*_SUB).na.drop()
+    if "top" in rules:
+        every = sub.select("x").union(link.select("x")).union(link.select("y"))
+        if "value" in rules:
+            every = every.union(rules["value"].select("y"))
+        sub = sub.union(every.select("x", F.lit(TOP)))
+    sub = checkpoint(sub.distinct())
     new_sub, new_link = sub, link
-    for _ in range(most_rounds):
-        made_sub = _new(_subs(rules, sub, link, new_sub, new_link), sub, _SUB)
-        made_link = _new(_links(rules, link, new_sub, new_link), link, _LINK)
+    for turn in range(most_rounds):
+        made_sub = _new(_subs(rules, sub, link, new_sub, new_link, turn == 0), sub, _SUB)
+        made_link = _new(_links(rules, link, new_sub, new_link, turn == 0), link, _LINK)
         done = True
         if made_sub is not None and not made_sub.isEmpty():
             sub, done = sub.union(made_sub), False
@@ -112,6 +199,56 @@ def saturate(sub: DataFrame, link: DataFrame, rules: Mapping[str, DataFrame], mo
             link, done = link.union(made_link), False
         if done:
             return sub, link
+        if turn % COMPACT == COMPACT - 1:
+            sub, link = checkpoint(sub.repartition("x")), checkpoint(link.repartition("x"))
         new_sub = made_sub if made_sub is not None else sub.limit(0)
         new_link = made_link if made_link is not None else link.limit(0)
     raise RuntimeError(f"saturation did not end in {most_rounds} rounds")
+
+
+def not_closed(sub: DataFrame, link: DataFrame, rules: Mapping[str, DataFrame]) -> DataFrame:
+    """(x, r, y) and (x, null, c): what the rules still give from a state; no rows at a fixpoint."""
+    rules = _prepared(rules)
+    subs = _union([p.select(*_SUB) for p in _subs(rules, sub, link, sub, link, False)])
+    links = _union([p.select(*_LINK) for p in _links(rules, link, sub, link, False)])
+    parts = []
+    if subs is not None:
+        parts.append(subs.join(sub, _SUB, "left_anti").select("x", F.lit(None).cast("string").alias("r"), F.col("c").alias("y")))
+    if links is not None:
+        parts.append(links.join(link, _LINK, "left_anti"))
+    return _union(parts).distinct() if parts else link.limit(0)
+
+
+def open_ends(sub: DataFrame, link: DataFrame, rules: Mapping[str, DataFrame], functional: DataFrame, inverse_functional: DataFrame, exclusive: DataFrame) -> DataFrame:
+    """(what): rules that contexts would need and that are not applied to them, as contexts are shared.
+
+    While rows are found, what does not follow from the state may still follow from the
+    axioms. functional, inverse_functional, exclusive: roles (r); the last are asymmetric,
+    irreflexive or disjoint with others.
+    """
+    shared = link.where(is_context(F.col("x")) | is_context(F.col("y")))
+    found = []
+    if "all" in rules:
+        asked = shared.join(rules["all"], "r").join(sub, ["x", "c"]).select(F.col("y").alias("x"), F.col("e").alias("c"))
+        found.append(asked.join(sub, ["x", "c"], "left_anti").select(F.lit("allValuesFrom").alias("what")))
+    higher = above(rules["role"].select("r", "s")) if "role" in rules else None
+    if "inverse" in rules:
+        back = shared.select("r").distinct().join(rules["inverse"], "r").select(F.col("s").alias("r")).distinct()
+        if higher is not None:
+            back = back.union(back.join(higher, "r").select(F.col("s").alias("r"))).distinct()
+        parts = [rules[k].select(c) for k, c in (("some", "r"), ("all", "r"), ("chain", "r1"), ("chain", "r2"), ("self", "r")) if k in rules]
+        used = reduce(DataFrame.union, [functional.select("r"), inverse_functional.select("r"), *parts])
+        found.append(back.join(used.distinct(), "r", "left_semi").select(F.lit("inverseOf")))
+    if "range" in rules and "chain" in rules:
+        made = rules["chain"].select(F.col("s").alias("r")).distinct()
+        if higher is not None:
+            made = made.union(made.join(higher, "r").select(F.col("s").alias("r"))).distinct()
+        asked = shared.join(made, "r", "left_semi").join(rules["range"], "r").select(F.col("y").alias("x"), F.col("e").alias("c"))
+        found.append(asked.join(sub, ["x", "c"], "left_anti").select(F.lit("range of a chain")))
+    if "self" in rules:
+        found.append(shared.where("x = y").join(rules["self"], "r", "left_semi").select(F.lit("hasSelf")))
+    lone = shared.join(functional, "r", "left_semi")
+    found.append(lone.groupBy("x", "r").agg(F.count_distinct("y").alias("n")).where("n > 1").select(F.lit("FunctionalProperty").alias("what")))
+    found.append(shared.where(~is_context(F.col("y"))).join(inverse_functional, "r", "left_semi").select(F.lit("InverseFunctionalProperty")))
+    found.append(shared.join(exclusive, "r", "left_semi").select(F.lit("exclusive properties")))
+    return reduce(DataFrame.union, found).distinct()

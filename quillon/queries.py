@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.functions import terms
-from quillon.operators import constraints, validity
+from quillon.operators import constraints, structure, validity
 from quillon.operators.components import components, representatives
-from quillon.operators.saturation import NOTHING, saturate
-from quillon.sources import ntriples
+from quillon.operators.saturation import NOTHING, not_closed, saturate
+from quillon.plans import validity as validity_plan
+from quillon.plans.ontology import RDF, list_members, mapped
+from quillon.sources import documents, ntriples
 from quillon.sources.commerce import edges, named, part_types, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,12 +261,10 @@ def cyclic_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.cyclic_definitions(uses)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity > 49), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-m AS (SELECT a AS node, min(least(a, b)) AS label FROM b GROUP BY a), r AS (SELECT a AS x, b AS y FROM b UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a)
-SELECT x AS node, least(x, min(y)) AS component FROM r GROUP BY x""")
+@query()
 def assertion_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of suppliers and parts that large deliveries connect."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 49")
+    """Groups of suppliers and parts that deliveries connect."""
+    rows = table(spark, sf_dir, "lineitem")
     return components(rows.select(named("s", "l_suppkey").alias("a"), named("p", "l_partkey").alias("b")))
 
 
@@ -277,6 +278,335 @@ def ntriples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntriples.parsed(rows.select(ntriples.formatted(rows).alias("line"))).select("s", "p", "o", "lang")
 
 
+def _number_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, r, y): suppliers and parts, by their keys modulo 50, that deliveries connect."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("x"), F.lit("near").alias("r"), (F.col("l_partkey") % 50).alias("y"))
+    return rows.distinct()
+
+
+@query("SELECT DISTINCT l_suppkey % 50 AS x, 'near' AS r FROM lineitem WHERE l_suppkey % 50 = l_partkey % 50")
+def irreflexive_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constraints.loops(_number_edges(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT DISTINCT l_suppkey % 50 AS x, l_partkey % 50 AS y FROM lineitem WHERE l_quantity > 30 AND l_suppkey % 50 <> 7) SELECT a.x, a.y FROM e a JOIN e b ON a.x = b.y AND a.y = b.x")
+def asymmetric_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 30 and l_suppkey % 50 <> 7")
+    return constraints.both_ways(rows.select((F.col("l_suppkey") % 50).alias("x"), F.lit("near").alias("r"), (F.col("l_partkey") % 50).alias("y")).distinct())
+
+
+@query("""SELECT user_id AS x, floor(value)::BIGINT AS y, 'clicks and views' AS g FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL HAVING count(DISTINCT event_type) > 1""")
+def disjoint_property_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose clicks and views, two disjoint properties, have a whole value in common."""
+    links = table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), F.col("event_type").alias("r"), F.floor("value").alias("y"))
+    return constraints.role_group_clashes(links, spark.createDataFrame([("clicks and views", 0, "click"), ("clicks and views", 1, "view")], "g string, pos int, r string"))
+
+
+@query("""WITH r AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents) SELECT source AS g, rep FROM r GROUP BY ALL HAVING count(*) > 1""")
+def all_different_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source are all different, those with one text are equal."""
+    docs = table(spark, sf_dir, "documents")
+    keyed = docs.select(F.col("doc_id").alias("x"), F.sha2("text", 256).alias("text"))
+    reps = representatives(keyed, constraints.key_same(keyed, ["text"]))
+    return constraints.same_and_different(docs.select(F.col("source").alias("g"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("x")), reps)
+
+
+@query("SELECT min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS a, p_partkey AS b FROM part QUALIFY min(p_partkey) OVER (PARTITION BY p_name, p_brand) <> p_partkey")
+def inverse_functional_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with one label (name and brand) are equal, as the label is inverse functional."""
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), F.lit("label").alias("r"), F.sha2(F.concat_ws("\x00", "p_name", "p_brand"), 256).alias("y"))
+    return constraints.inverse_functional_same(links, spark.createDataFrame([("label",)], "r string"))
+
+
+@query("""SELECT 'o' || o_orderkey AS x, 's' || (o_orderkey % 10 + 1) AS y FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey = o_orderkey % 10 + 1""")
+def denied_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is denied one supplier by its number, delivered or not: the denied edges that are asserted."""
+    denied = table(spark, sf_dir, "orders").select(named("o", "o_orderkey").alias("x"), F.concat(F.lit("s"), (F.col("o_orderkey") % 10 + 1).cast("string")).alias("y"))
+    return constraints.denied_edges(edges(spark, sf_dir, "suppliedBy").select("x", "y"), denied)
+
+
+@query("""SELECT user_id AS x, 'Action' AS g FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id HAVING count(DISTINCT event_type) > 1""")
+def disjoint_union_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Action is the disjoint union of click, purchase and view."""
+    types = table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), F.col("event_type").alias("c")).distinct()
+    return constraints.group_clashes(types, spark.createDataFrame([("Action", k, c) for k, c in enumerate(("click", "purchase", "view"))], "g string, pos int, c string"))
+
+
+@query("SELECT DISTINCT 'o' || l_orderkey AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IN ('PROMO', 'ECONOMY')")
+def union_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """some contains (Promo or Economy) below Cheap."""
+    rules = _rules(spark, told=[("PROMO", "either"), ("ECONOMY", "either")], some=[("contains", "either", "Cheap")])
+    sub, _ = saturate(part_types(spark, sf_dir), edges(spark, sf_dir, "contains"), rules)
+    return sub.where("c = 'Cheap'").select("x")
+
+
+@query("SELECT DISTINCT 's' || s_suppkey AS x FROM supplier WHERE s_nationkey = 7")
+def has_value_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """basedIn value n7 below Local: an existential over the class of one individual."""
+    types = spark.createDataFrame([("n7", "one:n7")], "x string, c string")
+    sub, _ = saturate(types, edges(spark, sf_dir, "basedIn"), _rules(spark, some=[("basedIn", "one:n7", "Local")]))
+    return sub.where("c = 'Local'").select("x")
+
+
+@query("SELECT DISTINCT 'k' || (l_suppkey % 50) AS x FROM lineitem WHERE l_suppkey % 50 = l_partkey % 50")
+def has_self_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near Self below OwnPart."""
+    link = _number_edges(spark, sf_dir).select(F.concat(F.lit("k"), F.col("x").cast("string")).alias("x"), "r", F.concat(F.lit("k"), F.col("y").cast("string")).alias("y"))
+    sub, _ = saturate(_no_types(spark), link, {"self": spark.createDataFrame([("near", "OwnPart")], "r string, e string")})
+    return sub.where("c = 'OwnPart'").select("x")
+
+
+@query("SELECT DISTINCT 'p' || l_partkey AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+def all_values_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished below all contains Shipped: what orders contain that are finished."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(named("o", "o_orderkey").alias("x"), F.lit("Finished").alias("c"))
+    sub, _ = saturate(orders, edges(spark, sf_dir, "contains"), {"all": spark.createDataFrame([("Finished", "contains", "Shipped")], "c string, r string, e string")})
+    return sub.where("c = 'Shipped'").select("x")
+
+
+@query("""WITH t AS (SELECT DISTINCT p_brand AS c, 'Brand ' || regexp_extract(p_brand, '[0-9]+$') AS d FROM part) SELECT c AS a, d AS b FROM t UNION SELECT d, c FROM t""")
+def equivalent_classes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spellings of a brand are equivalent: pairs that subsume each other."""
+    told = table(spark, sf_dir, "part").select(F.col("p_brand").alias("c"), F.concat(F.lit("Brand "), F.regexp_extract("p_brand", "[0-9]+$", 0)).alias("d")).distinct()
+    both = told.union(told.select("d", "c"))
+    sub, _ = saturate(both.select(F.col("c").alias("x"), "c"), edges(spark, sf_dir, "inRegion").limit(0), {"told": both})
+    back = sub.select(F.col("x").alias("c"), F.col("c").alias("x"))
+    return sub.where("x <> c").join(back, ["x", "c"], "left_semi").select(F.col("x").alias("a"), F.col("c").alias("b"))
+
+
+@query("SELECT (i)::BIGINT AS sub, (i >> k)::BIGINT AS sup FROM range(1, 20001) t(i), range(1, 15) u(k) WHERE i >> k > 0")
+def el_taxonomy_20000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification of 20,000 generated classes, each below the one of half its number."""
+    number = F.col("id").cast("string")
+    told = spark.range(2, 20001).select(number.alias("c"), F.floor(F.col("id") / 2).cast("string").alias("d"))
+    sub, _ = saturate(spark.range(1, 20001).select(number.alias("x"), number.alias("c")), edges(spark, sf_dir, "inRegion").limit(0), {"told": told})
+    return sub.where("x <> c").select(F.col("x").cast("long").alias("sub"), F.col("c").cast("long").alias("sup"))
+
+
+@query("SELECT c_custkey AS x FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def one_of_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of two segments that an enumeration, the buyers of large orders, names."""
+    customers = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("x"))
+    return constraints.one_of(customers, table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("x")))
+
+
+@query("SELECT p_partkey AS x FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05)")
+def complement_closed_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are not known to be sold at a discount of more than five percent."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"))
+    return constraints.complement(parts, table(spark, sf_dir, "lineitem").where("l_discount > 0.05").select(F.col("l_partkey").alias("x")))
+
+
+@query("SELECT l_orderkey AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING max(p_size) <= 40")
+def universal_closed_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that contain nothing but parts of size 40 or less."""
+    held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("x"), F.col("l_partkey").alias("y")).distinct()
+    fits = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("x"))
+    return constraints.only(held, fits, held.select("x"))
+
+
+_BANDS = [("click", None, 10.0, "Low"), ("click", 40.0, 60.0, "Middle"), ("purchase", 90.0, None, "High"), ("view", 40.0, 60.0, "Middle")]
+
+
+@query("""WITH b(p, low, high, e) AS (VALUES ('click', NULL, 10.0, 'Low'), ('click', 40.0, 60.0, 'Middle'), ('purchase', 90.0, NULL, 'High'), ('view', 40.0, 60.0, 'Middle'))
+SELECT DISTINCT user_id AS x, e FROM events JOIN b ON event_type = p AND (low IS NULL OR value >= low) AND (high IS NULL OR value <= high)""")
+def data_some_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existential restrictions over ranges of values: a join by property and by comparison."""
+    values = table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), F.col("event_type").alias("p"), F.col("value").alias("number"))
+    return constraints.some_value(values, spark.createDataFrame(_BANDS, "p string, low double, high double, e string"))
+
+
+@query("SELECT p_partkey AS x FROM part WHERE p_size = 5")
+def data_has_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """size value "05.0": the literal stands for the number 5."""
+    wanted = spark.createDataFrame([("05.0",)], "lexical string").select(terms.value_key("decimal", F.col("lexical")).alias("value_key"))
+    values = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), terms.value_key("decimal", F.col("p_size").cast("string")).alias("value_key"))
+    return values.join(wanted, "value_key", "left_semi").select("x")
+
+
+@query("SELECT p_name AS x, count(DISTINCT p_size) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_size) >= 3")
+def data_min_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with three sizes or more; values of data are told apart by their keys."""
+    values = table(spark, sf_dir, "part").select(F.col("p_name").alias("x"), terms.value_key("decimal", F.col("p_size").cast("string")).alias("y"))
+    return constraints.at_least(values, 3)
+
+
+@query("""SELECT DISTINCT user_id AS x, event_type AS p, CASE WHEN event_type = 'error' THEN 'string ' ELSE 'decimal ' END || CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS value_key FROM events WHERE event_type = 'error'""")
+def data_range_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all events are to be numbers; those of errors are strings."""
+    kind = F.when(F.col("event_type") == "error", "string").otherwise("decimal")
+    text = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long").cast("string")
+    values = table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), F.col("event_type").alias("p"), kind.alias("kind"), F.concat(kind, F.lit(" "), text).alias("value_key"))
+    return constraints.outside_kind(values, values.select("p").distinct().select("p", F.lit("decimal").alias("kind")))
+
+
+@query("""SELECT min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS a, p_partkey AS b FROM part WHERE p_type = 'PROMO' QUALIFY min(p_partkey) OVER (PARTITION BY p_brand, p_size) <> p_partkey""")
+def has_key_two_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HasKey(Promo () (brand size)): one row for each property, values in one table."""
+    part = table(spark, sf_dir, "part")
+    types = part.select(F.col("p_partkey").alias("x"), F.col("p_type").alias("c"))
+    values = part.select(F.col("p_partkey").alias("x"), F.posexplode(F.array(F.col("p_brand"), F.col("p_size").cast("string"))).alias("i", "value_key"))
+    values = values.select("x", F.when(F.col("i") == 0, "brand").otherwise("size").alias("p"), "value_key")
+    keys = spark.createDataFrame([("k", "PROMO", 2, 0, "brand"), ("k", "PROMO", 2, 1, "size")], "k string, c string, n int, pos int, p string")
+    return constraints.keys_same(types, values, keys)
+
+
+_TURNS = """WITH RECURSIVE e AS (SELECT conv_id || '/' || turn AS doc, conv_id || '/' || (turn + 1) AS next FROM conversations), s AS (
+SELECT e.doc, e.next FROM e WHERE e.next IN (SELECT doc FROM e)),"""
+
+
+@query(_TURNS + " r AS (SELECT doc AS root, doc FROM e WHERE doc LIKE '%/0' UNION SELECT r.root, s.next FROM r JOIN s ON r.doc = s.doc) SELECT root, doc FROM r")
+def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation imports the next one: what first turns reach."""
+    return documents.closure(*_turns(spark, sf_dir))[0]
+
+
+@query(_TURNS + " r AS (SELECT doc AS root, doc FROM e WHERE doc LIKE '%/0' UNION SELECT r.root, s.next FROM r JOIN s ON r.doc = s.doc) SELECT DISTINCT e.doc, 'http://t/' || e.next AS iri, 'missing' AS fault FROM e JOIN r ON e.doc = r.doc WHERE e.next NOT IN (SELECT doc FROM e)")
+def import_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last turns import a turn that is missing."""
+    return documents.closure(*_turns(spark, sf_dir))[1]
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "conversations")
+    doc = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    after = F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string"))
+    docs = rows.select(doc.alias("doc"), F.concat(F.lit("http://t/"), doc).alias("ontology_iri"), F.lit(None).cast("string").alias("version_iri")).distinct()
+    return docs, rows.select(doc.alias("doc"), F.concat(F.lit("http://t/"), after).alias("iri")), rows.where("turn = 0").select(doc.alias("doc"))
+
+
+@query("SELECT doc_id AS s, text AS o FROM documents WHERE source = 'src1'")
+def named_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a dataset with a graph for each source: one named graph."""
+    quads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s"), F.col("text").alias("o"), F.col("source").alias("g"))
+    return documents.selected_graph(quads, "src1")
+
+
+@query("SELECT lang AS g, count(*) AS n FROM documents GROUP BY lang HAVING count(*) > 1")
+def repeated_graph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.repeated_graphs(table(spark, sf_dir, "documents").select(F.col("lang").alias("g")))
+
+
+@query("""SELECT min(l_linenumber::BIGINT * 1000000000 + l_orderkey) AS pos FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'SubClassOf' ELSE 'DisjointClasses' END AS kind, l_suppkey % 7 AS a, l_partkey % 7 AS b FROM lineitem)
+GROUP BY kind, CASE WHEN kind = 'SubClassOf' THEN a ELSE least(a, b) END, CASE WHEN kind = 'SubClassOf' THEN b ELSE greatest(a, b) END""")
+def axiom_set_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries as axioms about two classes: the first of each set of structurally equal ones."""
+    kind = F.when(F.col("l_linenumber") == 1, "SubClassOf").otherwise("DisjointClasses")
+    members = F.array((F.col("l_suppkey") % 7).cast("string"), (F.col("l_partkey") % 7).cast("string"))
+    axioms = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_orderkey")).alias("pos"), kind.alias("kind"), members.alias("members"))
+    return structure.distinct_axioms(axioms.dropDuplicates(["pos", "kind", "members"])).select("pos")
+
+
+@query("""SELECT c_custkey AS pos FROM customer WHERE (least(c_nationkey, c_custkey % 25), greatest(c_nationkey, c_custkey % 25)) NOT IN (SELECT (least(s_nationkey, s_suppkey % 25), greatest(s_nationkey, s_suppkey % 25)) FROM supplier)""")
+def axiom_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disjointness axioms from customers that none from suppliers equals."""
+    axioms = lambda name, key, nation: table(spark, sf_dir, name).select(F.col(key).alias("pos"), F.lit("DisjointClasses").alias("kind"), F.array(F.col(nation).cast("string"), (F.col(key) % 25).cast("string")).alias("members"))
+    return structure.difference(axioms("customer", "c_custkey", "c_nationkey"), axioms("supplier", "s_suppkey", "s_nationkey")).select("pos")
+
+
+@query("SELECT min('c' || c_custkey) AS component, count(*) + 1 AS size, min(c_acctbal) >= -900 AS consistent FROM customer GROUP BY c_nationkey")
+def consistency_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation are one part; a large debt is a clash."""
+    customers = table(spark, sf_dir, "customer")
+    links = customers.select(named("c", "c_custkey").alias("a"), named("n", "c_nationkey").alias("b"))
+    return constraints.by_parts(links.select(F.col("a").alias("x")), links, customers.where("c_acctbal < -900").select(named("c", "c_custkey").alias("x")))
+
+
+@query("SELECT DISTINCT 'c' || o_custkey AS x, NULL::VARCHAR AS r, 'Buyer' AS y FROM orders UNION ALL SELECT DISTINCT 'o' || o_orderkey, 'placedBy', 'c' || o_custkey FROM orders")
+def fixpoint_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules still give from asserted edges alone."""
+    rules = _rules(spark, domain=[("placed", "Buyer")], inverse=[("placed", "placedBy")])
+    return not_closed(_no_types(spark), edges(spark, sf_dir, "placed"), rules)
+
+
+@query("""SELECT DISTINCT 'c' || o_custkey AS who, 'p' || l_partkey AS what FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
+JOIN customer ON o_custkey = c_custkey WHERE p_type = 'PROMO' AND c_nationkey = 3""")
+def conjunctive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """placed(who, order), contains(order, what), Promo(what), inNation(who, n3)."""
+    placed, held, nation = (edges(spark, sf_dir, r) for r in ("placed", "contains", "inNation"))
+    who = nation.where("y = 'n3'").select(F.col("x").alias("who"))
+    rows = placed.select(F.col("x").alias("who"), F.col("y").alias("order")).join(who, "who", "left_semi")
+    rows = rows.join(held.select(F.col("x").alias("order"), F.col("y").alias("what")), "order")
+    return rows.join(part_types(spark, sf_dir).where("c = 'PROMO'").select(F.col("x").alias("what")), "what", "left_semi").select("who", "what").distinct()
+
+
+@query("SELECT 'c' || conv_id AS head, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, text AS member FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)")
+def rdf_list_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as RDF lists of their turns, walked by doubling."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    rows = rows.withColumn("pos", F.row_number().over(by) - 1).withColumn("last", F.lead("turn").over(by).isNull())
+    cell = lambda k: F.when(F.col("pos") + k == 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).otherwise(F.concat_ws("/", "conv_id", (F.col("pos") + k).cast("string")))
+    first = rows.select(cell(0).alias("s"), F.lit(RDF + "first").alias("p"), F.col("text").alias("o"))
+    rest = rows.select(cell(0), F.lit(RDF + "rest"), F.when(F.col("last"), RDF + "nil").otherwise(cell(1)))
+    return list_members(first.union(rest), rows.where("pos = 0").select(cell(0).alias("head")))
+
+
+@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?q=1' AS query, regexp_extract(url, '^[^:]+:', 0) || '//other/x' AS network, regexp_replace(url, '#.*$', '') || '#top' AS fragment, regexp_extract(url, '^[^:]+://[^/?#]*', 0) || '/b/d' AS path FROM pages")
+def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    at = lambda ref: terms.resolved(F.lit(ref), url)
+    return table(spark, sf_dir, "pages").select("page_id", at("?q=1").alias("query"), at("//other/x").alias("network"), at("#top").alias("fragment"), at("/a/../b/./c/../d").alias("path"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'http://e/part#' || p_partkey WHEN p_size % 3 = 1 THEN 'http://www.w3.org/2002/07/owl#' || p_partkey END AS iri FROM part")
+def prefix_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a declared, a standard and an unknown prefix; a standard one keeps its namespace."""
+    prefix = F.when(F.col("p_size") % 3 == 0, "e").when(F.col("p_size") % 3 == 1, "owl").otherwise("unknown")
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(":", prefix, F.col("p_partkey").cast("string")).alias("name"))
+    return terms.expanded(names, spark.createDataFrame([("e", "http://e/part#"), ("owl", "http://wrong/")], "prefix string, space string")).select("p_partkey", "iri")
+
+
+@query("SELECT p_partkey, regexp_matches(p_name, '^[A-Za-z_0-9]([A-Za-z_0-9.-]*[A-Za-z_0-9-])?$') AS local_name, true AS node_id, regexp_matches(p_brand, '^Brand#[0-9]{1,2}$') AS pattern, length(p_name) AS octets FROM part")
+def names_and_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by their grammar, an xsd:pattern, and octets of a hexBinary value."""
+    name = F.col("p_name")
+    node = terms.is_node_id(F.concat(F.lit("_:b"), F.col("p_partkey").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", terms.is_local_name(name).alias("local_name"), node.alias("node_id"), terms.matches_pattern(F.col("p_brand"), "Brand#[0-9]{1,2}").alias("pattern"), terms.octets("hexBinary", F.hex(name)).cast("long").alias("octets"))
+
+
+@query("SELECT o_orderkey, epoch_us(o_orderdate) - 19800000000 AS at, o_orderdate >= TIMESTAMP '1995-06-01 00:00:00' AS same_line, epoch_us(o_orderdate) > epoch_us(TIMESTAMP '1995-06-01 00:00:00') + 50400000000 AS other_line FROM orders")
+def moment_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dateTime literals with an offset, and order across zoned and local time (14 hours apart)."""
+    local = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    zoned, bound = F.concat(local, F.lit("+05:30")), F.lit("1995-06-01T00:00:00")
+    return table(spark, sf_dir, "orders").select("o_orderkey", terms.moment(zoned)["at"].alias("at"), terms.moment_facet(local, "minInclusive", bound).alias("same_line"), terms.moment_facet(F.concat(local, F.lit("Z")), "minInclusive", bound).alias("other_line"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(floor(l_extendedprice) - ceil(l_quantity) + 1, 0)::BIGINT AS n FROM lineitem")
+def integers_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers from the quantity to the price of a delivery."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", terms.integers_between(F.col("l_quantity"), F.col("l_extendedprice")).alias("n"))
+
+
+@query("SELECT doc_id, true AS tag, lang = 'en' AS regional FROM documents")
+def language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed tags: languages with a region, and German with a subtag of nine letters."""
+    lang = F.col("lang")
+    odd = F.when(lang == "en", F.concat(lang, F.lit("-Latn-GB-x-a1"))).otherwise(F.concat(lang, F.lit("-ninechars")))
+    return table(spark, sf_dir, "documents").select("doc_id", terms.is_language_tag(lang).alias("tag"), terms.is_language_tag(odd).alias("regional"))
+
+
+@query("""SELECT o_orderkey, 'double ' || CASE WHEN o_orderkey % 2 = 0 THEN '1000.0' ELSE 'Infinity' END AS number, 'boolean ' || (o_orderkey % 2 = 0) AS truth,
+CASE WHEN o_orderkey % 3 = 0 THEN 'decimal ' || (o_orderkey // 3) ELSE 'ratio ' || o_orderkey || '/3' END AS ratio FROM orders""")
+def literal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of doubles, booleans and rationals, by their datatypes and in several spellings."""
+    even, none = F.col("o_orderkey") % 2 == 0, F.lit(None).cast("string")
+    key = lambda name, text: terms.literal_key(F.lit(terms.PREFIXES[name.split(":")[0]] + name.split(":")[1]), text, none)
+    ratio = F.concat((F.col("o_orderkey") * 2).cast("string"), F.lit("/6"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", key("xsd:double", F.when(even, "1E3").otherwise("INF")).alias("number"), key("xsd:boolean", F.when(even, "1").otherwise("false")).alias("truth"), key("owl:rational", ratio).alias("ratio"))
+
+
+@query("SELECT 7 AS check_no, 'missing declaration' AS check_name, min('http://e/lang/' || lang) AS evidence FROM documents WHERE lang <> 'en'")
+def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents typed by their language; only one class is declared. The first verdict of all 21 checks."""
+    docs = table(spark, sf_dir, "documents")
+    iri = lambda kind, c: F.concat(F.lit(f"http://e/{kind}/"), F.col(c).cast("string"))
+    typed = docs.select(iri("doc", "doc_id").alias("s"), F.lit(RDF + "type").alias("p"), iri("lang", "lang").alias("o"), F.lit("iri").alias("o_kind"))
+    declared = spark.createDataFrame([("http://e/lang/en", RDF + "type", "http://www.w3.org/2002/07/owl#Class", "iri")], typed.schema)
+    return validity_plan.first_violation(validity_plan.violations(mapped(typed.union(declared))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -1,17 +1,25 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
-from quillon.operators import validity
+from quillon.functions import terms
+from quillon.operators import saturation, structure, validity
 from quillon.operators.components import components
+from quillon.plans import reasoner
+from quillon.plans.ontology import list_members, mapped
 from quillon.plans.reasoner import Reasoner
+from quillon.plans.validity import first_violation
 from quillon.sources import ntriples
 
 PREFIX = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "": "http://e/"}
 
+XSD = "http://www.w3.org/2001/XMLSchema#"
+
 
 def graph(spark, text):
     """Triples written as ``s p o`` with prefixes; ``_:`` marks blank nodes."""
     rows = []
-    for line in text.strip().splitlines():
+    for line in filter(None, text.splitlines()):
         terms = []
         for t in line.split():
             space, _, local = t.partition(":")
@@ -51,37 +59,171 @@ _:b rdfs:subClassOf :Inspect
 """
 
 
-@pytest.fixture(scope="module")
-def pumps(spark):
-    return Reasoner.from_triples(graph(spark, PUMPS))
-
-
 def e(name):
     return "http://e/" + name
 
 
-def test_instances(pumps):
+def case_instances_and_taxonomy(spark):
+    pumps = Reasoner.from_triples(graph(spark, PUMPS))
     assert pumps.consistent() is True
     assert pumps.instance_of(e("p1"), e("Inspect")) is True
     assert pumps.instance_of(e("p2"), e("Inspect")) is False
     assert [r.x for r in pumps.instances(e("Machine")).collect()] == [e("p1"), e("p2")]
     assert pumps.entails_link(e("p1"), e("hasPart"), e("b1")) is True
-
-
-def test_taxonomy(pumps):
     assert pumps.subsumed(e("Pump"), e("Machine")) is True and pumps.subsumed(e("Machine"), e("Pump")) is False
     assert pumps.satisfiable(e("Void")) is False and pumps.satisfiable(e("Pump")) is True
     assert pumps.subsumed(e("Void"), e("Inspect")) is True
 
 
-def test_clash_and_unknown(spark):
+def case_clash_and_unknown(spark):
     assert Reasoner.from_triples(graph(spark, PUMPS + ":p1 rdf:type :Faulty")).consistent() is False
-    more = Reasoner.from_triples(graph(spark, PUMPS + "_:x owl:complementOf :Pump\n:Faulty rdfs:subClassOf _:x"))
+    more = Reasoner.from_triples(graph(spark, PUMPS + "_:x owl:unionOf _:y\n_:y rdf:first :Pump\n_:y rdf:rest _:z\n_:z rdf:first :Void\n_:z rdf:rest rdf:nil\n:Faulty rdfs:subClassOf _:x"))
     assert more.consistent() is None and more.instance_of(e("p2"), e("Inspect")) is None
     assert more.instance_of(e("p1"), e("Inspect")) is True
 
 
-def test_equality(spark):
+DECLARED = "\n".join([*(f":{c} rdf:type owl:Class" for c in "ABCDEKM"), *(f":{r} rdf:type owl:ObjectProperty" for r in "rqstuvwf"), ":p rdf:type owl:DatatypeProperty", ":n rdf:type owl:DatatypeProperty"])
+SOME = """
+_:x owl:onProperty :r
+_:x owl:someValuesFrom :B
+:A rdfs:subClassOf _:x
+"""
+
+
+def case_contexts_are_shared(spark):
+    """What one class's successors are is not told of all members of the filler."""
+    text = DECLARED + SOME + """
+:r rdfs:range :C
+_:w owl:onProperty :r
+_:w owl:someValuesFrom :C
+_:w rdfs:subClassOf :D
+_:t owl:onProperty :s
+_:t owl:someValuesFrom owl:Thing
+_:t rdfs:subClassOf :E
+:x :s :y
+:f rdf:type owl:InverseFunctionalProperty
+:g :f :h
+:i :f :h
+"""
+    r = Reasoner.from_triples(graph(spark, text))
+    assert r.subsumed(e("B"), e("C")) is False and r.subsumed(e("A"), e("D")) is True
+    assert r.instance_of(e("x"), e("E")) is True and r.instance_of(e("y"), e("E")) is False
+    assert r.instance_of(e("y"), PREFIX["owl"] + "Thing") is True and r.entails_same(e("g"), e("i")) is True
+    assert r.still_open().isEmpty() and [x.consistent for x in r.consistent_by_parts().collect()] == [True, True]
+    assert {tuple(x) for x in r.answers([("?a", e("s"), "?b"), ("?a", e("E"))]).collect()} == {(e("x"), e("y"))}
+
+
+def case_open_rules_are_unknown(spark):
+    text = DECLARED + SOME + """
+_:y owl:onProperty :r
+_:y owl:allValuesFrom :C
+:A rdfs:subClassOf _:y
+:s owl:inverseOf :q
+_:v owl:onProperty :s
+_:v owl:someValuesFrom :K
+:M rdfs:subClassOf _:v
+_:z owl:onProperty :q
+_:z owl:someValuesFrom :M
+_:z rdfs:subClassOf :D
+"""
+    r = Reasoner.from_triples(graph(spark, text))
+    assert r.subsumed(e("B"), e("C")) is None and r.subsumed(e("K"), e("D")) is None
+    assert {x.what for x in _open(r).collect()} == {"allValuesFrom", "inverseOf"}
+
+
+def _open(r):
+    o = r.ontology
+    none = r.individuals.select("x").withColumnRenamed("x", "r").limit(0)
+    return reasoner.open_ends(*r._contexts, o.rules, none, none, none)
+
+
+def case_every_kind_of_clash(spark):
+    text = DECLARED + """
+:r rdf:type owl:IrreflexiveProperty
+:a1 :r :a1
+:q rdf:type owl:AsymmetricProperty
+:b1 :q :b2
+:b2 :q :b1
+_:d rdf:type owl:AllDifferent
+_:d owl:distinctMembers _:l
+_:l rdf:first :c1
+_:l rdf:rest _:m
+_:m rdf:first :c2
+_:m rdf:rest _:m2
+_:m2 rdf:first :c3
+_:m2 rdf:rest rdf:nil
+:c1 owl:sameAs :c3
+_:n rdf:type owl:NegativePropertyAssertion
+_:n owl:sourceIndividual :d1
+_:n owl:assertionProperty :s
+_:n owl:targetIndividual :d2
+:u rdfs:subPropertyOf :s
+:d1 :u :d2
+:t owl:propertyDisjointWith :v
+:e1 :t :e2
+:e1 :v :e2
+_:k rdf:type owl:AllDisjointClasses
+_:k owl:members _:k1
+_:k1 rdf:first :A
+_:k1 rdf:rest _:k2
+_:k2 rdf:first :B
+_:k2 rdf:rest _:k3
+_:k3 rdf:first :C
+_:k3 rdf:rest rdf:nil
+:f1 rdf:type :A
+:f1 rdf:type :C
+:p rdf:type owl:FunctionalProperty
+:K owl:hasKey _:h
+_:h rdf:first :n
+_:h rdf:rest _:h2
+_:h2 rdf:first :w
+_:h2 rdf:rest rdf:nil
+:h1 rdf:type :K
+:h2 rdf:type :K
+:h1 :w :hh
+:h2 :w :hh
+:h1 owl:differentFrom :h2
+"""
+    more = [("g1", "p", "1", "integer"), ("g1", "p", "2", "integer"), ("h1", "n", "7", "integer"), ("h2", "n", "07.0", "decimal"), ("i1", "n", "x", "string")]
+    base = graph(spark, text + ":n rdfs:range :xsd").where("o <> 'http://e/xsd'").selectExpr("*", "cast(null as string) datatype")
+    values = spark.createDataFrame([(e(x), e(p), v, "literal", XSD + t) for x, p, v, t in more] + [(e("n"), PREFIX["rdfs"] + "range", XSD + "decimal", "iri", None)], base.schema)
+    r = Reasoner.from_triples(base.union(values))
+    found = {(x.what, x.x.split(" ")[-1].rpartition("/")[2]) for x in r.clashes.collect()}
+    assert {w for w, _ in found} == {"irreflexive", "asymmetric", "different individuals", "negative assertion", "disjoint properties", "empty class", "functional data", "data range"}
+    assert {("different individuals", "h1"), ("different individuals", "c1"), ("empty class", "f1"), ("functional data", "g1"), ("data range", "i1")} <= found
+    assert r.consistent() is False
+
+
+def case_data_restrictions(spark):
+    """Doses over 4000 and children make an alert; a domain types holders of values."""
+    text = DECLARED + """
+_:r owl:onProperty :p
+_:r owl:someValuesFrom _:d
+_:d rdf:type rdfs:Datatype
+_:d owl:withRestrictions _:l
+_:l rdf:first _:m
+_:l rdf:rest rdf:nil
+_:r rdfs:subClassOf :A
+:n rdfs:domain :B
+"""
+    base = graph(spark, text).selectExpr("*", "cast(null as string) datatype")
+    rows = [("_d", PREFIX["owl"] + "onDatatype", XSD + "decimal", "iri", None), ("_m", XSD + "minExclusive", "4000", "literal", XSD + "integer")]
+    rows = [(s[1:], *x) for s, *x in rows]
+    rows += [(e(x), e("p"), v, "literal", t) for x, v, t in [("rx1", "3000", XSD + "integer"), ("rx2", "4000.5", XSD + "decimal"), ("rx3", "8001/2", PREFIX["owl"] + "rational")]]
+    rows.append((e("rx1"), e("n"), "5", "literal", XSD + "integer"))
+    r = Reasoner.from_triples(base.union(spark.createDataFrame(rows, base.schema)))
+    assert r.ontology.unsupported.collect() == []
+    assert [x.x for x in r.instances(e("A")).collect()] == [e("rx2"), e("rx3")] and [x.x for x in r.instances(e("B")).collect()] == [e("rx1")]
+    assert r.consistent() is True and r.instance_of(e("rx1"), e("A")) is False
+    assert r.entails_value(e("rx1"), e("p"), "03000.0", XSD + "decimal") is True
+
+
+def case_left_over_triples_are_listed(spark):
+    o = mapped(graph(spark, ":A rdf:type owl:Class\n:x :undeclared :y\n_:b owl:onProperty :r\n:c owl:maxCardinality :d"))
+    assert {x.what for x in o.unsupported.collect()} == {"triple of http://e/undeclared", "restriction", "triple of " + PREFIX["owl"] + "maxCardinality"}
+
+
+def case_equality(spark):
     text = """
 :f rdf:type owl:ObjectProperty
 :f rdf:type owl:FunctionalProperty
@@ -95,7 +237,7 @@ def test_equality(spark):
     assert Reasoner.from_triples(graph(spark, text + ":b owl:differentFrom :c")).consistent() is False
 
 
-def test_universal_chain_and_value(spark):
+def case_universal_chain_and_value(spark):
     text = """
 :up rdf:type owl:ObjectProperty
 :old rdf:type owl:ObjectProperty
@@ -126,10 +268,147 @@ _:m rdf:rest rdf:nil
     assert r.instance_of(e("z"), e("B")) is False
 
 
-def test_declarations(spark):
-    text = ":A rdf:type owl:Class\n:A rdf:type rdfs:Datatype\n:p rdf:type owl:ObjectProperty\n:p rdf:type owl:DatatypeProperty"
-    got = [(r.check_no, r.evidence) for r in Reasoner.from_triples(graph(spark, text)).violations().collect()]
-    assert got == [(6, e("p"))]
+def case_violations(spark):
+    text = """
+:A rdf:type owl:Class
+:A rdf:type rdfs:Datatype
+:A rdfs:subClassOf :Missing
+:r rdf:type owl:ObjectProperty
+:r rdf:type owl:TransitiveProperty
+:r rdf:type owl:FunctionalProperty
+:q rdf:type owl:ObjectProperty
+:B rdf:type owl:Class
+:B owl:hasKey rdf:nil
+_:d rdf:type owl:AllDisjointClasses
+_:d owl:members _:l
+_:l rdf:first :B
+_:l rdf:rest rdf:nil
+:D rdf:type rdfs:Datatype
+:D owl:equivalentClass :E
+:E rdf:type rdfs:Datatype
+:E owl:equivalentClass :D
+_:x :q _:x
+_:y :q _:z
+_:z :q _:w
+_:w :q _:y
+:r owl:propertyChainAxiom _:c
+_:c rdf:first :q
+_:c rdf:rest _:c2
+_:c2 rdf:first :r
+_:c2 rdf:rest _:c3
+_:c3 rdf:first :q
+_:c3 rdf:rest rdf:nil
+:q rdfs:subPropertyOf :r
+:n1 :q _:v
+:n2 :q _:u
+_:v :q _:u
+_:u :q _:v
+_:v owl:sameAs :n1
+owl:topDataProperty rdfs:subPropertyOf :s
+owl:Odd rdf:type owl:Class
+"""
+    found = Reasoner.from_triples(graph(spark, text)).violations()
+    got = {(r.check_no, r.evidence.rpartition("/")[2]) for r in found.collect()}
+    assert {(1, "B"), (2, "d"), (6, "A"), (7, "Missing"), (12, "D"), (12, "E"), (15, "r"), (16, "r"), (17, "v"), (18, "x"), (19, "w"), (20, "u"), (21, "u")} <= got
+    assert {k for k, _ in got} == {1, 2, 5, 6, 7, 8, 9, 12, 15, 16, 17, 18, 19, 20, 21}
+    assert [tuple(r)[0] for r in first_violation(found).collect()] == [1]
+
+
+def test_lists_and_axiom_sets(spark):
+    n = 300
+    cells = [(f"l{k}", PREFIX["rdf"] + "first", f"m{k}") for k in range(n)] + [(f"l{k}", PREFIX["rdf"] + "rest", f"l{k + 1}" if k + 1 < n else PREFIX["rdf"] + "nil") for k in range(n)]
+    t = spark.createDataFrame(cells, "s string, p string, o string")
+    heads = spark.createDataFrame([("l0",), ("l7",)], "head string")
+    got = {(r.head, r.pos, r.member) for r in list_members(t, heads).collect()}
+    assert got == {("l0", k, f"m{k}") for k in range(n)} | {("l7", k - 7, f"m{k}") for k in range(7, n)}
+    round_ = spark.createDataFrame([("a", PREFIX["rdf"] + "first", "x"), ("a", PREFIX["rdf"] + "rest", "a")], "s string, p string, o string")
+    with pytest.raises(ValueError, match="circle"):
+        list_members(round_, spark.createDataFrame([("a",)], "head string"))
+    axioms = lambda rows: spark.createDataFrame(rows, "pos int, kind string, members array<string>")
+    one, other = axioms([(1, "DisjointClasses", ["a", "b"]), (2, "SubClassOf", ["a", "b"])]), axioms([(1, "SubClassOf", ["a", "b"]), (2, "DisjointClasses", ["b", "a"]), (3, "DisjointClasses", ["a", "b"])])
+    assert structure.same_axioms(one, other) and [r.pos for r in structure.distinct_axioms(other).orderBy("pos").collect()] == [1, 2]
+    assert not structure.same_axioms(one, axioms([(1, "SubClassOf", ["b", "a"])]))
+
+
+#: Examples of RFC 3986, 5.4, against http://a/b/c/d;p?q.
+RESOLVED = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y",
+            "#s": "http://a/b/c/d;p?q#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../../g": "http://a/g", "/./g": "http://a/g",
+            "/../g": "http://a/g", "g.": "http://a/b/c/g.", "./../g": "http://a/b/g", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x"}
+
+
+def test_terms(spark):
+    from pyspark.sql import functions as F
+
+    def each(f, values):
+        rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string")
+        return [r.x for r in rows.orderBy("k").select(f(F.col("v")).alias("x")).collect()]
+
+    assert each(lambda v: terms.resolved(v, F.lit("http://a/b/c/d;p?q")), RESOLVED) == list(RESOLVED.values())
+    tags = {"en": True, "de-CH-1996": True, "zh-cmn-Hans-CN": True, "x-a": True, "i-klingon": True, "en-a-bbb-x-y": True, "e": False, "en-": False, "de-419-DE": False, "abcdefghi": False, "en-x": False}
+    assert each(terms.is_language_tag, tags) == list(tags.values())
+    iris = {"http://a/b": True, "http://a:80/": True, "http://a:x/": False, "http://[::1]/": True, "http://[::1/": False, "a": False, "urn:x": True, "http://a/%4": False, "http://a/[": False}
+    assert each(terms.is_iri, iris) == list(iris.values())
+    at = each(lambda v: terms.moment(v)["at"], ["1970-01-01T00:00:00Z", "1970-01-01T24:00:00", "1970-01-01T01:00:00.5+01:00", "1970-02-30T00:00:00", "x"])
+    assert at == [0, 86400 * 10**6, 500000, None, None]
+    key = lambda t: lambda v: terms.literal_key(F.lit(t), v, F.lit("EN"))
+    assert each(key(PREFIX["owl"] + "rational"), ["1/2", "2/6", "4/2", "1/0"]) == ["decimal 0.5", "ratio 1/3", "decimal 2", None]
+    assert each(key(XSD + "double"), ["1", "1e0", "-0", "0", "NaN", "INF", "x"]) == ["double 1.0", "double 1.0", "double -0.0", "double 0.0", "double NaN", "double Infinity", None]
+    assert each(key(PREFIX["rdf"] + "langString"), ["x"]) == ["string x@en"] and each(key(XSD + "integer"), ["007", "1x"]) == ["decimal 7", None]
+    assert each(lambda v: terms.matches_pattern(v, "a$[b^]+|c\\."), ["a$b^", "c.", "ab", "xc."]) == [True, True, False, False]
+    with pytest.raises(ValueError, match="escape"):
+        terms.xsd_pattern("\\d")
+    assert each(terms.is_xml_text, ["a\tb", "a\x01"]) == [True, False] and each(terms.is_prefix_name, ["ex:", ":", "1:", "a.b:", "a.:"]) == [True, True, False, True, False]
+    assert each(lambda v: terms.integers_between(v.cast("double"), F.lit(5.0), high_open=True), ["1.5", "5", "9"]) == [3, 0, 0]
+
+
+def random_rules(draw):
+    names, roles = [f"C{k}" for k in range(6)], ["r", "s"]
+    pick = lambda x: draw.choice(x)
+    rules = {"told": {(pick(names), pick(names)) for _ in range(4)}, "conj": {(pick(names), pick(names), pick(names)) for _ in range(2)}, "some": {(pick(roles), pick(names), pick(names)) for _ in range(3)}}
+    return rules | {"give": {(pick(names), pick(roles), pick(names)) for _ in range(3)}, "role": {("r", "s")}, "chain": {("r", "s", "s")}, "range": {("s", pick(names))}, "domain": {("r", pick(names))}}
+
+
+def brute(names, rules):
+    """The same rules, one fact at a time."""
+    ctx = saturation.CONTEXT
+    sub, link = {(n, n) for n in names}, set()
+    higher = {"r": {"r", "s"}, "s": {"s"}}
+    while True:
+        more_sub = {(x, d) for x, c in sub for a, d in rules["told"] if a == c} | {(x, z) for x, c in sub for a, b, z in rules["conj"] if a == c and (x, b) in sub}
+        more_sub |= {(x, z) for x, r, y in link for q, c, z in rules["some"] if q == r and (y, c) in sub} | {(x, z) for x, r, _ in link for q, z in rules["domain"] if q == r}
+        more_link = {(x, "s", y) for x, r, y in link if r == "r"} | {(x, "s", z) for x, r, y in link if r == "r" for w, q, z in link if w == y and q == "s"}
+        for x, c in sub:
+            for a, r, d in rules["give"]:
+                if a == c:
+                    y = f"{ctx}{r} {d}"
+                    more_link.add((x, r, y))
+                    more_sub |= {(y, d)} | {(y, z) for q, z in rules["range"] if q in higher[r]}
+        if more_sub <= sub and more_link <= link:
+            return sub, link
+        sub, link = sub | more_sub, link | more_link
+
+
+def test_saturation_agrees_with_brute_force(spark):
+    """Many random rule sets at once: names and roles of each carry its number."""
+    import random
+
+    draw = random.Random(11)
+    shape = {"told": "c d", "conj": "a b e", "some": "r c e", "give": "c r d", "role": "r s", "chain": "r1 r2 s", "range": "r e", "domain": "r e"}
+    rows, names, want_sub, want_link = {k: set() for k in shape}, [], set(), set()
+    for k in range(60):
+        rules = random_rules(draw)
+        own = {n: [tuple(f"{x}#{k}" for x in row) for row in v] for n, v in rules.items()}
+        for n, v in own.items():
+            rows[n] |= set(v)
+        sub, link = brute([f"C{i}" for i in range(6)], rules)
+        mark = lambda x: " ".join(f"{p}#{k}" for p in x.split(" "))  # noqa: E731, B023
+        want_sub |= {tuple(map(mark, x)) for x in sub}
+        want_link |= {tuple(map(mark, x)) for x in link}
+        names += [f"C{i}#{k}" for i in range(6)]
+    tables = {k: spark.createDataFrame(sorted(v), ", ".join(f"{c} string" for c in shape[k].split())) for k, v in rows.items()}
+    start = spark.createDataFrame([(n, n) for n in names], "x string, c string")
+    sub, link = saturation.saturate(start, spark.createDataFrame([], "x string, r string, y string"), tables)
+    assert {tuple(x) for x in sub.collect()} == want_sub and {tuple(x) for x in link.collect()} == want_link
 
 
 def test_ntriples(spark, tmp_path):
@@ -152,3 +431,27 @@ def test_graph_checks(spark):
     assert {(r.a, r.b) for r in validity.irregular(pairs([("r", "s"), ("s", "r")]), pairs([])).collect()} == {("r", "r"), ("s", "s")}
     line = pairs([(f"{k:02}", f"{k + 1:02}") for k in range(40)])
     assert validity.closure(line).count() == 40 * 41 // 2
+
+
+CASES = {k[5:]: f for k, f in globals().items() if k.startswith("case_")}
+
+
+@pytest.fixture(scope="module")
+def outcomes(spark):
+    """What each case raised. A question takes many small jobs, so cases run side by side."""
+
+    def run(case):
+        try:
+            case(spark)
+        except BaseException as error:  # noqa: BLE001
+            return error
+        return None
+
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(CASES, pool.map(run, CASES.values()), strict=True))
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_case(outcomes, name):
+    if outcomes[name] is not None:
+        raise outcomes[name]
