@@ -3,8 +3,8 @@
 The pattern that precedes the merges never joins characters over a single space
 between two other characters: the space always leads the next piece. So a text
 is cut at its spaces, distinct words are encoded together, and the ids of a text
-are gathered from those of its words. Texts with white space next to a space
-are encoded whole.
+are gathered from those of its words. Texts with white space next to a space, or
+with an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import tiktoken
 
 #: Ranks of the vocabulary of byte_bpe_50k.json.
 RANKS = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json and its id. Texts are cut at it before they are split into pieces.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 
 
 class _Index(dict):
@@ -52,13 +54,22 @@ class Encoder:
         self.odd = np.zeros(0, bool)
         self.names: list[str] = []
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of one text, without the words that are known."""
+        first, *rest = text.split(ADDED)
+        ids = self.bpe.encode_ordinary(first)
+        for part in rest:
+            ids.append(ADDED_ID)
+            ids += self.bpe.encode_ordinary(part)
+        return ids
+
     def _learn(self) -> None:
         """Encode the words that were met first just now."""
         new, self.words.new = self.words.new, []
         if not new:
             return
         self.names += [w if type(w) is str else w[0] for w in new]
-        odd = np.array([type(w) is str and (not w or w[0].isspace() or w[-1].isspace()) for w in new])
+        odd = np.array([ADDED in w if type(w) is str and w and not (w[0].isspace() or w[-1].isspace()) else type(w) is str or ADDED in w[0] for w in new])
         lone = [k for k, w in enumerate(new) if type(w) is tuple]
         plain = [k for k, w in enumerate(new) if type(w) is str and not odd[k]]
         pieces: list = [np.zeros(0, np.int32)] * len(new)
@@ -111,7 +122,7 @@ class Encoder:
         cuts = np.cumsum(length)[ends - 1]
         found = np.split(ids, cuts[:-1])
         for k in np.flatnonzero(np.add.reduceat(self.odd[numbers], ends - counts)).tolist():
-            found[k] = np.array(self.bpe.encode_ordinary(texts[k]), np.int32)
+            found[k] = np.array(self.whole(texts[k]), np.int32)
         return found
 
     def lengths(self, texts: list[str]) -> np.ndarray:
@@ -122,7 +133,7 @@ class Encoder:
         first = np.cumsum(counts) - counts
         found = np.add.reduceat(self.length[numbers], first)
         for k in np.flatnonzero(np.add.reduceat(self.odd[numbers], first)).tolist():
-            found[k] = len(self.bpe.encode_ordinary(texts[k]))
+            found[k] = len(self.whole(texts[k]))
         return found
 
 

@@ -22,22 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import Encoder
-from quillon.llm.common import small_batches
 
 WINDOW = 2048
 #: Appended to every document's ids.
 END = 1
 #: Characters of text in a shard, about.
 SHARD = 5_000_000
-#: A query is the seed's terms of highest BM25 weight over its whole text.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class Index:
-    """BM25 inverted index of a shard; only terms of two documents or more are kept."""
+    """BM25 inverted index of a shard.
+
+    A term's weight is log((n - df + 0.5) / (df + 0.5)), not below zero: terms of one document
+    find no other, and those of half of the documents or more weigh nothing; neither is kept.
+    """
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray, n_terms: int) -> None:
         """terms: those of all documents, one after the other; counts: per document."""
@@ -46,20 +47,19 @@ class Index:
         keys, tf = np.unique(terms * self.n + doc, return_counts=True)
         term, doc = keys // self.n, keys % self.n
         df = np.bincount(term, minlength=n_terms)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        idf = np.maximum(np.log((self.n - df + 0.5) / (df + 0.5)), 0)
         size = K1 * (1 - B + B * counts / max(counts.mean(), 1e-9))
-        keep = df[term] > 1
+        keep = (df[term] > 1) & (idf[term] > 0)
         term, doc, tf = term[keep], doc[keep], tf[keep]
         self.doc, self.weight = doc, idf[term] * tf * (K1 + 1) / (tf + size[doc])
         self.first = np.searchsorted(term, np.arange(n_terms + 1))
-        by_doc = np.lexsort((term, -self.weight, doc))
+        by_doc = np.lexsort((term, doc))
         self.term_of = term[by_doc]
         self.doc_first = np.searchsorted(doc[by_doc], np.arange(self.n + 1))
 
     def nearest(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        a = self.doc_first[seed]
-        query = self.term_of[a : min(a + QUERY_TERMS, self.doc_first[seed + 1])]
+        """Unused documents that share a term with the seed, best first; each of its terms asks once."""
+        query = self.term_of[self.doc_first[seed] : self.doc_first[seed + 1]]
         if not len(query):
             return query
         spans = [slice(x, z) for x, z in zip(self.first[query].tolist(), self.first[query + 1].tolist(), strict=True)]
@@ -170,7 +170,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
     other. Ties between neighbours go to the shard's order (key, doc_id, text). An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    small_batches(docs.sparkSession, 1000)
     long_words = F.regexp_extract_all(F.lower("text"), F.lit(r"\w{9,}"), F.lit(0))
     key = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
     dealt = docs.select("doc_id", "text", key.alias("key")).hint("rebalance", F.col("key"))

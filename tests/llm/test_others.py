@@ -19,7 +19,7 @@ def rows(n=150):
     draw = random.Random(4)
     made = []
     for d in range(n):
-        words = [draw.choice(["the", "of", "Ünder", "qx7", "straße", "hello", "a,b", "x" * 30]) + str(draw.randrange(60)) for _ in range(draw.choice([0, 1, 20, 400, 3000]))]
+        words = [draw.choice(["the", "of", "Ünder", "qx7", "straße", "hello", "a,b", "<|endoftext|>", "x" * 30]) + str(draw.randrange(60)) for _ in range(draw.choice([0, 1, 20, 400, 3000]))]
         made.append((d, draw.choice([" ", "\n", "  ", "\t"]).join(words), draw.choice(["a", "b", "c", None]), "x"))
     return [*made, (None, None, None, "x"), (7, None, "a", "x"), (8, "", "é", "x"), (8, "", "é", "x"), (500, "long " * 20_000, "a", "x")]
 
@@ -32,7 +32,6 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def encoded():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([r[1] or "" for r in rows()], add_special_tokens=False)]
 
 
