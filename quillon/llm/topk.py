@@ -28,26 +28,32 @@ EVERY = 50
 PART, BLOCK, SEEDS = 4096, 512, 1024
 #: A bucket's greatest length is this many times its least.
 STEP = 1.1
-#: Local cosine thresholds from which coordinates prune, and how many coordinates.
-COSINE, FOCUS = 0.6, 3
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Coordinates that prune, and vectors of a part on which their worth is judged.
+FOCUS, TRIED = 3, 64
+#: Scores beyond 64 bits are shown as the nearest long; they are ranked exactly.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, norm) of the vectors that take part: floor(256 * x) of each component."""
+    """(vec_id, v, norm) of the vectors that take part: floor(256 * x) of each component, as doubles,
+    which hold them exactly however large they are."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fine))
-    v = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    big = lambda y: F.abs(y) >= float(2**52)  # noqa: E731  (such doubles are whole)
+    v = F.transform("embedding", lambda x: F.when(big(256 * x.cast("double")), 256 * x.cast("double")).otherwise(F.floor(256 * x.cast("double")).cast("double")))
     rows = good.select("vec_id", v.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
 
 
-def matrix(lists: list) -> np.ndarray:
+def matrix(lists: pa.Array) -> np.ndarray:
     """Rows of equal length; shorter vectors end in zeros."""
-    wide = max(map(len, lists), default=0)
-    if all(len(x) == wide for x in lists):
-        return np.array(lists, np.int64).reshape(len(lists), wide)
-    return np.array([list(x) + [0] * (wide - len(x)) for x in lists], np.int64)
+    lengths = np.diff(lists.offsets.to_numpy())
+    flat, wide = lists.flatten().to_numpy(zero_copy_only=False).astype(float), int(lengths.max(initial=0))
+    if (lengths == wide).all():
+        return flat.reshape(len(lists), wide)
+    rows = np.zeros((len(lists), wide))
+    rows[np.arange(wide) < lengths[:, None]] = flat
+    return rows
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,14 +62,17 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a[:, :wide], b[:, :wide]
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(wide, 1)
     if largest < 2**53:  # sums of doubles are exact below that
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T if largest < 2**63 else (a.astype(object) @ b.astype(object).T).astype(np.int64)
+        return (a @ b.T).astype(np.int64)
+    if largest < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)  # exact, of any size
+    return whole(a) @ whole(b).T
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        least = (np.sort if scores.dtype == object else lambda x: np.partition(x, len(x) - k))(scores)[len(scores) - k]
         at = np.flatnonzero(scores >= least)
     else:
         at = np.arange(len(scores))
@@ -76,51 +85,63 @@ def candidates(q: np.ndarray, length: float, bound: float, unit: np.ndarray, nor
         return np.arange(len(norms))
     n = int(np.searchsorted(-norms, -(bound / length) * (1 - 1e-9), side="right"))  # length pruning
     cosine = bound / length / norms[0] * (1 - 1e-9) if n else 1.0
-    if cosine < COSINE or not n:
+    if not n:
         return np.arange(n)
     direction = q / length
-    fits = np.ones(n, bool)
-    for f in np.argsort(-np.abs(direction))[:FOCUS]:
-        x = float(direction[f])
-        room = math.sqrt(max(1 - cosine * cosine, 0) * max(1 - x * x, 0)) + 1e-9
-        if x >= 0:
-            fits &= unit[:n, f] >= cosine * x - room
-        else:
-            fits &= unit[:n, f] <= cosine * x + room
-    return np.flatnonzero(fits)
-
-
-def _bounds(batches: Iterator[pa.RecordBatch], seeds: list, k: int) -> Iterator[pa.RecordBatch]:
-    ids, vectors = np.array([s[0] for s in seeds], np.int64), matrix([s[1] for s in seeds])
+
+    def fits(rows: np.ndarray) -> np.ndarray:
+        kept = np.ones(len(rows), bool)
+        for f in np.argsort(-np.abs(direction))[:FOCUS]:
+            x = float(direction[f])
+            room = math.sqrt(max(1 - cosine * cosine, 0) * max(1 - x * x, 0)) + 1e-9
+            kept &= rows[:, f] >= cosine * x - room if x >= 0 else rows[:, f] <= cosine * x + room
+        return kept
+
+    # the local threshold decides: coordinates are worth their cost if they drop a share of the products
+    tried = unit[: n : max(1, n // TRIED)]
+    if fits(tried).mean() > 1 - FOCUS / max(unit.shape[1], FOCUS + 1):
+        return np.arange(n)
+    return np.flatnonzero(fits(unit[:n]))
+
+
+def _clipped(scores: list) -> list[int]:
+    return [min(max(int(x), LEAST), MOST) for x in scores]
+
+
+def _bounds(batches: Iterator[pa.RecordBatch], seeds: bytes, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query with the k-th best of its scores among the seeds."""
+    (known,) = pa.ipc.open_stream(seeds).read_all().combine_chunks().to_batches() or [None]
+    ids, vectors = known.column(0).to_numpy(zero_copy_only=False), matrix(known.column(1))
     for batch in batches:
-        own, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        found = []
+        own, found = batch.column(0).to_numpy(zero_copy_only=False), []
         for a in range(0, len(own), BLOCK):
-            scores = products(matrix(v[a : a + BLOCK]), vectors)
+            scores = products(matrix(batch.column(1).slice(a, BLOCK)), vectors)
             for q, row in zip(own[a : a + BLOCK], scores, strict=True):
                 row = row[ids != q]
-                found.append(float(np.partition(row, len(row) - k)[len(row) - k]) if len(row) >= k else -math.inf)
+                found.append(float(np.sort(row)[-k]) if len(row) >= k else -math.inf)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=["vec_id", "v", "norm", "bound"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a part for each query of a block. Queries are few and members bounded, so a row is too."""
     for batch in batches:
-        for queries, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part.sort(key=lambda r: (-r["norm"], r["vec_id"]))
-            ids = np.array([r["vec_id"] for r in part], np.int64)
-            norms = np.array([r["norm"] for r in part])
-            vectors = matrix([r["v"] for r in part])
+        for row in range(batch.num_rows):
+            queries, part = (batch.column(c).slice(row, 1).flatten() for c in (0, 1))
+            ids, norms = (part.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "norm"))
+            order = np.lexsort((ids, -norms))
+            ids, norms, vectors = ids[order], norms[order], matrix(part.field("v"))[order]
             unit = vectors / np.maximum(norms, 1e-30)[:, None]
+            asked = matrix(queries.field("v"))
             rows: list = []
-            for r in queries:
-                q = matrix([r["v"]])
-                at = candidates(q[0, : vectors.shape[1]], r["norm"], r["bound"], unit, norms)
-                at = at[ids[at] != r["vec_id"]]
-                scores = products(q, vectors[at])[0]
+            for own, length, bound, q in zip(*(queries.field(c).to_pylist() for c in ("vec_id", "norm", "bound")), asked, strict=True):
+                at = candidates(q[: vectors.shape[1]], length, bound, unit, norms)
+                at = at[ids[at] != own]
+                scores = products(q[None], vectors[at])[0]
                 top = best(scores, ids[at], k)
-                rows += [(r["vec_id"], i, s) for i, s in zip(ids[at][top].tolist(), scores[top].tolist(), strict=True)]
+                rows += [(own, i, s, str(x)) for i, s, x in zip(ids[at][top].tolist(), _clipped(scores[top]), scores[top].tolist(), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND)
+                kinds = pa.int64(), pa.int64(), pa.int64(), pa.string()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "exact"])
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
@@ -130,20 +151,26 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     those with the query's vec_id. Ties go to smaller vec_ids; all candidates, if fewer.
     Vectors that are null or have null or non-finite components, and null ids, take no
     part; shorter vectors count as ending in zeros. Repeated rows are candidates of
-    their own, and repeated queries are answered once. An empty table gives no rows.
+    their own, and repeated queries are answered once. Components of any finite size are exact;
+    scores beyond 64 bits are ranked exactly and shown as the nearest long. An empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     rows = integers(vectors)
-    rows = checkpoint(rows.withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(STEP))).otherwise(-1)))
+    rows = checkpoint(rows.withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log(F.least("norm", F.lit(1e308))) / math.log(STEP))).otherwise(-1)))
     # as many buckets as powers of STEP between the least and the greatest length: 15,000 at most
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
-    seeds = [(r.vec_id, list(r.v)) for r in rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect()]
+    seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
     if not buckets:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, seeds.schema) as stream:
+        stream.write_table(seeds)
+    seeds = sink.getvalue().to_pybytes()
     sizes = spark.createDataFrame([(r.bucket, -(-r.n // PART), float(r.longest)) for r in buckets], "b long, parts long, longest double")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "norm")
     n_blocks = -(-asked.count() // BLOCK) or 1
-    asked = asked.mapInArrow(functools.partial(_bounds, seeds=seeds, k=k), "vec_id long, v array<long>, norm double, bound double")
+    asked = asked.mapInArrow(functools.partial(_bounds, seeds=seeds, k=k), "vec_id long, v array<double>, norm double, bound double")
     asked = checkpoint(asked)
     routed = asked.join(F.broadcast(sizes), F.col("norm") * F.col("longest") >= F.col("bound") * (1 - 1e-9))
     routed = routed.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "b", "parts", F.struct("vec_id", "v", "norm", "bound").alias("q"))
@@ -152,9 +179,12 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     dealt = rows.join(F.broadcast(sizes), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
     parts = dealt.groupBy("b", "part").agg(F.collect_list(F.struct("vec_id", "v", "norm")).alias("members"))
     pairs = blocks.join(parts, ["b", "part"]).select("queries", "members")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = pairs.mapInArrow(functools.partial(_search, k=k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInArrow(functools.partial(_search, k=k), "query_id long, vec_id long, score long, exact string")
+    # beyond 64 bits the exact score, by sign, number of digits and digits, decides before the clipped one
+    minus, digits = F.col("exact").startswith("-"), F.lpad(F.replace(F.col("exact"), F.lit("-"), F.lit("")), 90, "0")
+    above = F.when((F.col("score") == MOST) & ~minus, digits).otherwise("")
+    below = F.when((F.col("score") == LEAST) & minus, digits).otherwise("")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), above.desc(), below.asc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quillon.llm import topk
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
@@ -39,6 +41,18 @@ def test_edge_cases(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_huge_components(spark):
+    """Beyond 64 bits scores are ranked exactly and shown as the nearest long."""
+    draw = random.Random(3)
+    rows = [(i, [draw.choice([1e30, -1e30, 3e20, 2.0, -1.5]), draw.choice([1e30, 1.0])], 0) for i in range(60)]
+    rows = [(i, [float(np.float32(x)) for x in v], z) for i, v, z in rows]
+    clip = lambda s: min(max(s, topk.LEAST), topk.MOST)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), 5, 5).collect()
+    assert sorted(map(tuple, got)) == [(q, r, i, clip(s)) for q, r, i, s in brute(rows, 5, 5)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_repeated_rows_are_candidates(spark):
     rows = [(0, [1.0], 0), (1, [2.0], 0), (1, [2.0], 0), (2, [1.0], 0)]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA), 5, 2).orderBy("rank").collect()]
