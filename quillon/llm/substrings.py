@@ -21,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, checkpoint, row_blocks, small_batches, utf8
+from quillon.llm.common import WordHashes, checkpoint, row_blocks, utf8
 
 WINDOW = 35
 #: Bytes of text handled at a time.
 SLICE = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_BACK2 = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+#: An anchor is hot if it has more than one in so many of all recurring occurrences.
+HOT = 2000
 _ANCHORS = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("v", pa.int64())])
 _WINDOWS = pa.schema([("uid", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -50,6 +54,7 @@ class Spans:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, window: int) -> None:
         n, self.window = len(hashes), window
+        self.hashes = hashes
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, n), dtype=np.uint64)])
         self.back = _powers(_BACK, n + 1)
         half = (window + 1) // 2
@@ -81,15 +86,21 @@ class Spans:
         extent = (self.anchor - self.first) * window + (self.last - self.first)
         self.v = _mixed(self.key(self.first, self.last + window - self.first) + extent.astype(np.uint64))
 
-    def key(self, start: np.ndarray, length: int | np.ndarray, by: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    def key(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         """Hash of so many words from each start on."""
-        return _mixed((self.sums[start + length] - self.sums[start]) * self.back[start], by)
+        return _mixed((self.sums[start + length] - self.sums[start]) * self.back[start])
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def second(self, start: np.ndarray) -> np.ndarray:
+        """Another hash of the whole windows: other word hashes and another base."""
+        n = len(self.hashes)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(self.hashes, 0xFF51AFD7ED558CCD) * _powers(_BASE2, n), dtype=np.uint64)])
+        return _mixed((sums[start + self.window] - sums[start]) * _powers(_BACK2, n + 1)[start])
+
+    def windows(self, which: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and both hashes of the whole windows of the chosen anchors."""
         n = self.last[which] - self.first[which] + 1
         start = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return start, self.key(start, self.window), self.key(start, self.window, 0xC2B2AE3D27D4EB4F)
+        return start, self.key(start, self.window), self.second(start) if second else start
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -151,7 +162,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iter
         sure = np.flatnonzero(_among(spans.h, owner, whole))
         np.add.at(edge, spans.first[sure], 1)
         np.add.at(edge, spans.last[sure] + window, -1)
-        start, k1, _ = spans.windows(np.flatnonzero(_among(spans.h, owner, mixed)))
+        start, k1, _ = spans.windows(np.flatnonzero(_among(spans.h, owner, mixed)), second=False)
         again = start[_among(k1, _owner(counts, start), found)]
         np.add.at(edge, again, 1)
         np.add.at(edge, again + window, -1)
@@ -172,8 +183,15 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows all recur, of those with different surroundings, and of their windows that recur."""
     anchors = docs.mapInArrow(functools.partial(_anchors, window=window), "uid long, h long, v long")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 1")
-    often = often.select("h", (F.col("low") == F.col("high")).alias("same"))
-    met = anchors.select("uid", "h").join(often, "h").groupBy("uid").agg(
+    often = checkpoint(often.select("h", "n", (F.col("low") == F.col("high")).alias("same")))
+    # anchors that fill more than a small share of a task by themselves, HOT at most, are looked up in a broadcast
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = often.where(F.col("n") * HOT > total).select("h", F.col("same").alias("hot"))
+    asked = anchors.select("uid", "h").join(F.broadcast(hot), "h", "left")
+    asked = asked.withColumn("key", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("h", "uid")))
+    rest = often.select(F.col("h").alias("key"), "same").join(hot.select(F.col("h").alias("key")), "key", "left_anti")
+    asked = asked.join(rest, "key", "left").select("uid", "h", F.coalesce("hot", "same").alias("same"))
+    met = asked.where("same is not null").groupBy("uid").agg(
         F.collect_set(F.when(F.col("same"), F.col("h"))).alias("whole"), F.collect_set(F.when(~F.col("same"), F.col("h"))).alias("mixed")
     )
     met = checkpoint(met)
@@ -191,10 +209,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     Words are runs of anything but ASCII white space. Each word is removed that a
     window covers whose words also start anywhere else, the same document and repeated
     rows included. Null and empty texts have no words; texts shorter than a window keep
-    all. Null ids are kept as they are. An empty table gives no rows. Windows are told
-    apart by 128-bit hashes, anchors' surroundings by 64 bits beside their own 64.
+    all. Null ids are kept as they are. An empty table gives no rows. Words are told apart by
+    64-bit hashes, windows by two polynomial hashes of 64 bits with different bases and different
+    word hashes, anchors' surroundings by 64 bits beside their own 64.
     """
-    small_batches(docs.sparkSession, 1000)
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text")).withColumn("uid", F.xxhash64("text"))
     found = repeated(rows.select("uid", "text"), window)
     all_ = rows.join(found, "uid", "left").select("doc_id", "text", "whole", "mixed", "found")
