@@ -56,12 +56,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the Arrow batches handed to Python, as some texts are very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge: (node, root).
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import attention as A
 from quillon.llm.bpe import Encoder
-from quillon.llm.common import WordHashes, checkpoint, remainder, row_blocks, small_batches, utf8
+from quillon.llm.common import WordHashes, checkpoint, remainder, row_blocks, utf8
 
 #: Characters of text in a block of documents; distinct words of a block in a bucket, about.
 BLOCK, BUCKET = 12_000_000, 20_000
@@ -356,7 +356,6 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     any training text, N and V are 0 and the model is its smoothing. Words are told apart
     by 64-bit hashes. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession, 1000)
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text"), (remainder(F.col("doc_id"), 10) != 0).alias("train"))
     rows = rows.withColumn("uid", F.xxhash64("text", "doc_id"))
     size, n_train = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()

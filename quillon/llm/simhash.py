@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm.common import checkpoint, connected_components, small_batches, utf8
+from quillon.llm.common import checkpoint, connected_components, utf8
 
 #: Seed of XXH64, and bits that the radius of 2 is halved to.
 SEED = 42
@@ -61,7 +61,6 @@ def simhash(text: bytes, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint's 64 bits as a long; a null text counts as empty."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.LongType())
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,7 +141,6 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(uid, prints, bands) of each text: its hash, TABLES fingerprints that carry their table's
     number above the bits, and the keys of BANDS bands of its shingles of ``words`` words."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<prints: array<bigint>, bands: array<bigint>>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -160,7 +158,6 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, uids: DataFrame, words: int = WORDS) -> DataFrame:
     """(uid, shingles): the hashes of all shingles of the texts that ``uids`` names."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import checkpoint, remainder, small_batches, utf8
+from quillon.llm.common import checkpoint, remainder, utf8
 
 #: The model is fitted on this many labelled rows at most, those with the smallest hash of their id.
 SAMPLE = 16384
@@ -205,7 +205,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "found": [model.evidence(*model.raw(t, scores)) for t in batch["text"]]})
 
-    small_batches(docs.sparkSession)
     seen = sorted(map(tuple, texts.mapInPandas(best, "toxic int, n long, best double").collect()))
     model.calibrate([(n, s) for _, n, s in seen], np.array([t for t, _, _ in seen], float))
     # with the scale, a second scan has the evidence of all segments
@@ -221,7 +220,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     segment and the score of such texts. Without labels of both kinds every score is
     the smoothed share of toxic labels. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     model = fit(docs, labels, sample)
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.LongType())]))
@@ -236,7 +234,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic."""
-    small_batches(docs.sparkSession)
     model = fit(docs, labels)
 
     @F.pandas_udf(T.BooleanType())
