@@ -9,15 +9,18 @@ end of the text; their log frequencies start the output's bias.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
-D, HIDDEN, CLASSES, WIDTH, STRIDE = 16, 32, 128, 48, 36
+D, HIDDEN, CLASSES, WIDTH, STRIDE = 16, 32, 256, 64, 48
 #: Inputs: BOS, then the most frequent subwords, then the rest shared by id.
 SLOTS, FREQUENT = 4096, 3584
 BOS = 0
-BATCH = 20
+BATCH = 32
+#: Longest gradient of a step.
+CLIP = 1.0
 _NEG = np.float32(-1e9)
 
 
@@ -77,10 +80,10 @@ def log_probs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np
     """Natural log-probability of each row's target class."""
     z = h @ p["O"]
     z += p["b"]
+    z -= z.max(1, keepdims=True)
     own = z[np.arange(len(z)), target]
-    np.minimum(z, 80, out=z)
     np.exp(z, out=z)
-    return np.minimum(own, 80) - np.log(z.sum(1))
+    return own - np.log(z.sum(1))
 
 
 def gradient(p: dict[str, np.ndarray], mean: np.ndarray, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -153,7 +156,10 @@ def train(p: dict[str, np.ndarray], data: Windows, seed: int, rate: float) -> di
         own = np.repeat(gx.reshape(-1, D) / np.maximum(per, 1)[:, None], per, axis=0)
         cells = slots[:, None] * D + np.arange(D)
         grads["E"] = np.bincount(cells.ravel(), own.ravel(), SLOTS * D).reshape(SLOTS, D).astype(np.float32)
+        length = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         for k, g in grads.items():
+            if length > CLIP:
+                g = g * np.float32(CLIP / length)
             m[k] += 0.1 * (g - m[k])
             s[k] += 0.02 * (g * g - s[k])
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-7)

@@ -5,8 +5,8 @@ P(word | first subword). The first factor comes from the attention model; the ot
 from counts over all training texts, where words that never occurred are spelt with
 subwords. Work is dealt in blocks of documents. A block sends every distinct word once,
 by hash, to the bucket that adds its count over all blocks, and gets the sum back.
-Training windows are taken from all training texts at one rate; replicas of the model
-train on their share and are averaged after each round.
+Every window of every training text trains the model, in one of the rounds; replicas of
+the model train on their share and are averaged after each round.
 """
 
 from __future__ import annotations
@@ -24,18 +24,19 @@ from quillon.llm import attention as A
 from quillon.llm.bpe import Encoder
 from quillon.llm.common import WordHashes, checkpoint, remainder, row_blocks, utf8
 
-#: Characters of text in a block of documents; distinct words of a block in a bucket, about.
-BLOCK, BUCKET = 12_000_000, 20_000
-#: One window in RATE trains the model, each in one of the rounds, whose learning rates these are.
-RATE, ROUNDS = 10, (0.02, 0.02, 0.01, 0.005)
+#: Bytes of text in a block of documents, and blocks whose windows one replica of the model sees.
+BLOCK, SHARE = 12_000_000, 4
+#: Each training window is seen in one of the rounds, whose learning rates these are.
+ROUNDS = (0.01, 0.01, 0.005, 0.002)
 PIECES = 50257
 #: Groups of rarer first subwords.
-GROUPS = 40
+GROUPS = 64
 CHUNK = 4096
+#: Codes of a position of a training window: from LONG subwords on their number follows; BOS, the end.
+LONG, STARTS, ENDS = 250, 251, 252
 #: Classes, by id, of neighbouring subwords in a word; the last is the word's end. Weight of the unconditional share.
 NEAR, PRIOR = 1021, 10.0
-_NEXT = np.dtype([("k", "<u4"), ("n", "<u8")])
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("f", "<u2")])
+_ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("f", "<u2")])  # counts of one block, whose bytes bound them
 _SENT = "kind int, key long, block long, a binary, b binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
@@ -142,11 +143,24 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _sparse(counts: np.ndarray) -> bytes:
+def _sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of what is not zero."""
     some = np.flatnonzero(counts)
-    found = np.empty(len(some), _NEXT)
-    found["k"], found["n"] = some, counts[some]
-    return found.tobytes()
+    return some.astype("<i8").tobytes(), counts[some].astype("<i8").tobytes()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in (a, b)], names=["k", "n"])
+
+
+def _totals(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of all rows' counts, added up by Spark place by place; the tokenizer bounds ``size``."""
+    sums = rows.select("a", "b").mapInArrow(_unpacked, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(size, np.int64)
+    found[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
+    return found
 
 
 def _keyed(step: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -162,15 +176,15 @@ def _buckets(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(line: np.ndarray, skips: list[int], flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
-    """Subwords of the windows' words, 250 of a word at most; and how many each position has,
-    251 for BOS and 252 for the end, then how many positions of each window only give context."""
+    """Subwords of the windows' words; and how many each position has, or its code, then how many
+    positions of each window only give context, then the numbers of long words' subwords."""
     real = line[line >= 0]
-    n = np.minimum(sizes[real], 250)
+    n = sizes[real]
     where = np.repeat(begin[real] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     code = np.zeros(len(line), np.uint8)
-    code[line >= 0] = n
-    code[line == -1], code[line == -3] = 251, 252
-    return flat[where].astype("<u2").tobytes(), code.tobytes() + bytes(skips)
+    code[line >= 0] = np.minimum(n, LONG)
+    code[line == -1], code[line == -3] = STARTS, ENDS
+    return flat[where].astype("<u2").tobytes(), code.tobytes() + bytes(skips) + n[n >= LONG].astype("<u4").tobytes() + len(skips).to_bytes(8, "little")
 
 
 def _gather(key: tuple, table: pa.Table, path: str | None, buckets: int) -> pa.Table:
@@ -196,8 +210,8 @@ def _gather(key: tuple, table: pa.Table, path: str | None, buckets: int) -> pa.T
     then = np.append(flat[1:] % NEAR, NEAR)
     then[begin[1:] - 1] = NEAR
     after = np.bincount((flat % NEAR) * (NEAR + 1) + then, once, (NEAR + 1) ** 2) if len(names) else np.zeros((NEAR + 1) ** 2)
-    rows.append((1, -1, block, np.concatenate([first, rest, [c.sum(), train.sum(), np.minimum(c, 1).sum()]]).astype("<i8").tobytes(), _sparse(after)))
-    # windows of the training texts, one in RATE by a hash of text and place
+    rows.append((1, -1, block, *_sparse(np.concatenate([first, rest, [c.sum(), train.sum(), np.minimum(c, 1).sum()], after]))))
+    # windows of the training texts, dealt to rounds by a hash of text and place
     ends = np.cumsum(counts)
     lines: list[list] = [[] for _ in ROUNDS]
     skips: list[list] = [[] for _ in ROUNDS]
@@ -206,8 +220,6 @@ def _gather(key: tuple, table: pa.Table, path: str | None, buckets: int) -> pa.T
             continue
         for s in A.starts(z - a + 1):
             drawn = (uid * 0x9E3779B97F4A7C15 + (s + 1) * 0xD6E8FEB86659FD93) % (1 << 64) // (1 << 32)
-            if drawn % RATE:
-                continue
             # the position before each word, then the last word to predict. -1: BOS, -2: nothing, -3: the end
             own = number[a + max(s - 1, 0) : min(a + s + A.WIDTH, z)]
             line = np.full(A.WIDTH + 1, -2, np.int64)
@@ -215,8 +227,8 @@ def _gather(key: tuple, table: pa.Table, path: str | None, buckets: int) -> pa.T
             line[: len(own)] = own[: A.WIDTH + 1]
             if len(own) <= A.WIDTH:
                 line[len(own)] = -3
-            lines[drawn // RATE % len(ROUNDS)].append(line)
-            skips[drawn // RATE % len(ROUNDS)].append(A.WIDTH - A.STRIDE if s else 0)
+            lines[drawn % len(ROUNDS)].append(line)
+            skips[drawn % len(ROUNDS)].append(A.WIDTH - A.STRIDE if s else 0)
     for turn in range(len(ROUNDS)):
         if lines[turn]:
             rows.append((2, turn, block, *_coded(np.concatenate(lines[turn]), skips[turn], flat, begin, sizes)))
@@ -229,16 +241,16 @@ def _add(key: tuple, table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, _ENTRY) for x in blobs]
     every = np.concatenate(parts)
     h, place = np.unique(every["h"], return_inverse=True)
-    total = np.bincount(place, every["c"].astype(float), len(h)).astype("<u4" if len(every) < 2**20 else "<u8").astype("<u8")
+    total = np.zeros(len(h), np.uint64)
+    np.add.at(total, place, every["c"].astype(np.uint64))
     first = np.zeros(len(h), np.int64)
     first[place] = every["f"]
     known = total > 0
     kinds = np.bincount(first[known], minlength=PIECES)
-    some = np.flatnonzero(kinds)
     cuts = np.cumsum([len(x) for x in parts])[:-1]
     b = key[0].as_py()
-    rows = [(0, b, block, t.astype("<u4").tobytes(), None) for block, t in zip(table.column("block").to_pylist(), np.split(total[place], cuts), strict=True)]
-    rows.append((1, -1, b, np.array([known.sum()], "<i8").tobytes(), np.stack([some, kinds[some]]).astype("<i8").tobytes()))
+    rows = [(0, b, block, t.astype("<u8").tobytes(), None) for block, t in zip(table.column("block").to_pylist(), np.split(total[place], cuts), strict=True)]
+    rows.append((1, -1, b, *_sparse(np.append(kinds, known.sum()))))
     return pa.Table.from_batches([_batch(rows, _SENT)])
 
 
@@ -246,18 +258,19 @@ def _windows(vocabulary: Vocabulary, rows: list[tuple[bytes, bytes]]) -> A.Windo
     slots, sizes, targets, weights = [], [], [], []
     for pieces, more in rows:
         pieces, more = np.frombuffer(pieces, "<u2").astype(np.int64), np.frombuffer(more, np.uint8)
-        n = len(more) // (A.WIDTH + 2)
-        skip = more[n * (A.WIDTH + 1) :].astype(np.int64)
+        n = int.from_bytes(more[-8:].tobytes(), "little")
+        skip = more[n * (A.WIDTH + 1) : n * (A.WIDTH + 2)].astype(np.int64)
         code = more[: n * (A.WIDTH + 1)].astype(np.int64).reshape(n, -1)
-        size = np.where(code > 250, 0, code)
+        size = np.where(code > LONG, 0, code)
+        size[code == LONG] = np.frombuffer(more[n * (A.WIDTH + 2) : -8].tobytes(), "<u4")
         begin = (np.cumsum(size.ravel()) - size.ravel()).reshape(size.shape)
         lead = vocabulary.cls[pieces[np.minimum(begin, len(pieces) - 1)]] if len(pieces) else np.zeros_like(code)
-        target = np.where(code == 252, 0, lead)[:, 1:]
+        target = np.where(code == ENDS, 0, lead)[:, 1:]
         weight = ((code[:, 1:] > 0) & (np.arange(A.WIDTH) >= skip[:, None])).astype(np.float32)
         # inputs: all but the last position; BOS has one slot, the end none
-        given = np.where(code == 251, 1, size)
+        given = np.where(code == STARTS, 1, size)
         flat = np.full(int(given.sum()), A.BOS, np.int64)
-        at = np.repeat((code != 251).ravel(), given.ravel())
+        at = np.repeat((code != STARTS).ravel(), given.ravel())
         flat[at] = vocabulary.slot[pieces]
         keep = np.repeat(np.broadcast_to(np.arange(A.WIDTH + 1) < A.WIDTH, given.shape).ravel(), given.ravel())
         slots.append(flat[keep])
@@ -284,12 +297,10 @@ def _average(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch([(key[0].as_py(), weight, (total / max(weight, 1e-9)).astype("<f4").tobytes())], "chunk int, weight double, a binary")])
 
 
-def fit(windows: DataFrame, vocabulary: Vocabulary) -> bytes:
+def fit(windows: DataFrame, vocabulary: Vocabulary, replicas: int) -> bytes:
     """Parameters after all rounds. Each round's replicas train from the same state; the
     driver gets their average only, whose size is fixed."""
-    spark = windows.sparkSession
     state = A.flat(A.fresh(vocabulary.bias)).astype("<f4").tobytes()
-    replicas = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = windows.withColumn("replica", F.pmod(F.xxhash64("block", "turn"), F.lit(replicas)))
     for turn, rate in enumerate(ROUNDS):
         step = functools.partial(_replica, state=state, vocabulary=vocabulary, rate=rate, turn=turn)
@@ -303,7 +314,7 @@ def fit(windows: DataFrame, vocabulary: Vocabulary) -> bytes:
 def _score(key: tuple, docs: pa.Table, sums: pa.Table, path: str | None, buckets: int, state: bytes, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     words = Words(path)
     params = A.unflat(np.frombuffer(state, np.float32), A.fresh(vocabulary.bias))
-    total = {b: np.frombuffer(x, "<u4") for b, x in zip(sums.column("key").to_pylist(), sums.column("a").to_pylist(), strict=True)}
+    total = {b: np.frombuffer(x, "<u8").astype(np.int64) for b, x in zip(sums.column("key").to_pylist(), sums.column("a").to_pylist(), strict=True)}
     texts = docs.column("text").to_pylist()
     number, counts, hashes, names = words.split(texts)
     order, _ = _buckets(hashes, buckets)
@@ -340,12 +351,6 @@ def _score(key: tuple, docs: pa.Table, sums: pa.Table, path: str | None, buckets
     yield from pa.Table.from_batches([_batch(rows, _SCORED)]).to_batches()
 
 
-def _summed(rows: DataFrame, add: Callable) -> list:
-    """One row with the sum of all rows' histograms, added up in two steps."""
-    few = rows.select("a", "b").mapInArrow(add, "a binary, b binary").repartition(16).mapInArrow(add, "a binary, b binary")
-    return few.repartition(1).mapInArrow(add, "a binary, b binary").collect()
-
-
 def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (both log10).
@@ -365,18 +370,13 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     gather = functools.partial(_gather, path=path, buckets=buckets)
     sent = checkpoint(dealt.groupBy("block").applyInArrow(_keyed(gather), _SENT))
     back = checkpoint(sent.where("kind = 0").groupBy("key").applyInArrow(_add, _SENT))
-    counts, after = np.zeros(2 * PIECES + 3, np.int64), np.zeros((NEAR + 1) ** 2)
-    kinds, distinct = np.zeros(PIECES, np.int64), 0
-    # one row each, whose size the tokenizer bounds
-    for r in _summed(sent.where("kind = 1"), _sum_histograms):
-        pairs = np.frombuffer(r.b, _NEXT)
-        counts, after[pairs["k"]] = np.frombuffer(r.a, "<i8"), pairs["n"]
-    for r in _summed(back.where("kind = 1"), _sum_kinds):
-        which, n = np.frombuffer(r.b, "<i8").reshape(2, -1)
-        kinds[which], distinct = n, int(np.frombuffer(r.a, "<i8")[0])
+    every = _totals(sent.where("kind = 1"), 2 * PIECES + 3 + (NEAR + 1) ** 2)
+    counts, after = every[: 2 * PIECES + 3], every[2 * PIECES + 3 :].astype(float)
+    *kinds, distinct = _totals(back.where("kind = 1"), PIECES + 1).tolist()
+    kinds = np.array(kinds, np.int64)
     first, rest, (n_words, n_texts, n_once) = counts[:PIECES], counts[PIECES : 2 * PIECES], counts[2 * PIECES :]
     vocabulary = Vocabulary(first, rest, kinds, after, int(n_once), int(n_texts))
-    state = fit(sent.where("kind = 2").select("block", F.col("key").alias("turn"), "a", "b"), vocabulary)
+    state = fit(sent.where("kind = 2").select("block", F.col("key").alias("turn"), "a", "b"), vocabulary, int(blocks // SHARE) + 1)
     n, v = int(n_words + n_texts), distinct + (n_texts > 0)
     score = functools.partial(_score, path=path, buckets=buckets, state=state, vocabulary=vocabulary)
     replies = back.where("kind = 0").select("key", "block", "a")
@@ -387,27 +387,3 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     base = F.col("base") + F.lit(end) - F.col("n_tokens") * F.lit(norm)
     return scored.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
-
-def _sum_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, after, some = np.zeros(2 * PIECES + 3, np.int64), np.zeros((NEAR + 1) ** 2, np.int64), False
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            total += np.frombuffer(a, "<i8")
-            pairs = np.frombuffer(b, _NEXT)
-            after[pairs["k"]] += pairs["n"].astype(np.int64)
-            some = True
-    if some:
-        yield _batch([(total.tobytes(), _sparse(after))], "a binary, b binary")
-
-
-def _sum_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, distinct, some = np.zeros(PIECES, np.int64), 0, False
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            which, n = np.frombuffer(b, "<i8").reshape(2, -1)
-            total[which] += n
-            distinct += int(np.frombuffer(a, "<i8")[0])
-            some = True
-    if some:
-        kinds = np.flatnonzero(total)
-        yield _batch([(np.array([distinct], "<i8").tobytes(), np.stack([kinds, total[kinds]]).astype("<i8").tobytes())], "a binary, b binary")

@@ -96,7 +96,7 @@ def test_the_future_is_masked_and_windows_tile():
     y[0, 40:] = 9
     a, b = (A.attend(p, v)[0].reshape(A.WIDTH, -1) for v in (x, y))
     assert np.allclose(a[:40], b[:40]) and not np.allclose(a[40:], b[40:])
-    for n in (1, 63, 64, 65, 112, 113, 500):
+    for n in (1, 63, 64, 65, 112, 113, 500, 4000):
         scored = [s + k for s in A.starts(n) for k in range(A.WIDTH - A.STRIDE if s else 0, A.WIDTH) if s + k < n]
         assert sorted(scored) == list(range(n))
 
