@@ -3,18 +3,15 @@
 A line's words with a digit are variable fields. The tree's levels are the number of
 words and the leading words; a leaf holds the lines that agree in both.
 
-In the pipeline, a leaf's lines share the words that five of them or more have at one
-position. Other positions are variable, as long as half of a line's words or more are
-shared, one of them after the leading ones: then what is shared is the line's template,
-else the masked line is. In op3_lines, positions at which a leaf's lines of 40 words or
-fewer differ are variable, as long as half of its words or more stay the same: then the
-leaf is one template.
-
-The pipeline drops every template that DOCS different texts hold, wherever it stands in
-them. Copies of documents are left to near-duplicate removal: equal texts count as one,
-and so do texts of which more than half recurs and whose rarest recurring template is
-the same. The query op3_lines follows its SQL, which drops a template only if ever other
-lines precede and follow it.
+A leaf's lines share the words that five of them or more have at one position. Other
+positions are variable, as long as half of a line's words or more are shared, one of
+them after the leading ones: then what is shared is the line's template, else the
+masked line is.
+
+Every template that DOCS different texts hold is dropped, wherever it stands in them.
+Copies of documents are left to near-duplicate removal: equal texts count as one, and
+so do texts of which more than half recurs and whose rarest recurring template is the
+same. Lines, words and templates are told apart by 60 bits of MD5, which SQL has too.
 """
 
 from __future__ import annotations
@@ -28,10 +25,6 @@ from quillon.llm.common import checkpoint
 
 #: Leading words of a leaf, words of the shortest template, documents from which it recurs.
 DEPTH, SHORTEST, DOCS = 3, 3, 5
-#: Words of the longest line whose positions may be variable; longer lines are templates as masked.
-LONGEST = 40
-#: Different lines before, and after, a template for each document with it, at least.
-VARIETY = 0.2
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 SPACE = r"[\x20\x09-\x0D]+"
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -47,12 +40,17 @@ def masked(line: Column) -> Column:
     return F.when(F.greatest(*[line.contains(str(d)) for d in range(10)]), F.regexp_replace(plain, FIELD, "<*>")).otherwise(plain)
 
 
+def number(text: Column) -> Column:
+    """60 bits of the text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _words(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _leaf(line: Column, n: Column, depth: int) -> Column:
-    return F.xxhash64(n, F.substring_index(line, " ", depth))
+    return number(F.concat_ws(" ", n, F.substring_index(line, " ", depth)))
 
 
 def _patterns(lines: DataFrame, rows: DataFrame, depth: int, least: int) -> DataFrame:
@@ -66,50 +64,23 @@ def _patterns(lines: DataFrame, rows: DataFrame, depth: int, least: int) -> Data
     leaves = kinds.groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
     kinds = lines.select(F.explode("lines").alias("line")).withColumn("n", _words(F.col("line"))).where(F.col("n") > depth)
     kinds = kinds.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).join(leaves, "leaf", "left_semi")
-    words = F.transform(F.split("line", " "), lambda x: F.when(x != "<*>", F.xxhash64(x)))
-    kinds = checkpoint(kinds.select("leaf", "n", F.xxhash64("line").alias("t"), words.alias("words")).dropDuplicates(["leaf", "t"]))
+    words = F.transform(F.split("line", " "), lambda x: F.when(x != "<*>", number(x)))
+    kinds = kinds.dropDuplicates(["line"])
+    kinds = checkpoint(kinds.select("leaf", "n", number(F.col("line")).alias("t"), words.alias("words")))
     words = kinds.select("leaf", "t", "n", F.posexplode("words").alias("at", "word")).where("word is not null")
     fixed = words.groupBy("leaf", "at", "word").count().where(F.col("count") >= least).drop("count")
     words = words.join(fixed, ["leaf", "at", "word"], "left_semi")
-    mixed = F.bit_xor(F.xxhash64("at", "word"))
+    mixed = F.bit_xor(number(F.concat_ws(" ", "at", "word")))
     shared = words.groupBy("leaf", "t", "n").agg(mixed.alias("mixed"), F.count("*").alias("fixed"), F.max("at").alias("last"))
     shared = shared.where((2 * F.col("fixed") >= F.col("n")) & (F.col("last") >= depth))
-    return shared.select("leaf", "t", F.xxhash64("leaf", "mixed", F.lit("pattern")).alias("pattern"))
-
-
-def boilerplate(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, longest: int = LONGEST, least: int = DOCS, variety: float = VARIETY) -> DataFrame:
-    """(key, dropped): for each document key the positions, from 0, of the lines to drop."""
-    lines = docs.select("key", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
-    each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), F.xxhash64(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
-    rows = lines.select("key", each.alias("each")).select("key", "each", F.posexplode("each").alias("pos", "x")).where(F.col("x.n") >= shortest)
-    near = lambda by: F.when((F.col("pos") + by >= 0) & (F.col("pos") + by < F.size("each")), F.get("each", F.col("pos") + by)["t"])
-    rows = checkpoint(rows.select("key", "pos", "x.*", near(-1).alias("before"), near(1).alias("after")))
-    # leaves with several masked lines: which positions differ
-    leaves = rows.where(F.col("n") <= longest).groupBy("leaf").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("c"))
-    leaves = leaves.where(F.col("c") >= least).where("low <> high").select("leaf")
-    short = lines.select(F.explode("lines").alias("line")).withColumn("n", _words(F.col("line"))).where(F.col("n").between(shortest, longest))
-    kinds = short.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).distinct().join(leaves, "leaf", "left_semi")
-    words = kinds.select("leaf", "n", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    same = words.groupBy("leaf", "n", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"))
-    whole = same.groupBy("leaf", "n").agg(F.sum(F.when((F.col("low") == F.col("high")) & (F.col("low") != "<*>"), 1).otherwise(0)).alias("fixed"))
-    whole = whole.where(2 * F.col("fixed") >= F.col("n")).select(F.col("leaf").alias("whole"))
-    rows = rows.join(whole, F.col("leaf") == F.col("whole"), "left")
-    rows = rows.select("key", "pos", F.coalesce(F.xxhash64("whole", F.lit("leaf")) * F.when(F.col("whole").isNotNull(), 1), "t").alias("template"), "before", "after")
-    # the many templates of a few lines go before documents and neighbours are counted
-    often = rows.groupBy("template").count().where(F.col("count") >= least).select("template")
-    rows = checkpoint(rows.join(often, "template", "left_semi"))
-    each = [rows.groupBy("template", x).agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(x).alias(f"n_{x}")) for x in ("key", "before", "after")]
-    often = each[0].where(F.col("n_key") >= least)
-    for other in each[1:]:
-        often = often.join(other, "template")
-    often = often.where(F.least("n_before", "n_after") >= F.greatest(F.lit(float(least)), variety * F.col("n_key")))
-    return rows.select("key", "pos", "template").join(often.select("template"), "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("dropped"))
+    return shared.select("leaf", "t", number(F.concat_ws(" ", F.lit("pattern"), "leaf", "mixed")).alias("pattern"))
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, least: int = DOCS) -> DataFrame:
-    """(key, dropped) as from ``boilerplate``, for all templates that ``least`` texts hold which are no copies; keys tell texts apart."""
+    """(key, dropped): for each text with lines to drop their positions, from 0: lines of all templates
+    that ``least`` texts hold which are no copies. Keys tell texts apart."""
     lines = docs.select("key", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
-    each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), F.xxhash64(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
+    each = F.transform("lines", lambda x: F.struct(_words(x).alias("n"), number(x).alias("t"), _leaf(x, _words(x), depth).alias("leaf")))
     total = F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + F.when(x["n"] >= shortest, x["n"]).otherwise(0))
     rows = lines.select("key", each.alias("each")).withColumn("total", total).select("key", "total", F.posexplode("each").alias("pos", "x"))
     rows = checkpoint(rows.where(F.col("x.n") >= shortest).select("key", "pos", "total", "x.*"))
@@ -119,7 +90,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, lea
     rows = checkpoint(rows.join(texts, "template"))
     # rows of equal texts repeat; a text that mostly recurs is known by its rarest template, which its copies share; any other text by itself
     alike = rows.groupBy("key").agg((2 * F.sum("n") * F.size(F.collect_set("pos")) > F.first("total") * F.count("*")).alias("mostly"), F.min(F.struct("texts", "template")).alias("rarest"))
-    alike = alike.select("key", F.when(F.col("mostly"), F.xxhash64("rarest", F.lit("copies"))).otherwise(F.col("key")).alias("source"))
+    alike = alike.select("key", F.when(F.col("mostly"), F.xxhash64("rarest.template", F.lit("copies"))).otherwise(F.col("key")).alias("source"))
     held = rows.select("template", "key").distinct().join(alike, "key").groupBy("template", "source").agg(F.lit(1).alias("one"))
     often = held.groupBy("template").agg(F.count("*").alias("sources")).where(F.col("sources") >= least).select("template")
     return rows.select("key", "pos", "template").join(often, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("dropped"))
@@ -141,11 +112,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 (null for a null text).
 
     Lines end at line feeds. Lines of less than SHORTEST words are always kept. A null
-    text has no lines, an empty one has one. Repeated rows (same doc_id and text) count
-    as one document and each give a row; null ids are kept. An empty table gives no rows.
+    text has no lines, an empty one has one. Equal texts count as one, and each row gives
+    a row; null ids are kept. Ties between rarest templates go to the smaller number. An
+    empty table gives no rows.
     """
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    return with_kept(docs.select("doc_id", "text"), boilerplate, key).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    done = with_kept(docs.select("doc_id", "text"), recurring, F.xxhash64("text"))
+    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
@@ -155,22 +127,30 @@ def without_boilerplate(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (
-  SELECT doc_id, ln, i, regexp_replace(regexp_replace(regexp_replace(ln, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
-r AS (
-  SELECT *, CASE WHEN m = '' THEN 0 ELSE len(string_split(m, ' ')) END AS n, array_to_string(string_split(m, ' ')[1:3], ' ') AS lead,
-    lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(m) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM l),
-q AS (SELECT * FROM r WHERE n >= 3),
-k AS (SELECT DISTINCT n, lead, m FROM q WHERE (n, lead) IN (SELECT (n, lead) FROM q WHERE n <= 40 GROUP BY n, lead HAVING count(DISTINCT m) > 1)),
-p AS (SELECT n, lead, unnest(string_split(m, ' ')) AS w, generate_subscripts(string_split(m, ' '), 1) AS j FROM k),
-s AS (SELECT n, lead, j, min(w) AS lo, max(w) AS hi FROM p GROUP BY ALL),
-g AS (SELECT n, lead FROM s GROUP BY n, lead HAVING 2 * count(*) FILTER (lo = hi AND lo <> '<*>') >= n),
-t AS (SELECT q.*, CASE WHEN g.n IS NULL THEN q.m ELSE NULL END AS k FROM q LEFT JOIN g ON q.n = g.n AND q.lead = g.lead),
-o AS (SELECT n, lead, k, count(DISTINCT doc_id) AS d, count(DISTINCT b) AS nb, count(DISTINCT a) AS na FROM t GROUP BY n, lead, k),
-x AS (SELECT doc_id, i FROM t JOIN o ON t.n = o.n AND t.lead = o.lead AND t.k IS NOT DISTINCT FROM o.k WHERE d >= 5 AND least(nb, na) >= greatest(5.0, 0.2 * d)),
-y AS (SELECT l.doc_id, string_agg(CASE WHEN x.i IS NULL THEN ln END, chr(10) ORDER BY l.i) AS kept, count(x.i) AS c FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id)
-SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(c, 0) AS n_dropped,
-  CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS kept_sha256
-FROM documents d LEFT JOIN y ON d.doc_id = y.doc_id
+WITH k AS (SELECT row_number() OVER () AS key, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT key, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM k),
+r AS (SELECT key, i, regexp_replace(regexp_replace(regexp_replace(ln, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS m FROM l),
+q AS (
+  SELECT *, ('0x' || md5(n || ' ' || array_to_string(string_split(m, ' ')[1:3], ' '))[1:15])::BIGINT AS leaf, ('0x' || md5(m)[1:15])::BIGINT AS t
+  FROM (SELECT *, len(string_split(m, ' ')) AS n FROM r WHERE m <> '') WHERE n >= 3),
+kinds AS (SELECT DISTINCT leaf, t, n, m FROM q),
+busy AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) >= 5),
+w AS (
+  SELECT leaf, t, n, ('0x' || md5(word)[1:15])::BIGINT AS word, pos FROM (
+    SELECT leaf, t, n, unnest(string_split(m, ' ')) AS word, generate_subscripts(string_split(m, ' '), 1) - 1 AS pos FROM kinds WHERE n > 3 AND leaf IN (SELECT leaf FROM busy))
+  WHERE word <> '<*>'),
+f AS (SELECT leaf, pos, word FROM w GROUP BY ALL HAVING count(*) >= 5),
+s AS (
+  SELECT leaf, t, ('0x' || md5('pattern ' || leaf || ' ' || bit_xor(('0x' || md5(pos || ' ' || word)[1:15])::BIGINT))[1:15])::BIGINT AS pattern
+  FROM w SEMI JOIN f USING (leaf, pos, word) GROUP BY leaf, t, n HAVING 2 * count(*) >= n AND max(pos) >= 3),
+a AS (SELECT q.key, q.i, q.n, sum(q.n) OVER (PARTITION BY q.key) AS total, coalesce(s.pattern, q.t) AS template FROM q LEFT JOIN s ON q.leaf = s.leaf AND q.t = s.t),
+c AS (SELECT template, count(DISTINCT key) AS texts FROM a GROUP BY template HAVING count(DISTINCT key) >= 5),
+b AS (SELECT a.*, c.texts FROM a JOIN c USING (template)),
+o AS (SELECT key, CASE WHEN 2 * sum(n) > any_value(total) THEN 'copies ' || min({'texts': texts, 'template': template}).template ELSE 'text ' || key END AS source FROM b GROUP BY key),
+d AS (SELECT template FROM b JOIN o USING (key) GROUP BY template HAVING count(DISTINCT source) >= 5),
+x AS (SELECT key, i FROM b WHERE template IN (SELECT template FROM d)),
+y AS (SELECT l.key, string_agg(CASE WHEN x.i IS NULL THEN ln END, chr(10) ORDER BY l.i) AS kept, count(x.i) AS c FROM l LEFT JOIN x ON l.key = x.key AND l.i = x.i GROUP BY l.key)
+SELECT e.doc_id, CASE WHEN e.text IS NULL THEN 0 ELSE len(string_split(e.text, chr(10))) END AS n_lines, coalesce(y.c, 0) AS n_dropped,
+  CASE WHEN e.text IS NULL THEN NULL ELSE sha256(coalesce(y.kept, '')) END AS kept_sha256
+FROM documents e LEFT JOIN k ON e.text = k.text LEFT JOIN y ON k.key = y.key
 """

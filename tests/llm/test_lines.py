@@ -59,3 +59,20 @@ def test_long_lines_and_leaves_with_strangers_have_variable_fields(spark):
     got = kept(spark, rows)
     assert all(got[d, "x"] == "\n".join(words(d, 30, k) for k in (1, 2, 3)) for d in range(6))
     assert got[9, "x"] == rows[-1][1]
+
+
+def test_query_agrees_with_its_sql(spark):
+    """Footers, variable fields, strangers in a leaf, copies, repeated rows and nulls, in Spark and in DuckDB."""
+    import duckdb
+
+    block = "all rights are reserved here\nreleased under the usual licence"
+    rows = [(d, f"{words(d, 30, 1)}\nlogin from user name{'abcdefgh'[d]} was accepted today\n\tthe  page {d} of 9\r\n{words(d, 9, 2)}\n{block}") for d in range(8)]
+    rows += [(20 + d, "\n".join([words(50, 12, 1), words(50, 12, 2), words(50, 12, 4), words(60 + d, 5, 3)])) for d in range(7)]
+    rows += [(9, f"{words(9, 30, 1)}\nlogin from user some other words stand"), (9, rows[0][1]), (None, None), (40, ""), (41, "\n\n")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = sorted(map(tuple, lines.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [list(r) for r in rows])
+    assert got == sorted(con.sql(f"select doc_id, n_lines, n_dropped, kept_sha256 from ({lines.SQL})").fetchall(), key=repr)
+    assert sum(r[2] for r in got) == 9 * 4
