@@ -50,7 +50,7 @@ def _words(line: Column) -> Column:
 
 
 def _leaf(line: Column, n: Column, depth: int) -> Column:
-    return number(F.concat_ws(" ", n, F.substring_index(line, " ", depth)))
+    return F.xxhash64(n, F.substring_index(line, " ", depth))
 
 
 def _patterns(lines: DataFrame, rows: DataFrame, depth: int, least: int) -> DataFrame:
@@ -66,14 +66,15 @@ def _patterns(lines: DataFrame, rows: DataFrame, depth: int, least: int) -> Data
     kinds = kinds.select("line", "n", _leaf(F.col("line"), F.col("n"), depth).alias("leaf")).join(leaves, "leaf", "left_semi")
     words = F.transform(F.split("line", " "), lambda x: F.when(x != "<*>", number(x)))
     kinds = kinds.dropDuplicates(["line"])
-    kinds = checkpoint(kinds.select("leaf", "n", number(F.col("line")).alias("t"), words.alias("words")))
-    words = kinds.select("leaf", "t", "n", F.posexplode("words").alias("at", "word")).where("word is not null")
+    place = number(F.concat_ws(" ", "n", F.substring_index("line", " ", depth)))
+    kinds = checkpoint(kinds.select("leaf", "n", place.alias("place"), number(F.col("line")).alias("t"), words.alias("words")))
+    words = kinds.select("leaf", "place", "t", "n", F.posexplode("words").alias("at", "word")).where("word is not null")
     fixed = words.groupBy("leaf", "at", "word").count().where(F.col("count") >= least).drop("count")
     words = words.join(fixed, ["leaf", "at", "word"], "left_semi")
     mixed = F.bit_xor(number(F.concat_ws(" ", "at", "word")))
-    shared = words.groupBy("leaf", "t", "n").agg(mixed.alias("mixed"), F.count("*").alias("fixed"), F.max("at").alias("last"))
+    shared = words.groupBy("leaf", "place", "t", "n").agg(mixed.alias("mixed"), F.count("*").alias("fixed"), F.max("at").alias("last"))
     shared = shared.where((2 * F.col("fixed") >= F.col("n")) & (F.col("last") >= depth))
-    return shared.select("leaf", "t", number(F.concat_ws(" ", F.lit("pattern"), "leaf", "mixed")).alias("pattern"))
+    return shared.select("leaf", "t", number(F.concat_ws(" ", F.lit("pattern"), "place", "mixed")).alias("pattern"))
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, least: int = DOCS) -> DataFrame:
