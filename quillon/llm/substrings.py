@@ -178,27 +178,36 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], schema=_RESULT)
 
 
+def looked_up(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (uid, keys) with the value of their key in ``known`` (keys, n: rows that have it, value).
+
+    A key that more than one in HOT of the rows with known keys have, of which there are HOT at
+    most, is looked up in a broadcast, and its rows are spread by uid; others by a join.
+    """
+    known = checkpoint(known)
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = known.where(F.col("n") * HOT > total)
+    asked = rows.join(F.broadcast(hot.select(*keys, F.col("value").alias("_hot"))), keys, "left")
+    asked = asked.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*keys, "uid")))
+    rest = known.where(F.col("n") * HOT <= total).select(F.col(keys[0]).alias("_key"), *keys[1:], F.col("value").alias("_own"))
+    found = asked.join(rest, ["_key", *keys[1:]], "left").withColumn("value", F.coalesce("_hot", "_own"))
+    return found.where("value is not null").select(*rows.columns, "value")
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(uid, whole, mixed, found): for each text with repeats the hashes of the anchors whose
     windows all recur, of those with different surroundings, and of their windows that recur."""
     anchors = docs.mapInArrow(functools.partial(_anchors, window=window), "uid long, h long, v long")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 1")
-    often = checkpoint(often.select("h", "n", (F.col("low") == F.col("high")).alias("same")))
-    # anchors that fill more than a small share of a task by themselves, HOT at most, are looked up in a broadcast
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = often.where(F.col("n") * HOT > total).select("h", F.col("same").alias("hot"))
-    asked = anchors.select("uid", "h").join(F.broadcast(hot), "h", "left")
-    asked = asked.withColumn("key", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("h", "uid")))
-    rest = often.select(F.col("h").alias("key"), "same").join(hot.select(F.col("h").alias("key")), "key", "left_anti")
-    asked = asked.join(rest, "key", "left").select("uid", "h", F.coalesce("hot", "same").alias("same"))
-    met = asked.where("same is not null").groupBy("uid").agg(
+    often = often.select("h", "n", (F.col("low") == F.col("high")).alias("value"))
+    met = looked_up(anchors.select("uid", "h"), often, ["h"]).withColumnRenamed("value", "same").groupBy("uid").agg(
         F.collect_set(F.when(F.col("same"), F.col("h"))).alias("whole"), F.collect_set(F.when(~F.col("same"), F.col("h"))).alias("mixed")
     )
     met = checkpoint(met)
     open_ = docs.join(met.where(F.size("mixed") > 0).select("uid", "mixed"), "uid").select("uid", "text", "mixed")
     single = open_.mapInArrow(functools.partial(_resolve, window=window), "uid long, k1 long, k2 long")
-    twice = single.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
-    back = single.join(twice, ["k1", "k2"]).groupBy("uid").agg(F.collect_set("k1").alias("found"))
+    twice = single.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").withColumn("value", F.lit(True))
+    back = looked_up(single, twice, ["k1", "k2"]).groupBy("uid").agg(F.collect_set("k1").alias("found"))
     return met.join(back, "uid", "left")
 
 
