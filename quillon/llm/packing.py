@@ -29,6 +29,8 @@ END = 1
 #: Characters of text in a shard, about.
 SHARD = 5_000_000
 K1, B = 1.2, 0.75
+#: Terms of more than one in so many documents of a shard are kept as whole rows; neighbours that are sorted first.
+DENSE, FIRST = 16, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
@@ -51,23 +53,40 @@ class Index:
         size = K1 * (1 - B + B * counts / max(counts.mean(), 1e-9))
         keep = (df[term] > 1) & (idf[term] > 0)
         term, doc, tf = term[keep], doc[keep], tf[keep]
-        self.doc, self.weight = doc, idf[term] * tf * (K1 + 1) / (tf + size[doc])
-        self.first = np.searchsorted(term, np.arange(n_terms + 1))
+        weight = idf[term] * tf * (K1 + 1) / (tf + size[doc])
         by_doc = np.lexsort((term, doc))
         self.term_of = term[by_doc]
         self.doc_first = np.searchsorted(doc[by_doc], np.arange(self.n + 1))
-
-    def nearest(self, seed: int, used: np.ndarray) -> np.ndarray:
+        # terms of many documents as rows with a place for each, others as postings
+        many = np.flatnonzero((df > max(self.n // DENSE, 1)) & (idf > 0))
+        self.row = np.full(n_terms, -1)
+        self.row[many] = np.arange(len(many))
+        rows = self.row[term]
+        self.dense = np.zeros((len(many), self.n))
+        self.dense[rows[rows >= 0], doc[rows >= 0]] = weight[rows >= 0]
+        thin = rows < 0
+        self.doc, self.weight = doc[thin], weight[thin]
+        self.first = np.searchsorted(term[thin], np.arange(n_terms + 1))
+
+    def nearest(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, best first; each of its terms asks once."""
         query = self.term_of[self.doc_first[seed] : self.doc_first[seed + 1]]
         if not len(query):
-            return query
+            return
+        rows = self.row[query]
+        scores = self.dense[rows[rows >= 0]].sum(0)
+        query = query[rows < 0]
         spans = [slice(x, z) for x, z in zip(self.first[query].tolist(), self.first[query + 1].tolist(), strict=True)]
-        docs = np.concatenate([self.doc[x] for x in spans])
-        scores = np.bincount(docs, np.concatenate([self.weight[x] for x in spans]), self.n)
+        if spans:
+            scores += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        if len(found) > FIRST:  # a window is mostly full after a few
+            own = scores[found]
+            least = np.partition(own, len(own) - FIRST)[len(own) - FIRST]
+            head, found = found[own >= least], found[own < least]
+            yield from head[np.argsort(-scores[head], kind="stable")].tolist()
+        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
 
 def windows(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -105,7 +124,7 @@ def windows(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[lis
             seed = -1
             continue
         after = -1
-        for doc in index.nearest(seed, used).tolist():
+        for doc in index.nearest(seed, used):
             rest = place(doc, 0)
             if not now or rest:
                 after = doc if rest else -1

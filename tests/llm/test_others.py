@@ -54,6 +54,27 @@ def test_packing_is_an_exact_round_trip(spark, docs, encoded):
     assert sum(r.length for r in got) == sum(len(x) + 1 for x in encoded)
 
 
+def test_neighbours_agree_with_brute_force():
+    """BM25 over all terms of the seed, with idf log((n - df + 0.5) / (df + 0.5)) and not below zero."""
+    draw = np.random.default_rng(5)
+    docs = [draw.zipf(1.3, draw.integers(1, 120)) % 400 for _ in range(200)]
+    counts = np.array([len(d) for d in docs])
+    index = packing.Index(np.concatenate(docs), counts, 400)
+    n, mean = len(docs), counts.mean()
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    used = draw.random(n) < 0.3
+    for seed in range(0, n, 7):
+        want = {}
+        for k, d in enumerate(docs):
+            tf = Counter(d.tolist())
+            score = sum(max(np.log((n - df[t] + 0.5) / (df[t] + 0.5)), 0) * tf[t] * (packing.K1 + 1) / (tf[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(docs[seed].tolist()) if tf[t] and df[t] > 1)
+            if score > 0 and not used[k]:
+                want[k] = score
+        got = list(index.nearest(seed, used))
+        assert set(got) == set(want)
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+
+
 def test_token_counts(docs, encoded):
     lengths = [len(x) for x in encoded]
     for r in token_counts.token_counts(docs).collect():
