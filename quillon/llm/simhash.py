@@ -189,23 +189,36 @@ def verified(met: DataFrame, alike: Callable[[DataFrame], DataFrame], small: int
     """Links (u, v) among texts that meet; ``alike`` keeps the pairs (u, v) that are copies.
 
     All pairs of a small group are compared. Those of a larger one are compared with its
-    representatives; those that are copies of one leave the group, the others stay for the next
-    round, which has twice as many representatives, until no group is left.
+    representatives, texts that meet most others; those that are copies of one leave the group,
+    the others stay for the next round, which has twice as many representatives, until no group
+    is left. Texts that links connect already are not compared, and a group of such texts is done.
     """
-    links, turn = [], 0
+    links, turn, named = [], 0, None
     pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    central = met.groupBy("uid").agg(F.sum("size").alias("weight"))
+    central = checkpoint(central) if not met.isEmpty() else central
     while not met.isEmpty():
         few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
         pairs = few.select("key", F.col("uid").alias("u")).join(few.select("key", F.col("uid").alias("v")), "key").where("u < v").select("u", "v")
-        first = many.groupBy("key", F.pmod(F.xxhash64("uid"), F.lit(1 << turn)).alias("part")).agg(F.min("uid").alias("u")).select("key", "u")
+        best = F.min(F.struct((-F.col("weight")).alias("w"), "uid"))["uid"]
+        first = many.join(central, "uid").groupBy("key", F.pmod(F.xxhash64("uid"), F.lit(1 << turn)).alias("part")).agg(best.alias("u")).select("key", "u")
         across = many.select("key", F.col("uid").alias("v")).join(first, "key").where("u <> v")
-        found = checkpoint(alike(pairs.union(across.select(*pair)).distinct()))
+        asked = pairs.union(across.select(*pair)).distinct()
+        if named is not None:
+            for end in "uv":
+                asked = asked.join(named.select(F.col("node").alias(end), F.col("root").alias("of_" + end)), end, "left")
+            asked = asked.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+        found = checkpoint(alike(asked))
         links.append(found)
         if many.isEmpty():
             break
         gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(found.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
         gone = gone.union(first.select("key", "u"))
-        met, turn = meetings(many.select("key", "uid").join(gone, ["key", "uid"], "left_anti")), turn + 1
+        named = checkpoint(connected_components(functools.reduce(DataFrame.union, links), "u", "v"))
+        left = many.select("key", "uid").join(gone, ["key", "uid"], "left_anti")
+        own = left.join(named, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
+        several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        met, turn = meetings(own.select("key", "uid").join(several, "key", "left_semi")), turn + 1
     return links
 
 
