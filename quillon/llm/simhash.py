@@ -31,8 +31,11 @@ SEED = 42
 WORDS, LIKENESS = 5, 0.8
 TABLES, BITS = 4, 32
 BANDS, DEEP = 16, 4
-#: Texts of a group whose pairs are all compared.
-SMALL = 16
+#: Bands and hashes of a band that split groups of texts that are no copies of their representative:
+#: texts of likeness 0.8 meet in one of them with probability 0.99999.
+FINER_BANDS, FINER_DEEP = 64, 8
+#: Texts of a group whose pairs are all compared; growth of the representatives from round to round.
+SMALL, GROWTH = 16, 8
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -127,15 +130,15 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u4").ravel()
 
 
-def _bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: the least of the hashes, mixed in DEEP ways."""
-    draw = np.random.Generator(np.random.PCG64(SEED))
-    flips, factors = draw.integers(0, 2**64, (2, BANDS * DEEP, 1), np.uint64)
-    least = np.full(BANDS * DEEP, 2**64 - 1, np.uint64)
+def _bands(hashes: np.ndarray, bands: int = BANDS, deep: int = DEEP) -> np.ndarray:
+    """A key for each band: the least of the hashes, mixed in ``deep`` ways."""
+    draw = np.random.Generator(np.random.PCG64(SEED + deep))
+    flips, factors = draw.integers(0, 2**64, (2, bands * deep, 1), np.uint64)
+    least = np.full(bands * deep, 2**64 - 1, np.uint64)
     for k in range(0, len(hashes), 1024):
         x = (hashes[k : k + 1024] ^ flips) * (factors | np.uint64(1))
         least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min(1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, DEEP))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, deep))], np.uint64).view(np.int64)
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -185,40 +188,50 @@ def meetings(each: DataFrame) -> DataFrame:
     return checkpoint(own.where("size > 1"))
 
 
-def verified(met: DataFrame, alike: Callable[[DataFrame], DataFrame], small: int = SMALL) -> list[DataFrame]:
+def verified(
+    met: DataFrame, alike: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL
+) -> list[DataFrame]:
     """Links (u, v) among texts that meet; ``alike`` keeps the pairs (u, v) that are copies.
 
     All pairs of a small group are compared. Those of a larger one are compared with its
     representatives, texts that meet most others; those that are copies of one leave the group,
-    the others stay for the next round, which has twice as many representatives, until no group
-    is left. Texts that links connect already are not compared, and a group of such texts is done.
+    the others stay for the next round, which has GROWTH times as many representatives, until no
+    group is left. ``finer`` gives keys (uid, key) under which those that stay after the first
+    round meet instead. Texts that are both linked to a third are not compared, and a group of
+    such texts is done.
     """
-    links, turn, named = [], 0, None
+    links, turn, named, central = [], 0, None, None
     pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    central = met.groupBy("uid").agg(F.sum("size").alias("weight"))
-    central = checkpoint(central) if not met.isEmpty() else central
     while not met.isEmpty():
         few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
+        if central is None:
+            central = checkpoint(many.groupBy("uid").agg(F.sum("size").alias("weight")))
         pairs = few.select("key", F.col("uid").alias("u")).join(few.select("key", F.col("uid").alias("v")), "key").where("u < v").select("u", "v")
         best = F.min(F.struct((-F.col("weight")).alias("w"), "uid"))["uid"]
-        first = many.join(central, "uid").groupBy("key", F.pmod(F.xxhash64("uid"), F.lit(1 << turn)).alias("part")).agg(best.alias("u")).select("key", "u")
-        across = many.select("key", F.col("uid").alias("v")).join(first, "key").where("u <> v")
+        part = F.pmod(F.xxhash64("uid"), F.lit(GROWTH**turn)).alias("part")
+        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("u")).select("key", "u")
+        across = checkpoint(many.select("key", F.col("uid").alias("v")).join(first, "key").where("u <> v"))
         asked = pairs.union(across.select(*pair)).distinct()
         if named is not None:
             for end in "uv":
-                asked = asked.join(named.select(F.col("node").alias(end), F.col("root").alias("of_" + end)), end, "left")
+                asked = asked.join(named.select(F.col("uid").alias(end), F.col("root").alias("of_" + end)), end, "left")
             asked = asked.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
         found = checkpoint(alike(asked))
         links.append(found)
-        if many.isEmpty():
+        if across.isEmpty():
             break
+        ends = functools.reduce(DataFrame.union, links)
+        ends = ends.union(ends.select("v", "u")).toDF("uid", "other")
+        named = checkpoint(ends.groupBy("uid").agg(F.least("uid", F.min("other")).alias("root")))
         gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(found.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
-        gone = gone.union(first.select("key", "u"))
-        named = checkpoint(connected_components(functools.reduce(DataFrame.union, links), "u", "v"))
-        left = many.select("key", "uid").join(gone, ["key", "uid"], "left_anti")
-        own = left.join(named, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
+        gone = gone.union(across.select("key", "u"))
+        left = many.select("key", "uid").join(gone.distinct(), ["key", "uid"], "left_anti")
+        own = left.join(named, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
         several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        met, turn = meetings(own.select("key", "uid").join(several, "key", "left_semi")), turn + 1
+        left, turn = own.join(several, "key", "left_semi").select("key", "uid"), turn + 1
+        if finer is not None:
+            left, turn, central, finer = finer(left.select("uid").distinct()), 0, None, None
+        met = meetings(left)
     return links
 
 
@@ -227,7 +240,8 @@ def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> Data
 
     Texts meet under the bands of their shingles and under the one-bit variants of their
     short fingerprints, as in ``links``. Pairs that meet are linked if their whole sets of
-    shingles are alike enough.
+    shingles are alike enough. Those of a large group that are no copies of its representative
+    meet once more, under finer bands.
     """
     own = checkpoint(profiles(docs, words).dropDuplicates(["uid"]))
     balls = own.select("uid", F.explode("prints").alias("fp")).select("uid", F.explode(ball(BITS)).alias("key"))
@@ -239,7 +253,17 @@ def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> Data
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
 
     left, right = sets.select(F.col("uid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("v"), F.col("shingles").alias("y"))
-    linked = verified(met, lambda pairs: pairs.join(left, "u").join(right, "v").where(like("x", "y") >= least).select("u", "v"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "u").join(right, "v").where(like("x", "y") >= least).select("u", "v")
+
+    @F.pandas_udf("array<bigint>")
+    def keys(shingles: pd.Series) -> pd.Series:
+        return pd.Series([_bands(np.frombuffer(x, "<u4").astype(np.uint64), FINER_BANDS, FINER_DEEP).tolist() for x in shingles])
+
+    def finer(uids: DataFrame) -> DataFrame:
+        return sets.join(uids, "uid", "left_semi").select("uid", F.explode(keys("shingles")).alias("key"))
+
+    linked = verified(met, alike, finer)
     linked = functools.reduce(DataFrame.union, linked, docs.sparkSession.createDataFrame([], "u long, v long"))
     return connected_components(linked, "u", "v")
 
