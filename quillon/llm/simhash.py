@@ -32,8 +32,8 @@ WORDS, LIKENESS = 5, 0.8
 TABLES, BITS = 4, 32
 BANDS, DEEP = 16, 4
 #: Bands and hashes of a band that split groups of texts that are no copies of their representative:
-#: texts of likeness 0.8 meet in one of them with probability 0.99999.
-FINER_BANDS, FINER_DEEP = 64, 8
+#: texts of likeness 0.8 meet in one of them with probability 0.9999.
+FINER_BANDS, FINER_DEEP = 128, 12
 #: Texts of a group whose pairs are all compared; growth of the representatives from round to round.
 SMALL, GROWTH = 16, 8
 
@@ -118,6 +118,11 @@ def _shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The set of shingles that likeness is taken of, by 32 bits of their hashes."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))
+
+
 def _majority(hashes: np.ndarray) -> np.ndarray:
     """TABLES fingerprints of BITS bits: majorities of the bits of hashes mixed in as many ways."""
     counts = np.zeros((TABLES // 2, 64), np.int64)
@@ -142,18 +147,19 @@ def _bands(hashes: np.ndarray, bands: int = BANDS, deep: int = DEEP) -> np.ndarr
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(uid, prints, bands) of each text: its hash, TABLES fingerprints that carry their table's
-    number above the bits, and the keys of BANDS bands of its shingles of ``words`` words."""
+    """(uid, prints, bands, n) of each text: its hash, TABLES fingerprints that carry their table's
+    number above the bits, and the keys of BANDS bands and the number of its shingles of ``words`` words."""
 
-    @F.pandas_udf("struct<prints: array<bigint>, bands: array<bigint>>")
+    @F.pandas_udf("struct<prints: array<bigint>, bands: array<bigint>, n: bigint>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
             for text in batch:
                 split = text.lower().split()
                 prints = _majority(_shingles(split, 3)).astype(np.int64) + (np.arange(TABLES, dtype=np.int64) << BITS)
-                rows.append((prints.tolist(), _bands(_shingles(split, words)).tolist()))
-            yield pd.DataFrame(rows, columns=["prints", "bands"])
+                own = _shingles(split, words)
+                rows.append((prints.tolist(), _bands(own).tolist(), len(_distinct(own))))
+            yield pd.DataFrame(rows, columns=["prints", "bands", "n"])
 
     text = utf8(F.col("text"))
     return docs.select(F.xxhash64(text).alias("uid"), of(text).alias("p")).select("uid", "p.*")
@@ -165,7 +171,7 @@ def shingle_sets(docs: DataFrame, uids: DataFrame, words: int = WORDS) -> DataFr
     @F.pandas_udf("binary")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([np.unique((_shingles(t.lower().split(), words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch])
+            yield pd.Series([_distinct(_shingles(t.lower().split(), words)).tobytes() for t in batch])
 
     text = utf8(F.col("text"))
     found = docs.select(F.xxhash64(text).alias("uid"), text.alias("text")).join(uids, "uid", "left_semi").dropDuplicates(["uid"])
@@ -183,13 +189,17 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def meetings(each: DataFrame) -> DataFrame:
-    """(key, uid, size): texts (uid, key) that meet others under a key, and how many these are."""
+    """Texts (uid, key, other columns) that meet others under a key, and how many these are (size)."""
     own = each.withColumn("size", F.count("*").over(Window.partitionBy("key")))
     return checkpoint(own.where("size > 1"))
 
 
 def verified(
-    met: DataFrame, alike: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL
+    met: DataFrame,
+    alike: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+    least: float = 0.0,
+    small: int = SMALL,
 ) -> list[DataFrame]:
     """Links (u, v) among texts that meet; ``alike`` keeps the pairs (u, v) that are copies.
 
@@ -198,37 +208,47 @@ def verified(
     the others stay for the next round, which has GROWTH times as many representatives, until no
     group is left. ``finer`` gives keys (uid, key) under which those that stay after the first
     round meet instead. Texts that are both linked to a third are not compared, and a group of
-    such texts is done.
+    such texts is done. No pair is compared twice, nor one whose sets' sizes (column n of
+    ``met``, if any) rule out a likeness of ``least``.
     """
-    links, turn, named, central = [], 0, None, None
+    if "n" not in met.columns:
+        met = met.withColumn("n", F.lit(1))
+    links, turn, named, central, before = [], 0, None, None, []
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     while not met.isEmpty():
         few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
         if central is None:
             central = checkpoint(many.groupBy("uid").agg(F.sum("size").alias("weight")))
-        pairs = few.select("key", F.col("uid").alias("u")).join(few.select("key", F.col("uid").alias("v")), "key").where("u < v").select("u", "v")
-        best = F.min(F.struct((-F.col("weight")).alias("w"), "uid"))["uid"]
+        pairs = few.select("key", F.col("uid").alias("u"), "n").join(few.select("key", F.col("uid").alias("v"), F.col("n").alias("m")), "key")
+        pairs = pairs.where("u < v").where(fits).select("u", "v")
+        best = F.min(F.struct((-F.col("weight")).alias("w"), "uid", "n"))
         part = F.pmod(F.xxhash64("uid"), F.lit(GROWTH**turn)).alias("part")
-        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("u")).select("key", "u")
-        across = checkpoint(many.select("key", F.col("uid").alias("v")).join(first, "key").where("u <> v"))
-        asked = pairs.union(across.select(*pair)).distinct()
+        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("b")).select("key", F.col("b.uid").alias("u"), F.col("b.n").alias("m"))
+        across = many.select("key", F.col("uid").alias("v"), "n").join(first, "key").where("u <> v")
+        across = checkpoint(across.withColumn("fits", fits).select("key", "u", "v", "fits"))
+        asked = pairs.union(across.where("fits").select(*pair)).distinct()
+        for done in before:
+            asked = asked.join(done, ["u", "v"], "left_anti")
         if named is not None:
             for end in "uv":
                 asked = asked.join(named.select(F.col("uid").alias(end), F.col("root").alias("of_" + end)), end, "left")
             asked = asked.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+        asked = checkpoint(asked)
+        before.append(asked)
         found = checkpoint(alike(asked))
         links.append(found)
         if across.isEmpty():
             break
         ends = functools.reduce(DataFrame.union, links)
-        ends = ends.union(ends.select("v", "u")).toDF("uid", "other")
-        named = checkpoint(ends.groupBy("uid").agg(F.least("uid", F.min("other")).alias("root")))
-        gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(found.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
+        both = ends.union(ends.select("v", "u")).toDF("uid", "other")
+        named = checkpoint(both.groupBy("uid").agg(F.least("uid", F.min("other")).alias("root")))
+        gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(ends.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
         gone = gone.union(across.select("key", "u"))
-        left = many.select("key", "uid").join(gone.distinct(), ["key", "uid"], "left_anti")
-        own = left.join(named, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
+        left = many.select("key", "uid", "n").join(gone.distinct(), ["key", "uid"], "left_anti")
+        own = left.join(named, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
         several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        left, turn = own.join(several, "key", "left_semi").select("key", "uid"), turn + 1
+        left, turn = own.join(several, "key", "left_semi").select("key", "uid", "n"), turn + 1
         if finer is not None:
             left, turn, central, finer = finer(left.select("uid").distinct()), 0, None, None
         met = meetings(left)
@@ -244,8 +264,8 @@ def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> Data
     meet once more, under finer bands.
     """
     own = checkpoint(profiles(docs, words).dropDuplicates(["uid"]))
-    balls = own.select("uid", F.explode("prints").alias("fp")).select("uid", F.explode(ball(BITS)).alias("key"))
-    met = meetings(balls.union(own.select("uid", F.explode("bands"))))
+    balls = own.select("uid", "n", F.explode("prints").alias("fp")).select("uid", "n", F.explode(ball(BITS)).alias("key"))
+    met = meetings(balls.union(own.select("uid", "n", F.explode("bands"))))
     sets = checkpoint(shingle_sets(docs, met.select("uid").distinct(), words))
 
     @F.pandas_udf("double")
@@ -261,9 +281,9 @@ def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> Data
         return pd.Series([_bands(np.frombuffer(x, "<u4").astype(np.uint64), FINER_BANDS, FINER_DEEP).tolist() for x in shingles])
 
     def finer(uids: DataFrame) -> DataFrame:
-        return sets.join(uids, "uid", "left_semi").select("uid", F.explode(keys("shingles")).alias("key"))
+        return sets.join(uids, "uid", "left_semi").select("uid", (F.octet_length("shingles") / 4).cast("long").alias("n"), F.explode(keys("shingles")).alias("key"))
 
-    linked = verified(met, alike, finer)
+    linked = verified(met, alike, finer, least)
     linked = functools.reduce(DataFrame.union, linked, docs.sparkSession.createDataFrame([], "u long, v long"))
     return connected_components(linked, "u", "v")
 
