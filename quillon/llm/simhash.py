@@ -209,24 +209,31 @@ def verified(
     group is left. ``finer`` gives keys (uid, key) under which those that stay after the first
     round meet instead. Texts that are both linked to a third are not compared, and a group of
     such texts is done. No pair is compared twice, nor one whose sets' sizes (column n of
-    ``met``, if any) rule out a likeness of ``least``.
+    ``met``, if any) rule out a likeness of ``least``. If ``alike`` gives the likeness s of all
+    pairs instead, two texts whose likenesses to one pivot, their first representative, differ
+    by more than 1 - ``least`` are not compared: 1 - s is a metric.
     """
     if "n" not in met.columns:
         met = met.withColumn("n", F.lit(1))
+    met = met.withColumn("pivot", F.lit(None).cast("long")).withColumn("s", F.lit(None).cast("double"))
+    own_columns = "uid", "n", "pivot", "s"
     links, turn, named, central, before = [], 0, None, None, []
-    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    apart = (F.col("pivot") == F.col("its_pivot")) & (F.abs(F.col("s") - F.col("its_s")) > 1 - least + 1e-9)
+    fits = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & ~F.coalesce(apart, F.lit(False))
+    other = F.col("n").alias("m"), F.col("pivot").alias("its_pivot"), F.col("s").alias("its_s")
     pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     while not met.isEmpty():
         few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
         if central is None:
             central = checkpoint(many.groupBy("uid").agg(F.sum("size").alias("weight")))
-        pairs = few.select("key", F.col("uid").alias("u"), "n").join(few.select("key", F.col("uid").alias("v"), F.col("n").alias("m")), "key")
+        pairs = few.select("key", F.col("uid").alias("u"), "n", "pivot", "s").join(few.select("key", F.col("uid").alias("v"), *other), "key")
         pairs = pairs.where("u < v").where(fits).select("u", "v")
-        best = F.min(F.struct((-F.col("weight")).alias("w"), "uid", "n"))
+        best = F.min(F.struct((-F.col("weight")).alias("w"), *own_columns))
         part = F.pmod(F.xxhash64("uid"), F.lit(GROWTH**turn)).alias("part")
-        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("b")).select("key", F.col("b.uid").alias("u"), F.col("b.n").alias("m"))
-        across = many.select("key", F.col("uid").alias("v"), "n").join(first, "key").where("u <> v")
-        across = checkpoint(across.withColumn("fits", fits).select("key", "u", "v", "fits"))
+        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("b")).select("key", "b.*")
+        first = first.select("key", "w", F.col("uid").alias("u"), *other)
+        across = many.select("key", F.col("uid").alias("v"), "n", "pivot", "s").join(first, "key").where("u <> v")
+        across = checkpoint(across.withColumn("fits", fits).select("key", "w", "u", "v", "fits"))
         asked = pairs.union(across.where("fits").select(*pair)).distinct()
         for done in before:
             asked = asked.join(done, ["u", "v"], "left_anti")
@@ -236,7 +243,8 @@ def verified(
             asked = asked.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
         asked = checkpoint(asked)
         before.append(asked)
-        found = checkpoint(alike(asked))
+        scored = checkpoint(alike(asked))
+        found = scored.where(F.col("s") >= least).select("u", "v") if "s" in scored.columns else scored
         links.append(found)
         if across.isEmpty():
             break
@@ -245,12 +253,18 @@ def verified(
         named = checkpoint(both.groupBy("uid").agg(F.least("uid", F.min("other")).alias("root")))
         gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(ends.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
         gone = gone.union(across.select("key", "u"))
-        left = many.select("key", "uid", "n").join(gone.distinct(), ["key", "uid"], "left_anti")
-        own = left.join(named, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
+        left = many.select("key", *own_columns).join(gone.distinct(), ["key", "uid"], "left_anti")
+        own = left.join(named, "uid", "left").select("key", *own_columns, F.coalesce("root", "uid").alias("root"))
         several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        left, turn = own.join(several, "key", "left_semi").select("key", "uid", "n"), turn + 1
+        left, turn = own.join(several, "key", "left_semi").select("key", *own_columns), turn + 1
         if finer is not None:
             left, turn, central, finer = finer(left.select("uid").distinct()), 0, None, None
+            if "s" in scored.columns:
+                rated = across.select("w", "u", "v", pair[0].alias("a"), pair[1].alias("b")).distinct().join(scored.toDF("a", "b", "s"), ["a", "b"])
+                pivots = rated.groupBy(F.col("v").alias("uid")).agg(F.min(F.struct("w", "u", "s")).alias("b"))
+                left = left.join(pivots.select("uid", F.col("b.u").alias("pivot"), F.col("b.s").alias("s")), "uid", "left")
+            else:
+                left = left.withColumn("pivot", F.lit(None).cast("long")).withColumn("s", F.lit(None).cast("double"))
         met = meetings(left)
     return links
 
@@ -274,7 +288,7 @@ def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> Data
 
     left, right = sets.select(F.col("uid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("v"), F.col("shingles").alias("y"))
     def alike(pairs: DataFrame) -> DataFrame:
-        return pairs.join(left, "u").join(right, "v").where(like("x", "y") >= least).select("u", "v")
+        return pairs.join(left, "u").join(right, "v").select("u", "v", like("x", "y").alias("s"))
 
     @F.pandas_udf("array<bigint>")
     def keys(shingles: pd.Series) -> pd.Series:

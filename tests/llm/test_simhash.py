@@ -148,3 +148,21 @@ def test_copies_are_told_by_their_whole_texts(spark):
     want = groups(rows)
     assert 65 < len(want) < 115
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_twins_among_many_texts_that_are_no_copies_of_their_base(spark):
+    """Large groups whose members differ from the representative are split, and links inside them found."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for _ in range(60):
+        words = list(base)
+        for k in draw.sample(range(150), 6):
+            words[k] = f"edit{draw.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words)))
+        words[draw.randrange(150)] = f"edit{draw.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    want = groups(rows)
+    assert 40 < len(want) < 70
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
