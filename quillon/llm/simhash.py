@@ -235,8 +235,8 @@ def verified(
         across = many.select("key", F.col("uid").alias("v"), "n", "pivot", "s").join(first, "key").where("u <> v")
         across = checkpoint(across.withColumn("fits", fits).select("key", "w", "u", "v", "fits"))
         asked = pairs.union(across.where("fits").select(*pair)).distinct()
-        for done in before:
-            asked = asked.join(done, ["u", "v"], "left_anti")
+        if before:
+            asked = asked.join(functools.reduce(DataFrame.union, before), ["u", "v"], "left_anti")
         if named is not None:
             for end in "uv":
                 asked = asked.join(named.select(F.col("uid").alias(end), F.col("root").alias("of_" + end)), end, "left")
