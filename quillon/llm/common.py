@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII space, tab, line feed, vertical tab, form feed and return.
 #: ``bytes.split()`` without arguments splits at exactly these characters.
@@ -56,6 +57,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """``rows`` with their position, from 0, in the order of the columns ``order``, as column ``name``, and
+    their number. Ties fall as rows come.
+
+    Rows are dealt by ranges and written sorted; the ranges' numbers of rows, one for each partition,
+    give their offsets. A row's place among its scan's rows is the last key, so that ranges can split
+    rows that agree in all others.
+    """
+    tie = F.monotonically_increasing_id()
+    dealt = rows.withColumn("_tie", tie).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    dealt = checkpoint(dealt).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = checkpoint(dealt.groupBy("_part").agg(F.count("*").alias("_n")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return found, sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge: (node, root).
 
