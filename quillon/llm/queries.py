@@ -1,4 +1,4 @@
-"""The eleven queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import lines, lm, mixing, packing, simhash, spotsigs, substrings, token_counts, topk, toxicity
+from quillon.llm import lines, lm, mixing, packing, repetitions, resampling, sharding, simhash, spotsigs, substrings, token_counts, topk, toxicity
 from quillon.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitions.repetitions(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -62,8 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_spotsigs": op9_spotsigs,
         "op10_simhash": op10_simhash,
+        "op11_repetitions": op11_repetitions,
+        "op12_sharding": op12_sharding,
+        "op13_resampling": op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": lines.SQL, "op4_topk": topk.SQL}
+    return {"op3_lines": lines.SQL, "op4_topk": topk.SQL, "op12_sharding": sharding.SQL, "op13_resampling": resampling.SQL}
