@@ -10,15 +10,18 @@ unions and enumerations on the left of axioms, complements and universals on the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import terms
+from quillon.functions import values as V
+from quillon.operators import ranges
 from quillon.operators.components import checkpoint
 from quillon.operators.saturation import NOTHING, SMALL, TOP
+from quillon.plans import datatypes
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -31,6 +34,14 @@ GROUPS = ["AllDifferent", "AllDisjointClasses", "AllDisjointProperties"]
 TRAITS = ["AsymmetricProperty", "FunctionalProperty", "InverseFunctionalProperty", "IrreflexiveProperty", "ReflexiveProperty", "SymmetricProperty", "TransitiveProperty"]
 #: Predicates of lists.
 LISTS = ["disjointUnionOf", "distinctMembers", "hasKey", "intersectionOf", "members", "oneOf", "propertyChainAxiom", "unionOf", "withRestrictions"]
+#: The reserved predicates and types that are read.
+PREDICATES = [RDF + x for x in ("first", "rest", "type")] + [RDFS + x for x in ("domain", "range", "subClassOf", "subPropertyOf")] + [OWL + x for x in LISTS]
+PREDICATES += [OWL + x for x in """allValuesFrom assertionProperty cardinality complementOf datatypeComplementOf differentFrom disjointWith equivalentClass equivalentProperty hasSelf hasValue inverseOf
+maxCardinality maxQualifiedCardinality minCardinality minQualifiedCardinality onClass onDataRange onDatatype onProperty propertyDisjointWith qualifiedCardinality sameAs someValuesFrom
+sourceIndividual targetIndividual targetValue versionIRI""".split()]
+TYPES = [OWL + x for x in [*KINDS, *GROUPS, *TRAITS, "NegativePropertyAssertion", "Ontology"]] + [RDFS + "Datatype"]
+#: Roles that hold of all individuals, or of none, and the data properties alike.
+EXTREME = [OWL + x for x in ("topObjectProperty", "bottomObjectProperty", "topDataProperty", "bottomDataProperty")]
 #: Annotation properties that need no declaration.
 NOTES = [RDFS + "comment", RDFS + "isDefinedBy", RDFS + "label", RDFS + "seeAlso"]
 NOTES += [OWL + x for x in ("backwardCompatibleWith", "deprecated", "incompatibleWith", "priorVersion", "versionInfo")]
@@ -55,24 +66,20 @@ class Ontology:
     denied_values: DataFrame
     #: (k, c, n, pos, p): key of n properties p of class c.
     keys: DataFrame
-    #: (p, kind): datatype that all values of p have.
-    value_kinds: DataFrame
-    #: (p, q): data property p below q; (p, e): domains; (p, kind, value_key, e): values whose holders are in e.
-    data_rules: dict[str, DataFrame]
+    data: datatypes.DataRules
     entities: DataFrame
     unsupported: DataFrame
     triples: DataFrame
     nominals: bool = False
-    notes: dict = field(default_factory=dict)
 
 
-def list_members(triples: DataFrame, heads: DataFrame) -> DataFrame:
-    """(head, pos, member) of the RDF lists that begin at ``heads`` (head).
+def list_members(triples: DataFrame, heads: DataFrame, *more: str) -> DataFrame:
+    """(head, pos, member) of the RDF lists that begin at ``heads`` (head), and ``more`` columns of the members.
 
     Known cells of a list and the jumps between cells double every round, so a list of n
     members takes log2(n) rounds. Lists that run in a circle raise ValueError.
     """
-    first = triples.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member"))
+    first = triples.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member"), *more)
     cells = checkpoint(first.distinct())
     jumps = checkpoint(triples.where((F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")).select(F.col("s").alias("cell"), F.col("o").alias("next")).distinct())
     most = jumps.count() + 1
@@ -87,7 +94,7 @@ def list_members(triples: DataFrame, heads: DataFrame) -> DataFrame:
         found = found.union(ahead)
         jumps = checkpoint(jumps.join(jumps.select(F.col("cell").alias("next"), F.col("next").alias("far")), "next").select("cell", F.col("far").alias("next")))
         step *= 2
-    return found.join(cells, "cell").select("head", F.col("pos").cast("int").alias("pos"), "member")
+    return found.join(cells, "cell").select("head", F.col("pos").cast("int").alias("pos"), "member", *more)
 
 
 def _binary(lists: DataFrame, a: str, b: str, e: str) -> DataFrame:
@@ -124,10 +131,9 @@ class _Graph:
         node = lambda c: F.when(F.col(c) == OWL + "Thing", TOP).when(F.col(c) == OWL + "Nothing", NOTHING).otherwise(F.col(c)).alias(c)
         self.t = checkpoint(triples.select(node("s"), "p", node("o"), "o_kind", *extra).distinct())
         self.spark = self.t.sparkSession
-        spaces = F.col("p").startswith(OWL) | F.col("p").startswith(RDFS) | F.col("p").startswith(RDF)
-        kind = F.when((F.col("p") == RDF + "type") & F.col("o").startswith(OWL), F.col("o"))
-        # as many rows as the reserved vocabulary has names
-        self.present = {(r.p, r.kind) for r in self.t.where(spaces).select("p", kind.alias("kind")).distinct().limit(1000).collect()}
+        kind = F.when((F.col("p") == RDF + "type") & F.col("o").isin(TYPES), F.col("o"))
+        # as many rows as the two lists have names
+        self.present = {(r.p, r.kind) for r in self.t.where(F.col("p").isin(PREDICATES)).select("p", kind.alias("kind")).distinct().collect()}
         self.predicates = {p for p, _ in self.present}
         self.classes = {k for p, k in self.present if p == RDF + "type"}
 
@@ -140,20 +146,27 @@ class _Graph:
         return self.t.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
 
     def typed(self, kind: str, name: str = "r") -> DataFrame:
-        if OWL + kind not in self.classes:
+        return self.typed_as(OWL + kind, name)
+
+    def typed_as(self, iri: str, name: str) -> DataFrame:
+        if iri not in self.classes:
             return self.empty(f"{name} string")
-        return self.t.where((F.col("p") == RDF + "type") & (F.col("o") == OWL + kind)).select(F.col("s").alias(name)).distinct()
+        return self.t.where((F.col("p") == RDF + "type") & (F.col("o") == iri)).select(F.col("s").alias(name)).distinct()
 
     @cached_property
     def _lists(self) -> DataFrame:
         heads = self.t.where(F.col("p").isin([OWL + x for x in LISTS])).select("p", F.col("s").alias("node"), F.col("o").alias("head"))
-        return checkpoint(heads.join(list_members(self.t, heads.select("head")), "head").select("p", "node", "pos", "member"))
+        return checkpoint(heads.join(list_members(self.t, heads.select("head"), "o_kind", "datatype", "lang"), "head").select("p", "node", "pos", "member", "o_kind", "datatype", "lang"))
 
     def lists(self, p: str) -> DataFrame:
-        """(node, pos, member) of the lists that a predicate leads to."""
+        """(node, pos, member, o_kind, datatype, lang) of the lists that a predicate leads to."""
         if p not in self.predicates:
-            return self.empty("node string, pos int, member string")
-        return self._lists.where(F.col("p") == p).select("node", "pos", "member")
+            return self.empty("node string, pos int, member string, o_kind string, datatype string, lang string")
+        return self._lists.where(F.col("p") == p).drop("p")
+
+    def members(self, p: str) -> DataFrame:
+        """(node, pos, member) of these lists."""
+        return self.lists(p).select("node", "pos", "member")
 
 
 def _pairs(pairs: DataFrame, kind: str) -> DataFrame:
@@ -162,17 +175,10 @@ def _pairs(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.select(g.alias("g"), F.posexplode(F.array("a", "b")).alias("pos", "member"))
 
 
-def _value(c: Column) -> list[Column]:
-    return [terms.datatype_kind(F.col("datatype")).alias("kind"), terms.literal_key(F.col("datatype"), c, F.col("lang")).alias("value_key")]
-
-
-def _facets(g: _Graph) -> DataFrame:
-    """(node, kind, facet, bound): restrictions of numeric datatypes, one row for each facet."""
-    if OWL + "onDatatype" not in g.predicates:
-        return g.empty("node string, kind string, facet string, bound string")
-    facet = g.t.where((F.col("o_kind") == "literal") & F.col("p").isin([XSD + x for x in terms.ORDER_FACETS])).select(F.col("s").alias("member"), F.substring_index("p", "#", -1).alias("facet"), F.col("o").alias("bound"))
-    base = g.own(OWL + "onDatatype", "node", "datatype").select("node", terms.datatype_kind(F.col("datatype")).alias("kind"))
-    return base.join(g.lists(OWL + "withRestrictions"), "node").join(facet, "member").select("node", "kind", "facet", "bound")
+def _value(c: str) -> list[Column]:
+    """line, key and value_key, which tells values apart, of a literal."""
+    at = V.place(F.col("datatype"), F.col(c), F.col("lang"))
+    return [at["line"].alias("line"), at["key"].alias("key"), F.concat_ws(" ", at["line"], at["key"]).alias("value_key")]
 
 
 def _stored(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int]]:
@@ -191,6 +197,12 @@ def _any(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def _grouped(g: _Graph, kind: str) -> DataFrame:
+    """(g, pos, member) of axioms that list their members."""
+    members = g.members(OWL + "members").union(g.members(OWL + "distinctMembers"))
+    return members.join(g.typed(kind, "node"), "node", "left_semi").select(F.col("node").alias("g"), "pos", "member")
+
+
 def mapped(triples: DataFrame) -> Ontology:
     """Rule tables of an OWL graph (s, p, o, o_kind and, for literals, datatype, lang)."""
     g = _Graph(triples)
@@ -205,33 +217,40 @@ def mapped(triples: DataFrame) -> Ontology:
     here = lambda p, o: on.join(own(OWL + p, "node", o), "node")
     on_object, on_data = (lambda df: df.join(objects, "r", "left_semi")), (lambda df: df.join(data, "r", "left_semi"))
     some = on_object(here("someValuesFrom", "c"))
-    one_of = g.lists(OWL + "oneOf")
+    one_of = g.lists(OWL + "oneOf").where("o_kind <> 'literal'").select("node", "pos", "member")
     value = on_object(here("hasValue", "y"))
     every = on_object(here("allValuesFrom", "e"))
     itself = on_object(here("hasSelf", "yes")).where(F.lower("yes").isin("true", "1"))
     counted = on_object(here("minCardinality", "n").union(here("minQualifiedCardinality", "n")))
     single = counted.where("n = '1'").join(own(OWL + "onClass", "node", "c"), "node", "left").select("node", "r", F.coalesce("c", F.lit(TOP)).alias("c"))
     some = some.select("node", "r", "c").union(single)
-    both, either = g.lists(OWL + "intersectionOf"), g.lists(OWL + "unionOf")
+    data_role = lambda a, b: on_data(own(RDFS + "subPropertyOf", "r", "s").union(alike).union(alike.select("s", "r"))).select(F.col("r").alias(a), F.col("s").alias(b))
+    alike = own(OWL + "equivalentProperty", "r", "s")
+    disjoint = _pairs(own(OWL + "propertyDisjointWith", "a", "b"), "roles").union(_grouped(g, "AllDisjointProperties")).select("g", "pos", F.col("member").alias("r"))
+    has_data = OWL + "DatatypeProperty" in g.classes or RDFS + "Datatype" in g.classes
+    values_of = datatypes.data_rules(g, data, data_role("p", "q"), {k: typed(k) for k in TRAITS}, disjoint.select("r")) if has_data else datatypes.nothing(g)
+    own_class = (lambda df: df.join(values_of.nodes, "node", "left_anti")) if has_data else (lambda df: df)
+    both, either = own_class(g.members(OWL + "intersectionOf")), own_class(g.members(OWL + "unionOf"))
     apart_from = own(OWL + "complementOf", "node", "c")
-    split = g.lists(OWL + "disjointUnionOf")
+    split = g.members(OWL + "disjointUnionOf")
 
     told = own(RDFS + "subClassOf", "c", "d")
     same = own(OWL + "equivalentClass", "c", "d")
+    if has_data:
+        same = same.join(values_of.nodes.withColumnRenamed("node", "c"), "c", "left_anti")
     equal = told.union(same).union(same.select("d", "c"))
     made = [both.select(F.col("node").alias("c"), F.col("member").alias("d")), either.select(F.col("member").alias("c"), F.col("node").alias("d")), split.select("member", "node")]
     alone = lambda lists: lists.join(lists.groupBy("node").agg(F.max("pos").alias("last")).where("last = 0"), "node", "left_semi").select("node", "member")
     made += [alone(both).select("member", "node"), alone(either)]
-    members = g.lists(OWL + "members").union(g.lists(OWL + "distinctMembers"))
-    group = lambda kind: members.join(typed(kind, "node"), "node", "left_semi").select(F.col("node").alias("g"), "pos", "member")
+    members = g.members(OWL + "members").union(g.members(OWL + "distinctMembers"))
+    group = lambda kind: _grouped(g, kind)
     apart = _pairs(own(OWL + "disjointWith", "a", "b"), "class").union(group("AllDisjointClasses")).union(split.select("node", "pos", "member"))
     apart = apart.union(_pairs(apart_from.select(F.col("node").alias("a"), F.col("c").alias("b")), "not"))
 
     role = own(RDFS + "subPropertyOf", "r", "s")
-    alike = own(OWL + "equivalentProperty", "r", "s")
     role = role.union(alike).union(alike.select("s", "r"))
     chains = own(OWL + "propertyChainAxiom", "s", "node")
-    chain_lists = g.lists(OWL + "propertyChainAxiom").withColumnRenamed("node", "s")
+    chain_lists = g.members(OWL + "propertyChainAxiom").withColumnRenamed("node", "s")
     chain = _binary(chain_lists.select(F.concat(F.lit("chain:"), "s").alias("head"), "pos", "member"), "r1", "r2", "head") if chains.columns and OWL + "propertyChainAxiom" in g.predicates else g.empty("r1 string, r2 string, head string")
     chain = chain.select("r1", "r2", F.when(F.col("head").startswith("chain:"), F.substring("head", 7, 1 << 30)).otherwise(F.col("head")).alias("s"))
     role = role.union(chain_lists.groupBy("s").agg(F.max("pos").alias("last"), F.min("member").alias("r")).where("last = 0").select("r", "s"))
@@ -244,7 +263,7 @@ def mapped(triples: DataFrame) -> Ontology:
     value_class = value.select("node", "r", "y", F.concat(F.lit("one:"), "y").alias("one"))
 
     rules = {
-        "told": _any([equal, *made]), "conj": _binary(both.withColumnRenamed("node", "head"), "a", "b", "e"),
+        "told": _any([equal, *made, values_of.told]), "conj": _any([_binary(both.withColumnRenamed("node", "head"), "a", "b", "e"), values_of.conj, datatypes.excluded(values_of)]),
         "apart": apart.select("g", "pos", F.col("member").alias("c")),
         "some": some.select("r", "c", F.col("node").alias("e")).union(value_class.select("r", "one", "node")),
         "give": some.select(F.col("node").alias("c"), "r", F.col("c").alias("d")),
@@ -264,31 +283,15 @@ def mapped(triples: DataFrame) -> Ontology:
     types = types.union(value_class.select("y", "one")).union(one_of.select("member", "node"))
     links = t.where(F.col("o_kind") != "literal").join(objects, F.col("p") == F.col("r"), "left_semi").select(F.col("s").alias("x"), F.col("p").alias("r"), F.col("o").alias("y"))
     literal = t.where(F.col("o_kind") == "literal")
-    values = literal.join(data, F.col("p") == F.col("r"), "left_semi").select(F.col("s").alias("x"), "p", *_value(F.col("o")), F.col("o").alias("lexical"))
+    values = literal.join(data, F.col("p") == F.col("r"), "left_semi").select(F.col("s").alias("x"), "p", *_value("o")).where("line is not null")
     source, via, target = own(OWL + "sourceIndividual", "node", "x"), own(OWL + "assertionProperty", "node", "r"), own(OWL + "targetIndividual", "node", "y")
     denied = source.join(via, "node").join(target, "node").select("x", "r", "y")
-    number = t.where(F.col("p") == OWL + "targetValue").select(F.col("s").alias("node"), *_value(F.col("o"))) if OWL + "targetValue" in g.predicates else g.empty("node string, kind string, value_key string")
+    number = t.where(F.col("p") == OWL + "targetValue").select(F.col("s").alias("node"), *_value("o")) if OWL + "targetValue" in g.predicates else g.empty("node string, value_key string")
     denied_values = source.join(via, "node").join(number, "node").select("x", F.col("r").alias("p"), "value_key")
     different = _pairs(own(OWL + "differentFrom", "a", "b"), "pair").union(group("AllDifferent")).select("g", "pos", F.col("member").alias("x"))
-    disjoint = _pairs(own(OWL + "propertyDisjointWith", "a", "b"), "roles").union(group("AllDisjointProperties")).select("g", "pos", F.col("member").alias("r"))
-    key = g.lists(OWL + "hasKey")
+    key = g.members(OWL + "hasKey")
     key = key.join(key.groupBy("node").agg(F.count("*").cast("int").alias("n")), "node").select(F.col("node").alias("k"), F.col("node").alias("c"), "n", "pos", F.col("member").alias("p"))
 
-    # data properties: domains, datatypes of all values, and classes of those with some value
-    some_value = on_data(here("someValuesFrom", "kind"))
-    known = on_data(range_).select(F.col("r").alias("p"), terms.datatype_kind(F.col("e")).alias("kind"), F.col("e").alias("datatype"))
-    has_value = g.empty("node string, p string, kind string, value_key string")
-    if OWL + "hasValue" in g.predicates:
-        literals = t.where((F.col("p") == OWL + "hasValue") & (F.col("o_kind") == "literal")).select(F.col("s").alias("node"), *_value(F.col("o")))
-        has_value = on_data(on).join(literals, "node").select("node", F.col("r").alias("p"), "kind", "value_key")
-    data_rules = {
-        "below": on_data(role).select(F.col("r").alias("p"), F.col("s").alias("q")),
-        "domain": on_data(domain).select(F.col("r").alias("p"), "e"),
-        "some": some_value.select(F.col("r").alias("p"), F.col("kind").alias("filler"), F.col("node").alias("e")),
-        "has": has_value, "facets": _facets(g),
-    }
-    data_rules = {k: v.distinct() for k, v in data_rules.items()}
-
     traits = {k: typed(k) for k in TRAITS}
     entities = t.where((F.col("p") == RDF + "type") & (F.col("o").isin([OWL + k for k in KINDS] + [RDFS + "Datatype"]))).select(F.col("s").alias("iri"), F.substring_index("o", "#", -1).alias("kind"))
 
@@ -297,36 +300,38 @@ def mapped(triples: DataFrame) -> Ontology:
     edges += [some.select("node", "c", F.lit(False)), every.select("node", "e", F.lit(False))]
     right = [told.select(F.col("d").alias("node")), same.select("c"), same.select("d"), domain.select("e"), range_.select("e"), types.select("c"), split.select("node")]
     left = [told.select("c"), same.select("c"), same.select("d"), members.select("member"), key.select("c"), split.select("member"), split.select("node"), own(OWL + "disjointWith", "a", "b").select("a"), own(OWL + "disjointWith", "a", "b").select("b")]
-    odd = _any([either.select("node", F.lit("unionOf").alias("what")), one_of.select("node", F.lit("oneOf")), split.select("node", F.lit("disjointUnionOf")), some_value.select("node", F.lit("data restriction")), has_value.select("node", F.lit("data restriction"))]).distinct()
-    flipped = _any([apart_from.select("node", F.lit("complementOf").alias("what")), every.select("node", F.lit("allValuesFrom"))]).distinct()
+    odd = _any([either.select("node", F.lit("unionOf").alias("what")), one_of.select("node", F.lit("oneOf")), split.select("node", F.lit("disjointUnionOf")), values_of.open.where("what = 'data restriction'")]).distinct()
+    flipped = _any([apart_from.select("node", F.lit("complementOf").alias("what")), every.select("node", F.lit("allValuesFrom")), values_of.restrictions.where("op in ('all', 'max', 'exact')").select("node", F.lit("data restriction"))]).distinct()
     kept = [x for x in ("unionOf", "oneOf", "disjointUnionOf", "complementOf", "allValuesFrom", "DatatypeProperty") if OWL + x in g.predicates | g.classes]
     beyond = [g.empty("node string, what string")]
     if kept:
         sides = _polarity(_any(edges), _any([x.select(F.col(x.columns[0]).alias("node"), F.lit(True).alias("plus")) for x in right] + [x.select(F.col(x.columns[0]).alias("node"), F.lit(False).alias("plus")) for x in left]))
         bad = lambda df, plus: df.join(sides.where(F.col("plus") == F.lit(plus)), "node", "left_semi")
         beyond += [bad(odd, True), bad(flipped, False)]
-    beyond.append(_leftover(g, objects, data, known, [some.select("node"), some_value.select("node"), value.select("node"), has_value.select("node"), every.select("node"), itself.select("node")], denied_nodes=source.join(via, "node").select("node")))
+    beyond.append(values_of.open.where("what <> 'data restriction'"))
+    beyond.append(_leftover(g, objects, data, [some.select("node"), value.select("node"), every.select("node"), itself.select("node"), values_of.restrictions.select("node")], source.join(via, "node").select("node")))
     unsupported = checkpoint(_any(beyond).distinct())
     values = checkpoint(values.distinct())
     facts, _ = _stored({"types": types, "links": links, "same": own(OWL + "sameAs", "a", "b"), "different": different, "disjoint": disjoint, "denied": denied, "denied_values": denied_values, "entities": entities} | {k: v for k, v in traits.items()})
     return Ontology(
         rules, facts["types"], facts["links"], values, facts["same"], facts["different"], {k: facts[k] for k in traits}, facts["disjoint"],
-        facts["denied"], facts["denied_values"], key, known, data_rules, facts["entities"], unsupported, t, OWL + "hasValue" in g.predicates or OWL + "oneOf" in g.predicates,
+        facts["denied"], facts["denied_values"], key, values_of, facts["entities"], unsupported, t, OWL + "hasValue" in g.predicates or OWL + "oneOf" in g.predicates,
     )
 
 
-def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, known: DataFrame, taken: list[DataFrame], denied_nodes: DataFrame) -> DataFrame:
+def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, taken: list[DataFrame], denied_nodes: DataFrame) -> DataFrame:
     """(node, what) of the triples that nothing above takes up."""
     t = g.t
     structure = ["complementOf", "differentFrom", "disjointUnionOf", "disjointWith", "distinctMembers", "equivalentClass", "equivalentProperty", "hasKey", "intersectionOf", "inverseOf", "members"]
-    structure += ["onProperty", "oneOf", "propertyChainAxiom", "propertyDisjointWith", "sameAs", "unionOf", "versionIRI", "annotatedSource", "annotatedProperty", "annotatedTarget"]
+    structure += ["datatypeComplementOf", "onDataRange", "onDatatype", "onProperty", "oneOf", "propertyChainAxiom", "propertyDisjointWith", "sameAs", "unionOf", "versionIRI", "withRestrictions", "annotatedSource", "annotatedProperty", "annotatedTarget"]
     fine = [OWL + x for x in structure] + [RDFS + x for x in ("domain", "range", "subClassOf", "subPropertyOf")] + [RDF + "first", RDF + "rest"] + NOTES
     heads = [OWL + x for x in [*KINDS, *GROUPS, *TRAITS, "Axiom", "Annotation", "Ontology", "Restriction", "NegativePropertyAssertion"]] + [RDFS + "Datatype"]
-    fine += [OWL + "onDatatype", OWL + "withRestrictions", *[XSD + x for x in terms.ORDER_FACETS]]
-    inside = [OWL + x for x in ("someValuesFrom", "allValuesFrom", "hasValue", "hasSelf", "minCardinality", "minQualifiedCardinality", "onClass")]
+    facets = list(datatypes.FACETS)
+    fine += facets
+    inside = [OWL + x for x in ("someValuesFrom", "allValuesFrom", "hasValue", "hasSelf", "onClass", *sum(datatypes.COUNTS.values(), []))]
     shapes = [OWL + x for x in ("sourceIndividual", "assertionProperty", "targetIndividual", "targetValue")]
     p, o = F.col("p"), F.col("o")
-    o_literal = (F.col("o_kind") == "literal") & ~p.isin(NOTES + [OWL + x for x in ("hasSelf", "minCardinality", "minQualifiedCardinality")] + [XSD + x for x in terms.ORDER_FACETS])
+    o_literal = (F.col("o_kind") == "literal") & ~p.isin(NOTES + [OWL + x for x in ("hasSelf", *sum(datatypes.COUNTS.values(), []))] + facets)
     reserved = o.startswith(OWL) | o.startswith(RDFS) | o.startswith(RDF)
     typing = (p == RDF + "type") & (o.isin(heads) | ~reserved)
     rest = t.where(~(typing | p.isin(fine)))
@@ -341,11 +346,14 @@ def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, known: DataFrame,
     links = objects.select(F.col("r").alias("p"))
     stated = rest.where("o_kind <> 'literal'").join(links, "p", "left_anti").union(rest.where("o_kind = 'literal'").join(data.select(F.col("r").alias("p")), "p", "left_anti"))
     left.append(stated.select("s", F.concat(F.lit("triple of "), "p")))
-    facets = t.where(p.startswith(XSD)).select(p.alias("p"), "s").where(~p.isin([XSD + x for x in terms.ORDER_FACETS])).select("s", F.lit("facet"))
-    strange = t.where(o_literal).where(terms.datatype_kind(F.col("datatype")).isNull() | terms.literal_key(F.col("datatype"), o, F.col("lang")).isNull())
-    left += [facets, strange.select("s", F.lit("literal"))]
-    # datatypes that are no plain kind
-    left.append(known.where("kind is null").select("p", F.lit("range")))
+    other = t.where(p.startswith(XSD) & ~p.isin(facets)).select("s", F.lit("facet"))
+    # literals outside the lexical space of their datatype, or beyond its bounds
+    literals = t.where(o_literal).select("s", F.coalesce("datatype", F.lit(terms.PREFIXES["xsd"] + "string")).alias("p"), *_value("o"))
+    fits = literals.select("p", "line", "key").distinct()
+    fits = ranges.members(fits, fits.select("p", F.col("p").alias("node")), V.datatype_pieces(g.spark))
+    left += [other, literals.join(fits.select("p", "line", "key"), ["p", "line", "key"], "left_anti").select("s", F.lit("literal"))]
+    ends = t.where(p.isin(EXTREME) | o.isin(EXTREME) | F.col("s").isin(EXTREME)).where(~((p == RDF + "type") & o.isin(heads)))
+    left.append(ends.select("s", F.lit("top or bottom property")))
     # functional properties, domains and ranges of properties that are neither object nor data properties
     either = objects.union(data)
     used = _any([t.where(p.isin(RDFS + "domain", RDFS + "range", RDFS + "subPropertyOf")).select(F.col("s").alias("r")), g.typed("FunctionalProperty")]).distinct()

@@ -8,10 +8,11 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import terms
+from quillon.functions import values as V
 from quillon.operators import constraints
 from quillon.operators.components import checkpoint, representatives
 from quillon.operators.saturation import CONTEXT, NOTHING, TOP, above, context, is_context, not_closed, open_ends, saturate
+from quillon.plans import datatypes
 from quillon.plans.ontology import OWL, Ontology, mapped
 from quillon.plans.validity import violations
 from quillon.sources import ntriples
@@ -86,35 +87,22 @@ class Reasoner:
         found = sub.join(own, "x").join(named, "c", "left_semi").where("sub <> c")
         return checkpoint(found.select("sub", F.col("c").alias("sup")))
 
-    def _data_types(self, values: DataFrame) -> DataFrame:
-        """(x, c): classes that data properties' domains and restrictions give to holders of values."""
-        rules = self.ontology.data_rules
-        found = [values.join(rules["domain"], "p").select("x", F.col("e").alias("c"))]
-        found.append(values.join(rules["has"].select("p", "value_key", "node"), ["p", "value_key"]).select("x", F.col("node").alias("c")))
-        some = rules["some"]
-        whole = some.select("p", terms.datatype_kind(F.col("filler")).alias("kind"), "e").where("kind is not null")
-        found.append(values.join(whole, ["p", "kind"]).select("x", F.col("e").alias("c")))
-        facets = rules["facets"].withColumn("many", F.count("*").over(_by("node")))
-        asked = some.join(facets, F.col("filler") == F.col("node")).select("p", "kind", "e", "facet", "bound", "many")
-        held = [F.when((F.col("facet") == name) & (F.col("kind") == "moment"), terms.moment_facet(F.col("lexical"), name, F.col("bound")))
-                .when(F.col("facet") == name, terms.facet(terms.number(F.col("lexical")), name, terms.number(F.col("bound")))) for name in terms.ORDER_FACETS]
-        inside = values.join(asked, ["p", "kind"]).where(F.coalesce(*held, F.lit(False)))
-        found.append(inside.groupBy("x", "e", "value_key", "many").agg(F.count_distinct("facet", "bound").alias("n")).where("n = many").select("x", F.col("e").alias("c")))
-        return reduce(DataFrame.union, found).distinct()
-
     @cached_property
     def values(self) -> DataFrame:
-        """(x, p, kind, value_key, lexical): asserted values, and those of properties above."""
-        o = self.ontology
-        higher = above(o.data_rules["below"].select(F.col("p").alias("r"), F.col("q").alias("s"))).where("r <> s")
-        more = o.values.join(higher.select(F.col("r").alias("p"), F.col("s").alias("q")), "p").select("x", F.col("q").alias("p"), "kind", "value_key", "lexical")
-        return checkpoint(o.values.unionByName(more).distinct())
+        """(x, p, line, key, value_key): asserted values, and those of properties above."""
+        own = self.ontology.values
+        if self.ontology.data.empty:
+            return own
+        higher = self.ontology.data.below.where("p <> q")
+        more = own.join(higher, "p").select("x", F.col("q").alias("p"), "line", "key", "value_key")
+        return checkpoint(own.unionByName(more).distinct())
 
     @cached_property
     def facts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Saturated types and links between representatives, and (x, rep)."""
         o, same = self.ontology, self.ontology.same
-        types = checkpoint(o.types.union(self._data_types(self.values)).union(self.individuals.select("x", F.lit(TOP))).distinct())
+        given = o.types if o.data.empty else o.types.union(datatypes.data_types(o.data, self.values))
+        types = checkpoint(given.union(self.individuals.select("x", F.lit(TOP))).distinct())
         functional, inverse = o.traits["FunctionalProperty"], o.traits["InverseFunctionalProperty"]
         sub, link = types, o.links
         while True:
@@ -174,7 +162,7 @@ class Reasoner:
             "disjoint properties": constraints.role_group_clashes(named, o.disjoint_roles).select("x"),
             "disjoint data properties": constraints.role_group_clashes(values.select("x", F.col("p").alias("r"), F.col("value_key").alias("y")), o.disjoint_roles).select("x"),
             "functional data": constraints.functional_violations(functional.select(F.concat("p", F.lit(" "), "x").alias("x"), "value_key")).select("x"),
-            "data range": constraints.outside_kind(values, o.value_kinds).select("x"),
+            "data range": values.select("x").limit(0) if o.data.empty else datatypes.outside_range(o.data, values),
         }
         parts = [df.select(F.lit(k).alias("what"), F.col(df.columns[0]).alias("x")) for k, df in found.items()]
         return checkpoint(reduce(DataFrame.union, parts).distinct())
@@ -248,7 +236,8 @@ class Reasoner:
     def entails_value(self, x: str, p: str, lexical: str, datatype: str | None = None) -> bool | None:
         """Whether x has the value that a literal stands for."""
         _, _, reps = self.facts
-        key = self.spark.createDataFrame([(lexical, datatype)], "lexical string, datatype string").select(terms.literal_key(F.col("datatype"), F.col("lexical"), F.lit(None).cast("string")).alias("value_key"))
+        key = self.spark.createDataFrame([(lexical, datatype)], "lexical string, datatype string").select(V.place(F.col("datatype"), F.col("lexical"), F.lit(None).cast("string")).alias("at"))
+        key = key.select(F.concat_ws(" ", "at.line", "at.key").alias("value_key"))
         same = reps.join(reps.where(F.col("x") == x).select("rep"), "rep").select("x")
         held = self.values.where(F.col("p") == p).join(key, "value_key", "left_semi").join(same, "x", "left_semi")
         return self._answer(not held.isEmpty(), self._facts_settled)
@@ -301,8 +290,3 @@ class Reasoner:
         """(check_no, check_name, evidence) of everything that OWL 2 DL rules out, in the order of the checks."""
         return violations(self.ontology)
 
-
-def _by(column: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(column)
