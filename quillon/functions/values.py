@@ -25,6 +25,7 @@ line. On the integer line all cuts lie before an integer, so equal sets have equ
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,13 +184,14 @@ def _placed(x: Column) -> Column:
     )
 
 
+@cache
 def datatype_pieces(spark: SparkSession) -> DataFrame:
-    """(node, line, low, high) of the standard datatypes: a fixed table of some hundred rows."""
+    """(node, line, low, high) of the standard datatypes: a fixed table of some hundred rows, made once in a session."""
     whole = [(full(name), line, None, None) for name, lines in WHOLE.items() for line in lines]
     bounded = [(full(name), "integer", least, None if most is None else most + 1) for name, (least, most) in INTEGERS.items()]
     rows = spark.createDataFrame([(n, line, None if a is None else str(a), None if z is None else str(z)) for n, line, a, z in whole + bounded], "node string, line string, a string, z string")
     cut = lambda c, end: F.coalesce(F.concat(order_key(F.col(c)), F.lit(" 0")), F.lit(end))
-    return rows.select("node", "line", cut("a", LOW).alias("low"), cut("z", HIGH).alias("high"))
+    return checkpoint(rows.select("node", "line", cut("a", LOW).alias("low"), cut("z", HIGH).alias("high")))
 
 
 def _before_integer(n: Column) -> Column:

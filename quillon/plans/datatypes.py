@@ -100,30 +100,38 @@ def _expressions(g: _Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     compound.append(g.own(OWL + "datatypeComplementOf", "node", "part").select("node", F.lit("none").alias("way"), F.lit(0).alias("pos"), "part"))
     defined = g.typed_as(RDFS + "Datatype", "node").where(F.col("node").contains(":"))
     compound.append(defined.join(g.own(OWL + "equivalentClass", "node", "part"), "node").select("node", F.lit("any").alias("way"), F.lit(0).alias("pos"), "part"))
-    cells = g.lists(OWL + "withRestrictions").select("node", "pos", "member")
-    facet = g.t.where((F.col("o_kind") == "literal") & F.col("p").isin(*FACETS)).select(F.col("s").alias("member"), F.col("p").alias("facet"), F.col("o").alias("bound"), "datatype")
-    name = F.concat_ws(" ", F.lit("facet"), "member", "facet", "bound")
-    facets = checkpoint(cells.join(facet, "member").select("node", name.alias("part"), F.substring_index("facet", "#", -1).alias("facet"), "bound", "datatype"))
-    compound.append(facets.select("node", F.lit("all").alias("way"), F.lit(1).alias("pos"), "part").distinct())
-    compound.append(g.own(OWL + "onDatatype", "node", "part").select("node", F.lit("all").alias("way"), F.lit(0).alias("pos"), "part"))
-    points = g.lists(OWL + "oneOf").where("o_kind = 'literal'").select("node", V.place(F.col("datatype"), F.col("member"), F.col("lang")).alias("at")).where("at is not null")
-    points = points.select("node", "at.line", "at.key")
+    stretches, known = [], []
+    if OWL + "withRestrictions" in g.predicates:
+        cells = g.lists(OWL + "withRestrictions").select("node", "member")
+        facet = g.t.where((F.col("o_kind") == "literal") & F.col("p").isin(*FACETS)).select(F.col("s").alias("member"), F.col("p").alias("facet"), F.col("o").alias("bound"), "datatype")
+        name = F.concat_ws(" ", F.lit("facet"), "member", "facet", "bound")
+        facets = checkpoint(cells.join(facet, "member").select("node", name.alias("part"), F.substring_index("facet", "#", -1).alias("facet"), "bound", "datatype"))
+        compound.append(facets.select("node", F.lit("all").alias("way"), F.lit(1).alias("pos"), "part").distinct())
+        compound.append(g.own(OWL + "onDatatype", "node", "part").select("node", F.lit("all").alias("way"), F.lit(0).alias("pos"), "part"))
+        stretches.append(V.facet_pieces(facets.select(F.col("part").alias("node"), "facet", "bound", "datatype")))
+        known.append(facets.select(F.col("part").alias("node")))
+    points = []
+    if OWL + "oneOf" in g.predicates:
+        listed = g.lists(OWL + "oneOf").where("o_kind = 'literal'").select("node", V.place(F.col("datatype"), F.col("member"), F.col("lang")).alias("at"))
+        points.append(checkpoint(listed).where("at is not null").select("node", "at.line", "at.key"))
     if OWL + "hasValue" in g.predicates:
-        held = g.t.where((F.col("p") == OWL + "hasValue") & (F.col("o_kind") == "literal")).select(F.concat(F.lit("value:"), "s").alias("node"), V.place(F.col("datatype"), F.col("o"), F.col("lang")).alias("at"))
-        points = points.union(held.where("at is not null").select("node", "at.line", "at.key"))
-    points = checkpoint(points)
-    pieces = V.facet_pieces(facets.select(F.col("part").alias("node"), "facet", "bound", "datatype")).union(V.point_pieces(points))
-    known = facets.select(F.col("part").alias("node")).union(points.select("node"))
-    return _union(compound), pieces, known
+        held = g.literals.where((F.col("p") == OWL + "hasValue") & F.col("line").isNotNull())
+        points.append(held.select(F.concat(F.lit("value:"), "s").alias("node"), "line", "key"))
+    if points:
+        stretches.append(V.point_pieces(_union(points)))
+        known.append(_union(points).select("node"))
+    standard = V.datatype_pieces(g.spark)
+    return _union(compound), _union([standard, *stretches]), _union([standard.select("node"), *known])
 
 
 def data_rules(g: _Graph, data: DataFrame, below: DataFrame, traits: dict[str, DataFrame], disjoint: DataFrame) -> DataRules:
-    """Rules of the data properties (r) of a graph; below (p, q): told pairs of data properties; disjoint (r)."""
+    """Rules of the data properties (r) of a graph; below (r, s): told pairs of data properties; disjoint (r)."""
     on = g.own(OWL + "onProperty", "node", "r").join(data, "r", "left_semi")
     restrictions = checkpoint(_restrictions(g, on).distinct())
     of_property = checkpoint(g.own(RDFS + "range", "r", "node").join(data, "r", "left_semi").select(F.col("r").alias("p"), "node").distinct())
     own = data.select(F.col("r").alias("p"), F.col("r").alias("q"))
-    higher = checkpoint(above(below.select(F.col("p").alias("r"), F.col("q").alias("s"))).select(F.col("r").alias("p"), F.col("s").alias("q")).union(own).distinct()) if not below.isEmpty() else checkpoint(own.distinct())
+    below = checkpoint(below)
+    higher = checkpoint(above(below).select(F.col("r").alias("p"), F.col("s").alias("q")).union(own).distinct()) if not below.isEmpty() else checkpoint(own.distinct())
     domains = g.own(RDFS + "domain", "r", "e").join(data, "r", "left_semi").select(F.col("r").alias("p"), "e").distinct()
 
     expressions, pieces, known = _expressions(g)
@@ -131,8 +139,7 @@ def data_rules(g: _Graph, data: DataFrame, below: DataFrame, traits: dict[str, D
     expressions = checkpoint(expressions)
     nodes = _range_nodes(g, seeds, expressions.select("node", "part"))
     expressions = expressions.join(nodes, "node", "left_semi")
-    standard = V.datatype_pieces(g.spark)
-    pieces, known = checkpoint(standard.union(pieces)), known.union(standard.select("node"))
+    pieces, known = checkpoint(pieces), checkpoint(known.distinct())
 
     # what classes need, within the ranges of the property; a pair for a functional property, or an "all" on it or above it
     needs = checkpoint(restrictions.where("op in ('min', 'exact') and n > 0"))

@@ -153,6 +153,13 @@ class _Graph:
             return self.empty(f"{name} string")
         return self.t.where((F.col("p") == RDF + "type") & (F.col("o") == iri)).select(F.col("s").alias(name)).distinct()
 
+    @cached_property
+    def literals(self) -> DataFrame:
+        """(s, p, o, datatype, line, key, value_key): triples with literals, and where their values lie (null: nowhere)."""
+        at = V.place(F.col("datatype"), F.col("o"), F.col("lang"))
+        rows = checkpoint(self.t.where("o_kind = 'literal'").select("s", "p", "o", "datatype", at.alias("at")))
+        return rows.select("s", "p", "o", "datatype", "at.line", "at.key", F.concat_ws(" ", "at.line", "at.key").alias("value_key"))
+
     @cached_property
     def _lists(self) -> DataFrame:
         heads = self.t.where(F.col("p").isin([OWL + x for x in LISTS])).select("p", F.col("s").alias("node"), F.col("o").alias("head"))
@@ -175,12 +182,6 @@ def _pairs(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.select(g.alias("g"), F.posexplode(F.array("a", "b")).alias("pos", "member"))
 
 
-def _value(c: str) -> list[Column]:
-    """line, key and value_key, which tells values apart, of a literal."""
-    at = V.place(F.col("datatype"), F.col(c), F.col("lang"))
-    return [at["line"].alias("line"), at["key"].alias("key"), F.concat_ws(" ", at["line"], at["key"]).alias("value_key")]
-
-
 def _stored(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """The tables, of three columns at most, written together in one job, and their numbers of rows."""
     def tagged(name: str, df: DataFrame) -> DataFrame:
@@ -224,11 +225,10 @@ def mapped(triples: DataFrame) -> Ontology:
     counted = on_object(here("minCardinality", "n").union(here("minQualifiedCardinality", "n")))
     single = counted.where("n = '1'").join(own(OWL + "onClass", "node", "c"), "node", "left").select("node", "r", F.coalesce("c", F.lit(TOP)).alias("c"))
     some = some.select("node", "r", "c").union(single)
-    data_role = lambda a, b: on_data(own(RDFS + "subPropertyOf", "r", "s").union(alike).union(alike.select("s", "r"))).select(F.col("r").alias(a), F.col("s").alias(b))
     alike = own(OWL + "equivalentProperty", "r", "s")
     disjoint = _pairs(own(OWL + "propertyDisjointWith", "a", "b"), "roles").union(_grouped(g, "AllDisjointProperties")).select("g", "pos", F.col("member").alias("r"))
     has_data = OWL + "DatatypeProperty" in g.classes or RDFS + "Datatype" in g.classes
-    values_of = datatypes.data_rules(g, data, data_role("p", "q"), {k: typed(k) for k in TRAITS}, disjoint.select("r")) if has_data else datatypes.nothing(g)
+    values_of = datatypes.data_rules(g, data, on_data(own(RDFS + "subPropertyOf", "r", "s").union(alike).union(alike.select("s", "r"))), {k: typed(k) for k in TRAITS}, disjoint.select("r")) if has_data else datatypes.nothing(g)
     own_class = (lambda df: df.join(values_of.nodes, "node", "left_anti")) if has_data else (lambda df: df)
     both, either = own_class(g.members(OWL + "intersectionOf")), own_class(g.members(OWL + "unionOf"))
     apart_from = own(OWL + "complementOf", "node", "c")
@@ -282,11 +282,12 @@ def mapped(triples: DataFrame) -> Ontology:
     types = t.where((F.col("p") == RDF + "type") & ~system).select(F.col("s").alias("x"), F.col("o").alias("c"))
     types = types.union(value_class.select("y", "one")).union(one_of.select("member", "node"))
     links = t.where(F.col("o_kind") != "literal").join(objects, F.col("p") == F.col("r"), "left_semi").select(F.col("s").alias("x"), F.col("p").alias("r"), F.col("o").alias("y"))
-    literal = t.where(F.col("o_kind") == "literal")
-    values = literal.join(data, F.col("p") == F.col("r"), "left_semi").select(F.col("s").alias("x"), "p", *_value("o")).where("line is not null")
+    values = g.empty("x string, p string, line string, key string, value_key string")
+    if has_data:
+        values = g.literals.where("line is not null").join(data, F.col("p") == F.col("r"), "left_semi").select(F.col("s").alias("x"), "p", "line", "key", "value_key")
     source, via, target = own(OWL + "sourceIndividual", "node", "x"), own(OWL + "assertionProperty", "node", "r"), own(OWL + "targetIndividual", "node", "y")
     denied = source.join(via, "node").join(target, "node").select("x", "r", "y")
-    number = t.where(F.col("p") == OWL + "targetValue").select(F.col("s").alias("node"), *_value("o")) if OWL + "targetValue" in g.predicates else g.empty("node string, value_key string")
+    number = g.literals.where(F.col("p") == OWL + "targetValue").select(F.col("s").alias("node"), "value_key") if OWL + "targetValue" in g.predicates else g.empty("node string, value_key string")
     denied_values = source.join(via, "node").join(number, "node").select("x", F.col("r").alias("p"), "value_key")
     different = _pairs(own(OWL + "differentFrom", "a", "b"), "pair").union(group("AllDifferent")).select("g", "pos", F.col("member").alias("x"))
     key = g.members(OWL + "hasKey")
@@ -331,7 +332,7 @@ def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, taken: list[DataFr
     inside = [OWL + x for x in ("someValuesFrom", "allValuesFrom", "hasValue", "hasSelf", "onClass", *sum(datatypes.COUNTS.values(), []))]
     shapes = [OWL + x for x in ("sourceIndividual", "assertionProperty", "targetIndividual", "targetValue")]
     p, o = F.col("p"), F.col("o")
-    o_literal = (F.col("o_kind") == "literal") & ~p.isin(NOTES + [OWL + x for x in ("hasSelf", *sum(datatypes.COUNTS.values(), []))] + facets)
+    plain = NOTES + [OWL + x for x in ("hasSelf", *sum(datatypes.COUNTS.values(), []))] + facets
     reserved = o.startswith(OWL) | o.startswith(RDFS) | o.startswith(RDF)
     typing = (p == RDF + "type") & (o.isin(heads) | ~reserved)
     rest = t.where(~(typing | p.isin(fine)))
@@ -348,7 +349,7 @@ def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, taken: list[DataFr
     left.append(stated.select("s", F.concat(F.lit("triple of "), "p")))
     other = t.where(p.startswith(XSD) & ~p.isin(facets)).select("s", F.lit("facet"))
     # literals outside the lexical space of their datatype, or beyond its bounds
-    literals = t.where(o_literal).select("s", F.coalesce("datatype", F.lit(terms.PREFIXES["xsd"] + "string")).alias("p"), *_value("o"))
+    literals = g.literals.where(~p.isin(plain)).select("s", F.coalesce("datatype", F.lit(terms.PREFIXES["xsd"] + "string")).alias("p"), "line", "key")
     fits = literals.select("p", "line", "key").distinct()
     fits = ranges.members(fits, fits.select("p", F.col("p").alias("node")), V.datatype_pieces(g.spark))
     left += [other, literals.join(fits.select("p", "line", "key"), ["p", "line", "key"], "left_anti").select("s", F.lit("literal"))]
