@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a local session
-    without that setting gets a temporary folder."""
+    """Cut the lineage: write the rows in the folder that spark.checkpoint.dir names; a local session without
+    that setting gets a temporary folder.
+
+    The rows go to a table there. DataFrame.checkpoint() would keep the plan's estimate of the size; the
+    estimate of a join is the product of its sides', so in a loop the number of its digits doubles every
+    round, until planning takes longer than the work. A table has the size that it has.
+    """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -18,7 +24,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if named is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

@@ -42,6 +42,7 @@ sourceIndividual targetIndividual targetValue versionIRI""".split()]
 TYPES = [OWL + x for x in [*KINDS, *GROUPS, *TRAITS, "NegativePropertyAssertion", "Ontology"]] + [RDFS + "Datatype"]
 #: Roles that hold of all individuals, or of none, and the data properties alike.
 EXTREME = [OWL + x for x in ("topObjectProperty", "bottomObjectProperty", "topDataProperty", "bottomDataProperty")]
+NONE = [x for x in EXTREME if "#bottom" in x]
 #: Annotation properties that need no declaration.
 NOTES = [RDFS + "comment", RDFS + "isDefinedBy", RDFS + "label", RDFS + "seeAlso"]
 NOTES += [OWL + x for x in ("backwardCompatibleWith", "deprecated", "incompatibleWith", "priorVersion", "versionInfo")]
@@ -271,7 +272,7 @@ def mapped(triples: DataFrame) -> Ontology:
         "role": on_object(role), "chain": chain, "inverse": turned, "domain": domains, "range": ranges,
         "all": every.select(F.col("node").alias("c"), "r", "e"),
         "loop": itself.select(F.col("node").alias("c"), "r").union(typed("ReflexiveProperty").select(F.lit(TOP), "r")),
-        "self": itself.select("r", F.col("node").alias("e")),
+        "self": itself.select("r", F.col("node").alias("e")), "single": typed("FunctionalProperty").join(objects, "r", "left_semi"),
     }
     rules, counts = _stored(rules)
     rules = {k: F.broadcast(v) if counts[k] <= SMALL else v for k, v in rules.items() if k in counts}
@@ -335,7 +336,7 @@ def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, taken: list[DataFr
     plain = NOTES + [OWL + x for x in ("hasSelf", *sum(datatypes.COUNTS.values(), []))] + facets
     reserved = o.startswith(OWL) | o.startswith(RDFS) | o.startswith(RDF)
     typing = (p == RDF + "type") & (o.isin(heads) | ~reserved)
-    rest = t.where(~(typing | p.isin(fine)))
+    rest = t.where(~(typing | p.isin(fine + NONE)))
     shaped = _any(taken).distinct().select(F.col("node").alias("s"))
     own = rest.where(p.isin(inside))
     left = [own.join(shaped, "s", "left_anti").select(F.col("s").alias("node"), F.substring_index("p", "#", -1).alias("what"))]
@@ -353,7 +354,7 @@ def _leftover(g: _Graph, objects: DataFrame, data: DataFrame, taken: list[DataFr
     fits = literals.select("p", "line", "key").distinct()
     fits = ranges.members(fits, fits.select("p", F.col("p").alias("node")), V.datatype_pieces(g.spark))
     left += [other, literals.join(fits.select("p", "line", "key"), ["p", "line", "key"], "left_anti").select("s", F.lit("literal"))]
-    ends = t.where(p.isin(EXTREME) | o.isin(EXTREME) | F.col("s").isin(EXTREME)).where(~((p == RDF + "type") & o.isin(heads)))
+    ends = t.where((p.isin(EXTREME) & ~p.isin(NONE)) | o.isin(EXTREME) | F.col("s").isin(EXTREME)).where(~((p == RDF + "type") & o.isin(heads)))
     left.append(ends.select("s", F.lit("top or bottom property")))
     # functional properties, domains and ranges of properties that are neither object nor data properties
     either = objects.union(data)

@@ -13,10 +13,13 @@ from quillon.operators import constraints
 from quillon.operators.components import checkpoint, representatives
 from quillon.operators.saturation import CONTEXT, NOTHING, TOP, above, context, is_context, not_closed, open_ends, saturate
 from quillon.plans import datatypes
-from quillon.plans.ontology import OWL, Ontology, mapped
+from quillon.plans.ontology import NONE, OWL, Ontology, mapped
 from quillon.plans.validity import violations
 from quillon.sources import ntriples
 
+#: Name of an individual that no graph has.
+FRESH = "new:individual"
+
 
 class Reasoner:
     """Answers over the saturated facts. What follows is final; what does not follow is
@@ -162,6 +165,7 @@ class Reasoner:
             "disjoint properties": constraints.role_group_clashes(named, o.disjoint_roles).select("x"),
             "disjoint data properties": constraints.role_group_clashes(values.select("x", F.col("p").alias("r"), F.col("value_key").alias("y")), o.disjoint_roles).select("x"),
             "functional data": constraints.functional_violations(functional.select(F.concat("p", F.lit(" "), "x").alias("x"), "value_key")).select("x"),
+            "bottom property": o.triples.where(F.col("p").isin(NONE)).select("s"),
             "data range": values.select("x").limit(0) if o.data.empty else datatypes.outside_range(o.data, values),
         }
         parts = [df.select(F.lit(k).alias("what"), F.col(df.columns[0]).alias("x")) for k, df in found.items()]
@@ -205,18 +209,23 @@ class Reasoner:
             return True
         return False if settled and self.consistent() else None
 
+    def _fresh(self, name: str) -> Reasoner:
+        """The ontology with a new individual in a class: rules on individuals go further than those on contexts."""
+        return Reasoner(replace(self.ontology, types=self.ontology.types.union(self.spark.createDataFrame([(FRESH, name)], "x string, c string"))))
+
     def satisfiable(self, name: str) -> bool | None:
         if name in (TOP, OWL + "Thing"):
             return self.consistent()
         empty = not self.taxonomy.where((F.col("sub") == name) & (F.col("sup") == NOTHING)).isEmpty()
         found = self._answer(empty, self._classes_settled)
-        return None if found is None else not found
+        return self._fresh(name).consistent() if found is None and self.supported else None if found is None else not found
 
     def subsumed(self, sub: str, sup: str) -> bool | None:
         if sub == sup or sup in (TOP, OWL + "Thing") or sub in (NOTHING, OWL + "Nothing"):
             return True
         held = self.taxonomy.where((F.col("sub") == sub) & F.col("sup").isin(sup, NOTHING))
-        return self._answer(not held.isEmpty(), self._classes_settled)
+        found = self._answer(not held.isEmpty(), self._classes_settled)
+        return self._fresh(sub).instance_of(FRESH, sup) if found is None and self.supported else found
 
     def instance_of(self, individual: str, name: str) -> bool | None:
         if name in (TOP, OWL + "Thing"):
