@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillon.operators.components import checkpoint
 
 #: Kinds of axioms whose members have an order.
 ORDERED = ["ObjectPropertyChain", "SubClassOf", "SubDataPropertyOf", "SubObjectPropertyOf"]
@@ -22,8 +23,41 @@ def axiom_key(kind: Column, members: Column) -> Column:
 
 def distinct_axioms(axioms: DataFrame) -> DataFrame:
     """``axioms`` (pos, kind, members) without those that equal an earlier one."""
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy("pos"))
-    return axioms.withColumn("_key", axiom_key(F.col("kind"), F.col("members"))).withColumn("_rank", rank).where("_rank = 1").drop("_key", "_rank")
+    keyed = axioms.withColumn("_key", axiom_key(F.col("kind"), F.col("members")))
+    first = keyed.groupBy("_key").agg(F.min(F.struct("pos", *[c for c in axioms.columns if c != "pos"])).alias("_first"))
+    return first.select(*[F.col(f"_first.{c}").alias(c) for c in axioms.columns])
+
+
+def expression_keys(expressions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, key): equal for nested expressions that are structurally equal, whatever their nodes are called; and
+    the nodes (node) on circles, which have none.
+
+    expressions: (node, kind, role, pos, part). ``part`` is another node or a name; parts of a role count as
+    a set if ``pos`` is null, and in their order else. Keys are made from the leaves up, one round for each
+    level of nesting, and a node's key is a hash of its kind and its parts' keys.
+    """
+    rows = checkpoint(expressions.select("node", "kind", "role", "pos", "part").distinct())
+    inner = checkpoint(rows.select("node").distinct())
+    leaf = rows.select("part").distinct().join(inner.withColumnRenamed("node", "part"), "part", "left_anti")
+    keys = checkpoint(leaf.select(F.col("part").alias("node"), F.concat(F.lit("name "), "part").alias("key")))
+    made = keys.limit(0)
+    while True:
+        ready = rows.join(keys.withColumnRenamed("node", "part"), "part", "left").groupBy("node", "kind").agg(
+            F.count_if(F.col("key").isNull()).alias("open"), F.collect_list(F.struct("role", "pos", "key")).alias("parts")
+        )
+        ordered = F.array_sort(F.filter("parts", lambda x: x["pos"].isNotNull()))
+        loose = F.array_sort(F.array_distinct(F.filter("parts", lambda x: x["pos"].isNull())))
+        key = F.sha2(F.to_json(F.struct("kind", ordered.alias("ordered"), loose.alias("loose"))), 256)
+        new = checkpoint(ready.where("open = 0").select("node", key.alias("key")).join(made, "node", "left_anti"))
+        if new.isEmpty():
+            return made, inner.join(made, "node", "left_anti")
+        made, keys = checkpoint(made.union(new)), checkpoint(keys.union(new))
+
+
+def distinct_expressions(expressions: DataFrame) -> DataFrame:
+    """(node, same): each expression with the least node of those that are structurally equal to it."""
+    keys, _ = expression_keys(expressions)
+    return keys.join(keys.groupBy("key").agg(F.min("node").alias("same")), "key").select("node", "same")
 
 
 def difference(axioms: DataFrame, others: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import values as V
-from quillon.operators import constraints
+from quillon.operators import constraints, taxonomy
 from quillon.operators.components import checkpoint, representatives
 from quillon.operators.saturation import CONTEXT, NOTHING, TOP, above, context, is_context, not_closed, open_ends, saturate
 from quillon.plans import datatypes
@@ -81,6 +81,10 @@ class Reasoner:
     def _classes_settled(self) -> bool:
         return self._settled(*self._contexts)
 
+    def direct_parents(self) -> DataFrame:
+        """(sub, sup) between the representatives of equivalent classes, without what follows from others."""
+        return taxonomy.direct_parents(self.taxonomy)
+
     @cached_property
     def taxonomy(self) -> DataFrame:
         """(sub, sup): all subsumptions between named classes, the class itself left out."""
@@ -190,8 +194,7 @@ class Reasoner:
     def consistent_by_parts(self) -> DataFrame | None:
         """(component, size, consistent) of the assertions' parts; None if the axioms couple them."""
         o = self.ontology
-        roles = o.links.select("r").distinct()
-        if not constraints.splittable(o.nominals, o.keys, roles, roles, OWL + "topObjectProperty"):
+        if not self.splittable:
             return None
         _, _, reps = self.facts
         edges = o.links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(o.same.select("a", "b")).union(reps.select("x", "rep"))
@@ -227,9 +230,38 @@ class Reasoner:
         found = self._answer(not held.isEmpty(), self._classes_settled)
         return self._fresh(sub).instance_of(FRESH, sup) if found is None and self.supported else found
 
-    def instance_of(self, individual: str, name: str) -> bool | None:
+    @cached_property
+    def splittable(self) -> bool:
+        """Whether no axiom couples individuals of different parts of the assertions."""
+        roles = self.ontology.links.select("r").distinct()
+        return constraints.splittable(self.ontology.nominals, self.ontology.keys, roles, roles, OWL + "topObjectProperty")
+
+    def part_of(self, individual: str) -> Reasoner:
+        """The same axioms with the assertions of the individuals that links and equality connect with one.
+
+        The way there is found from the individual outwards, so the rest of the assertions is neither
+        partitioned nor saturated.
+        """
+        o = self.ontology
+        pairs = o.links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(o.same.select("a", "b")).union(o.denied.select("x", "y"))
+        pairs = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
+        state = new = checkpoint(self.spark.createDataFrame([(individual,)], "x string"))
+        while not new.isEmpty():
+            ahead = pairs.join(F.broadcast(new) if new is state else new, F.col("a") == F.col("x")).select(F.col("b").alias("x")).distinct()
+            new = checkpoint(ahead.join(state, "x", "left_anti"))
+            state = checkpoint(state.union(new))
+        own = lambda df: checkpoint(df.join(state, df[df.columns[0]] == state["x"], "left_semi"))
+        different = o.different.join(state, "x", "left_semi").select("g", "pos", "x")
+        entities = o.entities.join(state.select(F.col("x").alias("iri")), "iri", "left_anti").where("kind <> 'NamedIndividual'").select(*o.entities.columns)
+        return Reasoner(replace(o, types=own(o.types), links=own(o.links), values=own(o.values), same=own(o.same), denied=own(o.denied), denied_values=own(o.denied_values), different=different, entities=entities))
+
+    def instance_of(self, individual: str, name: str, by_part: bool = False) -> bool | None:
+        """Whether the individual is in the class. ``by_part`` asks its own part of the assertions alone, if the
+        axioms allow it; what does not follow there is "no" as far as the other parts are consistent."""
         if name in (TOP, OWL + "Thing"):
             return True
+        if by_part and self.splittable:
+            return self.part_of(individual).instance_of(individual, name)
         return self._answer(not self.types.where((F.col("x") == individual) & (F.col("c") == name)).isEmpty(), self._facts_settled)
 
     def instances(self, name: str) -> DataFrame:

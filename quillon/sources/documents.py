@@ -25,14 +25,17 @@ def closure(documents: DataFrame, imports: DataFrame, roots: DataFrame) -> tuple
     (doc, iri, fault) among the imports of reachable documents: missing or ambiguous ones."""
     found = checkpoint(targets(documents, imports))
     steps = checkpoint(found.where("target is not null").select(F.col("doc").alias("at"), F.col("target").alias("next")).distinct())
+    # jumps double: after k rounds all documents within 2 ** k imports are known, and jumps lead as far
     state = checkpoint(roots.select(F.col("doc").alias("root"), "doc").distinct())
-    new = state
+    jumps = steps.select("at", "next")
     while True:
-        ahead = new.join(steps, F.col("doc") == F.col("at")).select("root", F.col("next").alias("doc")).distinct()
+        ahead = state.join(jumps, F.col("doc") == F.col("at")).select("root", F.col("next").alias("doc")).distinct()
         new = checkpoint(ahead.join(state, ["root", "doc"], "left_anti"))
         if new.isEmpty():
             break
-        state = state.union(new)
+        state = checkpoint(state.union(new))
+        far = jumps.join(jumps.select(F.col("at").alias("next"), F.col("next").alias("far")), "next").select("at", F.col("far").alias("next"))
+        jumps = checkpoint(jumps.union(far).distinct())
     fault = F.when(F.col("matches") == 0, "missing").when(F.col("matches") > 1, "ambiguous")
     faults = found.where("matches <> 1").join(state.select("doc").distinct(), "doc", "left_semi").select("doc", "iri", fault.alias("fault"))
     return state, faults
@@ -43,6 +46,20 @@ def assembled(axioms: DataFrame, reached: DataFrame) -> DataFrame:
     return reached.select("root", "doc").join(axioms, "doc")
 
 
+def apart(triples: DataFrame) -> DataFrame:
+    """Triples (doc, s_kind, s, p, o_kind, o, …) whose blank nodes carry their document in their label: equal
+    labels of two documents are two individuals. The document is written in hexadecimal, so labels stay labels
+    and no two pairs of document and label agree."""
+    label = lambda c: F.concat(F.lit("d"), F.hex(F.col("doc").cast("string")), F.lit("x"), F.col(c))
+    node = lambda c: F.when(F.col(c + "_kind") == "node", label(c)).otherwise(F.col(c))
+    return triples.withColumns({"s": node("s"), "o": node("o")})
+
+
+def union_of_imports(triples: DataFrame, reached: DataFrame) -> DataFrame:
+    """(root, …): for each root the triples of all documents that it reaches, once each, blank nodes kept apart."""
+    return assembled(apart(triples), reached).drop("doc").distinct()
+
+
 def undecodable(texts: DataFrame, reached: DataFrame) -> DataFrame:
     """(doc): reachable documents whose content is no UTF-8."""
     return texts.join(reached.select("doc").distinct(), "doc", "left_semi").where(~F.is_valid_utf8(F.col("content"))).select("doc")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _IRI = r"<([^\x00-\x20<>\"{}|^`\\]*)>"
 _NODE = r"_:([A-Za-z0-9_][A-Za-z0-9_.\-]*)"
@@ -60,6 +61,51 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("s is not null").drop("line"), rows.where("s is null").select("line")
 
 
+#: What a line is read as, part by part: a line is wrong at the first part that it does not go on with.
+_PARTS = [
+    ("subject", rf"^[ \t]*(?:{_IRI}|{_NODE})"),
+    ("predicate", rf"[ \t]*{_IRI}"),
+    ("object", rf"[ \t]*(?:{_IRI}|{_NODE}|{_TEXT}(?:\^\^{_IRI}|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)"),
+    ("full stop", r"[ \t]*\."),
+    ("end of line", r"[ \t]*(?:#.*)?\r?$"),
+]
+
+
+def lines_at(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, offset, number): every line of the files with the byte that it begins at and its number, from 0.
+
+    A file's blocks are read apart; a block's lines are numbered in the order of the scan, and the
+    sums of the blocks before it give where a block's first line stands. Lines end at line feeds.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    size = F.octet_length("line") + 1
+    sums = rows.groupBy("file", "block").agg(F.sum(size).alias("bytes"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("file", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("bytes", "lines")])
+    own = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"ahead": F.coalesce(F.sum(size).over(own), F.lit(0)), "place": F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1})
+    return rows.join(starts, ["file", "block"]).select("file", "line", (F.col("bytes") + F.col("ahead")).alias("offset"), (F.col("lines") + F.col("place")).alias("number"))
+
+
+def errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, offset, kind): the lines that are no triples, the byte of the file at which each goes wrong,
+    and what had to follow there; ``encoding`` (at the line's start) for lines that are no UTF-8."""
+    rows = lines_at(spark, path).where(~F.col("line").rlike(r"^[ \t]*(#.*)?\r?$") | ~F.is_valid_utf8("line"))
+    kind, length, pattern = F.when(~F.is_valid_utf8("line"), "encoding"), F.when(~F.is_valid_utf8("line"), 0), ""
+    for name, part in _PARTS:
+        done = F.regexp_extract("line", f"({pattern}[ \\t]*)" if pattern else r"(^[ \t]*)", 1)
+        kind, length = kind.when(~F.col("line").rlike(pattern + part), name), length.when(~F.col("line").rlike(pattern + part), F.octet_length(done))
+        pattern += part
+    return rows.select("file", "number", (F.col("offset") + length).alias("offset"), kind.alias("kind")).where("kind is not null")
+
+
+def first_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The first error of each file."""
+    best = errors(spark, path).groupBy("file").agg(F.min(F.struct("offset", "number", "kind")).alias("e"))
+    return best.select("file", "e.number", "e.offset", "e.kind")
+
+
 def formatted(triples: DataFrame) -> Column:
     """The line of a triple."""
     def term(kind: Column, value: Column) -> Column:
