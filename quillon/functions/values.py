@@ -159,29 +159,42 @@ def string_level(text: Column) -> Column:
 
 def place(datatype: Column, lexical: Column, lang: Column) -> Column:
     """(line, key) of a literal; null outside the lexical space of its datatype's kind, or for unknown datatypes."""
-    given = F.struct(terms.datatype_kind(datatype).alias("kind"), F.trim(lexical).alias("text"), lexical.alias("raw"), F.lower(F.coalesce(lang, F.lit(""))).alias("tag"))
-    return let(given, _placed)
-
-
-def _placed(x: Column) -> Column:
-    kind, text, raw, tag = (x[c] for c in ("kind", "text", "raw", "tag"))
-    level = F.concat(F.lit("string "), string_level(raw).cast("string"))
+    given = F.struct(terms.datatype_kind(datatype).alias("kind"), lexical.alias("raw"), F.lower(F.coalesce(lang, F.lit(""))).alias("tag"))
+
+    def by_kind(x: Column) -> Column:
+        found = F.when(x["kind"].isNull(), F.lit(None))
+        for kind in terms.DATATYPES:
+            found = found.when(x["kind"] == kind, _placed(kind, x["raw"], x["tag"]))
+        return found
+
+    return let(given, by_kind)
+
+
+def place_of(datatype: str, lexical: Column) -> Column:
+    """(line, key) of literals that all have one standard datatype."""
+    kind = next(k for k, names in terms.DATATYPES.items() if datatype in names)
+    return let(lexical, lambda raw: _placed(kind, raw, F.lit("")))
+
+
+def _placed(kind: str, raw: Column, tag: Column) -> Column:
+    text = F.trim(raw)
+    if kind == "decimal":
+        return number_place(text)
+    if kind in ("double", "float"):
+        return _float_place(kind, text)
+    if kind == "boolean":
+        return _at("boolean", F.when(text.isin("true", "1"), "true").when(text.isin("false", "0"), "false"))
+    if kind == "moment":
+        return let(terms.moment(text), lambda at: _at(F.when(at["zoned"], "moment z").otherwise("moment l"), order_key(at["at"].cast("string"))))
+    if kind == "hexBinary":
+        return _at("hexBinary", F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), _measured((F.length(text) / 2).cast("int"), F.upper(text))))
+    if kind == "base64Binary":
+        return let(F.try_to_binary(F.regexp_replace(text, r"\s", ""), F.lit("base64")), lambda b: _at("base64Binary", _measured(F.octet_length(b), F.hex(b))))
     length = _measured(F.char_length(raw), raw)
-    octets = F.try_to_binary(F.regexp_replace(text, r"\s", ""), F.lit("base64"))
-    moment = let(terms.moment(text), lambda at: _at(F.when(at["zoned"], "moment z").otherwise("moment l"), order_key(at["at"].cast("string"))))
-    return (
-        F.when(kind == "decimal", number_place(text))
-        .when(kind == "double", _float_place("double", text))
-        .when(kind == "float", _float_place("float", text))
-        .when(kind == "boolean", _at("boolean", F.when(text.isin("true", "1"), "true").when(text.isin("false", "0"), "false")))
-        .when(kind == "moment", moment)
-        .when(kind == "hexBinary", _at("hexBinary", F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), _measured((F.length(text) / 2).cast("int"), F.upper(text)))))
-        .when(kind == "base64Binary", let(octets, lambda b: _at("base64Binary", _measured(F.octet_length(b), F.hex(b)))))
-        .when((kind == "text") & (tag != ""), _at("text", F.concat(tag, F.lit("\x01"), raw)))
-        .when(kind.isin("string", "text"), _at(level, length))
-        .when(kind == "uri", _at("uri", length))
-        .when(kind == "xml", _at("xml", length))
-    )
+    plain = _at(F.concat(F.lit("string "), string_level(raw).cast("string")), length)
+    if kind == "text":
+        return F.when(tag == "", plain).otherwise(_at("text", F.concat(tag, F.lit("\x01"), raw)))
+    return plain if kind == "string" else _at(kind, length)
 
 
 @cache
@@ -224,7 +237,7 @@ def facet_pieces(facets: DataFrame) -> DataFrame:
     zero = F.when(key.isin("o0", "o1") & line.isin("double", "float"), F.when(after, "o1 2").otherwise("o0 0"))
     floor = integer_of(key) - F.when((line != "integer") & key.startswith("n"), 1).otherwise(0)
     whole = _before_integer(F.when((line == "integer") & ~after, floor).otherwise(floor + 1))
-    apart = (integer_of(key) + F.when(least, 1).otherwise(-1) * 14 * 3600 * 1_000_000).cast("decimal(38,0)").cast("string")
+    apart = (integer_of(key) + F.when(least, 1).otherwise(-1) * F.lit(14 * 3600 * 1_000_000)).cast("decimal(38,0)").cast("string")
     beyond = F.concat(order_key(apart), F.when(least, " 2").otherwise(" 0"))
     cut = F.coalesce(zero, F.when(number & (to == "integer"), whole).when(moment & other, beyond).otherwise(F.concat(key, F.when(after, " 2").otherwise(" 0"))))
     ordered = rows.select("node", to.alias("line"), F.when(least, cut).otherwise(LOW).alias("low"), F.when(least, F.lit(HIGH)).otherwise(cut).alias("high"))

@@ -184,7 +184,7 @@ def _further(rules: Mapping[str, DataFrame], sub: DataFrame, link: DataFrame, ne
         below = rules["higher"].select(F.col("r").alias("q"), F.col("s").alias("r"))
         lacking = lacking.join(below, "r").join(link.select("x", F.col("r").alias("q"), "y"), ["x", "q", "y"]).groupBy("x", "q", "y").agg(F.collect_set("e").alias("more"))
         made.append(lacking.select("x", F.col("q").alias("r"), joint(_roles(F.col("y")), F.concat(_classes(F.col("y")), "more")).alias("y")))
-    if "single" in rules:
+    if "single" in rules and "give" in rules:
         met = new_link.where(unnamed).join(rules["single"], "r", "left_semi").select("x", "r").distinct()
         own = link.where(unnamed).join(met, ["x", "r"], "left_semi")
         whole = own.groupBy("x", F.col("r").alias("f")).agg(F.flatten(F.collect_set(_roles(F.col("y")))).alias("roles"), F.flatten(F.collect_set(_classes(F.col("y")))).alias("classes"), F.count_distinct("y").alias("n"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import terms
-from quillon.operators import constraints, structure, validity
-from quillon.operators.components import components, representatives
-from quillon.operators.saturation import NOTHING, not_closed, saturate
+from quillon.functions import values as V
+from quillon.operators import constraints, ranges, structure, taxonomy, validity
+from quillon.operators.components import checkpoint, components, representatives
+from quillon.operators.saturation import NOTHING, context, not_closed, saturate
 from quillon.plans import validity as validity_plan
 from quillon.plans.ontology import RDF, list_members, mapped
 from quillon.sources import documents, ntriples
@@ -164,18 +165,122 @@ def exact_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.exactly(edges(spark, sf_dir, "suppliedBy"), 3)
 
 
+def _ranges(spark: SparkSession, facets: list[tuple], points: list[tuple] = (), expressions: list[tuple] = ()) -> DataFrame:
+    """Stretches of ranges: facets (node, facet, bound, datatype), values (node, text, datatype), expressions (node, way, pos, part)."""
+    name = lambda t: V.full(t)
+    pieces = V.datatype_pieces(spark)
+    atoms = spark.createDataFrame([(n, f, b, name(t)) for n, f, b, t in facets], "node string, facet string, bound string, datatype string")
+    values = spark.createDataFrame([(n, v, name(t)) for n, v, t in points], "node string, v string, datatype string")
+    placed = checkpoint(values.select("node", V.place(F.col("datatype"), F.col("v"), F.lit(None).cast("string")).alias("at"))).select("node", "at.line", "at.key")
+    pieces = checkpoint(pieces.union(V.facet_pieces(atoms)).union(V.point_pieces(placed)))
+    known = pieces.select("node").union(atoms.select("node"))
+    found, _ = ranges.resolved(pieces, known, spark.createDataFrame([(n, w, k, p) for n, w, k, p in expressions], "node string, way string, pos int, part string"))
+    return found
+
+
+def _held(values: DataFrame, datatype: str, asked: list[tuple[str, str]], pieces: DataFrame) -> DataFrame:
+    """Values (p, lexical, …) of a datatype within the ranges (p, node) that are asked of their property."""
+    placed = values.withColumn("at", V.place_of(datatype, F.col("lexical"))).withColumns({"line": F.col("at.line"), "key": F.col("at.key")}).drop("at", "lexical")
+    return ranges.members(placed, values.sparkSession.createDataFrame(asked, "p string, node string"), pieces)
+
+
+def _text(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_quantity >= 5 AND l_quantity < 10")
 def facet_numeric_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
-    rows = table(spark, sf_dir, "lineitem").where((q >= 5) & (q < 10))
     return rows.where(terms.facet(q, "minInclusive", 5.0) & terms.facet(q, "maxExclusive", 10.0)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 def facet_datetime_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.col("o_orderdate")
-    rows = table(spark, sf_dir, "orders")
-    return rows.where((day >= F.lit("1995-01-01").cast(rows.schema["o_orderdate"].dataType)) & (day < F.lit("1996-01-01").cast(rows.schema["o_orderdate"].dataType))).select("o_orderkey")
+    """dateTime values of a year, as literals."""
+    pieces = _ranges(spark, [("from", "minInclusive", "1995-01-01T00:00:00", "xsd:dateTime"), ("to", "maxExclusive", "1996-01-01T00:00:00", "xsd:dateTime")], expressions=[("year", "all", 0, "from"), ("year", "all", 1, "to")])
+    values = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("ordered").alias("p"), _text(F.col("o_orderdate")).alias("lexical"))
+    return _held(values, "xsd:dateTime", [("ordered", "year")], pieces).select("o_orderkey")
+
+
+@query("""SELECT event_id, 'Odd' AS node FROM events WHERE (value < 5 OR value >= 95 OR value = 50) AND NOT (value >= 97 AND value < 98) UNION ALL SELECT event_id, 'Middle' FROM events WHERE value >= 40 AND value <= 60
+UNION ALL SELECT event_id, 'Beyond' FROM events WHERE NOT (value >= 40 AND value <= 60)""")
+def nested_ranges_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions, intersections, complements and an enumeration over doubles."""
+    d = "xsd:double"
+    facets = [("low", "maxExclusive", "5", d), ("high", "minInclusive", "95.0", d), ("a", "minInclusive", "9.7E1", d), ("b", "maxExclusive", "98", d), ("c", "minInclusive", "40", d), ("e", "maxInclusive", "60", d)]
+    rows = [("u", "any", 0, "low"), ("u", "any", 1, "high"), ("u", "any", 2, "fifty"), ("ab", "all", 0, "a"), ("ab", "all", 1, "b"), ("not ab", "none", 0, "ab"), ("Odd", "all", 0, "u"), ("Odd", "all", 1, "not ab")]
+    rows += [("Middle", "all", 0, "c"), ("Middle", "all", 1, "e"), ("Beyond", "none", 0, "Middle")]
+    pieces = _ranges(spark, facets, [("fifty", "5e1", d)], rows)
+    values = table(spark, sf_dir, "events").select("event_id", F.lit("value").alias("p"), F.col("value").cast("string").alias("lexical"))
+    return _held(values, d, [("value", x) for x in ("Odd", "Middle", "Beyond")], pieces).select("event_id", "node")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Whole' AS node FROM lineitem WHERE l_extendedprice = floor(l_extendedprice) UNION ALL
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Cheap' FROM lineitem WHERE l_extendedprice <= 1000 AND l_extendedprice <> floor(l_extendedprice) UNION ALL
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Byte' FROM lineitem WHERE l_quantity BETWEEN -128 AND 127 AND l_quantity NOT IN (1, 2, 50)""")
+def nested_ranges_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers among decimals, decimals that are none, and a bounded integer type without an enumeration."""
+    rows = [("no integer", "none", 0, V.full("xsd:integer")), ("Cheap", "all", 0, "most"), ("Cheap", "all", 1, "no integer"), ("Cheap", "all", 2, V.full("xsd:decimal")), ("Whole", "any", 0, V.full("xsd:integer"))]
+    rows += [("others", "none", 0, "few"), ("Byte", "all", 0, V.full("xsd:byte")), ("Byte", "all", 1, "others")]
+    pieces = _ranges(spark, [("most", "maxInclusive", "1000", "xsd:integer")], [("few", "1", "xsd:integer"), ("few", "2.0", "xsd:decimal"), ("few", "100/2", "owl:rational")], rows)
+    both = F.explode(F.array(F.struct(F.lit("price").alias("p"), F.col("l_extendedprice").alias("n")), F.struct(F.lit("quantity").alias("p"), F.col("l_quantity").alias("n"))))
+    values = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", both.alias("v"))
+    values = values.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "v.p", F.col("v.n").cast("decimal(20,4)").cast("string").alias("lexical"))
+    return _held(values, "xsd:decimal", [("price", "Whole"), ("price", "Cheap"), ("quantity", "Byte")], pieces).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "node")
+
+
+@query("SELECT 'o' || l_orderkey AS x, count(DISTINCT l_quantity) AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 GROUP BY l_orderkey HAVING count(DISTINCT l_quantity) >= 2")
+def data_min_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At least 2 different quantities from 10 to 20: values told apart by their place."""
+    pieces = _ranges(spark, [("a", "minInclusive", "10", "xsd:integer"), ("b", "maxInclusive", "20", "xsd:integer")], expressions=[("some", "all", 0, "a"), ("some", "all", 1, "b")])
+    values = table(spark, sf_dir, "lineitem").select(named("o", "l_orderkey").alias("x"), F.lit("quantity").alias("p"), F.col("l_quantity").cast("string").alias("lexical"))
+    held = _held(values, "xsd:decimal", [("quantity", "some")], pieces)
+    return constraints.at_least(held.select("x", F.concat_ws(" ", "line", "key").alias("y")), 2)
+
+
+@query("SELECT 'n' || n_nationkey AS node, (2 * n_nationkey + 1)::BIGINT AS amount FROM nation")
+def amounts_of_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers from minus to plus a nation's key: the size of a range for each nation."""
+    nation = table(spark, sf_dir, "nation").select(named("n", "n_nationkey").alias("node"), "n_nationkey")
+    bound = F.explode(F.array(F.struct(F.lit("minInclusive").alias("facet"), (-F.col("n_nationkey")).cast("string").alias("bound")), F.struct(F.lit("maxInclusive").alias("facet"), F.col("n_nationkey").cast("string").alias("bound"))))
+    rows = nation.select("node", bound.alias("b")).select("node", "b.facet", "b.bound")
+    name = F.concat_ws(" ", "node", "facet")
+    pieces = V.facet_pieces(rows.select(name.alias("node"), "facet", "bound", F.lit(V.full("xsd:integer")).alias("datatype")))
+    parts = rows.select("node", F.lit("all").alias("way"), F.lit(0).alias("pos"), name.alias("part")).union(nation.select("node", F.lit("all"), F.lit(1), F.lit(V.full("xsd:integer"))))
+    found, _ = ranges.resolved(pieces.union(V.datatype_pieces(spark)), rows.select(name.alias("node")).union(V.datatype_pieces(spark).select("node")), parts)
+    return ranges.amounts(found, nation.select("node")).select("node", F.col("amount").cast("long").alias("amount"))
+
+
+@query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_type, p_brand, p_size) AS same FROM part")
+def nested_expression_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part as the expression type and (brand or size), its members in one order or the other."""
+    part = table(spark, sf_dir, "part")
+    outer, inner, size = named("p", "p_partkey"), named("u", "p_partkey"), named("size ", "p_size")
+    row = lambda node, kind, p: F.struct(node.alias("node"), F.lit(kind).alias("kind"), p.alias("part"))
+    rows = part.select(F.explode(F.array(row(outer, "And", F.col("p_type")), row(outer, "And", inner), row(inner, "Or", F.col("p_brand")), row(inner, "Or", size))).alias("r"))
+    table_ = rows.select("r.node", "r.kind", F.lit("of").alias("role"), F.lit(None).cast("int").alias("pos"), "r.part")
+    keys, _ = structure.expression_keys(table_)
+    keys = keys.where("node like 'p%'").select(F.substring("node", 2, 20).cast("long").alias("node"), "key")
+    return keys.join(keys.groupBy("key").agg(F.min("node").alias("same")), "key").select("node", "same")
+
+
+@query("SELECT DISTINCT p_type || '|' || p_brand AS sub, p_type AS sup, 3 AS depth FROM part UNION SELECT p_type || '|' || p_brand, p_brand, 3 FROM part UNION SELECT p_type, 'Product', 2 FROM part UNION SELECT p_brand, 'Product', 2 FROM part UNION SELECT 'Product', 'Thing', 1")
+def taxonomy_direct_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct parents and depths of the classes of types and brands; what follows is left out again."""
+    direct = taxonomy.direct_parents(el_taxonomy(spark, sf_dir))
+    return direct.join(taxonomy.depths(direct), F.col("sub") == F.col("c")).select("sub", "sup", "depth")
+
+
+@query("SELECT conv_id::VARCHAR || '/0' AS root, count(DISTINCT turn) AS n FROM conversations GROUP BY conv_id HAVING min(turn) = 0 AND max(turn) = count(DISTINCT turn) - 1")
+def scopes_of_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a document with a blank node "b" and imports the next: nodes of a conversation's union."""
+    docs, imports, roots = _turns(spark, sf_dir)
+    reached, _ = documents.closure(docs, imports, roots)
+    node = docs.select("doc", F.lit("node").alias("s_kind"), F.lit("b").alias("s"), F.lit("http://t/says").alias("p"), F.lit("iri").alias("o_kind"), F.lit("http://t/x").alias("o"))
+    whole = imports.groupBy(F.substring_index("doc", "/", 1).alias("c")).agg(F.count_distinct("doc").alias("n"), F.max(F.substring_index("doc", "/", -1).cast("int")).alias("last")).where("last = n - 1").select("c")
+    united = documents.union_of_imports(node, reached).groupBy("root").agg(F.count_distinct("s").alias("n"))
+    return united.join(whole, F.substring_index("root", "/", 1) == F.col("c"), "left_semi").select("root", "n")
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) >= 1000 AND length(text) <= 5000")
@@ -189,11 +294,13 @@ def lang_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(terms.in_language_range(F.col("lang"), "EN")).select("doc_id", "lang")
 
 
-@query("SELECT p_partkey FROM part WHERE (p_size IN (1, 5, 9) OR p_retailprice > 1200) AND NOT p_size > 40")
+@query("SELECT p_partkey FROM part WHERE (p_size IN (1, 5, 9) OR p_size > 30) AND NOT p_size > 40")
 def data_range_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, complement, intersection and enumeration of data ranges."""
-    size = F.col("p_size")
-    return table(spark, sf_dir, "part").where((size.isin(1, 5, 9) | (F.col("p_retailprice") > 1200)) & ~(size > 40)).select("p_partkey")
+    rows = [("u", "any", 0, "few"), ("u", "any", 1, "large"), ("no", "none", 0, "huge"), ("all", "all", 0, "u"), ("all", "all", 1, "no")]
+    pieces = _ranges(spark, [("large", "minExclusive", "30", "xsd:integer"), ("huge", "minExclusive", "40", "xsd:integer")], [("few", x, "xsd:integer") for x in ("1", "5", "9")], rows)
+    values = table(spark, sf_dir, "part").select("p_partkey", F.lit("size").alias("p"), F.col("p_size").cast("string").alias("lexical"))
+    return _held(values, "xsd:integer", [("size", "all")], pieces).select("p_partkey")
 
 
 @query("SELECT o_orderkey, o_orderkey BETWEEN -128 AND 127 AS is_byte, o_orderkey BETWEEN -32768 AND 32767 AS is_short, o_orderkey BETWEEN 0 AND 65535 AS is_unsigned_short, o_orderkey > 0 AS is_positive FROM orders")
@@ -289,10 +396,11 @@ def irreflexive_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.loops(_number_edges(spark, sf_dir))
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey % 50 AS x, l_partkey % 50 AS y FROM lineitem WHERE l_quantity > 30 AND l_suppkey % 50 <> 7) SELECT a.x, a.y FROM e a JOIN e b ON a.x = b.y AND a.y = b.x")
+@query("WITH e AS (SELECT DISTINCT l_suppkey AS x, l_partkey AS y FROM lineitem) SELECT a.x, a.y FROM e a JOIN e b ON a.x = b.y AND a.y = b.x")
 def asymmetric_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 30 and l_suppkey % 50 <> 7")
-    return constraints.both_ways(rows.select((F.col("l_suppkey") % 50).alias("x"), F.lit("near").alias("r"), (F.col("l_partkey") % 50).alias("y")).distinct())
+    """Suppliers and parts, by their numbers, that deliveries connect both ways."""
+    rows = table(spark, sf_dir, "lineitem")
+    return constraints.both_ways(rows.select(F.col("l_suppkey").alias("x"), F.lit("near").alias("r"), F.col("l_partkey").alias("y")).distinct())
 
 
 @query("""SELECT user_id AS x, floor(value)::BIGINT AS y, 'clicks and views' AS g FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL HAVING count(DISTINCT event_type) > 1""")
@@ -374,13 +482,15 @@ def equivalent_classes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub.where("x <> c").join(back, ["x", "c"], "left_semi").select(F.col("x").alias("a"), F.col("c").alias("b"))
 
 
-@query("SELECT (i)::BIGINT AS sub, (i >> k)::BIGINT AS sup FROM range(1, 20001) t(i), range(1, 15) u(k) WHERE i >> k > 0")
-def el_taxonomy_20000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification of 20,000 generated classes, each below the one of half its number."""
-    number = F.col("id").cast("string")
-    told = spark.range(2, 20001).select(number.alias("c"), F.floor(F.col("id") / 2).cast("string").alias("d"))
-    sub, _ = saturate(spark.range(1, 20001).select(number.alias("x"), number.alias("c")), edges(spark, sf_dir, "inRegion").limit(0), {"told": told})
-    return sub.where("x <> c").select(F.col("x").cast("long").alias("sub"), F.col("c").cast("long").alias("sup"))
+@query("SELECT p_partkey AS sub, p_partkey >> k AS sup FROM part, range(1, 40) u(k) WHERE p_partkey >> k > 0")
+def el_taxonomy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification of the parts' classes, each below the one of half its number."""
+    keys = table(spark, sf_dir, "part").select("p_partkey")
+    told = keys.where("p_partkey > 1").select(F.col("p_partkey").cast("string").alias("c"), F.floor(F.col("p_partkey") / 2).cast("string").alias("d"))
+    own = keys.select(context(F.col("p_partkey").cast("string")).alias("x"), F.col("p_partkey").cast("string").alias("c"))
+    sub, _ = saturate(own, edges(spark, sf_dir, "inRegion").limit(0), {"told": told})
+    rows = sub.select(F.substring("x", 2, 40).alias("sub"), F.col("c").alias("sup")).where("sub <> sup")
+    return rows.select(F.col("sub").cast("long").alias("sub"), F.col("sup").cast("long").alias("sup"))
 
 
 @query("SELECT c_custkey AS x FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -419,9 +529,9 @@ def data_some_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS x FROM part WHERE p_size = 5")
 def data_has_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """size value "05.0": the literal stands for the number 5."""
-    wanted = spark.createDataFrame([("05.0",)], "lexical string").select(terms.value_key("decimal", F.col("lexical")).alias("value_key"))
-    values = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), terms.value_key("decimal", F.col("p_size").cast("string")).alias("value_key"))
-    return values.join(wanted, "value_key", "left_semi").select("x")
+    pieces = _ranges(spark, [], [("five", "05.0", "xsd:decimal")])
+    values = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), F.lit("size").alias("p"), F.col("p_size").cast("string").alias("lexical"))
+    return _held(values, "xsd:integer", [("size", "five")], pieces).select("x")
 
 
 @query("SELECT p_name AS x, count(DISTINCT p_size) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_size) >= 3")
