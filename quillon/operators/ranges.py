@@ -128,6 +128,6 @@ def members(values: DataFrame, asked: DataFrame, pieces: DataFrame) -> DataFrame
     bands = bands.join(cuts, "p").select("p", "node", (F.array_position("cuts", F.col("low"))).alias("start"), (F.array_position("cuts", F.col("high"))).alias("end"))
     bands = small(checkpoint(bands.select("p", "node", F.explode(_blocks(F.col("start"), F.col("end"), levels)).alias("b")).select("p", "node", "b.level", "b.block")))
     spot = F.concat("line", F.lit("\x00"), "key", F.lit(" 1"))
-    rows = values.join(cuts, "p").withColumn("_at", _search(F.col("cuts"), spot)).drop("cuts").where("_at > 0")
+    rows = values.join(cuts, "p").withColumn("_at", V.let(spot, lambda at: _search(F.col("cuts"), at))).drop("cuts").where("_at > 0")
     rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.expr("cast(shiftright(cast(_at as bigint), level) as bigint)")).drop("_at")
     return rows.join(bands, ["p", "level", "block"]).drop("level", "block")
