@@ -16,12 +16,10 @@ same. Lines, words and templates are told apart by 60 bits of MD5, which SQL has
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import checkpoint, fresh
 
 #: Leading words of a leaf, words of the shortest template, documents from which it recurs.
 DEPTH, SHORTEST, DOCS = 3, 3, 5
@@ -97,16 +95,10 @@ def recurring(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, lea
     return rows.select("key", "pos", "template").join(often, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("dropped"))
 
 
-def with_kept(docs: DataFrame, found_in: Callable[[DataFrame], DataFrame], key: Column) -> DataFrame:
-    """``docs`` with the columns _kept (the text without dropped lines), _lines and _dropped."""
-    own = docs.withColumn("_key", key)
-    found = found_in(docs.where("text is not null").select(key.alias("key"), "text"))
-    own = own.join(found, F.col("_key") == F.col("key"), "left")
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
-    return own.withColumns({"_kept": text, "_lines": lines.cast("long"), "_dropped": F.size(gone).cast("long")}).drop("_key", "key", "dropped")
+def kept_lines(text: Column, dropped: Column) -> Column:
+    """The text without the lines at the positions ``dropped`` (null: all stay)."""
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(dropped, i)), "\n")
+    return F.when(dropped.isNull(), text).otherwise(kept)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -117,14 +109,25 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     a row; null ids are kept. Ties between rarest templates go to the smaller number. An
     empty table gives no rows.
     """
-    done = with_kept(docs.select("doc_id", "text"), recurring, F.xxhash64("text"))
-    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    rows = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    done = rows.join(recurring(rows.where("text is not null").select("key", "text")), "key", "left")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    n_dropped = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
+    return done.select("doc_id", lines.alias("n_lines"), F.when(F.col("dropped").isNull(), F.lit(0).cast("long")).otherwise(n_dropped).alias("n_dropped"), F.sha2(kept_lines(F.col("text"), F.col("dropped")), 256).alias("kept_sha256"))
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts that are left when recurring templates are dropped."""
-    done = with_kept(docs, recurring, F.xxhash64("text"))
-    return done.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with the texts that are left when recurring templates are dropped.
+
+    Every row stays, with all its other columns, whatever they are called. A null text stays null, an
+    empty one empty; equal texts and repeated rows lose the same lines and count as one text. Ties
+    are those of ``line_dedup``. An empty table gives no rows.
+    """
+    key, at, dropped = fresh(docs, "key", "at", "dropped")
+    found = recurring(docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")).toDF(at, dropped)
+    own = docs.withColumn(key, F.xxhash64("text"))
+    done = own.join(found, own[key] == found[at], "left")
+    return done.select(*[kept_lines(own["text"], found[dropped]).alias("text") if c == "text" else own[c] for c in docs.columns])
 
 
 SQL = r"""

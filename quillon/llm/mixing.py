@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import checkpoint, word_count
+from quillon.llm.common import checkpoint, fresh, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -166,13 +166,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    plan = mix(docs)
-    same = ["doc_id", "source", "size"]
-    turn = F.row_number().over(Window.partitionBy("d", "s", "z").orderBy("copies"))
-    plan = plan.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies").withColumn("t", turn)
-    own = docs.withColumn("size", word_count(F.col("text")))
-    own = own.withColumn("turn", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
-    keys = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("turn") == F.col("t"))
-    kept = own.join(plan.where("copies > 0"), keys)
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it, other columns as they are.
+
+    Rows of one id, source and size are interchangeable in the mix, so the one with the smaller hash of
+    its text is taken as often as the smaller number says or more often. Null texts, ids and sources
+    count as in ``mix``; repeated rows are rows of their own. An empty table gives no rows.
+    """
+    size, turn, text, d, s, z, t, copies = fresh(docs, "size", "turn", "text_hash", "d", "s", "z", "t", "copies")
+    plan = mix(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(copies))
+    plan = plan.withColumn(t, F.row_number().over(Window.partitionBy(d, s, z).orderBy(copies)))
+    own = docs.withColumn(size, word_count(F.col("text"))).withColumn(text, F.xxhash64("text"))
+    # the texts themselves stay out of the numbering: only rows that share id, source and size are numbered by hash
+    shared = own.groupBy("doc_id", "source", size).count().where("count > 1").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col(size).alias(z))
+    same = own["doc_id"].eqNullSafe(F.col(d)) & own["source"].eqNullSafe(F.col(s)) & (own[size] == F.col(z))
+    single = own.join(shared, same, "left_anti").withColumn(turn, F.lit(1))
+    several = own.join(shared, same, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(text)))
+    both = single.unionByName(several)
+    keys = both["doc_id"].eqNullSafe(F.col(d)) & both["source"].eqNullSafe(F.col(s)) & (both[size] == F.col(z)) & (both[turn] == F.col(t))
+    kept = both.join(plan.where(F.col(copies) > 0), keys)
+    return kept.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

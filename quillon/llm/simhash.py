@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm.common import checkpoint, connected_components, utf8
+from quillon.llm.common import checkpoint, connected_components, fresh, utf8
 
 #: Seed of XXH64, and bits that the radius of 2 is halved to.
 SEED = 42
@@ -307,18 +307,21 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> Da
 
     The row with the group's smallest doc_id stays, of several the one with the smallest
     hash of its text; null ids come last. Repeated rows with one id and text leave one row.
-    Texts without words are copies of each other. An empty table gives no rows.
+    Texts without words are copies of each other. Other columns stay, whatever they are called.
+    An empty table gives no rows.
     """
-    roots = copies(docs, words, least)
+    roots = copies(docs.select("text"), words, least)
     rows = docs.select("doc_id", F.xxhash64(utf8(F.col("text"))).alias("uid")).groupBy("doc_id", "uid").agg(F.count("*").alias("n"))
     rows = rows.join(roots, F.col("uid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "uid"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "n")).alias("best")
-    chosen = checkpoint(rows.groupBy("group").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.uid").alias("_uid"), "best.n"))
-    at = (F.xxhash64(utf8(F.col("text"))) == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = docs.join(chosen.where("n = 1"), at, "left_semi")
-    again = chosen.where("n > 1")
+    own, id_, uid, n, rank = fresh(docs, "own", "id", "uid", "n", "rank")
+    chosen = rows.groupBy("group").agg(best).select(F.col("best.doc_id").alias(id_), F.col("best.uid").alias(uid), F.col("best.n").alias(n))
+    chosen = checkpoint(chosen)
+    keyed = docs.withColumn(own, F.xxhash64(utf8(F.col("text"))))
+    at = (keyed[own] == F.col(uid)) & keyed["doc_id"].eqNullSafe(F.col(id_))
+    kept = keyed.join(chosen.where(F.col(n) == 1), at, "left_semi").select(*docs.columns)
+    again = chosen.where(F.col(n) > 1)
     if again.isEmpty():
         return kept
-    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64(utf8(F.col("text")))).orderBy("text"))
-    more = docs.join(again, at, "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.unionByName(more)
+    more = keyed.join(again, at, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(own)))
+    return kept.unionByName(more.where(F.col(rank) == 1).select(*docs.columns))

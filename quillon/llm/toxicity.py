@@ -220,7 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     segment and the score of such texts. Without labels of both kinds every score is
     the smoothed share of toxic labels. An empty table gives no rows.
     """
-    model = fit(docs, labels, sample)
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.LongType())]))
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -233,8 +233,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic."""
-    model = fit(docs, labels)
+    """``docs`` without the rows whose text is predicted toxic, with all their columns.
+
+    A null text counts as empty; a null id's label is not used. Equal texts have equal scores, so
+    repeated rows stay or go together; a score of 0.5 is toxic. Without labels of both kinds all
+    rows have one score, the smoothed share of toxic labels. An empty table gives no rows.
+    """
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
 
     @F.pandas_udf(T.BooleanType())
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
