@@ -2,10 +2,12 @@
 
 Vectors are grouped by length: a bucket spans a few percent of length, and is cut
 into parts of bounded size. The longest vectors give every query a first lower bound
-for its k-th score. A query goes to those buckets only whose greatest length can beat
-that bound. There, the bound divided by both lengths is the bucket's local cosine
-threshold: low thresholds prune by length, high ones by the query's largest
-coordinates; what is left is verified by exact products.
+for its k-th score. Buckets follow in waves, the longest first, each wave with as many
+vectors as all before it; after a wave a query's bound is its k-th score so far. A query
+goes to those buckets only whose greatest length can beat its bound. There, the bound
+divided by both lengths is the bucket's local cosine threshold: low thresholds prune by
+length, high ones by the query's largest coordinates; what is left is verified by exact
+products.
 """
 
 from __future__ import annotations
@@ -133,10 +135,15 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             unit = vectors / np.maximum(norms, 1e-30)[:, None]
             asked = matrix(queries.field("v"))
             rows: list = []
-            for own, length, bound, q in zip(*(queries.field(c).to_pylist() for c in ("vec_id", "norm", "bound")), asked, strict=True):
-                at = candidates(q[: vectors.shape[1]], length, bound, unit, norms)
-                at = at[ids[at] != own]
-                scores = products(q[None], vectors[at])[0]
+            asks = list(zip(*(queries.field(c).to_pylist() for c in ("vec_id", "norm", "bound")), strict=True))
+            found = [candidates(q[: vectors.shape[1]], length, bound, unit, norms) for (_, length, bound), q in zip(asks, asked, strict=True)]
+            # queries that keep the whole part share one product
+            whole = [n for n, at in enumerate(found) if len(at) == len(ids)]
+            shared = dict(zip(whole, products(asked[whole], vectors), strict=True)) if whole else {}
+            for n, ((own, _, _), at) in enumerate(zip(asks, found, strict=True)):
+                scores = shared[n] if n in shared else products(asked[n][None], vectors[at])[0]
+                others = ids[at] != own
+                scores, at = scores[others], at[others]
                 top = best(scores, ids[at], k)
                 rows += [(own, i, s, str(x)) for i, s, x in zip(ids[at][top].tolist(), _clipped(scores[top]), scores[top].tolist(), strict=True)]
             if rows:
@@ -172,20 +179,50 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     n_blocks = -(-asked.count() // BLOCK) or 1
     asked = asked.mapInArrow(functools.partial(_bounds, seeds=seeds, k=k), "vec_id long, v array<double>, norm double, bound double")
     asked = checkpoint(asked)
-    routed = asked.join(F.broadcast(sizes), F.col("norm") * F.col("longest") >= F.col("bound") * (1 - 1e-9))
-    routed = routed.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "b", "parts", F.struct("vec_id", "v", "norm", "bound").alias("q"))
-    blocks = routed.groupBy("b", "block", "parts").agg(F.collect_list("q").alias("queries"))
-    blocks = blocks.select("queries", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    dealt = rows.join(F.broadcast(sizes), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    dealt = rows.join(F.broadcast(sizes.select("b", "parts")), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
     parts = dealt.groupBy("b", "part").agg(F.collect_list(F.struct("vec_id", "v", "norm")).alias("members"))
-    pairs = blocks.join(parts, ["b", "part"]).select("queries", "members")
-    found = pairs.mapInArrow(functools.partial(_search, k=k), "query_id long, vec_id long, score long, exact string")
-    # beyond 64 bits the exact score, by sign, number of digits and digits, decides before the clipped one
+    parts = checkpoint(parts)
+    found, waves = None, list(_waves(buckets))
+    for turn, wave in enumerate(waves):
+        own = sizes.where(F.col("b").isin(wave))
+        routed = asked.join(F.broadcast(own), F.col("norm") * F.col("longest") >= F.col("bound") * (1 - 1e-9))
+        routed = routed.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "b", "parts", F.struct("vec_id", "v", "norm", "bound").alias("q"))
+        blocks = routed.groupBy("b", "block", "parts").agg(F.collect_list("q").alias("queries"))
+        blocks = blocks.select("queries", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        pairs = blocks.join(parts, ["b", "part"]).select("queries", "members")
+        new = pairs.mapInArrow(functools.partial(_search, k=k), "query_id long, vec_id long, score long, exact string")
+        found = _highest(new if found is None else found.unionByName(new), k)
+        if turn + 1 < len(waves):
+            found = checkpoint(found)
+            # clipped scores lie on the safe side only while they fit; others leave the bound as it was
+            kth = found.where((F.col("rank") == k) & (F.col("score") < MOST) & (F.col("score") > LEAST)).select(F.col("query_id").alias("of"), F.col("score").cast("double").alias("kth"))
+            raised = F.greatest("bound", F.coalesce("kth", F.col("bound")))
+            asked = checkpoint(asked.join(kth, F.col("vec_id") == F.col("of"), "left").withColumn("bound", raised).select("vec_id", "v", "norm", "bound"))
+            found = found.drop("rank")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _waves(buckets: list) -> Iterator[list[int]]:
+    """Buckets from the greatest length down, in waves of about as many vectors as all waves before have."""
+    wave, held, before = [], 0, 0
+    for r in sorted(buckets, key=lambda r: -r.longest):
+        wave.append(r.bucket)
+        held += r.n
+        if held >= before:
+            yield wave
+            wave, before, held = [], before + held, 0
+    if wave:
+        yield wave
+
+
+def _highest(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, with their rank. Beyond 64 bits the exact score, by sign, number of digits and
+    digits, decides before the clipped one."""
     minus, digits = F.col("exact").startswith("-"), F.lpad(F.replace(F.col("exact"), F.lit("-"), F.lit("")), 90, "0")
     above = F.when((F.col("score") == MOST) & ~minus, digits).otherwise("")
     below = F.when((F.col("score") == LEAST) & minus, digits).otherwise("")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), above.desc(), below.asc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 SQL = """
