@@ -1,20 +1,21 @@
 """Substring dedup by level-wise doubling: repeated windows of words are removed.
 
-Level one looks at windows of half the length (rounded up). Of the half windows in
-a whole window only the one with the smallest hash, its anchor, is counted: equal
-windows have equal anchors, so windows whose anchor does not recur are done. Whole
-windows that share one anchor in a document lie side by side; if all occurrences of
-an anchor have the same words around them, all of these windows recur. Only where
-the surroundings differ are the windows of the full, doubled length counted one by
-one. Rows that come back to a document carry hashes, not positions, so equal texts
-and repeated rows need no care.
+Levels are lengths that double up to the window: 9, 18 and 35 words. At each level the
+windows that are still candidates are looked at through their anchor, the part of the
+level's length in them with the smallest hash. Equal windows have equal anchors, so a window
+whose anchor does not recur is done, and the others go on to the next level. The first
+levels only count anchors. At the last one before the whole, windows that share an anchor in
+a document lie side by side; if all occurrences of an anchor have the same words around
+them, all of these windows recur. Only where the surroundings differ are the windows of the
+full length counted one by one. Rows that come back to a document carry hashes, not
+positions, so equal texts and repeated rows need no care.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import WordHashes, checkpoint, row_blocks, utf8
 
 WINDOW = 35
+#: Words of the shortest level.
+FIRST = 9
 #: Bytes of text handled at a time.
 SLICE = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,22 +55,39 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class Spans:
     """Windows of several texts, whose words lie one after the other, and their anchors."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, window: int) -> None:
-        n, self.window = len(hashes), window
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, window: int, lengths: Sequence[int], alive: list[list] = ()) -> None:
+        """Anchors at the level after those of ``alive``: lists of anchors, one for each text, that candidates have."""
+        n, self.window, self.counts = len(hashes), window, counts
         self.hashes = hashes
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, n), dtype=np.uint64)])
         self.back = _powers(_BACK, n + 1)
-        half = (window + 1) // 2
+        half = lengths[len(alive)]
         ends = np.cumsum(counts)
         room = np.repeat(ends, counts) - np.arange(n)
         self.at = np.flatnonzero(room >= window)
+        self.first = self.last = self.anchor = np.zeros(0, np.int64)
+        self.h = self.v = np.zeros(0, np.uint64)
+        for length, lists in zip(lengths, alive, strict=False):
+            if len(self.at):
+                short, low = self._lowest(length)
+                self.at = self.at[_among(short[low[self.at]], _owner(counts, self.at), lists)]
         if not len(self.at):
-            self.first = self.last = self.anchor = np.zeros(0, np.int64)
-            self.h = self.v = np.zeros(0, np.uint64)
             return
-        short = self.key(np.arange(n - half + 1), half)
-        # index of the smallest hash, the leftmost of equal ones, of the half windows from each word on
-        low, size, most = np.arange(len(short)), 1, window - half + 1
+        short, low = self._lowest(half)
+        anchors = low[self.at]
+        starts = np.flatnonzero((np.diff(anchors, prepend=-1) != 0) | (np.diff(self.at, prepend=-2) != 1))
+        self.first = self.at[starts]  # of the windows that have an anchor
+        self.last = self.at[np.append(starts[1:], len(self.at)) - 1]
+        self.anchor = anchors[starts]
+        self.h = short[self.anchor]
+        extent = (self.anchor - self.first) * window + (self.last - self.first)
+        self.v = _mixed(self.key(self.first, self.last + window - self.first) + extent.astype(np.uint64))
+
+    def _lowest(self, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all parts of a length, and for each word the place of the smallest of them, the leftmost of
+        equal ones, in the window from there on."""
+        short = self.key(np.arange(len(self.hashes) - half + 1), half)
+        low, size, most = np.arange(len(short)), 1, self.window - half + 1
 
         def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.where(short[a] <= short[b], a, b)
@@ -77,14 +97,7 @@ class Spans:
             size *= 2
         if size < most:
             low = least(low[: len(low) - (most - size)], low[most - size :])
-        anchors = low[self.at]
-        starts = np.flatnonzero(np.diff(anchors, prepend=-1))
-        self.first = self.at[starts]  # of the windows that have an anchor
-        self.last = self.at[np.append(starts[1:], len(self.at)) - 1]
-        self.anchor = anchors[starts]
-        self.h = short[self.anchor]
-        extent = (self.anchor - self.first) * window + (self.last - self.first)
-        self.v = _mixed(self.key(self.first, self.last + window - self.first) + extent.astype(np.uint64))
+        return short, low
 
     def key(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         """Hash of so many words from each start on."""
@@ -112,11 +125,20 @@ def _owner(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(counts), at, side="right")
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def levels(window: int, first: int = FIRST) -> list[int]:
+    """Lengths before the whole window, each half of the next, rounded up."""
+    found = [(window + 1) // 2]
+    while found[0] > first:
+        found.insert(0, (found[0] + 1) // 2)
+    return found
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, lengths: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """(uid, h, v): anchors of the candidates at a level; batches carry uid, text and the lists of the levels before."""
     words = WordHashes()
-    for uid, text in row_blocks(batches, 1, SLICE):
+    for uid, text, *alive in row_blocks(batches, 1, SLICE):
         _, hashes, counts = words.of(text)
-        spans = Spans(hashes, counts, window)
+        spans = Spans(hashes, counts, window, lengths, alive)
         own = np.array(uid, np.int64)[_owner(counts, spans.anchor)]
         yield pa.RecordBatch.from_arrays([pa.array(own), _signed(spans.h), _signed(spans.v)], schema=_ANCHORS)
 
@@ -142,21 +164,21 @@ def _among(x: np.ndarray, owner: np.ndarray, lists: list) -> np.ndarray:
     return same[len(pairs) :]
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], window: int, lengths: Sequence[int]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
-    for uid, text, mixed in row_blocks(batches, 1, SLICE):
+    for uid, text, mixed, *alive in row_blocks(batches, 1, SLICE):
         _, hashes, counts = words.of(text)
-        spans = Spans(hashes, counts, window)
+        spans = Spans(hashes, counts, window, lengths, alive)
         start, k1, k2 = spans.windows(np.flatnonzero(_among(spans.h, _owner(counts, spans.anchor), mixed)))
         own = np.array(uid, np.int64)[_owner(counts, start)]
         yield pa.RecordBatch.from_arrays([pa.array(own), _signed(k1), _signed(k2)], schema=_WINDOWS)
 
 
-def _remove(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], window: int, lengths: Sequence[int], texts: bool) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
-    for doc_id, text, whole, mixed, found in row_blocks(batches, 1, SLICE):
+    for doc_id, text, whole, mixed, found, *alive in row_blocks(batches, 1, SLICE):
         split, hashes, counts = words.of(text)
-        spans = Spans(hashes, counts, window)
+        spans = Spans(hashes, counts, window, lengths, alive)
         owner = _owner(counts, spans.anchor)
         edge = np.zeros(len(hashes) + 1, np.int64)
         sure = np.flatnonzero(_among(spans.h, owner, whole))
@@ -194,26 +216,39 @@ def looked_up(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return found.where("value is not null").select(*rows.columns, "value")
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(uid, whole, mixed, found): for each text with repeats the hashes of the anchors whose
-    windows all recur, of those with different surroundings, and of their windows that recur."""
-    anchors = docs.mapInArrow(functools.partial(_anchors, window=window), "uid long, h long, v long")
+def repeated(docs: DataFrame, window: int, lengths: Sequence[int]) -> DataFrame:
+    """(uid, whole, mixed, found, alive_0, …): for each text with repeats the hashes of the anchors whose
+    windows all recur, of those with different surroundings, and of their windows that recur; and the
+    anchors that its candidates have at each level before."""
+    alive: list[str] = []
+    texts = docs
+    own = functools.partial(functools.partial, window=window, lengths=lengths)
+    for level in range(len(lengths) - 1):
+        anchors = checkpoint(texts.mapInArrow(own(_anchors), "uid long, h long, v long").select("uid", "h"))
+        often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("value", F.lit(True))
+        name = f"alive_{level}"
+        held = checkpoint(looked_up(anchors, often, ["h"]).groupBy("uid").agg(F.collect_set("h").alias(name)))
+        # a text that a level leaves without candidates is done; the others bring their anchors along
+        kept = held if level == 0 else kept.join(held, "uid")
+        alive.append(name)
+        texts = docs.join(kept, "uid").select("uid", "text", *alive)
+    anchors = texts.mapInArrow(own(_anchors), "uid long, h long, v long")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 1")
     often = often.select("h", "n", (F.col("low") == F.col("high")).alias("value"))
     met = looked_up(anchors.select("uid", "h"), often, ["h"]).withColumnRenamed("value", "same").groupBy("uid").agg(
         F.collect_set(F.when(F.col("same"), F.col("h"))).alias("whole"), F.collect_set(F.when(~F.col("same"), F.col("h"))).alias("mixed")
     )
-    met = checkpoint(met)
-    open_ = docs.join(met.where(F.size("mixed") > 0).select("uid", "mixed"), "uid").select("uid", "text", "mixed")
-    single = open_.mapInArrow(functools.partial(_resolve, window=window), "uid long, k1 long, k2 long")
+    met = checkpoint(met.join(kept, "uid")) if alive else checkpoint(met)
+    open_ = docs.join(met.where(F.size("mixed") > 0).select("uid", "mixed", *alive), "uid").select("uid", "text", "mixed", *alive)
+    single = open_.mapInArrow(own(_resolve), "uid long, k1 long, k2 long")
     twice = single.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").withColumn("value", F.lit(True))
     back = looked_up(single, twice, ["k1", "k2"]).groupBy("uid").agg(F.collect_set("k1").alias("found"))
-    return met.join(back, "uid", "left")
+    return met.join(back, "uid", "left").select("uid", "whole", "mixed", "found", *alive)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, first: int = FIRST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (or, with
-    ``texts``, the kept words joined by one space as ``text``).
+    ``texts``, the kept words joined by one space as ``text``). ``first``: words of the shortest level.
 
     Words are runs of anything but ASCII white space. Each word is removed that a
     window covers whose words also start anywhere else, the same document and repeated
@@ -223,8 +258,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False)
     word hashes, anchors' surroundings by 64 bits beside their own 64.
     """
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text")).withColumn("uid", F.xxhash64("text"))
-    found = repeated(rows.select("uid", "text"), window)
-    all_ = rows.join(found, "uid", "left").select("doc_id", "text", "whole", "mixed", "found")
+    lengths = levels(window, first)
+    found = repeated(rows.select("uid", "text"), window, lengths)
+    all_ = rows.join(found, "uid", "left").select("doc_id", "text", *found.columns[1:])
     name = "text" if texts else "kept_sha256"
-    done = all_.mapInArrow(functools.partial(_remove, window=window, texts=texts), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    done = all_.mapInArrow(functools.partial(_remove, window=window, lengths=lengths, texts=texts), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return done.withColumnRenamed("kept_sha256", name)

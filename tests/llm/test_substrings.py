@@ -23,14 +23,18 @@ def brute(rows, window):
     return sorted(found, key=repr)
 
 
-def check(spark, rows, window):
+def check(spark, rows, window, first=substrings.FIRST):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
-    got = substrings.without_repeats(docs, window).collect()
+    got = substrings.without_repeats(docs, window, first=first).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, window)
 
 
-@pytest.mark.parametrize("window", [5, 8, 35])
-def test_random_texts(spark, window):
+def test_levels_double_up_to_the_window():
+    assert substrings.levels(35) == [9, 18] and substrings.levels(35, 2) == [2, 3, 5, 9, 18] and substrings.levels(5) == [3]
+
+
+@pytest.mark.parametrize(("window", "first"), [(5, 9), (8, 9), (35, 9), (8, 2), (35, 2)])
+def test_random_texts(spark, window, first):
     draw = random.Random(window)
     pool = [[draw.choice("abcdefgh") + str(draw.randrange(9)) for _ in range(draw.randrange(20, 90))] for _ in range(12)]
     rows = []
@@ -41,11 +45,11 @@ def test_random_texts(spark, window):
             a = draw.randrange(len(part))
             words += part[a : a + draw.randrange(1, 80)] + [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(0, 12))]
         rows.append((d, draw.choice([" ", "\n", "\t "]).join(words)))
-    check(spark, rows, window)
+    check(spark, rows, window, first)
 
 
 def test_repeats_within_a_text_and_ties(spark):
-    check(spark, [(1, "a " * 50), (2, "a b " * 30), (3, "a b c"), (4, "b " + "a " * 9)], 6)
+    check(spark, [(1, "a " * 50), (2, "a b " * 30), (3, "a b c"), (4, "b " + "a " * 9)], 6, 2)
 
 
 def test_edge_cases(spark):
