@@ -472,6 +472,73 @@ def test_saturation_agrees_with_brute_force(spark):
     assert {tuple(x) for x in sub.collect()} == want_sub and {tuple(x) for x in link.collect()} == want_link
 
 
+def search_types(names, rules):
+    """(a, b): subsumptions and, with b = NOTHING, empty classes, by type elimination: sets of classes that no
+    axiom excludes stay as long as what they ask for can be met by others that stay. Role s is the inverse of r, q is above r."""
+    from itertools import product
+
+    steps = {"r": {("r", 0), ("q", 0), ("s", 1)}, "s": {("s", 0), ("r", 1), ("q", 1)}, "q": {("q", 0)}}
+
+    def closed(t):
+        return all(d in t for c, d in rules["told"] if c in t) and all(z in t for a, b, z in rules["conj"] if a in t and b in t)
+
+    def allowed(t, u, role):
+        for name, back in steps[role]:
+            x, y = (u, t) if back else (t, u)
+            if any(c in x and z not in y for c, n, z in rules["all"] if n == name) or any(c in y and z not in x for n, c, z in rules["some"] if n == name):
+                return False
+        return True
+
+    left = {t for bits in product([0, 1], repeat=len(names)) if closed(t := frozenset(n for n, b in zip(names, bits, strict=True) if b)) and saturation.NOTHING not in t}
+    while bad := {t for t in left for c, role, d in rules["give"] if c in t and not any(d in u and allowed(t, u, role) for u in left)}:
+        left -= bad
+    found = set()
+    for a in names:
+        own = [t for t in left if a in t]
+        found |= {(a, saturation.NOTHING)} if not own else {(a, b) for b in names if all(b in t for t in own)}
+    return found
+
+
+def test_contexts_agree_with_a_search_of_types(spark):
+    """Universals, inverse roles and a role hierarchy over successors that have no name: 50 random ontologies at once."""
+    import random
+
+    draw = random.Random(21)
+    names, roles = [f"C{k}" for k in range(5)], ["r", "s", "q"]
+    pick = lambda x: draw.choice(x)
+    shape = {"told": "c d", "conj": "a b e", "some": "r c e", "give": "c r d", "all": "c r e", "role": "r s", "inverse": "r s"}
+    rows, want, classes = {k: set() for k in shape}, set(), []
+    for k in range(50):
+        rules = {"told": {(pick(names), pick(names)) for _ in range(2)}, "conj": {(pick(names), pick(names), pick([*names, saturation.NOTHING])) for _ in range(2)}, "some": {(pick(roles), pick(names), pick(names)) for _ in range(2)}}
+        rules |= {"give": {(pick(names), pick(roles), pick(names)) for _ in range(3)}, "all": {(pick(names), pick(roles), pick(names)) for _ in range(2)}}
+        mark = lambda x: x if x == saturation.NOTHING else f"{x}#{k}"  # noqa: E731, B023
+        for n, v in rules.items():
+            rows[n] |= {tuple(map(mark, row)) for row in v}
+        rows["role"].add((f"r#{k}", f"q#{k}"))
+        rows["inverse"] |= {(f"r#{k}", f"s#{k}"), (f"s#{k}", f"r#{k}")}
+        want |= {(mark(a), mark(b)) for a, b in search_types(names, rules)}
+        classes += [f"{n}#{k}" for n in names]
+    tables = {k: spark.createDataFrame(sorted(v), ", ".join(f"{c} string" for c in shape[k].split())) for k, v in rows.items()}
+    tables["bottom"] = spark.createDataFrame([(1,)], "n int")
+    start = spark.createDataFrame([(saturation.CONTEXT + c, c) for c in classes], "x string, c string")
+    sub, _ = saturation.saturate(start, spark.createDataFrame([], "x string, r string, y string"), tables)
+    got = {(r.x[1:], r.c) for r in sub.collect() if saturation.SEP not in r.x}
+    empty = {a for a, b in got if b == saturation.NOTHING}
+    assert empty == {a for a, b in want if b == saturation.NOTHING} and 5 < len(empty) < 200
+    assert {(a, b) for a, b in got if a not in empty} == {(a, b) for a, b in want if a not in empty}
+
+
+def test_long_chains_of_told_classes_and_containers(spark):
+    """A hierarchy of 500 steps; 1,200 members of a container leave the rules as they are."""
+    n = 500
+    told = spark.createDataFrame([(f"C{k:03}", f"C{k + 1:03}") for k in range(n)], "c string, d string")
+    start = spark.createDataFrame([(saturation.CONTEXT + f"C{k:03}", f"C{k:03}") for k in range(n + 1)], "x string, c string")
+    sub, _ = saturation.saturate(start, spark.createDataFrame([], "x string, r string, y string"), {"told": told})
+    assert sub.count() == (n + 1) * (n + 2) // 2
+    lines = ":A rdf:type owl:Class\n:B rdf:type owl:Class\n:A rdfs:subClassOf :B\n:x rdf:type :A\n" + "\n".join(f":bag rdf:_{k} :x" for k in range(1200))
+    assert {(r.c, r.d) for r in mapped(graph(spark, lines)).rules["told"].collect()} == {(e("A"), e("B"))}
+
+
 def test_ntriples(spark, tmp_path):
     lines = ['<http://e/a> <http://e/p> "x\\"\\u00e9\\U0001F600\\\\n\\n"@EN . # end', "_:b1 <http://e/p> <http://e/c> .", '<http://e/a> <http://e/p> "1"^^<http://e/int>.', "# nothing", "", "no triple ."]
     (tmp_path / "in.nt").write_text("\n".join(lines))
