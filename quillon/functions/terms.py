@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: RFC 3986, appendix B: scheme, authority, path, query and fragment of a reference.
+#: Fixed value, RFC 3986, appendix B: scheme, authority, path, query and fragment of a reference.
 REFERENCE = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 PARTS = ("scheme", "authority", "path", "query", "fragment")
 #: Least and greatest value of the integer datatypes (null: none).
@@ -52,7 +52,7 @@ MOMENT = r"^(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})
 #: Irregular and regular grandfathered tags of RFC 5646.
 GRANDFATHERED = """art-lojban cel-gaulish en-gb-oed i-ami i-bnn i-default i-enochian i-hak i-klingon i-lux i-mingo i-navajo i-pwn i-tao i-tay i-tsu
 no-bok no-nyn sgn-be-fr sgn-be-nl sgn-ch-de zh-guoyu zh-hakka zh-min zh-min-nan zh-xiang""".split()
-#: Names, by the grammar of prefixed names: first character, and those that may follow.
+#: Names, by the grammar of prefixed names: first character, and those that may follow.
 _START = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{37D}\x{37F}-\x{1FFF}\x{200C}-\x{200D}\x{2070}-\x{218F}\x{2C00}-\x{2FEF}\x{3001}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFFD}\x{10000}-\x{EFFFF}"
 _MORE = _START + r"_\-0-9\x{B7}\x{300}-\x{36F}\x{203F}-\x{2040}"
 
@@ -211,25 +211,37 @@ def integers_between(low: Column, high: Column, low_open: bool = False, high_ope
 
 def moment(lexical: Column) -> Column:
     """(at, zoned) of a dateTime: microseconds, in UTC if it has an offset and local otherwise; null if
-    it is none. 24:00:00 is the next day's start. Years have four digits."""
-    g = lambda k: F.regexp_extract(lexical, MOMENT, k)
-    day = F.try_to_date(F.concat_ws("-", g(1), g(2), g(3)), "yyyy-MM-dd")
-    hour, minute, second = (g(k).cast("long") for k in (4, 5, 6))
-    micro = F.rpad(F.substring(g(7), 2, 6), 6, "0").cast("long")
-    offset = F.when(g(8).isin("", "Z"), 0).otherwise(F.concat(F.substring(g(8), 1, 1), F.lit("1")).cast("long") * (F.substring(g(8), 2, 2).cast("long") * 60 + F.substring(g(8), 5, 2).cast("long")))
-    in_day = ((hour < 24) | ((hour == 24) & (minute == 0) & (second == 0) & (F.coalesce(micro, F.lit(0)) == 0))) & (minute < 60) & (second < 60) & (F.abs(offset) <= 840)
-    at = ((F.unix_date(day) * 86400 + hour * 3600 + minute * 60 + second - offset * 60) * 1000000 + F.coalesce(micro, F.lit(0))).cast("long")
-    return F.when(lexical.rlike(MOMENT) & day.isNotNull() & in_day, F.struct(at.alias("at"), (g(8) != "").alias("zoned")))
+    it is none. 24:00:00 is the next day's start. Years have four digits.
+
+    One pattern decides; as its parts then stand at fixed places, they are cut out there.
+    """
+    two = lambda text, k: F.substring(text, k, 2).try_cast("long")
+    day = F.try_to_date(F.substring(lexical, 1, 10), "yyyy-MM-dd")
+    hour, minute, second = (two(lexical, k) for k in (12, 15, 18))
+    rest = F.substring(lexical, 20, 1 << 30)
+    shift = F.substring(rest, -6, 1).isin("+", "-")
+    zone = F.when(rest.endswith("Z"), 1).when(shift, 6).otherwise(0)
+    micro = F.rpad(F.left(F.substring(rest, F.lit(2), F.greatest(F.length(rest) - zone - 1, F.lit(0))), F.lit(6)), 6, "0").try_cast("long")
+    away = two(rest, -5) * 60 + two(rest, -2)
+    offset = F.when(~shift, 0).when(F.substring(rest, -6, 1) == "-", -away).otherwise(away)
+    in_day = ((hour < 24) | ((hour == 24) & (minute == 0) & (second == 0) & (micro == 0))) & (minute < 60) & (second < 60) & (F.abs(offset) <= 840)
+    at = (F.unix_date(day).cast("long") * 86400 + hour * 3600 + minute * 60 + second - offset * 60) * 1000000 + micro
+    return F.when(lexical.rlike(MOMENT) & day.isNotNull() & in_day, F.struct(at.alias("at"), (zone > 0).alias("zoned")))
 
 
 def moment_facet(lexical: Column, name: str, bound: Column) -> Column:
     """Order of moments: on one line (both zoned, or both local) as the facet says; a moment of
     the other line has to be more than 14 hours beyond the bound."""
-    v, b = moment(lexical), moment(bound)
-    apart, day = v["at"] - b["at"], 14 * 3600 * 1000000
-    same = {"minInclusive": apart >= 0, "minExclusive": apart > 0, "maxInclusive": apart <= 0, "maxExclusive": apart < 0}[name]
-    other = apart > day if name.startswith("min") else apart < -day
-    return F.when(v["zoned"] == b["zoned"], same).otherwise(other)
+    day = 14 * 3600 * 1000000
+
+    def held(pair: Column) -> Column:
+        v, b = pair["v"], pair["b"]
+        apart = v["at"] - b["at"]
+        same = {"minInclusive": apart >= 0, "minExclusive": apart > 0, "maxInclusive": apart <= 0, "maxExclusive": apart < 0}[name]
+        other = apart > day if name.startswith("min") else apart < -day
+        return F.when(v["zoned"] == b["zoned"], same).otherwise(other)
+
+    return F.get(F.transform(F.array(F.struct(moment(lexical).alias("v"), moment(bound).alias("b"))), held), F.lit(0))
 
 
 def datatype_kind(datatype: Column) -> Column:
