@@ -13,6 +13,7 @@ from quillon.functions import values as V
 from quillon.operators import constraints, ranges, structure, taxonomy, validity
 from quillon.operators.components import checkpoint, components, representatives
 from quillon.operators.saturation import NOTHING, context, not_closed, saturate
+from quillon.plans import annotations
 from quillon.plans import validity as validity_plan
 from quillon.plans.ontology import RDF, list_members, mapped
 from quillon.sources import documents, ntriples
@@ -717,6 +718,19 @@ def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity_plan.first_violation(validity_plan.violations(mapped(typed.union(declared))))
 
 
+@query("""SELECT 'http://e/c' || c_custkey AS s, 'http://e/n' || c_nationkey AS o, c_custkey % 2 = 0 AS stated, 'http://e/' || note AS note, c_mktsegment AS value FROM customer, (VALUES ('segment'), ('remark')) t(note)""")
+def annotated_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' nations as reified axioms, every second one stated as well, annotated with the segment, which is a remark."""
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("node"), F.concat(F.lit("http://e/"), named("c", "c_custkey")).alias("c"), F.concat(F.lit("http://e/"), named("n", "c_nationkey")).alias("n"), "c_mktsegment", "c_custkey")
+    triple = lambda s, p, o, kind="iri": F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    node, role, owl = F.col("node"), "http://e/inNation", terms.PREFIXES["owl"]
+    made = [triple(node, RDF + "type", F.lit(owl + "Axiom")), triple(node, owl + "annotatedSource", F.col("c")), triple(node, owl + "annotatedProperty", F.lit(role)), triple(node, owl + "annotatedTarget", F.col("n")), triple(node, "http://e/segment", F.col("c_mktsegment"), "literal")]
+    facts = rows.select(F.explode(F.array(*made)).alias("t")).select("t.*").union(rows.where("c_custkey % 2 = 0").select(triple(F.col("c"), role, F.col("n")).alias("t")).select("t.*"))
+    declared = [(f"http://e/{x}", RDF + "type", owl + "AnnotationProperty", "iri") for x in ("segment", "remark")] + [("http://e/segment", terms.PREFIXES["rdfs"] + "subPropertyOf", "http://e/remark", "iri")]
+    found = annotations.of_axioms(facts.union(spark.createDataFrame(declared, "s string, p string, o string, o_kind string")))
+    return found.select("s", "o", "stated", "note", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 from quillon.operators import structure, taxonomy
+from quillon.plans import annotations
 from quillon.plans.reasoner import Reasoner
 from quillon.sources import documents, ntriples
 from test_reasoner import PREFIX, e, graph
@@ -105,3 +106,28 @@ def test_questions_on_a_part(spark):
     assert [r.instance_of(e(f"x{k}"), e("E"), by_part=True) for k in (3, 4)] == [r.instance_of(e(f"x{k}"), e("E")) for k in (3, 4)] == [True, False]
     part = r.part_of(e("x3"))
     assert {x.x for x in part.individuals.collect()} == {e("x3"), e("y3")} and PREFIX["owl"]
+
+
+def test_annotations_of_entities_and_axioms(spark):
+    lines = """:note rdf:type owl:AnnotationProperty
+:remark rdf:type owl:AnnotationProperty
+:note rdfs:subPropertyOf :remark
+:A rdfs:subClassOf :B
+:A rdfs:label :text
+:A :r :text
+_:a rdf:type owl:Axiom
+_:a owl:annotatedSource :A
+_:a owl:annotatedProperty rdfs:subClassOf
+_:a owl:annotatedTarget :B
+_:a :note :why
+_:b rdf:type owl:Axiom
+_:b owl:annotatedSource :A
+_:b owl:annotatedProperty rdfs:subClassOf
+_:b owl:annotatedTarget :C
+_:b :remark :why
+_:c owl:annotatedSource :A
+_:c :note :why"""
+    g = graph(spark, lines)
+    axioms = {(r.s[-1], r.o[-1], r.stated, r.note.rpartition("/")[2]) for r in annotations.of_axioms(g).collect()}
+    assert axioms == {("A", "B", True, "note"), ("A", "B", True, "remark"), ("A", "C", False, "remark")}
+    assert {(r.s[-1], r.note, r.value) for r in annotations.of_entities(g).collect()} == {("A", PREFIX["rdfs"] + "label", e("text"))}
