@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +69,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder and read them from there: as ``checkpoint``, but
+    columns are packed, which counts where rows hold texts or many numbers."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """``rows`` with their position, from 0, in the order of the columns ``order``, as column ``name``, and
     their number. Ties fall as rows come.

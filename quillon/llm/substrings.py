@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, checkpoint, row_blocks, utf8
+from quillon.llm.common import WordHashes, checkpoint, row_blocks, stored, utf8
 
 WINDOW = 35
 #: Words of the shortest level.
@@ -224,26 +224,28 @@ def repeated(docs: DataFrame, window: int, lengths: Sequence[int]) -> DataFrame:
     texts = docs
     own = functools.partial(functools.partial, window=window, lengths=lengths)
     for level in range(len(lengths) - 1):
-        anchors = checkpoint(texts.mapInArrow(own(_anchors), "uid long, h long, v long").select("uid", "h"))
+        anchors = stored(texts.mapInArrow(own(_anchors), "uid long, h long, v long").select("uid", "h"))
         often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("value", F.lit(True))
         name = f"alive_{level}"
-        held = checkpoint(looked_up(anchors, often, ["h"]).groupBy("uid").agg(F.collect_set("h").alias(name)))
-        # a text that a level leaves without candidates is done; the others bring their anchors along
-        kept = held if level == 0 else kept.join(held, "uid")
+        held = looked_up(anchors, often, ["h"]).groupBy("uid").agg(F.collect_set("h").alias(name))
+        # a text that a level leaves without candidates is done; the others bring their anchors along from here on
+        texts = stored(texts.join(held, "uid").select("uid", "text", *alive, name))
         alive.append(name)
-        texts = docs.join(kept, "uid").select("uid", "text", *alive)
     anchors = texts.mapInArrow(own(_anchors), "uid long, h long, v long")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 1")
     often = often.select("h", "n", (F.col("low") == F.col("high")).alias("value"))
     met = looked_up(anchors.select("uid", "h"), often, ["h"]).withColumnRenamed("value", "same").groupBy("uid").agg(
         F.collect_set(F.when(F.col("same"), F.col("h"))).alias("whole"), F.collect_set(F.when(~F.col("same"), F.col("h"))).alias("mixed")
     )
-    met = checkpoint(met.join(kept, "uid")) if alive else checkpoint(met)
-    open_ = docs.join(met.where(F.size("mixed") > 0).select("uid", "mixed", *alive), "uid").select("uid", "text", "mixed", *alive)
+    met = stored(met)
+    open_ = texts.join(met.where(F.size("mixed") > 0).select("uid", "mixed"), "uid").select("uid", "text", "mixed", *alive)
     single = open_.mapInArrow(own(_resolve), "uid long, k1 long, k2 long")
     twice = single.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").withColumn("value", F.lit(True))
     back = looked_up(single, twice, ["k1", "k2"]).groupBy("uid").agg(F.collect_set("k1").alias("found"))
-    return met.join(back, "uid", "left").select("uid", "whole", "mixed", "found", *alive)
+    met = met.join(back, "uid", "left")
+    if alive:
+        met = met.join(texts.select("uid", *alive).dropDuplicates(["uid"]), "uid")
+    return met.select("uid", "whole", "mixed", "found", *alive)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, first: int = FIRST) -> DataFrame:
