@@ -187,9 +187,13 @@ class Reasoner:
         return self._settled(sub, link)
 
     def consistent(self) -> bool | None:
-        if not self.clashes.isEmpty() or self._empty_world:
+        if not self.clashes.isEmpty():
             return False
-        return True if self._facts_settled and self._classes_settled else None
+        if not self.individuals.isEmpty():  # these show all that could be wrong with owl:Thing
+            return True if self._facts_settled else None
+        if self._empty_world:
+            return False
+        return True if self._classes_settled else None
 
     def consistent_by_parts(self) -> DataFrame | None:
         """(component, size, consistent) of the assertions' parts; None if the axioms couple them."""

@@ -82,7 +82,8 @@ def case_clash_and_unknown(spark):
     assert more.instance_of(e("p1"), e("Inspect")) is True
 
 
-DECLARED = "\n".join([*(f":{c} rdf:type owl:Class" for c in "ABCDEKM"), *(f":{r} rdf:type owl:ObjectProperty" for r in "rqstuvwf"), ":p rdf:type owl:DatatypeProperty", ":n rdf:type owl:DatatypeProperty"])
+DECLARED = "\n".join([*(f":{c} rdf:type owl:Class" for c in "ABCDEKM"), *(f":{r} rdf:type owl:ObjectProperty" for r in "rqstuvwf")])
+DATA = "\n:p rdf:type owl:DatatypeProperty\n:n rdf:type owl:DatatypeProperty"
 SOME = """
 _:x owl:onProperty :r
 _:x owl:someValuesFrom :B
@@ -199,7 +200,7 @@ def case_loops_values_and_extremes(spark):
 
 
 def case_every_kind_of_clash(spark):
-    text = DECLARED + """
+    text = DECLARED + DATA + """
 :r rdf:type owl:IrreflexiveProperty
 :a1 :r :a1
 :q rdf:type owl:AsymmetricProperty
@@ -257,7 +258,7 @@ _:h2 rdf:rest rdf:nil
 
 def case_data_restrictions(spark):
     """Doses over 4000 and children make an alert; a domain types holders of values."""
-    text = DECLARED + """
+    text = DECLARED + DATA + """
 _:r owl:onProperty :p
 _:r owl:someValuesFrom _:d
 _:d rdf:type rdfs:Datatype
@@ -500,7 +501,7 @@ def search_types(names, rules):
 
 
 def test_contexts_agree_with_a_search_of_types(spark):
-    """Universals, inverse roles and a role hierarchy over successors that have no name: 50 random ontologies at once."""
+    """Universals, inverse roles and a role hierarchy over successors that have no name: 25 random ontologies at once."""
     import random
 
     draw = random.Random(21)
@@ -508,7 +509,7 @@ def test_contexts_agree_with_a_search_of_types(spark):
     pick = lambda x: draw.choice(x)
     shape = {"told": "c d", "conj": "a b e", "some": "r c e", "give": "c r d", "all": "c r e", "role": "r s", "inverse": "r s"}
     rows, want, classes = {k: set() for k in shape}, set(), []
-    for k in range(50):
+    for k in range(25):
         rules = {"told": {(pick(names), pick(names)) for _ in range(2)}, "conj": {(pick(names), pick(names), pick([*names, saturation.NOTHING])) for _ in range(2)}, "some": {(pick(roles), pick(names), pick(names)) for _ in range(2)}}
         rules |= {"give": {(pick(names), pick(roles), pick(names)) for _ in range(3)}, "all": {(pick(names), pick(roles), pick(names)) for _ in range(2)}}
         mark = lambda x: x if x == saturation.NOTHING else f"{x}#{k}"  # noqa: E731, B023
@@ -524,13 +525,13 @@ def test_contexts_agree_with_a_search_of_types(spark):
     sub, _ = saturation.saturate(start, spark.createDataFrame([], "x string, r string, y string"), tables)
     got = {(r.x[1:], r.c) for r in sub.collect() if saturation.SEP not in r.x}
     empty = {a for a, b in got if b == saturation.NOTHING}
-    assert empty == {a for a, b in want if b == saturation.NOTHING} and 5 < len(empty) < 200
+    assert empty == {a for a, b in want if b == saturation.NOTHING} and 2 < len(empty) < 100
     assert {(a, b) for a, b in got if a not in empty} == {(a, b) for a, b in want if a not in empty}
 
 
 def test_long_chains_of_told_classes_and_containers(spark):
-    """A hierarchy of 500 steps; 1,200 members of a container leave the rules as they are."""
-    n = 500
+    """A hierarchy of 260 steps; 1,200 members of a container leave the rules as they are."""
+    n = 260
     told = spark.createDataFrame([(f"C{k:03}", f"C{k + 1:03}") for k in range(n)], "c string, d string")
     start = spark.createDataFrame([(saturation.CONTEXT + f"C{k:03}", f"C{k:03}") for k in range(n + 1)], "x string, c string")
     sub, _ = saturation.saturate(start, spark.createDataFrame([], "x string, r string, y string"), {"told": told})
