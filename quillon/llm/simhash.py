@@ -31,9 +31,6 @@ SEED = 42
 WORDS, LIKENESS = 5, 0.8
 TABLES, BITS = 4, 32
 BANDS, DEEP = 16, 4
-#: Bands and hashes of a band that split groups of texts that are no copies of their representative:
-#: texts of likeness 0.8 meet in one of them with probability 0.9999.
-FINER_BANDS, FINER_DEEP = 128, 12
 #: Texts of a group whose pairs are all compared; growth of the representatives from round to round.
 SMALL, GROWTH = 16, 8
 
@@ -135,15 +132,15 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u4").ravel()
 
 
-def _bands(hashes: np.ndarray, bands: int = BANDS, deep: int = DEEP) -> np.ndarray:
-    """A key for each band: the least of the hashes, mixed in ``deep`` ways."""
-    draw = np.random.Generator(np.random.PCG64(SEED + deep))
-    flips, factors = draw.integers(0, 2**64, (2, bands * deep, 1), np.uint64)
-    least = np.full(bands * deep, 2**64 - 1, np.uint64)
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the least of the hashes, mixed in DEEP ways."""
+    draw = np.random.Generator(np.random.PCG64(SEED + DEEP))
+    flips, factors = draw.integers(0, 2**64, (2, BANDS * DEEP, 1), np.uint64)
+    least = np.full(BANDS * DEEP, 2**64 - 1, np.uint64)
     for k in range(0, len(hashes), 1024):
         x = (hashes[k : k + 1024] ^ flips) * (factors | np.uint64(1))
         least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min(1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, deep))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, DEEP))], np.uint64).view(np.int64)
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -197,7 +194,7 @@ def meetings(each: DataFrame) -> DataFrame:
 def verified(
     met: DataFrame,
     alike: Callable[[DataFrame], DataFrame],
-    finer: Callable[[DataFrame], DataFrame] | None = None,
+    rest: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     least: float = 0.0,
     small: int = SMALL,
 ) -> list[DataFrame]:
@@ -206,98 +203,116 @@ def verified(
     All pairs of a small group are compared. Those of a larger one are compared with its
     representatives, texts that meet most others; those that are copies of one leave the group,
     the others stay for the next round, which has GROWTH times as many representatives, until no
-    group is left. ``finer`` gives keys (uid, key) under which those that stay after the first
-    round meet instead. Texts that are both linked to a third are not compared, and a group of
-    such texts is done. No pair is compared twice, nor one whose sets' sizes (column n of
-    ``met``, if any) rule out a likeness of ``least``. If ``alike`` gives the likeness s of all
-    pairs instead, two texts whose likenesses to one pivot, their first representative, differ
-    by more than 1 - ``least`` are not compared: 1 - s is a metric.
+    group is left. Texts that are both linked to a third are not compared, and a group of such
+    texts is done. No pair is compared twice, nor one whose sets' sizes (column n of ``met``, if
+    any) rule out a likeness of ``least``.
+
+    Instead, ``rest`` can give the pairs to compare after the first round, from those that stay
+    (uid) and all members of their groups (uid, root: the component so far). A group in one
+    component is done. Links of the first round are then given by their components.
     """
     if "n" not in met.columns:
         met = met.withColumn("n", F.lit(1))
-    met = met.withColumn("pivot", F.lit(None).cast("long")).withColumn("s", F.lit(None).cast("double"))
-    own_columns = "uid", "n", "pivot", "s"
     links, turn, named, central, before = [], 0, None, None, []
-    apart = (F.col("pivot") == F.col("its_pivot")) & (F.abs(F.col("s") - F.col("its_s")) > 1 - least + 1e-9)
-    fits = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & ~F.coalesce(apart, F.lit(False))
-    other = F.col("n").alias("m"), F.col("pivot").alias("its_pivot"), F.col("s").alias("its_s")
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    while not met.isEmpty():
-        few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
-        if central is None:
-            central = checkpoint(many.groupBy("uid").agg(F.sum("size").alias("weight")))
-        pairs = few.select("key", F.col("uid").alias("u"), "n", "pivot", "s").join(few.select("key", F.col("uid").alias("v"), *other), "key")
-        pairs = pairs.where("u < v").where(fits).select("u", "v")
-        best = F.min(F.struct((-F.col("weight")).alias("w"), *own_columns))
-        part = F.pmod(F.xxhash64("uid"), F.lit(GROWTH**turn)).alias("part")
-        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("b")).select("key", "b.*")
-        first = first.select("key", "w", F.col("uid").alias("u"), *other)
-        across = many.select("key", F.col("uid").alias("v"), "n", "pivot", "s").join(first, "key").where("u <> v")
-        across = checkpoint(across.withColumn("fits", fits).select("key", "w", "u", "v", "fits"))
-        asked = pairs.union(across.where("fits").select(*pair)).distinct()
+
+    def compared(asked: DataFrame) -> DataFrame:
         if before:
             asked = asked.join(functools.reduce(DataFrame.union, before), ["u", "v"], "left_anti")
         if named is not None:
             for end in "uv":
                 asked = asked.join(named.select(F.col("uid").alias(end), F.col("root").alias("of_" + end)), end, "left")
             asked = asked.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
-        asked = checkpoint(asked)
-        before.append(asked)
-        scored = checkpoint(alike(asked))
-        found = scored.where(F.col("s") >= least).select("u", "v") if "s" in scored.columns else scored
-        links.append(found)
+        before.append(checkpoint(asked))
+        return checkpoint(alike(before[-1]))
+
+    while not met.isEmpty():
+        few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
+        if central is None:
+            central = checkpoint(many.groupBy("uid").agg(F.sum("size").alias("weight")))
+        pairs = few.select("key", F.col("uid").alias("u"), "n").join(few.select("key", F.col("uid").alias("v"), F.col("n").alias("m")), "key")
+        pairs = pairs.where("u < v").where(fits).select("u", "v")
+        best = F.min(F.struct((-F.col("weight")).alias("w"), "uid", "n"))
+        part = F.pmod(F.xxhash64("uid"), F.lit(GROWTH**turn)).alias("part")
+        first = many.join(central, "uid").groupBy("key", part).agg(best.alias("b")).select("key", F.col("b.uid").alias("u"), F.col("b.n").alias("m"))
+        across = many.select("key", F.col("uid").alias("v"), "n").join(first, "key").where("u <> v")
+        across = checkpoint(across.withColumn("fits", fits).select("key", "u", "v", "fits"))
+        links.append(compared(pairs.union(across.where("fits").select(*pair)).distinct()))
         if across.isEmpty():
             break
         ends = functools.reduce(DataFrame.union, links)
-        both = ends.union(ends.select("v", "u")).toDF("uid", "other")
-        named = checkpoint(both.groupBy("uid").agg(F.least("uid", F.min("other")).alias("root")))
+        if rest is None:
+            both = ends.union(ends.select("v", "u")).toDF("uid", "other")
+            named = checkpoint(both.groupBy("uid").agg(F.least("uid", F.min("other")).alias("root")))
+        else:
+            named = connected_components(ends, "u", "v").toDF("uid", "root")
         gone = across.select("key", "v", *pair[:1], pair[1].alias("w")).join(ends.select("u", F.col("v").alias("w")), ["u", "w"], "left_semi").select("key", F.col("v").alias("uid"))
         gone = gone.union(across.select("key", "u"))
-        left = many.select("key", *own_columns).join(gone.distinct(), ["key", "uid"], "left_anti")
-        own = left.join(named, "uid", "left").select("key", *own_columns, F.coalesce("root", "uid").alias("root"))
+        left = many.select("key", "uid", "n").join(gone.distinct(), ["key", "uid"], "left_anti")
+        own = (left if rest is None else many).join(named, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
         several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        left, turn = own.join(several, "key", "left_semi").select("key", *own_columns), turn + 1
-        if finer is not None:
-            left, turn, central, finer = finer(left.select("uid").distinct()), 0, None, None
-            if "s" in scored.columns:
-                rated = across.select("w", "u", "v", pair[0].alias("a"), pair[1].alias("b")).distinct().join(scored.toDF("a", "b", "s"), ["a", "b"])
-                pivots = rated.groupBy(F.col("v").alias("uid")).agg(F.min(F.struct("w", "u", "s")).alias("b"))
-                left = left.join(pivots.select("uid", F.col("b.u").alias("pivot"), F.col("b.s").alias("s")), "uid", "left")
-            else:
-                left = left.withColumn("pivot", F.lit(None).cast("long")).withColumn("s", F.lit(None).cast("double"))
-        met = meetings(left)
+        if rest is not None:
+            left = checkpoint(left.join(several, "key", "left_semi").select("key", "uid"))
+            members = own.join(left.select("key").distinct(), "key", "left_semi").select("uid", "root").distinct()
+            return [named.select(F.col("root").alias("u"), F.col("uid").alias("v")).where("u <> v"), compared(rest(left.select("uid").distinct(), members))]
+        met, turn = meetings(own.join(several, "key", "left_semi").select("key", "uid", "n")), turn + 1
     return links
 
 
+def prefix_pairs(sets: DataFrame, left: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """All pairs (u, v), u < v, of a text of ``left`` (uid, all of them members) and one of ``members`` (uid,
+    root) of another root whose sets (uid, shingles) can have a likeness of ``least`` or more; some have less.
+
+    Two such sets of n and m numbers share least / (1 + least) * (n + m) of them. So in any common order
+    the first one that they share has as many behind it in both, itself included, and is among the first
+    n - ceil(least * n) + 1 of each. Here the numbers that the fewest members have come first, so what a whole
+    group has in common makes few pairs; numbers of one member alone fill the first places without a row.
+    Empty sets give no pairs.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def numbers(shingles: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, "<u4").astype(np.int64).tolist() for x in shingles])
+
+    n = F.octet_length("shingles") / 4
+    each = checkpoint(sets.join(members, "uid", "left_semi").select("uid", n.cast("long").alias("n"), F.explode(numbers("shingles")).alias("number")))
+    often = checkpoint(each.groupBy("number").agg(F.count("*").alias("texts")).where("texts > 1"))
+    held = each.join(often, "number").groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "number"))).alias("held"))
+    held = held.withColumn("first", (F.size("held") + 1 - F.ceil(least * F.col("n") - 1e-9)).cast("int"))
+    firsts = held.where("first > 0").select("uid", "n", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("first"))).alias("at", "x"))
+    firsts = checkpoint(firsts.select("uid", "n", (F.col("size") - F.col("at")).alias("behind"), F.col("x.number").alias("number")).join(members, "uid"))
+    own = firsts.join(left, "uid", "left_semi").toDF("v", "n", "behind", "number", "root")
+    other = firsts.toDF("u", "m", "its_behind", "number", "its_root")
+    alike = F.least("behind", "its_behind") >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+    met = own.join(other, "number").where("root <> its_root").where(alike)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def copies(docs: DataFrame, words: int = WORDS, least: float = LIKENESS) -> DataFrame:
     """(node, root): texts, by hash, that have copies, and the least text of their group.
 
     Texts meet under the bands of their shingles and under the one-bit variants of their
     short fingerprints, as in ``links``. Pairs that meet are linked if their whole sets of
     shingles are alike enough. Those of a large group that are no copies of its representative
-    meet once more, under finer bands.
+    are compared with all members that can be copies by their rarest shingles.
     """
     own = checkpoint(profiles(docs, words).dropDuplicates(["uid"]))
     balls = own.select("uid", "n", F.explode("prints").alias("fp")).select("uid", "n", F.explode(ball(BITS)).alias("key"))
     met = meetings(balls.union(own.select("uid", "n", F.explode("bands"))))
     sets = checkpoint(shingle_sets(docs, met.select("uid").distinct(), words))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
+        return pd.Series([likeness(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left, right = sets.select(F.col("uid").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("v"), F.col("shingles").alias("y"))
-    def alike(pairs: DataFrame) -> DataFrame:
-        return pairs.join(left, "u").join(right, "v").select("u", "v", like("x", "y").alias("s"))
-
-    @F.pandas_udf("array<bigint>")
-    def keys(shingles: pd.Series) -> pd.Series:
-        return pd.Series([_bands(np.frombuffer(x, "<u4").astype(np.uint64), FINER_BANDS, FINER_DEEP).tolist() for x in shingles])
-
-    def finer(uids: DataFrame) -> DataFrame:
-        return sets.join(uids, "uid", "left_semi").select("uid", (F.octet_length("shingles") / 4).cast("long").alias("n"), F.explode(keys("shingles")).alias("key"))
-
-    linked = verified(met, alike, finer, least)
+    linked = verified(
+        met,
+        lambda pairs: pairs.join(left, "u").join(right, "v").where(like("x", "y")).select("u", "v"),
+        lambda stay, members: prefix_pairs(sets, stay, members, least),
+        least,
+    )
     linked = functools.reduce(DataFrame.union, linked, docs.sparkSession.createDataFrame([], "u long, v long"))
     return connected_components(linked, "u", "v")
 

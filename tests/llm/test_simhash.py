@@ -166,3 +166,31 @@ def test_twins_among_many_texts_that_are_no_copies_of_their_base(spark):
     want = groups(rows)
     assert 40 < len(want) < 70
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_pairs_by_rarest_numbers(spark):
+    """Every pair of like sets of two components is found, and what a group has in common makes hardly any others."""
+    import numpy as np
+
+    draw = random.Random(3)
+    base = draw.sample(range(2**31), 100)
+    sets = {}
+    for u in range(120):
+        own = set(draw.sample(base, 100 - draw.randrange(8, 30))) | {2**31 + draw.randrange(2000) for _ in range(draw.randrange(8, 30))}
+        sets[3 * u] = own
+        if u % 3 == 0:
+            sets[3 * u + 1] = own - set(draw.sample(sorted(own), 3)) | {2**32 - 1 - u}
+    sets[1000] = set()
+    left = [u for u in sets if u % 2 == 0]
+    frame = [(u, bytearray(np.sort(np.array(sorted(x), "<u4")).tobytes())) for u, x in sets.items()]
+    found = simhash.prefix_pairs(
+        spark.createDataFrame(frame, "uid long, shingles binary"),
+        spark.createDataFrame([(u,) for u in left], "uid long"),
+        spark.createDataFrame([(u, u % 5) for u in sets], "uid long, root long"),
+        0.8,
+    )
+    found = {(r.u, r.v) for r in found.collect()}
+    asked = {(a, b) for a in sets for b in sets if a < b and a % 5 != b % 5 and (a in left or b in left)}
+    want = {(a, b) for a, b in asked if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(want) > 20 and want <= found <= asked
+    assert len(found) < len(asked) / 10
