@@ -186,8 +186,10 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def meetings(each: DataFrame) -> DataFrame:
-    """Texts (uid, key, other columns) that meet others under a key, and how many these are (size)."""
-    own = each.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    """Texts (uid, key, other columns) that meet others under a key, how many these are (size), and a
+    hash of their set (same), by which keys with the same texts are told."""
+    group = Window.partitionBy("key")
+    own = each.withColumns({"size": F.count("*").over(group), "same": F.bit_xor(F.xxhash64("uid")).over(group)})
     return checkpoint(own.where("size > 1"))
 
 
@@ -200,7 +202,7 @@ def verified(
 ) -> list[DataFrame]:
     """Links (u, v) among texts that meet; ``alike`` keeps the pairs (u, v) that are copies.
 
-    All pairs of a small group are compared. Those of a larger one are compared with its
+    All pairs of a small group are compared, once for all keys with the same texts. Those of a larger one are compared with its
     representatives, texts that meet most others; those that are copies of one leave the group,
     the others stay for the next round, which has GROWTH times as many representatives, until no
     group is left. Texts that are both linked to a third are not compared, and a group of such
@@ -231,6 +233,7 @@ def verified(
         few, many = met.where(F.col("size") <= small), met.where(F.col("size") > small)
         if central is None:
             central = checkpoint(many.groupBy("uid").agg(F.sum("size").alias("weight")))
+        few = few.join(few.groupBy("size", "same").agg(F.min("key").alias("key")), ["size", "same", "key"], "left_semi")
         pairs = few.select("key", F.col("uid").alias("u"), "n").join(few.select("key", F.col("uid").alias("v"), F.col("n").alias("m")), "key")
         pairs = pairs.where("u < v").where(fits).select("u", "v")
         best = F.min(F.struct((-F.col("weight")).alias("w"), "uid", "n"))
