@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.bpe import slices
-from quillon.llm.common import checkpoint, connected_components
-from quillon.llm.simhash import meetings, verified
+from quillon.llm.common import checkpoint, connected_components, stored
+from quillon.llm.simhash import meetings, prefix_pairs, verified
 from quillon.llm.toxicity import _FOLD
 
 #: Common words of English, French, German and Spanish, with which chains begin.
@@ -239,9 +239,9 @@ def size_partition(n: int, least: float) -> int:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """(uid, key): each fingerprint under its least signatures, in its own and in the next partition."""
+    """(uid, key, n): each fingerprint of n signatures under its least ones, in its own and in the next partition."""
     for batch in batches:
-        uids, keys = [], []
+        uids, keys, sizes = [], [], []
         for uid, print_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = read(print_)
             n = len(found)
@@ -251,8 +251,9 @@ def _keys(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
                 own = np.concatenate([(prefix + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(q) * np.uint64(0xD6E8FEB86659FD93) for q in (p, p + 1)])
                 keys.append(own.view(np.int64))
                 uids.append(np.full(len(own), uid, np.int64))
-        some = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uids) if uids else some), pa.array(some)], names=["uid", "key"])
+                sizes.append(np.full(len(own), n, np.int64))
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (uids, keys, sizes)], names=["uid", "key", "n"])
 
 
 def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
@@ -261,12 +262,14 @@ def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
 
     Fingerprints are dealt to partitions by size and meet under their least signatures; pairs that
     meet are compared by pruned Jaccard. Groups of more than simhash.SMALL fingerprints that meet are
-    compared with representatives in rounds, as in ``simhash.verified``. Empty fingerprints are like each
-    other only. A class without any id has a null class_id.
+    compared with one representative; those of a group that are not like it are compared with all of its
+    members by their rarest signatures (``simhash.prefix_pairs``), so no link between two classes is lost.
+    Empty fingerprints are like each other only. A class without any id has a null class_id.
     """
     own = fingerprints(docs).withColumn("uid", F.xxhash64("fingerprint"))
-    own = checkpoint(own.groupBy("uid").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")))
-    met = meetings(own.select("uid", "fingerprint").mapInArrow(functools.partial(_keys, least=least), "uid long, key long").distinct())
+    own = stored(own.groupBy("uid").agg(F.min("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least")))
+    met = meetings(own.select("uid", "fingerprint").mapInArrow(functools.partial(_keys, least=least), "uid long, key long, n long"))
+    sets = own.select("uid", F.unbase64("fingerprint").alias("shingles"))
 
     @F.pandas_udf("boolean")
     def like(a, b):
@@ -275,7 +278,12 @@ def classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
         return pd.Series([jaccard(read(x), read(y), least) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left, right = own.select(F.col("uid").alias("u"), F.col("fingerprint").alias("x")), own.select(F.col("uid").alias("v"), F.col("fingerprint").alias("y"))
-    linked = verified(met, lambda pairs: pairs.join(left, "u").join(right, "v").where(like("x", "y")).select("u", "v"))
+    linked = verified(
+        met,
+        lambda pairs: pairs.join(left, "u").join(right, "v").where(like("x", "y")).select("u", "v"),
+        lambda stay, members: prefix_pairs(sets, stay, members, least),
+        least,
+    )
     linked = functools.reduce(DataFrame.union, linked, docs.sparkSession.createDataFrame([], "u long, v long"))
     roots = connected_components(linked, "u", "v")
     named = own.join(roots, own.uid == roots.node, "left").select("uid", "least", F.coalesce("root", "uid").alias("root"))

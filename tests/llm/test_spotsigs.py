@@ -89,6 +89,17 @@ def test_matcher_agrees_with_brute_force(spark):
     assert sorted(map(repr, both.drop("class_id").collect())) == sorted(map(repr, spotsigs.with_edited(docs).collect()))
 
 
+def test_links_in_large_groups_to_texts_that_are_like_a_representative_are_kept(spark):
+    # all texts hold the 30 least signatures, under which they meet; each is like its neighbours only
+    made = [f"the a{k} b{k}" for k in range(1000)]
+    order = sorted(made, key=lambda x: int(spotsigs.Chains().of([x])[0][0]))
+    rows = [(d, " ".join(order[:30] + order[30 + 10 * d : 100 + 10 * d])) for d in range(40)]
+    sets = [chains(t) for _, t in rows]
+    assert all((like(sets[a], sets[b]) >= 0.8) == (a - b < 2) for a in range(40) for b in range(a))
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    assert {tuple(r) for r in spotsigs.near_duplicates(docs).collect()} == {(d, 0) for d in range(40)}
+
+
 def test_similar_sets_lie_in_neighbouring_partitions():
     for n in range(1, 3000):
         for m in range(-(-4 * n // 5), n + 1):
