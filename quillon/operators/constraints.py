@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from quillon.operators.components import checkpoint, components
 
 
+def with_least(rows: DataFrame, keys: str | list[str], of: str, name: str) -> DataFrame:
+    """``rows`` with the least value of the column ``of`` among those with the same keys, as column ``name``.
+
+    The join merges: rows with few keys are small when shuffled, being well compressed, and Spark would
+    collect them on the driver to broadcast them.
+    """
+    return rows.hint("merge").join(rows.groupBy(keys).agg(F.min(of).alias(name)), keys)
+
+
 def functional_violations(values: DataFrame) -> DataFrame:
     """(x, n): individuals with several values of a functional data property (x, value_key)."""
     return values.groupBy("x").agg(F.count_distinct("value_key").alias("n")).where("n > 1")
@@ -21,8 +30,7 @@ def functional_violations(values: DataFrame) -> DataFrame:
 def functional_same(edges: DataFrame, functional: DataFrame) -> DataFrame:
     """(a, b): targets that a functional role (r) makes equal; the least target stands for all."""
     held = edges.join(functional, "r")
-    least = held.groupBy("x", "r").agg(F.min("y").alias("a"))
-    return held.join(least, ["x", "r"]).where("y <> a").select("a", F.col("y").alias("b")).distinct()
+    return with_least(held, ["x", "r"], "y", "a").where("y <> a").select("a", F.col("y").alias("b")).distinct()
 
 
 def inverse_functional_same(edges: DataFrame, functional: DataFrame) -> DataFrame:
@@ -33,8 +41,7 @@ def inverse_functional_same(edges: DataFrame, functional: DataFrame) -> DataFram
 def key_same(named: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b): named individuals (x) that agree on all key columns; the least stands for all."""
     full = named.na.drop(subset=keys)
-    least = full.groupBy(*keys).agg(F.min("x").alias("a"))
-    return full.join(least, keys).where("x <> a").select("a", F.col("x").alias("b")).distinct()
+    return with_least(full, keys, "x", "a").where("x <> a").select("a", F.col("x").alias("b")).distinct()
 
 
 def keys_same(types: DataFrame, values: DataFrame, keys: DataFrame) -> DataFrame:
@@ -52,8 +59,7 @@ def keys_same(types: DataFrame, values: DataFrame, keys: DataFrame) -> DataFrame
         held = own.join(values, "p").select("k", "x", "value_key").distinct()
         open_, done = state.where(F.col("n") > pos), state.where(F.col("n") <= pos)
         state = open_.join(held, ["k", "x"]).select("k", "x", "n", F.sha2(F.concat_ws("\x00", "mark", "value_key"), 256).alias("mark")).union(done)
-    least = state.where("n > 0").groupBy("k", "mark").agg(F.min("x").alias("a"))
-    return state.join(least, ["k", "mark"]).where("x <> a").select("a", F.col("x").alias("b")).distinct()
+    return with_least(state.where("n > 0"), ["k", "mark"], "x", "a").where("x <> a").select("a", F.col("x").alias("b")).distinct()
 
 
 def at_least(edges: DataFrame, n: int, different: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.components import checkpoint
+from quillon.operators.constraints import with_least
 
 #: Kinds of axioms whose members have an order.
 ORDERED = ["ObjectPropertyChain", "SubClassOf", "SubDataPropertyOf", "SubObjectPropertyOf"]
@@ -57,7 +58,7 @@ def expression_keys(expressions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def distinct_expressions(expressions: DataFrame) -> DataFrame:
     """(node, same): each expression with the least node of those that are structurally equal to it."""
     keys, _ = expression_keys(expressions)
-    return keys.join(keys.groupBy("key").agg(F.min("node").alias("same")), "key").select("node", "same")
+    return with_least(keys, "key", "node", "same").select("node", "same")
 
 
 def difference(axioms: DataFrame, others: DataFrame) -> DataFrame:
