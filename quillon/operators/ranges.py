@@ -7,6 +7,7 @@ taken apart first; sets are combined by one sweep over the cuts of their parts.
 Values are joined to ranges through the segments that the ranges' cuts make of a line:
 a search in the sorted cuts gives a value's segment, and every stretch is cut into dyadic
 blocks of segments, so the join is one of equal keys and no value meets a range in vain.
+Where all stretches have few segments, these are joined themselves, one row for each value.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import values as V
 from quillon.operators.components import checkpoint
-from quillon.operators.saturation import small
+from quillon.operators.saturation import SMALL, small
 
 #: Ways to combine the parts of an expression: "all", "any", "none" (a complement).
 WAYS = ("all", "any", "none")
@@ -125,9 +126,13 @@ def members(values: DataFrame, asked: DataFrame, pieces: DataFrame) -> DataFrame
     cuts = bands.select("p", F.explode(F.array("low", "high")).alias("cut")).groupBy("p").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
     cuts = small(checkpoint(cuts))
     levels = max(1, (cuts.agg(F.max(F.size("cuts"))).first()[0] or 1).bit_length())
-    bands = bands.join(cuts, "p").select("p", "node", (F.array_position("cuts", F.col("low"))).alias("start"), (F.array_position("cuts", F.col("high"))).alias("end"))
-    bands = small(checkpoint(bands.select("p", "node", F.explode(_blocks(F.col("start"), F.col("end"), levels)).alias("b")).select("p", "node", "b.level", "b.block")))
+    bands = checkpoint(bands.join(cuts, "p").select("p", "node", (F.array_position("cuts", F.col("low"))).alias("start"), (F.array_position("cuts", F.col("high"))).alias("end")))
     spot = F.concat("line", F.lit("\x00"), "key", F.lit(" 1"))
-    rows = values.join(cuts, "p").withColumn("_at", V.let(spot, lambda at: _search(F.col("cuts"), at))).drop("cuts").where("_at > 0")
-    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.expr("cast(shiftright(cast(_at as bigint), level) as bigint)")).drop("_at")
+    # never null, or Spark would search a second time to leave out null keys before the join
+    rows = values.join(cuts, "p").withColumn("_at", F.coalesce(V.let(spot, lambda at: _search(F.col("cuts"), at)), F.lit(0)).cast("bigint")).drop("cuts")
+    if (bands.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0) <= SMALL:
+        segments = bands.select("p", "node", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("_at"))
+        return rows.join(F.broadcast(segments), ["p", "_at"]).drop("_at")
+    bands = small(checkpoint(bands.select("p", "node", F.explode(_blocks(F.col("start"), F.col("end"), levels)).alias("b")).select("p", "node", "b.level", "b.block")))
+    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.expr("shiftright(_at, level)")).drop("_at")
     return rows.join(bands, ["p", "level", "block"]).drop("level", "block")
