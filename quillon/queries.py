@@ -34,8 +34,9 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _rules(spark: SparkSession, **rows: list[tuple]) -> dict[str, DataFrame]:
-    shape = {"told": "c string, d string", "conj": "a string, b string, e string", "some": "r string, c string, e string", "role": "r string, s string", "chain": "r1 string, r2 string, s string", "inverse": "r string, s string", "domain": "r string, e string", "range": "r string, e string"}
-    return {k: spark.createDataFrame(v, shape[k]) for k, v in rows.items()}
+    shape = {"told": "c string, d string", "conj": "a string, b string, e string", "some": "r string, c string, e string", "all": "c string, r string, e string", "self": "r string, e string", "role": "r string, s string", "chain": "r1 string, r2 string, s string", "inverse": "r string, s string", "domain": "r string, e string", "range": "r string, e string"}
+    # a DataFrame of Python rows has no known size: unless marked, facts would be shuffled by their few roles or classes
+    return {k: F.broadcast(spark.createDataFrame(v, shape[k])) for k, v in rows.items()}
 
 
 def _no_types(spark: SparkSession) -> DataFrame:
@@ -263,7 +264,7 @@ def nested_expression_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_ = rows.select("r.node", "r.kind", F.lit("of").alias("role"), F.lit(None).cast("int").alias("pos"), "r.part")
     keys, _ = structure.expression_keys(table_)
     keys = keys.where("node like 'p%'").select(F.substring("node", 2, 20).cast("long").alias("node"), "key")
-    return keys.join(keys.groupBy("key").agg(F.min("node").alias("same")), "key").select("node", "same")
+    return constraints.with_least(keys, "key", "node", "same").select("node", "same")
 
 
 @query("SELECT DISTINCT p_type || '|' || p_brand AS sub, p_type AS sup, 3 AS depth FROM part UNION SELECT p_type || '|' || p_brand, p_brand, 3 FROM part UNION SELECT p_type, 'Product', 2 FROM part UNION SELECT p_brand, 'Product', 2 FROM part UNION SELECT 'Product', 'Thing', 1")
@@ -424,7 +425,7 @@ def all_different_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inverse_functional_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with one label (name and brand) are equal, as the label is inverse functional."""
     links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), F.lit("label").alias("r"), F.sha2(F.concat_ws("\x00", "p_name", "p_brand"), 256).alias("y"))
-    return constraints.inverse_functional_same(links, spark.createDataFrame([("label",)], "r string"))
+    return constraints.inverse_functional_same(links, F.broadcast(spark.createDataFrame([("label",)], "r string")))
 
 
 @query("""SELECT 'o' || o_orderkey AS x, 's' || (o_orderkey % 10 + 1) AS y FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey = o_orderkey % 10 + 1""")
@@ -438,7 +439,7 @@ def denied_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disjoint_union_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action is the disjoint union of click, purchase and view."""
     types = table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), F.col("event_type").alias("c")).distinct()
-    return constraints.group_clashes(types, spark.createDataFrame([("Action", k, c) for k, c in enumerate(("click", "purchase", "view"))], "g string, pos int, c string"))
+    return constraints.group_clashes(types, F.broadcast(spark.createDataFrame([("Action", k, c) for k, c in enumerate(("click", "purchase", "view"))], "g string, pos int, c string")))
 
 
 @query("SELECT DISTINCT 'o' || l_orderkey AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IN ('PROMO', 'ECONOMY')")
@@ -461,7 +462,7 @@ def has_value_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def has_self_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near Self below OwnPart."""
     link = _number_edges(spark, sf_dir).select(F.concat(F.lit("k"), F.col("x").cast("string")).alias("x"), "r", F.concat(F.lit("k"), F.col("y").cast("string")).alias("y"))
-    sub, _ = saturate(_no_types(spark), link, {"self": spark.createDataFrame([("near", "OwnPart")], "r string, e string")})
+    sub, _ = saturate(_no_types(spark), link, _rules(spark, self=[("near", "OwnPart")]))
     return sub.where("c = 'OwnPart'").select("x")
 
 
@@ -469,7 +470,7 @@ def has_self_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_values_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished below all contains Shipped: what orders contain that are finished."""
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(named("o", "o_orderkey").alias("x"), F.lit("Finished").alias("c"))
-    sub, _ = saturate(orders, edges(spark, sf_dir, "contains"), {"all": spark.createDataFrame([("Finished", "contains", "Shipped")], "c string, r string, e string")})
+    sub, _ = saturate(orders, edges(spark, sf_dir, "contains"), _rules(spark, all=[("Finished", "contains", "Shipped")]))
     return sub.where("c = 'Shipped'").select("x")
 
 
