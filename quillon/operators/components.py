@@ -29,6 +29,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, by: str, rows: int = 100_000) -> DataFrame:
+    """``df``, dealt by a column to as many partitions as keep them near ``rows`` rows.
+
+    Spark sizes the partitions of files and shuffles by their packed bytes, so rows that pack well would come to
+    a task by millions.
+    """
+    return df.repartition(1 + df.count() // rows, by)
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of edges (a, b): component is the smallest node that is reachable.
 

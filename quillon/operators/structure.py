@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.components import checkpoint
+from quillon.operators.components import checkpoint, spread
 from quillon.operators.constraints import with_least
 
 #: Kinds of axioms whose members have an order.
@@ -37,7 +37,7 @@ def expression_keys(expressions: DataFrame) -> tuple[DataFrame, DataFrame]:
     a set if ``pos`` is null, and in their order else. Keys are made from the leaves up, one round for each
     level of nesting, and a node's key is a hash of its kind and its parts' keys.
     """
-    rows = checkpoint(expressions.select("node", "kind", "role", "pos", "part").distinct())
+    rows = checkpoint(spread(expressions.select("node", "kind", "role", "pos", "part"), "node").distinct())
     inner = checkpoint(rows.select("node").distinct())
     leaf = rows.select("part").distinct().join(inner.withColumnRenamed("node", "part"), "part", "left_anti")
     keys = checkpoint(leaf.select(F.col("part").alias("node"), F.concat(F.lit("name "), "part").alias("key")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.terms import PREFIXES
-from quillon.operators.components import checkpoint
+from quillon.operators.components import checkpoint, spread
 from quillon.operators.saturation import above
 from quillon.plans.ontology import NOTES
 
@@ -47,6 +47,7 @@ def of_entities(triples: DataFrame) -> DataFrame:
 def of_axioms(triples: DataFrame) -> DataFrame:
     """(s, p, o, stated, note, value, kind, datatype, lang): annotations of the triples that reified axioms name, and
     whether the graph states the triple itself. A node that lacks one of the three names gives no row."""
+    triples = spread(triples, "s")
     named = triples.where(F.col("p").isin(*PARTS.values()))
     pick = lambda iri: F.min(F.when(F.col("p") == iri, F.col("o")))
     axioms = named.groupBy(F.col("s").alias("node")).agg(*[pick(iri).alias(c) for c, iri in PARTS.items()]).na.drop()

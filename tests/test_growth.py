@@ -37,3 +37,12 @@ def test_values_meet_few_segments_once_each(spark, monkeypatch):
     assert "level" not in plan(few)
     monkeypatch.setattr(ranges, "SMALL", 0)
     assert sorted(map(tuple, ranges.members(values, asked, pieces).select("id", "node").collect())) == want
+
+
+def test_tasks_get_a_bounded_number_of_rows(spark):
+    from quillon.operators.components import spread
+
+    rows = spark.range(1000).selectExpr("concat('n', id) as node")
+    dealt = spread(rows, "node", 100)
+    assert dealt.rdd.getNumPartitions() == 11 and dealt.distinct().count() == 1000
+    assert spread(rows.limit(0), "node").rdd.getNumPartitions() == 1
