@@ -2,10 +2,12 @@
 
 Tokens are scored by the log-odds of the texts with their word, or of its 4 to 7 leading
 characters where these surely tell more, between toxic and other labelled texts, with a
-Dirichlet prior in proportion to the texts of both. Tokens without a significant
-score drift slightly downwards. One linear scan finds every maximal segment of a
-text; the extreme-value law of segment scores in unrelated text turns them into
-probabilities, whose evidence a logistic function maps to the label.
+Dirichlet prior in proportion to the texts of both. A drift that all tokens share
+makes nearly every other text sink, whatever its language, so that only a stretch
+with much stronger words rises. One linear scan finds every maximal segment of a
+text; the extreme-value law of segment scores, taken from the tokens of the other
+texts, turns them into probabilities, whose evidence a logistic function maps to
+the label.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SAMPLE = 16384
 #: Weight of the prior in texts; z value and texts from which a feature counts.
 PRIOR, Z, LEAST = 100.0, 4.0, 5
 PREFIXES = (4, 5, 6, 7)
+#: Least drift of a token; share of the other texts whose mean token score it takes below zero.
+DRIFT, SINK = 0.05, 0.95
 #: Expected number of equally high segments in unrelated text below which a segment is significant.
 SIGNIFICANT = 0.05
 #: A-Z lower-cased, ASCII punctuation to spaces.
@@ -47,7 +51,8 @@ def features(token: bytes) -> list[str]:
 
 def segments(scores: list[float]) -> list[float]:
     """Scores of all maximal scoring segments (Ruzzo and Tompa), in linear time."""
-    stack: list[tuple[float, float]] = []  # total before and up to the end of each candidate
+    done: list[tuple] = []
+    stack: list[tuple[float, float, int]] = []  # total before and up to the end of each candidate, and the last before it that starts lower
     total = 0.0
     for x in scores:
         before, total = total, total + x
@@ -57,13 +62,17 @@ def segments(scores: list[float]) -> list[float]:
         while True:
             k = len(stack) - 1
             while k >= 0 and stack[k][0] >= low:
-                k -= 1
-            if k < 0 or stack[k][1] >= high:
-                stack.append((low, high))
+                k = stack[k][2]
+            if k < 0:  # nothing later reaches back beyond this one
+                done += stack
+                stack = [(low, high, -1)]
+                break
+            if stack[k][1] >= high:
+                stack.append((low, high, k))
                 break
             low = stack[k][0]
             del stack[k:]
-    return [high - low for low, high in stack]
+    return [high - low for low, high, _ in done + stack]
 
 
 class Scores(dict):
@@ -74,38 +83,45 @@ class Scores(dict):
 
     def __missing__(self, token: bytes) -> float:
         known = [self.lexicon[f] for f in features(token) if f in self.lexicon]
-        self[token] = score = max(known)[1] if known else self.drift
+        self[token] = score = (max(known)[1] if known else 0.0) + self.drift
         return score
 
 
 class Model:
     """Token scores, the law of their segments and the final logistic function."""
 
-    def __init__(self, rows: list, n0: float, n1: float, words: float) -> None:
-        """rows: (feature, y0, y1), the other and the toxic texts that have it; n0, n1: all
-        texts of both; words: tokens of the other texts."""
+    def __init__(self, rows: list, n0: float, n1: float) -> None:
+        """rows: (feature, y0, y1), the other and the toxic texts that have it; n0, n1: all texts of both."""
         self.weights, self.base = None, 0.1
         self.lexicon: dict[str, tuple[float, float]] = {}
-        n, rare = max(n0 + n1, 1.0), 0.0
+        n = max(n0 + n1, 1.0)
         for feature, y0, y1 in rows:
             a = PRIOR * (y0 + y1) / n
             odds = math.log((y1 + a) / (n1 + PRIOR - y1 - a)) - math.log((y0 + a) / (n0 + PRIOR - y0 - a))
             error = math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
             if abs(odds) >= Z * error:
                 self.lexicon[feature] = (abs(odds) - 2 * error, odds)
-        self.drift = -0.05
-        law = [(self.lexicon[f][1], (y0 + 0.5) / (words + 1)) for f, y0, _ in rows if f in self.lexicon and self.lexicon[f][1] > 0 and f[0] == "="]
-        rare = min(sum(p for _, p in law), 0.5)
-
-        def excess(x: float) -> float:
-            return sum(p * math.exp(min(x * s, 700)) for s, p in law) + (1 - rare) * math.exp(x * self.drift) - 1
-
+        self.drift, self.rate, self.scale = -DRIFT, 1.0, 0.1
+
+    def profile(self, text: bytes, scores: Scores) -> tuple[float, list[float], list[int]]:
+        """Mean token score without drift, and the scores of the text's tokens with their numbers."""
+        found, counts = np.unique(np.array(list(map(scores.__getitem__, tokens(text)))), return_counts=True)
+        return float(found @ counts) / max(int(counts.sum()), 1), found.tolist(), counts.tolist()
+
+    def settle(self, means: list[float], counts: dict[float, int]) -> None:
+        """Fit the drift and the law's rate to the other texts: mean token score of each, and how many of all
+        their tokens have a score, both without drift."""
+        self.drift = -DRIFT - max(float(np.quantile(means, SINK)) if means else 0.0, 0.0)
+        x = np.array(sorted(counts)) + self.drift
+        share = np.array([counts[k] for k in sorted(counts)], float) / max(sum(counts.values()), 1)
+        if not len(x) or x[-1] <= 0:  # no token of the other texts rises
+            return
+        # the rate at which the mean of exp(rate * score) is 1, positive as the mean score is not
         low, high = 1e-3, 50.0
-        for _ in range(60 if law else 0):
+        for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-        self.rate = (low + high) / 2 if law else 1.0
-        self.scale = 0.1
+            low, high = (mid, high) if share @ np.exp(np.minimum(mid * x, 700)) < 1 else (low, mid)
+        self.rate = (low + high) / 2
 
     def scores(self) -> Scores:
         return Scores(self.lexicon, self.drift)
@@ -113,10 +129,13 @@ class Model:
     def raw(self, text: bytes, scores: Scores) -> tuple[int, list[float]]:
         """Number of tokens and the segments' scores."""
         words = tokens(text)
+        if not words:
+            return 0, []
         found = np.array(list(map(scores.__getitem__, words)))
-        at = np.flatnonzero(found != self.drift)
-        gaps = (np.diff(at, prepend=-1) - 1) * self.drift
-        return len(words), segments(np.column_stack([gaps, found[at]]).ravel().tolist()) if len(at) else []
+        rise = found > 0
+        # tokens that rise or sink one after the other are one step
+        starts = np.flatnonzero(np.diff(rise, prepend=~rise[0]))
+        return len(words), segments(np.add.reduceat(found, starts).tolist()) if rise.any() else []
 
     def evidence(self, n: int, found: list[float]) -> list[float]:
         """Best segment's -log10 p, number of significant segments and their -log10 p in all."""
@@ -166,7 +185,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = tokens(text)
             counts[y].update({f for word in set(words) for f in features(word)})
             counts[y][""] += 1
-            counts[y]["#"] += len(words)
     names = sorted(counts[0].keys() | counts[1].keys())
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[0][f] for f in names], pa.int64()), pa.array([counts[1][f] for f in names], pa.int64())], schema=_FEATURES)
 
@@ -183,16 +201,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = checkpoint(texts.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", utf8(F.col("text")).alias("text")))
     counts = texts.mapInArrow(_count, "feature string, y0 long, y1 long").groupBy("feature").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
     counts = checkpoint(counts)
-    totals = {r.feature: r for r in counts.where("feature in ('', '#')").collect()}
+    totals = {r.feature: r for r in counts.where("feature = ''").collect()}
     n0, n1 = (totals[""].y0, totals[""].y1) if totals else (0, 0)
     # only features that Model counts as significant are collected, by its own formula; the sample bounds their
     # number. One that every text has tells nothing.
     a = PRIOR * (F.col("y0") + F.col("y1")) / max(n0 + n1, 1.0)
     odds = F.log((F.col("y1") + a) / (n1 + PRIOR - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + PRIOR - F.col("y0") - a))
     error = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    often = counts.where("feature not in ('', '#')").where(F.col("y0") + F.col("y1") >= LEAST).where(F.col("y0") + F.col("y1") < n0 + n1).where(F.abs(odds) >= (Z - 1e-6) * error)
+    often = counts.where("feature <> ''").where(F.col("y0") + F.col("y1") >= LEAST).where(F.col("y0") + F.col("y1") < n0 + n1).where(F.abs(odds) >= (Z - 1e-6) * error)
     rows = sorted((r.feature, r.y0, r.y1) for r in often.collect())
-    model = Model(rows, n0, n1, totals["#"].y0 if totals else 0)
+    model = Model(rows, n0, n1)
+
+    def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(model.lexicon, 0.0)
+        means, counts = [], Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                mean, found, numbers = model.profile(text, scores)
+                means.append(mean)
+                counts.update(dict(zip(found, numbers, strict=True)))
+        yield pd.DataFrame({"x": means + list(counts), "n": [0] * len(means) + list(counts.values())})
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = model.scores()
@@ -205,6 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "found": [model.evidence(*model.raw(t, scores)) for t in batch["text"]]})
 
+    # the lexicon bounds the number of scores
+    seen = texts.where("toxic = 0").mapInPandas(profiles, "x double, n long").collect()
+    counts = Counter()
+    for r in seen:
+        counts[r.x] += r.n
+    model.settle(sorted(r.x for r in seen if not r.n), {x: k for x, k in counts.items() if k})
     seen = sorted(map(tuple, texts.mapInPandas(best, "toxic int, n long, best double").collect()))
     model.calibrate([(n, s) for _, n, s in seen], np.array([t for t, _, _ in seen], float))
     # with the scale, a second scan has the evidence of all segments

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -180,3 +181,29 @@ def test_toxicity_counts_mild_words_and_all_segments(spark):
     assert max(np.expm1(x[1]) for _, x in seen) > 64
     model.weigh([x for _, x in seen], np.array([y for y, _ in seen], float))
     assert model.weights == pytest.approx(weights)
+
+
+def test_segments_in_linear_time():
+    step = [1.0, -1.5]  # every candidate starts lower than all before it
+    began = time.process_time()
+    assert toxicity.segments(step * 30_000) == [1.0] * 30_000
+    assert toxicity.segments([0.5, -0.4, -0.2] * 20_000 + [9.0]) == pytest.approx([0.5] * 20_000 + [9.0])
+    assert time.process_time() - began < 5
+
+
+def test_toxicity_of_the_language_of_most_toxic_texts(spark):
+    # a little more of the toxic texts are in one language, so all its words are mildly toxic; few words are truly so
+    draw = random.Random(3)
+    words = [[f"{x}{k}" for k in range(60)] for x in ("uno", "due")]
+    made, labels = [], []
+    for d in range(3000):
+        toxic, long = int(d % 10 == 0), int(draw.random() < (0.7 if d % 10 == 0 else 0.5))
+        text = [draw.choice(words[1 - long]) for _ in range(draw.randrange(200, 400))]
+        for _ in range(3 if toxic else 0):
+            text[draw.randrange(len(text))] = f"vile{draw.randrange(9)}"
+        made.append((d, " ".join(text)))
+        labels.append((d, toxic))
+    got = toxicity.toxicity(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(r.doc_id % 10 == 0, r.predicted) for r in got.where("held_out").collect()]
+    caught, left = [p for y, p in held if y], [1 - p for y, p in held if not y]
+    assert np.mean(caught) >= 0.95 and np.mean(left) >= 0.98
