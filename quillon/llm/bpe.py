@@ -69,24 +69,32 @@ class Encoder:
         if not new:
             return
         self.names += [w if type(w) is str else w[0] for w in new]
-        odd = np.array([ADDED in w if type(w) is str and w and not (w[0].isspace() or w[-1].isspace()) else type(w) is str or ADDED in w[0] for w in new])
-        lone = [k for k, w in enumerate(new) if type(w) is tuple]
-        plain = [k for k, w in enumerate(new) if type(w) is str and not odd[k]]
-        pieces: list = [np.zeros(0, np.int32)] * len(new)
-        if plain:
-            ids = np.array(self.bpe.encode_ordinary("".join([" " + new[k] for k in plain])), np.int32)
-            ends = np.cumsum([len(new[k].encode("utf-8", "surrogatepass")) + 1 for k in plain])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
-            first = 0
-            for k, cut in zip(plain, cuts.tolist(), strict=True):
-                pieces[k] = ids[first:cut]
-                first = cut
-        for k in lone:
-            pieces[k] = np.array(self.bpe.encode_ordinary(new[k][0]), np.int32)
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        added = ADDED in " ".join(self.names[-len(new) :])
+        # what the pattern would join to its neighbours: nothing, white space at an end, an added token
+        odd = np.array([(type(w) is str and (not w or len(w.strip()) < len(w))) or (added and ADDED in (w if type(w) is str else w[0])) for w in new])
+        tuples = np.fromiter((type(w) is tuple for w in new), bool, len(new))
+        plain = np.flatnonzero(~odd & ~tuples)
+        start, length = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        size = len(self.flat)
+        parts = [self.flat]
+        if len(plain):
+            text = "".join([" " + new[k] for k in plain.tolist()])
+            ids = np.array(self.bpe.encode_ordinary(text), np.int32)
+            # no word has a space, so the words end where the spaces before the next ones are
+            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) == 32)
+            ends = np.append(spaces[1:], int(self.bytes_of[ids].sum()))
+            cuts = np.append(0, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1)
+            start[plain], length[plain] = size + cuts[:-1], np.diff(cuts)
+            parts.append(ids)
+            size += len(ids)
+        for k in np.flatnonzero(tuples).tolist():
+            ids = np.array(self.bpe.encode_ordinary(new[k][0]), np.int32)
+            start[k], length[k] = size, len(ids)
+            parts.append(ids)
+            size += len(ids)
+        self.start = np.concatenate([self.start, start])
         self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, *pieces])
+        self.flat = np.concatenate(parts)
         self.odd = np.concatenate([self.odd, odd])
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -76,9 +76,10 @@ class Index:
         rows = self.row[query]
         scores = self.dense[rows[rows >= 0]].sum(0)
         query = query[rows < 0]
-        spans = [slice(x, z) for x, z in zip(self.first[query].tolist(), self.first[query + 1].tolist(), strict=True)]
-        if spans:
-            scores += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
+        if len(query):
+            first, sizes = self.first[query], self.first[query + 1] - self.first[query]
+            at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            scores += np.bincount(self.doc[at], self.weight[at], self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
         if len(found) > FIRST:  # a window is mostly full after a few
@@ -149,8 +150,9 @@ def _shard(encoder: Encoder, ids: list, texts: list[str], first: int, window: in
     seen = np.zeros(len(encoder.words), bool)
     seen[numbers] = True
     words, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[numbers]
-    terms: dict[str, int] = {}
-    term_of = np.array([terms.setdefault(encoder.names[w].strip(_EDGE).lower(), len(terms)) for w in words.tolist()])
+    names = [encoder.names[w].strip(_EDGE).lower() for w in words.tolist()]
+    terms = {t: k for k, t in enumerate(dict.fromkeys(names))}
+    term_of = np.fromiter(map(terms.__getitem__, names), np.int64, len(names))
     index = Index(term_of[place], counts, len(terms))
     made = windows(np.fromiter(map(len, tokens), np.int64, len(tokens)), index, window)
     rows = [

@@ -207,3 +207,14 @@ def test_toxicity_of_the_language_of_most_toxic_texts(spark):
     held = [(r.doc_id % 10 == 0, r.predicted) for r in got.where("held_out").collect()]
     caught, left = [p for y, p in held if y], [1 - p for y, p in held if not y]
     assert np.mean(caught) >= 0.95 and np.mean(left) >= 0.98
+
+
+def test_words_encoded_in_one_pass_have_their_own_ids():
+    from quillon.llm.bpe import ADDED, Encoder
+
+    encoder = Encoder()
+    texts = ["", " ", "a  b", "é x ü", f"x{ADDED}y {ADDED}", "one\ttwo \nthree", "\U0001f600 \U0001f600ab  ", "ends  ", "a b c a"]
+    for _ in range(2):  # the second time all words are known
+        assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t) for t in texts]
+    assert encoder.encode(texts[::-1] + ["new words é  twice"])[-1].tolist() == encoder.whole("new words é  twice")
+    assert encoder.lengths(texts).tolist() == [len(encoder.whole(t)) for t in texts]
