@@ -41,11 +41,29 @@ def spread(df: DataFrame, by: str, rows: int = 100_000) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of edges (a, b): component is the smallest node that is reachable.
 
+    Loops give a node of its own; edges with a null end are left out. Nodes are joined by 64-bit hashes
+    of their names, which Spark moves and sorts faster; if any two names share a hash, by the names.
+    """
+    ends = edges.where("a is not null and b is not null").select(F.array("a", "b").alias("e"))  # of one type
+    names = checkpoint(ends.select(F.explode("e").alias("node")).distinct().select(F.xxhash64("node").alias("id"), "node"))
+    if not clear(names):
+        return stars(ends.select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b")), most_rounds)
+    found = stars(ends.select(F.xxhash64(F.col("e")[0]).alias("a"), F.xxhash64(F.col("e")[1]).alias("b")), most_rounds)
+    named = names.join(found.withColumnRenamed("node", "id"), "id").select("node", F.col("component").alias("id"))
+    return named.join(named.groupBy("id").agg(F.min("node").alias("component")), "id").select("node", "component")
+
+
+def clear(names: DataFrame) -> bool:
+    """Whether no two of the distinct names (id, node) share an id."""
+    return names.groupBy("id").count().where("count > 1").isEmpty()
+
+
+def stars(pairs: DataFrame, most_rounds: int) -> DataFrame:
+    """(node, component) of edges (a, b) without nulls: component is the smallest node that is reachable.
+
     Alternates large-star and small-star rounds: every component shrinks to a star around
     its smallest node in about log(n) rounds, and edges get fewer, so hubs do not stay hot.
-    Loops give a node of its own; edges with a null end are left out.
     """
-    pairs = edges.where("a is not null and b is not null")
     lone = pairs.where("a = b").select(F.col("a").alias("node"))
     now = checkpoint(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 

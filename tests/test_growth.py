@@ -1,5 +1,7 @@
 """Steps whose tasks must not grow with one role, class or label."""
 
+import random
+
 import pytest
 
 from quillon import queries
@@ -46,3 +48,26 @@ def test_tasks_get_a_bounded_number_of_rows(spark):
     dealt = spread(rows, "node", 100)
     assert dealt.rdd.getNumPartitions() == 11 and dealt.distinct().count() == 1000
     assert spread(rows.limit(0), "node").rdd.getNumPartitions() == 1
+
+
+def test_components_by_hashes_or_names(spark, monkeypatch):
+    """Rounds join 64-bit numbers, not names; names that share a number are joined as they are."""
+    from quillon.operators import components as own
+
+    draw, types = random.Random(5), []
+    made = [(f"n{draw.randrange(60)}", f"m{draw.randrange(60)}") for _ in range(50)] + [("lone", "lone"), (None, "x"), ("x", None)]
+    root = {n: n for p in made if None not in p for n in p}
+    for _ in root:
+        for a, b in (p for p in made if None not in p):
+            root[a] = root[b] = min(root[a], root[b])
+    stars = own.stars
+    monkeypatch.setattr(own, "stars", lambda pairs, most: types.append(dict(pairs.dtypes)["a"]) or stars(pairs, most))
+    for clear in (own.clear, lambda names: False):
+        monkeypatch.setattr(own, "clear", clear)
+        found = own.components(spark.createDataFrame(made, "a string, b string")).collect()
+        assert len(found) == len(root) and {r.node: r.component for r in found} == root
+    assert types == ["bigint", "string"]
+    assert not own.components(spark.createDataFrame([(None, "x")], "a string, b string")).collect()
+    monkeypatch.undo()
+    same = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, node string")
+    assert not own.clear(same) and own.clear(same.where("node <> 'b'"))
