@@ -71,3 +71,30 @@ def test_components_by_hashes_or_names(spark, monkeypatch):
     monkeypatch.undo()
     same = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, node string")
     assert not own.clear(same) and own.clear(same.where("node <> 'b'"))
+
+
+def test_told_paths_double_without_repeats(spark, monkeypatch):
+    """Paths of a taxonomy are made of the last round's, not of all: what rules make stays near what is new."""
+    from quillon.operators import saturation
+
+    draw, made = random.Random(6), []
+    tree = [(k, k // 2) for k in range(2, 400)]
+    dag = [(f"{k}", f"{j}") for k in range(40) for j in {k + 1, min(40, k + draw.randrange(1, 6)), draw.choice([k + 1, 0])}]  # with cycles
+    subs = saturation._subs
+    monkeypatch.setattr(saturation, "_subs", lambda *a: [made.append(p.count()) or p for p in subs(*a)])
+    for pairs in (tree, dag):
+        made.clear()
+        pairs = [tuple(map(str, p)) for p in pairs]
+        above = {n: {n} for p in pairs for n in p}
+        for _ in above:
+            for c, d in pairs:
+                above[c] |= above[d]
+        names = list(above)
+        own = spark.createDataFrame([(saturation.CONTEXT + n, n) for n in names] + [("someone", "7"), ("someone", "9")], "x string, c string")
+        none = spark.createDataFrame([], "x string, r string, y string")
+        got, _ = saturation.saturate(own, none, {"told": spark.createDataFrame(pairs, "c string, d string")})
+        want = {(saturation.CONTEXT + n, c) for n in names for c in above[n]} | {("someone", c) for c in above["7"] | above["9"]}
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        if pairs[0][0] == "2":
+            assert sum(made) < 2 * len(want), (sum(made), len(want))
