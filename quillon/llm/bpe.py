@@ -10,6 +10,7 @@ with an added token, are encoded whole.
 from __future__ import annotations
 
 import base64
+import functools
 
 import numpy as np
 import public_tokenizers
@@ -33,16 +34,42 @@ class _Index(dict):
         return number
 
 
+@functools.lru_cache(maxsize=4)
+def loaded(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The encoding of a file of ranks, and how many bytes each id has; read once in a process."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, number in ranks.items():
+        bytes_of[number] = len(token)
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bytes_of
+
+
+def encoded(bpe: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text, added tokens apart, without a list of them where the text is well formed."""
+    try:
+        return bpe.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+    except UnicodeEncodeError:
+        return np.array(bpe.encode_ordinary(text), np.int32)
+
+
+def cut(bpe: tiktoken.Encoding, bytes_of: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words that a space leads, one word after the other, and how many each has. No word may be empty,
+    hold a space or have white space at an end."""
+    text = "".join([" " + w for w in words])
+    ids = encoded(bpe, text)
+    # no word has a space, so the words end where the spaces before the next ones are
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) == 32)
+    ends = np.cumsum(bytes_of[ids])
+    cuts = np.append(0, np.searchsorted(ends, np.append(spaces[1:], ends[-1]), side="left") + 1)
+    return ids, np.diff(cuts)
+
+
 class Encoder:
     """Encodes lists of texts; keeps at most about ``most`` words between calls."""
 
     def __init__(self, path: str | None = None, most: int = 250_000) -> None:
-        with open(path or public_tokenizers.path(RANKS), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, number in ranks.items():
-            self.bytes_of[number] = len(token)
+        self.bpe, self.bytes_of = loaded(path or public_tokenizers.path(RANKS))
         self.most = most
         self._clear()
 
@@ -78,13 +105,8 @@ class Encoder:
         size = len(self.flat)
         parts = [self.flat]
         if len(plain):
-            text = "".join([" " + new[k] for k in plain.tolist()])
-            ids = np.array(self.bpe.encode_ordinary(text), np.int32)
-            # no word has a space, so the words end where the spaces before the next ones are
-            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) == 32)
-            ends = np.append(spaces[1:], int(self.bytes_of[ids].sum()))
-            cuts = np.append(0, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1)
-            start[plain], length[plain] = size + cuts[:-1], np.diff(cuts)
+            ids, sizes = cut(self.bpe, self.bytes_of, [new[k] for k in plain.tolist()])
+            start[plain], length[plain] = size + np.cumsum(sizes) - sizes, sizes
             parts.append(ids)
             size += len(ids)
         for k in np.flatnonzero(tuples).tolist():

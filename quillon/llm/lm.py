@@ -3,28 +3,35 @@
 P(word | before) = P(class of its first subword | before) * P(first subword | class) *
 P(word | first subword). The first factor comes from the attention model; the others
 from counts over all training texts, where words that never occurred are spelt with
-subwords. Work is dealt in blocks of documents. A block sends every distinct word once,
-by hash, to the bucket that adds its count over all blocks, and gets the sum back.
-Every window of every training text trains the model, in one of the rounds; replicas of
-the model train on their share and are averaged after each round.
+subwords. Work is dealt in blocks of documents, whose words are numbered and written once.
+A block sends every distinct word once, by hash, to the bucket that adds its count over all
+blocks, and gets the sum back. Every window of every training text trains the model, in one
+of the rounds; replicas of the model train where their blocks lie and are averaged after each round.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
+from typing import ClassVar
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import attention as A
-from quillon.llm.bpe import Encoder
-from quillon.llm.common import WordHashes, checkpoint, remainder, row_blocks, utf8
+from quillon.llm.bpe import RANKS, cut, encoded, loaded
+from quillon.llm.common import checkpoint, remainder, row_blocks, utf8
 
-#: Bytes of text in a block of documents, and blocks whose windows one replica of the model sees.
+#: Bytes of text in a block of documents, and blocks whose windows one replica of the model sees, about.
 BLOCK, SHARE = 12_000_000, 4
 #: Each training window is seen in one of the rounds, whose learning rates these are.
 ROUNDS = (0.01, 0.01, 0.005, 0.002)
@@ -32,12 +39,10 @@ PIECES = 50257
 #: Groups of rarer first subwords.
 GROUPS = 64
 CHUNK = 4096
-#: Codes of a position of a training window: from LONG subwords on their number follows; BOS, the end.
-LONG, STARTS, ENDS = 250, 251, 252
 #: Classes, by id, of neighbouring subwords in a word; the last is the word's end. Weight of the unconditional share.
 NEAR, PRIOR = 1021, 10.0
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("f", "<u2")])  # counts of one block, whose bytes bound them
 _SENT = "kind int, key long, block long, a binary, b binary"
+_CHUNKS = "chunk int, weight double, a binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
@@ -89,51 +94,40 @@ class Vocabulary:
         return np.log((count + kinds * np.exp(spelling)) / (self.first[first] + kinds))
 
 
-class Numbers(dict):
-    """Numbers words as they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class Words:
     """Distinct words of blocks, numbered, with hashes and subword ids."""
 
     def __init__(self, path: str | None) -> None:
-        self.encoder, self.hashes = Encoder(path), WordHashes()
+        self.bpe, self.bytes_of = loaded(path or public_tokenizers.path(RANKS))
 
     def split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Number of each word, words per text, hash per number, and the words."""
-        number = Numbers()
-        counts = np.empty(len(texts), np.int64)
-        parts = []
-        for k, text in enumerate(texts):
-            words = text.lower().split()
-            counts[k] = len(words)
-            parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-        if len(self.hashes) > self.hashes.most:
-            self.hashes.clear()
-        names = list(number)
-        hashes = np.fromiter(map(self.hashes.__getitem__, names), np.uint64, len(names))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64), counts, hashes, names
+        # Arrow lowers A-Z and splits at the same characters as bytes.split(), which leaves no empty words
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+        ends, words = split.offsets.to_numpy(), split.flatten()
+        real = pc.greater(pc.binary_length(words), 0)
+        before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+        coded = words.filter(real).dictionary_encode()
+        names = coded.dictionary.view(pa.binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        return coded.indices.to_numpy().astype(np.int64), np.diff(before[ends]), hashes, names
 
     def subwords(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of the words, one word after the other, and how many each has."""
         if not names:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        encoder = self.encoder
-        text = "x " + " ".join([n.decode("utf-8", "replace") for n in names])
-        numbers = encoder.number([text])[0][1:]
-        sizes, begin = encoder.length[numbers], encoder.start[numbers]
-        ids = encoder.flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))].astype(np.int64)
-        if not sizes.all():  # words that the pattern cuts at other white space
-            own = np.split(ids, np.cumsum(sizes)[:-1])
-            for k in np.flatnonzero(sizes == 0).tolist():
-                own[k] = np.array(encoder.bpe.encode_ordinary(" " + names[k].decode("utf-8", "replace")), np.int64)
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            ids = np.concatenate(own)
-        return ids, sizes
+        words = b" ".join(names).decode("utf-8", "replace").split(" ")
+        odd = [k for k, w in enumerate(words) if w.strip() != w]  # the pattern cuts them at other white space
+        alone = {k: encoded(self.bpe, " " + words[k]) for k in odd}
+        plain = [w for k, w in enumerate(words) if k not in alone] if odd else words
+        ids, some = cut(self.bpe, self.bytes_of, plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if not odd:
+            return ids.astype(np.int64), some
+        sizes = np.zeros(len(words), np.int64)
+        sizes[np.setdiff1d(np.arange(len(words)), odd)] = some
+        begin = np.cumsum(sizes)[odd]  # where they go among the others
+        sizes[odd] = [len(alone[k]) for k in odd]
+        return np.insert(ids, np.repeat(begin, sizes[odd]), np.concatenate([alone[k] for k in odd])).astype(np.int64), sizes
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -146,13 +140,13 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
     """Places and values of what is not zero."""
     some = np.flatnonzero(counts)
-    return some.astype("<i8").tobytes(), counts[some].astype("<i8").tobytes()
+    return packed([some.astype("<i8")]), packed([counts[some].astype("<i8")])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")) for x in (a, b)], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(x, ["<i8"])[0]) for x in (a, b)], names=["k", "n"])
 
 
 def _totals(rows: DataFrame, size: int) -> np.ndarray:
@@ -163,11 +157,6 @@ def _totals(rows: DataFrame, size: int) -> np.ndarray:
     return found
 
 
-def _keyed(step: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Spark looks at the number of arguments, which a partial hides."""
-    return lambda key, table: step(key, table)
-
-
 def _buckets(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the distinct words by bucket and hash, and the bounds of the buckets."""
     bucket = (hashes >> np.uint64(40)) % np.uint64(n)
@@ -175,180 +164,210 @@ def _buckets(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def _coded(line: np.ndarray, skips: list[int], flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
-    """Subwords of the windows' words; and how many each position has, or its code, then how many
-    positions of each window only give context, then the numbers of long words' subwords."""
-    real = line[line >= 0]
-    n = sizes[real]
-    where = np.repeat(begin[real] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    code = np.zeros(len(line), np.uint8)
-    code[line >= 0] = np.minimum(n, LONG)
-    code[line == -1], code[line == -3] = STARTS, ENDS
-    return flat[where].astype("<u2").tobytes(), code.tobytes() + bytes(skips) + n[n >= LONG].astype("<u4").tobytes() + len(skips).to_bytes(8, "little")
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers as compressed bytes, those of equal weight together."""
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays)
+    head = np.array([len(raw), *(len(x) for x in arrays)], "<i8").tobytes()
+    return head + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """What ``packed`` made of arrays of these kinds."""
+    size, *lengths = np.frombuffer(data, "<i8", len(kinds) + 1).tolist()
+    raw = np.frombuffer(pa.decompress(data[8 * len(kinds) + 8 :], size, codec="zstd", asbytes=True), np.uint8)
+    found, at = [], 0
+    for n, kind in zip(lengths, map(np.dtype, kinds), strict=True):
+        part = raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n)
+        found.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
+        at += n * kind.itemsize
+    return found
+
+
+@dataclass
+class Block:
+    """Documents of a block: their words by number and, of each distinct word, its subwords and
+    its place among the words that were sent out to buckets."""
+
+    ids: np.ndarray
+    no_id: np.ndarray
+    train: np.ndarray
+    uid: np.ndarray
+    counts: np.ndarray
+    number: np.ndarray
+    sizes: np.ndarray
+    flat: np.ndarray
+    order: np.ndarray
+
+    KINDS: ClassVar[list[str]] = ["<i8", "u1", "u1", "<u8", "<u4", "<u4", "<u4", "<u2", "<u4"]
 
+    def write(self) -> bytes:
+        return packed([np.asarray(getattr(self, f.name)).astype(k) for f, k in zip(fields(self), self.KINDS, strict=True)])
 
-def _gather(key: tuple, table: pa.Table, path: str | None, buckets: int) -> pa.Table:
+    @classmethod
+    def read(cls, data: bytes) -> Block:
+        return cls(*(x if k == "<u8" else x.astype(np.int64) for x, k in zip(unpacked(data, cls.KINDS), cls.KINDS, strict=True)))
+
+
+#: Hashes (differences in order), counts and first subwords of a block's words in a bucket.
+_ENTRIES = ["<u8", "<u4", "<u2"]
+
+
+def _block(number_of: int, columns: list[list], path: str | None, buckets: int) -> pa.RecordBatch:
     """What a block sends: kind 0, its distinct words with counts and first subwords, by
-    bucket; 1, histograms of subwords; 2, training windows."""
-    block = key[0].as_py()
+    bucket; 1, histograms of subwords; 2, its documents."""
+    ids, texts, train, uids = columns
+    train = np.array(train, bool)
     words = Words(path)
-    texts, train = table.column("text").to_pylist(), np.array(table.column("train").to_pylist(), bool)
-    ids = table.column("uid").to_pylist()
     number, counts, hashes, names = words.split(texts)
     flat, sizes = words.subwords(names)
     begin = np.cumsum(sizes) - sizes
-    in_train = np.repeat(train, counts)
-    c = np.bincount(number[in_train], minlength=len(names))
+    c = np.bincount(number[np.repeat(train, counts)], minlength=len(names))
     order, bounds = _buckets(hashes, buckets)
-    entries = np.empty(len(names), _ENTRY)
-    entries["h"], entries["c"], entries["f"] = hashes, c, flat[begin] if len(names) else 0
-    entries = entries[order]
-    rows = [(0, b, block, entries[bounds[b] : bounds[b + 1]].tobytes(), None) for b in range(buckets) if bounds[b] < bounds[b + 1]]
+    h, n, f = hashes[order], c[order], flat[begin][order]
+    spans = [(b, slice(x, y)) for b, (x, y) in enumerate(itertools.pairwise(bounds.tolist())) if x < y]
+    rows = [(0, b, number_of, packed([np.diff(h[at], prepend=np.uint64(0)), n[at].astype("<u4"), f[at].astype("<u2")]), None) for b, at in spans]
     first = np.bincount(flat[begin], c, PIECES) if len(names) else np.zeros(PIECES)
     once = np.repeat(np.minimum(c, 1), sizes)  # new words look like distinct words, not like frequent ones
     rest = np.bincount(flat, once, PIECES) - (np.bincount(flat[begin], np.minimum(c, 1), PIECES) if len(names) else 0)
     then = np.append(flat[1:] % NEAR, NEAR)
     then[begin[1:] - 1] = NEAR
     after = np.bincount((flat % NEAR) * (NEAR + 1) + then, once, (NEAR + 1) ** 2) if len(names) else np.zeros((NEAR + 1) ** 2)
-    rows.append((1, -1, block, *_sparse(np.concatenate([first, rest, [c.sum(), train.sum(), np.minimum(c, 1).sum()], after]))))
-    # windows of the training texts, dealt to rounds by a hash of text and place
-    ends = np.cumsum(counts)
-    lines: list[list] = [[] for _ in ROUNDS]
-    skips: list[list] = [[] for _ in ROUNDS]
-    for uid, a, z, use in zip(ids, (ends - counts).tolist(), ends.tolist(), train.tolist(), strict=True):
-        if not use:
-            continue
-        for s in A.starts(z - a + 1):
-            drawn = (uid * 0x9E3779B97F4A7C15 + (s + 1) * 0xD6E8FEB86659FD93) % (1 << 64) // (1 << 32)
-            # the position before each word, then the last word to predict. -1: BOS, -2: nothing, -3: the end
-            own = number[a + max(s - 1, 0) : min(a + s + A.WIDTH, z)]
-            line = np.full(A.WIDTH + 1, -2, np.int64)
-            own = np.append(-1, own) if s == 0 else own
-            line[: len(own)] = own[: A.WIDTH + 1]
-            if len(own) <= A.WIDTH:
-                line[len(own)] = -3
-            lines[drawn % len(ROUNDS)].append(line)
-            skips[drawn % len(ROUNDS)].append(A.WIDTH - A.STRIDE if s else 0)
-    for turn in range(len(ROUNDS)):
-        if lines[turn]:
-            rows.append((2, turn, block, *_coded(np.concatenate(lines[turn]), skips[turn], flat, begin, sizes)))
-    return pa.Table.from_batches([_batch(rows, _SENT)])
+    rows.append((1, -1, number_of, *_sparse(np.concatenate([first, rest, [c.sum(), train.sum(), np.minimum(c, 1).sum()], after]))))
+    no_id = np.array([d is None for d in ids], np.uint8)
+    own = Block(np.array([d or 0 for d in ids], np.int64), no_id, train, np.array(uids, np.int64).view(np.uint64), counts, number, sizes, flat, order)
+    rows.append((2, -1, number_of, own.write(), None))
+    return _batch(rows, _SENT)
+
+
+def _gather(batches: Iterator[pa.RecordBatch], path: str | None, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's rows (doc_id, text, train, uid); their numbers begin with the partition's."""
+    first = TaskContext.get().partitionId() << 32
+    for k, columns in enumerate(row_blocks(batches, 1, BLOCK)):
+        yield _block(first + k, columns, path, buckets)
 
 
 def _add(key: tuple, table: pa.Table) -> pa.Table:
     """Sums of a bucket's words, back to the blocks (kind 0), and what is to know of all (kind 1)."""
-    blobs = table.column("a").to_pylist()
-    parts = [np.frombuffer(x, _ENTRY) for x in blobs]
-    every = np.concatenate(parts)
-    h, place = np.unique(every["h"], return_inverse=True)
+    parts = [unpacked(x, _ENTRIES) for x in table.column("a").to_pylist()]
+    _, c, f = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, place = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
     total = np.zeros(len(h), np.uint64)
-    np.add.at(total, place, every["c"].astype(np.uint64))
+    np.add.at(total, place, c.astype(np.uint64))
     first = np.zeros(len(h), np.int64)
-    first[place] = every["f"]
+    first[place] = f
     known = total > 0
     kinds = np.bincount(first[known], minlength=PIECES)
-    cuts = np.cumsum([len(x) for x in parts])[:-1]
+    cuts = np.cumsum([len(x[0]) for x in parts])[:-1]
     b = key[0].as_py()
-    rows = [(0, b, block, t.astype("<u8").tobytes(), None) for block, t in zip(table.column("block").to_pylist(), np.split(total[place], cuts), strict=True)]
+    rows = [(0, b, block, packed([t.astype("<u8")]), None) for block, t in zip(table.column("block").to_pylist(), np.split(total[place], cuts), strict=True)]
     rows.append((1, -1, b, *_sparse(np.append(kinds, known.sum()))))
     return pa.Table.from_batches([_batch(rows, _SENT)])
 
 
-def _windows(vocabulary: Vocabulary, rows: list[tuple[bytes, bytes]]) -> A.Windows:
-    slots, sizes, targets, weights = [], [], [], []
-    for pieces, more in rows:
-        pieces, more = np.frombuffer(pieces, "<u2").astype(np.int64), np.frombuffer(more, np.uint8)
-        n = int.from_bytes(more[-8:].tobytes(), "little")
-        skip = more[n * (A.WIDTH + 1) : n * (A.WIDTH + 2)].astype(np.int64)
-        code = more[: n * (A.WIDTH + 1)].astype(np.int64).reshape(n, -1)
-        size = np.where(code > LONG, 0, code)
-        size[code == LONG] = np.frombuffer(more[n * (A.WIDTH + 2) : -8].tobytes(), "<u4")
-        begin = (np.cumsum(size.ravel()) - size.ravel()).reshape(size.shape)
-        lead = vocabulary.cls[pieces[np.minimum(begin, len(pieces) - 1)]] if len(pieces) else np.zeros_like(code)
-        target = np.where(code == ENDS, 0, lead)[:, 1:]
-        weight = ((code[:, 1:] > 0) & (np.arange(A.WIDTH) >= skip[:, None])).astype(np.float32)
-        # inputs: all but the last position; BOS has one slot, the end none
-        given = np.where(code == STARTS, 1, size)
-        flat = np.full(int(given.sum()), A.BOS, np.int64)
-        at = np.repeat((code != STARTS).ravel(), given.ravel())
-        flat[at] = vocabulary.slot[pieces]
-        keep = np.repeat(np.broadcast_to(np.arange(A.WIDTH + 1) < A.WIDTH, given.shape).ravel(), given.ravel())
-        slots.append(flat[keep])
-        sizes.append(given[:, :-1].ravel())
-        targets.append(target)
-        weights.append(weight)
-    join = lambda x, empty: np.concatenate(x) if x else empty
-    return A.Windows(join(slots, np.zeros(0, np.int64)), join(sizes, np.zeros(0, np.int64)), join(targets, np.zeros((0, A.WIDTH), np.int64)), join(weights, np.zeros((0, A.WIDTH), np.float32)))
-
-
-def _replica(key: tuple, table: pa.Table, state: bytes, vocabulary: Vocabulary, rate: float, turn: int) -> pa.Table:
-    params = A.unflat(np.frombuffer(state, np.float32), A.fresh(vocabulary.bias))
-    rows = sorted(zip(table.column("block").to_pylist(), table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True))
-    data = _windows(vocabulary, [r[1:] for r in rows])
-    made = A.flat(A.train(params, data, turn, rate))
-    weight = float(data.weight.sum())
-    sums = (made * weight).astype("<f4")
-    return pa.Table.from_batches([_batch([(k, weight, sums[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(-(-len(sums) // CHUNK))], "chunk int, weight double, a binary")])
+def _windows(vocabulary: Vocabulary, own: Block, turn: int) -> A.Windows:
+    """Windows of a block's training texts that are dealt to a round by a hash of text and place."""
+    n = own.counts + 2  # a start, the words, an end
+    first = np.cumsum(n) - n
+    many = np.where(own.train > 0, 1 + -(-np.maximum(own.counts + 1 - A.WIDTH, 0) // A.STRIDE), 0)
+    doc = np.repeat(np.arange(len(n)), many)
+    start = A.STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+    drawn = (own.uid[doc] * np.uint64(0x9E3779B97F4A7C15) + (start + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    doc, start = (x[drawn % np.uint64(len(ROUNDS)) == turn] for x in (doc, start))
+    # a word's number; then what leads to the first word, the end, and what is after it
+    words = len(own.sizes)
+    line = np.full(int(n.sum()) + A.WIDTH + 1, words + 2, np.int64)
+    inner = np.ones(int(n.sum()), bool)
+    inner[first], inner[first + n - 1] = False, False
+    line[np.flatnonzero(inner)] = own.number
+    line[first], line[first + n - 1] = words, words + 1
+    where = (first[doc] + start)[:, None] + np.arange(A.WIDTH + 1)
+    inside = where < (first + n)[doc][:, None]
+    line = np.where(inside, line[where], words + 2)
+    begin = np.cumsum(own.sizes) - own.sizes
+    lead = np.append(vocabulary.cls[own.flat[begin]] if words else np.zeros(0, np.int64), [0, 0, 0])
+    weight = (inside[:, 1:] & (np.arange(A.WIDTH) >= np.where(start > 0, A.WIDTH - A.STRIDE, 0)[:, None])).astype(np.float32)
+    # inputs: all but the last position; a start has one slot, the end none
+    slots = np.append(vocabulary.slot[own.flat], A.BOS)
+    begin, sizes = np.append(begin, [len(own.flat)] * 3), np.append(own.sizes, [1, 0, 0])
+    given = line[:, :-1].ravel()
+    size = sizes[given]
+    at = np.repeat(begin[given] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return A.Windows(slots[at], size, lead[line[:, 1:]], weight)
+
+
+def _replica(batches: Iterator[pa.RecordBatch], state: bytes, vocabulary: Vocabulary, rate: float, turn: int) -> Iterator[pa.RecordBatch]:
+    """Parameters times the weight of the windows that a partition's blocks train them with, block after block."""
+    weight = 0.0
+
+    def parts() -> Iterator[A.Windows]:
+        nonlocal weight
+        for batch in batches:
+            for data in batch.column(0):
+                made = _windows(vocabulary, Block.read(data.as_py()), turn)
+                weight += float(made.weight.sum(dtype=np.float64))
+                yield made
+
+    made = A.flat(A.train(A.unflat(np.frombuffer(state, np.float32), A.fresh(vocabulary.bias)), parts(), turn, rate))
+    if weight:
+        sums = (made * weight).astype("<f4")
+        yield _batch([(k, weight, sums[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(-(-len(sums) // CHUNK))], _CHUNKS)
 
 
 def _average(key: tuple, table: pa.Table) -> pa.Table:
     weight = sum(table.column("weight").to_pylist())
     total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in table.column("a").to_pylist())
-    return pa.Table.from_batches([_batch([(key[0].as_py(), weight, (total / max(weight, 1e-9)).astype("<f4").tobytes())], "chunk int, weight double, a binary")])
+    return pa.Table.from_batches([_batch([(key[0].as_py(), weight, (total / max(weight, 1e-9)).astype("<f4").tobytes())], _CHUNKS)])
 
 
-def fit(windows: DataFrame, vocabulary: Vocabulary, replicas: int) -> bytes:
-    """Parameters after all rounds. Each round's replicas train from the same state; the
-    driver gets their average only, whose size is fixed."""
+def fit(blocks: DataFrame, vocabulary: Vocabulary) -> bytes:
+    """Parameters after all rounds. Each round's replicas, one for each partition of ``blocks``
+    (a), train from the same state; the driver gets their average only, whose size is fixed."""
     state = A.flat(A.fresh(vocabulary.bias)).astype("<f4").tobytes()
-    dealt = windows.withColumn("replica", F.pmod(F.xxhash64("block", "turn"), F.lit(replicas)))
     for turn, rate in enumerate(ROUNDS):
         step = functools.partial(_replica, state=state, vocabulary=vocabulary, rate=rate, turn=turn)
-        made = dealt.where(F.col("turn") == turn).groupBy("replica").applyInArrow(_keyed(step), "chunk int, weight double, a binary")
-        mean = made.groupBy("chunk").applyInArrow(_average, "chunk int, weight double, a binary").orderBy("chunk").collect()
+        made = blocks.mapInArrow(step, _CHUNKS)
+        mean = made.groupBy("chunk").applyInArrow(_average, _CHUNKS).orderBy("chunk").collect()
         if mean and mean[0].weight > 0:
             state = b"".join(bytes(r.a) for r in mean)
     return state
 
 
-def _score(key: tuple, docs: pa.Table, sums: pa.Table, path: str | None, buckets: int, state: bytes, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    words = Words(path)
+def _score(key: tuple, own: pa.Table, sums: pa.Table, state: bytes, vocabulary: Vocabulary) -> pa.Table:
+    own = Block.read(own.column("a")[0].as_py())
     params = A.unflat(np.frombuffer(state, np.float32), A.fresh(vocabulary.bias))
-    total = {b: np.frombuffer(x, "<u8").astype(np.int64) for b, x in zip(sums.column("key").to_pylist(), sums.column("a").to_pylist(), strict=True)}
-    texts = docs.column("text").to_pylist()
-    number, counts, hashes, names = words.split(texts)
-    order, _ = _buckets(hashes, buckets)
-    c = np.empty(len(names), np.int64)
-    c[order] = np.concatenate([total[b] for b in sorted(total)]) if total else 0
-    flat, sizes = words.subwords(names)
+    total = {b: unpacked(x, ["<u8"])[0].astype(np.int64) for b, x in zip(sums.column("key").to_pylist(), sums.column("a").to_pylist(), strict=True)}
+    number, counts, flat, sizes = own.number, own.counts, own.flat, own.sizes
+    c = np.empty(len(sizes), np.int64)
+    c[own.order] = np.concatenate([total[b] for b in sorted(total)]) if total else 0
     first, spelling = vocabulary.spelt(flat, sizes)
     fixed = vocabulary.in_class[first] + vocabulary.given_first(c, first, spelling)
     cls = vocabulary.cls[first]
     x = A.embed(params["E"], vocabulary.slot[flat], sizes)
     x = np.concatenate([x, params["E"][A.BOS][None]])  # the last row comes before a text's first word
     known, base = c > 0, np.log10(c + 0.1)
-    doc_ids, train = docs.column("doc_id").to_pylist(), docs.column("train").to_pylist()
+    doc_ids = [None if no else d for d, no in zip(own.ids.tolist(), own.no_id.tolist(), strict=True)]
+    train = own.train.astype(bool).tolist()
     rows, ends = [], np.cumsum(counts)
     size, a = 0, 0
     for k, n in enumerate(counts.tolist()):
         size += n + 1
         if size < 60_000 and k + 1 < len(counts):
             continue
-        own = number[ends[a - 1] if a else 0 : ends[k]]
+        here = number[ends[a - 1] if a else 0 : ends[k]]
         some = counts[a : k + 1]
         stops = np.cumsum(some)  # where an end is put after the words, a start before them
-        places = np.insert(own, stops - some, len(x) - 1)
-        targets = np.insert(cls[own], stops, 0)
-        lp = A.score(params, x, places, targets, some + 1) + np.insert(fixed[own], stops, 0.0)
+        places = np.insert(here, stops - some, len(x) - 1)
+        targets = np.insert(cls[here], stops, 0)
+        lp = A.score(params, x, places, targets, some + 1) + np.insert(fixed[here], stops, 0.0)
         cuts = np.cumsum(some + 1) - (some + 1)
         score = np.add.reduceat(lp, cuts) / math.log(10)
         first_word = stops - some
-        both = [np.append(0, np.cumsum(v)) for v in (base[own], known[own])]
+        both = [np.append(0, np.cumsum(v)) for v in (base[here], known[here])]
         for j in range(len(some)):
             p, q = first_word[j], stops[j]
             rows.append((doc_ids[a + j], not train[a + j], int(some[j]) + 1, int(both[1][q] - both[1][p]), float(both[0][q] - both[0][p]), float(score[j])))
         a, size = k + 1, 0
-    yield from pa.Table.from_batches([_batch(rows, _SCORED)]).to_batches()
+    return pa.Table.from_batches([_batch(rows, _SCORED)])
 
 
 def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -365,10 +384,10 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = rows.withColumn("uid", F.xxhash64("text", "doc_id"))
     size, n_train = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     blocks = size // BLOCK + 1
-    buckets = max(1, blocks // 2) * 4
-    dealt = rows.withColumn("block", F.pmod("uid", F.lit(blocks)))
-    gather = functools.partial(_gather, path=path, buckets=buckets)
-    sent = checkpoint(dealt.groupBy("block").applyInArrow(_keyed(gather), _SENT))
+    buckets, parts = max(1, blocks // 2) * 4, int(blocks // SHARE) + 1
+    # every later step reads what the blocks send, not the texts
+    dealt = rows.repartitionById(parts, F.pmod("uid", F.lit(parts)).cast("int")).select("doc_id", "text", "train", "uid")
+    sent = checkpoint(dealt.mapInArrow(functools.partial(_gather, path=path, buckets=buckets), _SENT))
     back = checkpoint(sent.where("kind = 0").groupBy("key").applyInArrow(_add, _SENT))
     every = _totals(sent.where("kind = 1"), 2 * PIECES + 3 + (NEAR + 1) ** 2)
     counts, after = every[: 2 * PIECES + 3], every[2 * PIECES + 3 :].astype(float)
@@ -376,11 +395,12 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     kinds = np.array(kinds, np.int64)
     first, rest, (n_words, n_texts, n_once) = counts[:PIECES], counts[PIECES : 2 * PIECES], counts[2 * PIECES :]
     vocabulary = Vocabulary(first, rest, kinds, after, int(n_once), int(n_texts))
-    state = fit(sent.where("kind = 2").select("block", F.col("key").alias("turn"), "a", "b"), vocabulary, int(blocks // SHARE) + 1)
+    own = sent.where("kind = 2")
+    state = fit(own.select("a"), vocabulary)
     n, v = int(n_words + n_texts), distinct + (n_texts > 0)
-    score = functools.partial(_score, path=path, buckets=buckets, state=state, vocabulary=vocabulary)
+    score = functools.partial(_score, state=state, vocabulary=vocabulary)
     replies = back.where("kind = 0").select("key", "block", "a")
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda key, own, sums: pa.Table.from_batches(list(score(key, own, sums))), _SCORED)
+    scored = own.select("block", "a").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda key, own, sums: score(key, own, sums), _SCORED)
     norm = math.log10(n + 0.1 * (v + 1))
     end = math.log10(n_texts + 0.1)
     known = F.col("n_known") + F.lit(int(n_texts > 0))

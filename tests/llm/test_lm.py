@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -108,3 +109,33 @@ def test_probabilities_sum_to_one():
     assert np.bincount(v.cls, np.exp(v.in_class), A.CLASSES)[1:].round(6).tolist() == [1.0] * (A.CLASSES - 1)
     assert np.exp(v.after).sum(1) == pytest.approx(1, abs=1e-4)
     assert np.bincount(np.arange(lm.PIECES) % lm.NEAR, np.exp(v.in_near)) == pytest.approx(1)
+
+
+def test_blocks_write_less_than_their_texts(spark):
+    # what is checkpointed must stay under the texts: windows of all training texts were more than that
+    from quillon.llm.common import set_checkpoint_dir
+
+    set_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    used = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    draw = random.Random(5)
+    words = ["".join(draw.choice(["ka", "lo", "mer", "st", "ing", "ab"]) for _ in range(draw.randrange(1, 5))) for _ in range(900)]
+    rows = [(k, " ".join(draw.choice(words) for _ in range(400)), "x") for k in range(1500)]
+    before = used()
+    assert lm.lm_scores(spark.createDataFrame(rows, SCHEMA)).count() == 1500
+    assert used() - before < 0.8 * sum(len(t) for _, t, _ in rows)
+
+
+def test_blocks_are_read_as_written():
+    texts = [b"Ka lo\x0bMER \xc2\xa0st", b"", "x  lo ka ".encode(), b" the  end "]
+    made = lm._block(5, [[3, None, 1, 2], texts, [True, True, False, True], [1, -2, 3, 4]], None, 4)
+    rows = {k: x for k, x in zip(made.column(0).to_pylist(), made.column(3).to_pylist(), strict=True)}
+    own = lm.Block.read(rows[2])
+    words = lm.Words(None)
+    number, counts, hashes, names = words.split(texts)
+    assert [names[k] for k in number] == [w for t in texts for w in t.lower().split()] and counts.tolist() == [4, 0, 3, 2]
+    assert own.number.tolist() == number.tolist() and own.counts.tolist() == counts.tolist() and own.no_id.tolist() == [0, 1, 0, 0]
+    cuts = np.split(own.flat, np.cumsum(own.sizes)[:-1])
+    assert [c.tolist() for c in cuts] == [words.bpe.encode_ordinary(" " + n.decode()) for n in names]
+    every = [a for v in (lm._windows(lm.Vocabulary(*[np.ones(lm.PIECES)] * 3, np.ones((lm.NEAR + 1) ** 2), 1, 1), own, t) for t in range(len(lm.ROUNDS))) for a in v.weight.sum(1).tolist()]
+    assert sorted(every) == [1, 3, 5]  # each training text's words and end, once
