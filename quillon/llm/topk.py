@@ -28,6 +28,8 @@ K = 5
 EVERY = 50
 #: Vectors in a part of a bucket, queries in a block, and vectors that give the first bounds.
 PART, BLOCK, SEEDS = 4096, 512, 1024
+#: A block of queries is sent to groups of parts: to so many in all, or to more where a group would hold more parts than that.
+GROUPS, GROUP = 64, 8
 #: A bucket's greatest length is this many times its least.
 STEP = 1.1
 #: Coordinates that prune, and vectors of a part on which their worth is judged.
@@ -174,22 +176,25 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     with pa.ipc.new_stream(sink, seeds.schema) as stream:
         stream.write_table(seeds)
     seeds = sink.getvalue().to_pybytes()
-    sizes = spark.createDataFrame([(r.bucket, -(-r.n // PART), float(r.longest)) for r in buckets], "b long, parts long, longest double")
+    parts = {r.bucket: -(-r.n // PART) for r in buckets}
+    share = min(max(GROUPS / sum(parts.values()), 1 / GROUP), 1)
+    sizes = spark.createDataFrame([(r.bucket, parts[r.bucket], math.ceil(parts[r.bucket] * share), float(r.longest)) for r in buckets], "b long, parts long, groups long, longest double")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "norm")
     n_blocks = -(-asked.count() // BLOCK) or 1
     asked = asked.mapInArrow(functools.partial(_bounds, seeds=seeds, k=k), "vec_id long, v array<double>, norm double, bound double")
     asked = checkpoint(asked)
-    dealt = rows.join(F.broadcast(sizes.select("b", "parts")), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
-    parts = dealt.groupBy("b", "part").agg(F.collect_list(F.struct("vec_id", "v", "norm")).alias("members"))
+    dealt = rows.join(F.broadcast(sizes.drop("longest")), F.col("bucket") == F.col("b")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    parts = dealt.groupBy("b", (F.col("part") % F.col("groups")).alias("group"), "part").agg(F.collect_list(F.struct("vec_id", "v", "norm")).alias("members"))
     parts = checkpoint(parts)
     found, waves = None, list(_waves(buckets))
     for turn, wave in enumerate(waves):
         own = sizes.where(F.col("b").isin(wave))
         routed = asked.join(F.broadcast(own), F.col("norm") * F.col("longest") >= F.col("bound") * (1 - 1e-9))
-        routed = routed.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "b", "parts", F.struct("vec_id", "v", "norm", "bound").alias("q"))
-        blocks = routed.groupBy("b", "block", "parts").agg(F.collect_list("q").alias("queries"))
-        blocks = blocks.select("queries", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        pairs = blocks.join(parts, ["b", "part"]).select("queries", "members")
+        routed = routed.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "b", "groups", F.struct("vec_id", "v", "norm", "bound").alias("q"))
+        blocks = routed.groupBy("b", "block", "groups").agg(F.collect_list("q").alias("queries"))
+        blocks = blocks.select("queries", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+        # Spark judges blocks by their size before they are sent to each group, and would broadcast them through the driver
+        pairs = blocks.join(parts.where(F.col("b").isin(wave)).hint("merge"), ["b", "group"]).select("queries", "members")
         new = pairs.mapInArrow(functools.partial(_search, k=k), "query_id long, vec_id long, score long, exact string")
         found = _highest(new if found is None else found.unionByName(new), k)
         if turn + 1 < len(waves):
@@ -197,7 +202,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
             # clipped scores lie on the safe side only while they fit; others leave the bound as it was
             kth = found.where((F.col("rank") == k) & (F.col("score") < MOST) & (F.col("score") > LEAST)).select(F.col("query_id").alias("of"), F.col("score").cast("double").alias("kth"))
             raised = F.greatest("bound", F.coalesce("kth", F.col("bound")))
-            asked = checkpoint(asked.join(kth, F.col("vec_id") == F.col("of"), "left").withColumn("bound", raised).select("vec_id", "v", "norm", "bound"))
+            asked = checkpoint(asked.join(kth.hint("merge"), F.col("vec_id") == F.col("of"), "left").withColumn("bound", raised).select("vec_id", "v", "norm", "bound"))
             found = found.drop("rank")
     return found.select("query_id", "rank", "vec_id", "score")
 

@@ -57,3 +57,18 @@ def test_repeated_rows_are_candidates(spark):
     rows = [(0, [1.0], 0), (1, [2.0], 0), (1, [2.0], 0), (2, [1.0], 0)]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA), 5, 2).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 256 * 512), (0, 2, 1, 256 * 512)]
+
+
+def test_blocks_stay_off_the_driver(spark, monkeypatch):
+    """Blocks are sent to groups of parts by a shuffle: a broadcast of them grew with the square of the table."""
+    monkeypatch.setattr(topk, "PART", 16)
+    monkeypatch.setattr(topk, "SEEDS", 8)
+    monkeypatch.setattr(topk, "GROUPS", 2, raising=False)
+    monkeypatch.setattr(topk, "GROUP", 3, raising=False)
+    draw = np.random.default_rng(5)
+    rows = draw.normal(size=(300, 6))
+    rows = [(i, [float(np.float32(x)) for x in 100 * v / np.linalg.norm(v)], 0) for i, v in enumerate(rows)]  # of one length: one wave
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA), 5, 5)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5, 5)
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" not in final and "SortMergeJoin" in final, final
